@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_arrow_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker."""
+def prepare(spark: SparkSession) -> None:
+    """Bound what one Arrow batch of long texts can hold in a Python worker,
+    and send this package to the executors (once for each application)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    sc = spark.sparkContext
+    if getattr(sc, "_lakewright_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "lakewright.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._lakewright_sent = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,11 +87,12 @@ def bounded_sample(df: DataFrame, by: list[str], order: str, most: int) -> DataF
     class that is to be learned, so as small as the model itself); the rows
     are then filtered where they lie, so nothing is sorted or gathered.
     """
-    sizes = df.groupBy(F.struct(*by).alias("k")).agg(F.count("*").alias("n")).collect()
+    key = F.struct(F.lit(0).alias("_"), *by).alias("k")
+    sizes = df.groupBy(key).agg(F.count("*").alias("n")).collect()
     share = F.lit(0.0)
     for row in sizes:
         same = [F.col(c).eqNullSafe(F.lit(row["k"][c])) for c in by]
-        share = F.when(reduce(and_, same), F.lit(most / row["n"])).otherwise(share)
+        share = F.when(reduce(and_, same, F.lit(True)), F.lit(most / row["n"])).otherwise(share)
     u = F.pmod(F.xxhash64(F.col(order), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     return df.where(u < share)
 
@@ -147,33 +161,61 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def segments(raw: np.ndarray, offsets: np.ndarray, most: int = 4 * BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of a block at white space, so that no part is much longer than
+    ``most``: the parts' offsets and the document of each part."""
+    if not len(raw) or (np.diff(offsets) <= most).all():
+        return offsets, np.arange(len(offsets) - 1)
+    cuts, docs = [0], []
+    for d in range(len(offsets) - 1):
+        at, end = int(offsets[d]), int(offsets[d + 1])
+        while end - at > most:
+            stop, step = at + most, 1 << 16
+            while stop < end and not (found := np.flatnonzero(_SPACE[raw[stop : min(stop + step, end)]])).size:
+                stop += step
+            if stop >= end:
+                break
+            at = stop + int(found[0])
+            cuts.append(at)
+            docs.append(d)
+        cuts.append(end)
+        docs.append(d)
+    return np.array(cuts), np.array(docs)
+
+
 class Words:
     """Words (maximal runs without ASCII white space) of a block of documents.
 
-    ``doc``: the block-relative document of each word; ``start``/``end``: byte
-    places in the block's own bytes (``base`` is each document's first byte);
-    ``hash``: 64 bits of the word, A-Z lower-cased.
+    ``doc``: the block-relative document of each word; ``start``, ``end``: its
+    byte places in ``raw``; ``hash``: 64 bits of the word, A-Z lower-cased;
+    ``first``: where each document's words begin in these arrays.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = True) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
+        cuts, owner = segments(raw, offsets)
+        found = []
+        for i, j in blocks(cuts, 4 * BLOCK_BYTES):
+            part, start, end, code = self._words(raw[cuts[i] : cuts[j]], cuts[i : j + 1] - cuts[i])
+            found.append((owner[i:j][part], start + cuts[i], end + cuts[i], code))
+        empty = np.zeros(0, np.int64)
+        self.doc, self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty, empty, empty, empty.astype(U64))
+        self.count = np.bincount(self.doc, minlength=len(offsets) - 1).astype(np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.count)))
+
+    @staticmethod
+    def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(offsets) - 1
-        sizes = np.diff(offsets)
         spaced = np.full(len(raw) + n + 1, 0x20, np.uint8)
-        gap = np.repeat(np.arange(1, n + 1), sizes)
-        spaced[np.arange(len(raw)) + gap] = raw
-        self.base = offsets[:-1] + np.arange(1, n + 1)
+        spaced[np.arange(len(raw)) + np.repeat(np.arange(1, n + 1), np.diff(offsets))] = raw
         space = _SPACE[spaced]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-        self.start, self.end = edge[0::2], edge[1::2]
-        self.bytes = spaced
-        text = _LOWER[spaced] if lower else spaced
+        start, end = edge[0::2], edge[1::2]
         up, down = POWERS.upto(len(spaced) + 1)
         total = np.zeros(len(spaced) + 1, U64)
-        np.cumsum((text.astype(U64) + U64(1)) * up[: len(spaced)], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
-        self.doc = np.searchsorted(self.base, self.start, "right") - 1
-        self.count = np.bincount(self.doc, minlength=n).astype(np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.count)))
+        np.cumsum((_LOWER[spaced].astype(U64) + U64(1)) * up[: len(spaced)], out=total[1:])
+        code = mix((total[end] - total[start]) * down[start])
+        doc = np.searchsorted(offsets[:-1] + np.arange(1, n + 1), start, "right") - 1
+        return doc, start - doc - 1, end - doc - 1, code
 
 
 def spread(values: np.ndarray, starts: np.ndarray, op: np.ufunc = np.add, empty: float = 0) -> np.ndarray:

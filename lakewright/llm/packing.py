@@ -18,7 +18,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -161,6 +161,10 @@ def _pack_group(pdf: pd.DataFrame, capacity: int, last: bool, level: int) -> pd.
     return pdf
 
 
+def _packer(capacity: int, last: bool, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    return lambda pdf: _pack_group(pdf, capacity, last, level)
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces of ``length`` <= capacity."""
     names = pieces.columns
@@ -175,7 +179,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_pieces: int = GROUP_PIEC
     schema = ", ".join(x.replace(":", " ", 1) for x in schema.split(","))
     while True:
         last = groups == 1
-        done = todo.groupBy("grp").applyInPandas(lambda pdf, last=last, level=level: _pack_group(pdf, capacity, last, level), schema)
+        done = todo.groupBy("grp").applyInPandas(_packer(capacity, last, level), schema)
         if last:
             settled.append(done)
             break

@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_arrow_batches, table
+from .common import held_out, prepare, table
+from .language_id import identify, learn
 from .packing import pack_documents
+from .quality import score_quality, train
 from .token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,18 +26,32 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    trees = learn(docs.where(~held_out("doc_id", 4, 2)))
+    return identify(docs, trees, keep={"held_out": held_out("doc_id", 4, 2)})
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return score_quality(docs, model, keep={"held_out": held_out("doc_id", 5, 0)})
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_arrow_batches(spark)
+    prepare(spark)
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_arrow_batches(spark)
+    prepare(spark)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op1_language_id, op8_token_counts, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import held_out, prepare, table
 from .language_id import identify, learn
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -40,6 +42,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, keep={"held_out": held_out("doc_id", 5, 0)})
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -51,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op8_token_counts, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op3_suffix_dedup, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

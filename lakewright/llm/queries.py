@@ -19,6 +19,7 @@ from .packing import pack_documents
 from .quality import score_quality, train
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
+from .warc import read_archives, resolve, write_archives
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -53,6 +54,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,7 +75,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

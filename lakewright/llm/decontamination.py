@@ -204,6 +204,19 @@ def _document_counts(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
     return found["code"].to_numpy().astype(np.int64).view(U64), found["n"].to_numpy()
 
 
+def _rare(texts: DataFrame, items: Items) -> Items:
+    """``items`` with the rarer half of each one's n-grams as seeds."""
+    code, n = _document_counts(texts, texts.sparkSession.sparkContext.broadcast(items))
+    often = np.zeros(len(items.distinct), np.int64)
+    often[np.searchsorted(items.distinct, code)] = n
+    per = often[np.searchsorted(items.distinct, items.code)]
+    middle = np.zeros(len(items.ids))
+    for i in np.unique(items.item):
+        middle[i] = np.median(per[items.item == i])
+    items.keep(per <= middle[items.item])
+    return items
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, similarity, start, end): the best alignment of each
     document and item whose similarity reaches ``threshold``; ``start`` and
@@ -216,39 +229,60 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for items in _item_blocks(benchmark, item_col, item_text_col):
         if not len(items.code):
             continue
-        code, n = _document_counts(base.select("text"), spark.sparkContext.broadcast(items))
-        often = np.zeros(len(items.distinct), np.int64)
-        often[np.searchsorted(items.distinct, code)] = n
-        per = often[np.searchsorted(items.distinct, items.code)]
-        middle = np.zeros(len(items.ids))
-        for i in np.unique(items.item):
-            middle[i] = np.median(per[items.item == i])
-        items.keep(per <= middle[items.item])
-        out = out.unionByName(base.mapInArrow(_finder(spark.sparkContext.broadcast(items), threshold, doc_kind, item_kind), schema))
+        items = _rare(base.select("text"), items)
+        out = out.unionByName(base.mapInArrow(_finder(spark.sparkContext.broadcast(items), threshold), schema))
     return out
 
 
-def _finder(held, threshold: float, doc_kind: str, item_kind: str):
+def _leaks(items: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item, similarity, start, end) of the best alignments in a batch."""
+    raw, offsets = buffers(texts)
+    for i, j in blocks(offsets):
+        words = _Text(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        todo = sorted(_regions(items, *items.find(words), words), key=lambda r: r[3] - r[2])
+        for k in range(0, len(todo), 64):
+            some = todo[k : k + 64]
+            score, first, last = align([items.words[t] for _, t, _, _ in some], [words.hash[lo:hi] for _, _, lo, hi in some])
+            for (d, t, lo, _), s, a, b in zip(some, score.tolist(), first.tolist(), last.tolist(), strict=True):
+                share = s / (MATCH * len(items.words[t]))
+                if share >= threshold and share > best.get((d, t), (0,))[0]:
+                    shift = int(offsets[i] - offsets[i + d])
+                    best[d, t] = (share, int(words.start[lo + a]) + shift, int(words.end[lo + b - 1]) + shift)
+        for (d, t), found in best.items():
+            yield i + d, t, *found
+
+
+def _finder(held, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
         item_ids = pa.array(items.ids)
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
-            for i, j in blocks(offsets):
-                words = _Text(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                best: dict[tuple[int, int], tuple[float, int, int]] = {}
-                todo = sorted(_regions(items, *items.find(words), words), key=lambda r: r[3] - r[2])
-                for k in range(0, len(todo), 64):
-                    some = todo[k : k + 64]
-                    score, first, last = align([items.words[t] for _, t, _, _ in some], [words.hash[lo:hi] for _, _, lo, hi in some])
-                    for (d, t, lo, _), s, a, b in zip(some, score.tolist(), first.tolist(), last.tolist(), strict=True):
-                        share = s / (MATCH * len(items.words[t]))
-                        if share >= threshold and share > best.get((d, t), (0,))[0]:
-                            begin = int(words.start[lo + a] - offsets[i + d] + offsets[i])
-                            best[d, t] = (share, begin, int(words.end[lo + b - 1] - offsets[i + d] + offsets[i]))
-                if best:
-                    d, t = (np.array(x) for x in zip(*best, strict=True))
-                    share, a, b = zip(*best.values(), strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + d)), item_ids.take(pa.array(t)), pa.array(share), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "item_id", "similarity", "start", "end"])
+            found = list(_leaks(items, batch.column(1), threshold))
+            if found:
+                d, t, share, a, b = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), item_ids.take(pa.array(t)), pa.array(share), pa.array(a), pa.array(b)], names=["doc_id", "item_id", "similarity", "start", "end"])
+
+    return run
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that hold a copy of an
+    item; a narrow filter."""
+    spark = docs.sparkSession
+    for items in _item_blocks(benchmark, item_col, item_text_col):
+        if len(items.code):
+            held = spark.sparkContext.broadcast(_rare(docs.select(F.col(text_col).alias("text")), items))
+            docs = docs.mapInArrow(_dropper(held, threshold, docs.columns.index(text_col)), docs.schema)
+    return docs
+
+
+def _dropper(held, threshold: float, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for d, *_ in _leaks(held.value, batch.column(column), threshold):
+                clean[d] = False
+            yield batch.filter(pa.array(clean))
 
     return run

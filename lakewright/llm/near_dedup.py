@@ -248,3 +248,11 @@ class NearDuplicates:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     return NearDuplicates(docs, id_col, text_col, size, percent).result()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs``, all columns, that represent their group: the one
+    with the smallest id (one row of it, if it is repeated), and rows without
+    an id."""
+    kept = near_duplicates(docs, id_col, text_col, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import held_out, prepare, table
 from .decontamination import find_leaks
 from .language_id import identify, learn
+from .lm_scoring import cross_entropy_difference
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train
@@ -59,6 +60,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what the labels call good and not toxic."""
+    prepare(spark)
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -75,7 +83,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -342,3 +342,51 @@ def merge_spans(start: np.ndarray, length: np.ndarray) -> tuple[list[int], list[
     a, b = start[order], np.maximum.accumulate((start + length)[order])
     cut = np.flatnonzero(a[1:] > b[:-1])
     return a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist()
+
+
+def _whole_characters(text: bytes, a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Spans narrowed to character boundaries; those that vanish are left out."""
+    out = []
+    for i, j in zip(a, b, strict=True):
+        while i < j and text[i] & 0xC0 == 0x80:
+            i += 1
+        while j > i and j < len(text) and text[j] & 0xC0 == 0x80:
+            j -= 1
+        if i < j:
+            out.append((i, j))
+    return [i for i, _ in out], [j for _, j in out]
+
+
+def cut_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs``, all columns, with texts cut to what does not
+    repeat (whole characters only) and ``n_chars`` counted again; rows whose
+    repeats leave only white space go."""
+    found = Repeats(docs, size, id_col, text_col)
+    spans = found.marks().groupBy("k1", "k2").agg(F.collect_list("start").alias("s"), F.collect_list("length").alias("l"))
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("text"))
+    keyed = keyed.withColumn("row", F.col("row").dropFields(text_col)) if len(docs.columns) > 1 else keyed
+    both = keyed.join(spans, ["k1", "k2"], "left").select("row", "text", "s", "l")
+    kind = both.schema["row"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, cut = [], []
+            for text, s, length in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                a, b = _whole_characters(text, *merge_spans(np.array(s or [], np.int64), np.array(length or [], np.int64)))
+                texts.append(b"".join(text[i:j] for i, j in zip([0, *b], [*a, len(text)], strict=True)).decode())
+                cut.append(bool(a))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(cut)], names=["row", "text", "cut"])
+
+    out = both.mapInArrow(run, f"row {kind}, text string, cut boolean").where(~F.col("cut") | F.col("text").rlike(r"\S"))
+
+    def column(name: str):
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == n_chars_col:
+            kind = docs.schema[name].dataType
+            return F.when(F.col("cut"), F.length("text")).otherwise(F.col(f"row.`{name}`")).cast(kind).alias(name)
+        return F.col(f"row.`{name}`").alias(name)
+
+    return out.select([column(c) for c in docs.columns])

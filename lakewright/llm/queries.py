@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import held_out, prepare, table
 from .decontamination import find_leaks
@@ -18,6 +18,7 @@ from .lm_scoring import cross_entropy_difference
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train
+from .search import search_all
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .warc import read_archives, resolve, write_archives
@@ -60,6 +61,32 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve(read_archives(spark, write_archives(table(spark, sf_dir, "pages"))))
 
 
+def op5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return search_all(table(spark, sf_dir, "documents"), F.col("doc_id") % 50 == 0)
+
+
+OP5_SQL = """
+WITH w AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS term
+  FROM documents
+),
+tf AS (SELECT doc_id, term, count(*)::DOUBLE AS f FROM w GROUP BY doc_id, term),
+dl AS (SELECT doc_id, sum(f) AS len FROM tf GROUP BY doc_id),
+st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(len) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+df AS (SELECT term, count(*)::DOUBLE AS d FROM tf GROUP BY term),
+sc AS (
+  SELECT q.doc_id AS query_id, p.doc_id AS doc_id,
+    round(sum(q.f * ln(1 + (n - d + 0.5) / (d + 0.5)) * p.f * 2.2 / (p.f + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score
+  FROM tf q JOIN tf p USING (term) JOIN df USING (term) JOIN dl ON dl.doc_id = p.doc_id CROSS JOIN st
+  WHERE q.doc_id % 50 = 0 GROUP BY q.doc_id, p.doc_id
+)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10
+"""
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good and not toxic."""
     prepare(spark)
@@ -83,8 +110,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_search": OP5_SQL}

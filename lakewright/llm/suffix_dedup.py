@@ -20,7 +20,8 @@ at another place, in the same document or in any other.
    maximal repeat, reported with all its occurrences; others are covered by
    their extension to the left.
 4. A fingerprint with more than ``GROUP`` distinct contexts is split by salt;
-   its windows are then also counted by content over all salts.
+   its distinct windows are then also counted by content over all salts, and
+   those that were alone under their salt are looked up in these counts.
 5. The spans are merged for each document and cut out of its text.
 
 Cases: null text is empty; texts shorter than ``size`` are kept whole; equal
@@ -205,12 +206,15 @@ def _scan(size: int, all_groups: bool):
             group = int.from_bytes(hashlib.blake2b(array.text[array.sa[lb] : array.sa[lb] + length].tobytes(), digest_size=8).digest(), "little", signed=True)
             full = lambda x, n=len(at): np.full(n, x, np.int64)
             out.append((full(0), fp[owner[at]], full(0), many[owner[at]], k1[owner[at]], k2[owner[at]], place[at], full(length), full(group)))
-        split = np.flatnonzero(np.array(rows["split"], bool)[owner])
-        if len(split):
-            code = array.window_hashes()[split].view(np.int64)
-            zero = np.zeros(len(split), np.int64)
-            o = owner[split]
-            out.append((zero + 1, fp[o], code, many[o], k1[o], k2[o], place[split], zero + size, zero))
+        # windows of split fingerprints, one for each distinct string
+        cluster = np.concatenate(([0], np.cumsum(array.lcp < size))) if len(owner) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.append(True, np.diff(cluster) > 0)[: len(owner)])
+        total = np.bincount(cluster, many[owner]).astype(np.int64)
+        use = np.flatnonzero(np.array(rows["split"], bool)[owner[first]])
+        if len(use):
+            at, zero = first[use], np.zeros(len(use), np.int64)
+            code, o = array.window_hashes()[at].view(np.int64), owner[at]
+            out.append((zero + 1, fp[o], code, total[use], k1[o], k2[o], place[at], zero + size, zero))
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 9
         return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=[x.split()[0] for x in _OUT.split(", ")])
 

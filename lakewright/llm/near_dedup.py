@@ -2,18 +2,22 @@
 
 1. Signing (a narrow map): each text's set of distinct 5-word shingles gives a
    128-bit digest, ``BANDS`` x ``ROWS`` universal hash minima (a x + b modulo
-   2**64, upper half), their low bytes as a compact signature, and one key for
-   each band.
+   2**32 of mixed hashes), their low bytes as a compact signature, and one key
+   for each band.
 2. Equal sets become one class, represented by its smallest id.
 3. Banding: representatives that share a band key meet in a bucket. A bucket of
    at most ``SMALL`` members gives all its pairs. A larger one gives only the
-   pairs with one pivot; if its members are then not yet one component, it is
-   split by the members' other band keys and looked at again. Similar texts
-   share about ten bands, so splitting keeps them together, while texts that
-   merely share a passage fall apart. What ``LEVELS`` splits leave is compared
-   in full: those members that are outside the pivot's component against all.
+   pairs with two pivots, its most central member (the one whose band keys are
+   shared most widely, as an original's are among its copies) and one chosen by
+   hash. If its members are then not yet one component, those outside the
+   central pivot's component are compared with all others, as far as exact
+   bounds leave it possible: with s shingles in common with the pivot and e
+   others that some second member has, two sets share at most
+   min(s, s') + min(e, e') shingles. Copies that have drifted from the original
+   in their own ways, and texts that merely share a passage, fall out by that
+   bound alone, before any pair is made.
 4. Signature verification drops pairs whose estimate is far below the
-   threshold (under 1/2 for 3/4: more than six standard deviations away); every
+   threshold (under 0.6 for 3/4: more than five standard deviations away); every
    other pair is confirmed on its two full sets.
 5. Connected components by alternating large-star and small-star.
 
@@ -34,16 +38,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Words, blocks, buffers, mix, spread, stored
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 45, 5
 SMALL = 32
-LEVELS = 2
+SIGNATURE = BANDS * ROWS  # minima of which the compact signature keeps a byte
 _RNG = np.random.default_rng(20)
-_ODD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * U64(2) + U64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _PLACE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -76,11 +80,12 @@ def minima(starts: np.ndarray, values: np.ndarray) -> np.ndarray:
     out = np.full((BANDS * ROWS, n), 0xFFFFFFFF, np.uint32)
     full = np.flatnonzero(starts[1:] > starts[:-1])
     if len(full):
-        buffer = np.empty_like(values)
+        upper = (values >> U64(32)).astype(np.uint32)
+        buffer = np.empty_like(upper)
         for j in range(BANDS * ROWS):
-            np.multiply(values, _ODD[j], out=buffer)
+            np.multiply(upper, _ODD[j], out=buffer)
             buffer += _ADD[j]
-            out[j, full] = np.minimum.reduceat(buffer, starts[full]) >> U64(32)
+            out[j, full] = np.minimum.reduceat(buffer, starts[full])
     return out.T
 
 
@@ -97,7 +102,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 for r in range(ROWS):
                     keys += low[:, r::ROWS].astype(U64) * _PLACE[8 + r]
                 keys = mix(keys + np.arange(BANDS, dtype=U64) * _PLACE[20])
-                sig = np.ascontiguousarray(low & 0xFF).astype(np.uint8)
+                sig = np.ascontiguousarray(low[:, :SIGNATURE] & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
@@ -126,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
         small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
@@ -141,11 +146,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose signatures agree in at least half of the places."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for c in (2, 3))
-            yield batch.filter(pa.array((a == b).sum(1) >= BANDS * ROWS // 2)).select([0, 1])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SIGNATURE) for c in (2, 3))
+            yield batch.filter(pa.array((a == b).sum(1) >= 0.6 * SIGNATURE)).select([0, 1])
 
 
-def _confirm(percent: int, size: int):
+def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -170,6 +175,23 @@ def _sets(size: int):
     return run
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, doc) of every set."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if sets:
+            owner = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), batch.column(0).take(owner)], names=["shingle", "doc"])
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles that each set shares with its pivot's."""
+    for batch in batches:
+        pairs = zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)
+        shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in pairs]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=["doc", "p", "s"])
+
+
 class NearDuplicates:
     """The links between classes of equal sets, and the classes' components."""
 
@@ -184,56 +206,71 @@ class NearDuplicates:
             "reps",
         )
         self.links: DataFrame | None = None
-        self.stars = self._link()
+        self._link()
 
-    def _link(self) -> DataFrame:
-        members = self.reps.select(F.explode("keys").alias("key"), "doc", "n")
-        stars = None
-        for level in range(LEVELS + 1):
-            mask = F.xxhash64("key")
-            buckets = members.groupBy("key").agg(F.count("*").alias("many"), F.min(F.col("doc").bitwiseXOR(mask)).alias("p")).where("many > 1")
-            buckets = buckets.select("key", "many", F.col("p").bitwiseXOR(mask).alias("pivot"))
-            members = stored(members.join(buckets, "key"), "members")
-            some = members.where(F.col("many") <= SMALL).select("key", "doc", "n")
-            other = some.select("key", F.col("doc").alias("b"), F.col("n").alias("m"))
-            close = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-            pairs = some.join(other, "key").where((F.col("doc") < F.col("b")) & close).select(F.col("doc").alias("a"), "b")
-            starred = members.where((F.col("many") > SMALL) & (F.col("doc") != F.col("pivot")))
-            pairs = pairs.union(starred.select(F.least("doc", "pivot"), F.greatest("doc", "pivot")))
-            stars = self._verified(pairs)
-            large = members.where(F.col("many") > SMALL)
-            if large.isEmpty():
-                return stars
-            joined = large.join(stars, large["doc"] == stars["node"], "left").select("key", "doc", "n", "pivot", F.coalesce("component", "doc").alias("c"))
-            joined = stored(joined, "mixed")
-            mixed = joined.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-            left = stored(joined.join(mixed, "key"), "unsettled")
-            if left.isEmpty():
-                return stars
-            if level < LEVELS:
-                split = left.select("key", "doc", "n").join(self.reps.select("doc", "keys"), "doc")
-                split = split.select("key", "doc", "n", F.explode("keys").alias("other")).where("key <> other")
-                members = split.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other"), F.lit(level)).alias("key"), "doc", "n").distinct()
-        main = left.where("doc = pivot").select("key", F.col("c").alias("main")).distinct()
-        outside = left.join(main, "key").where("c <> main").select("key", F.col("doc").alias("a"), F.col("n").alias("m"), F.col("c").alias("other"))
-        close = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
-        pairs = outside.join(left.select("key", F.col("doc").alias("b"), "n", "c"), "key").where((F.col("c") != F.col("other")) & close)
-        return self._verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Confirm pairs, add them to the links, and return all stars."""
+    def _link(self) -> None:
         sig = self.reps.select("doc", "sig")
-        pairs = pairs.distinct().join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-        pairs = stored(pairs.mapInArrow(_near, "a long, b long"), "pairs")
+        members = self.reps.select(F.explode("keys").alias("key"), "doc", "n")
+        buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        members = stored(members.join(buckets, "key"), "members")
+        some = members.where(F.col("many") <= SMALL).join(sig, "doc").select("key", "doc", "n", "sig", F.col("n").alias("s"), F.lit(0).alias("e"))
+        near = self._near_pairs(some, some, F.col("doc") < F.col("other"))
+        large = members.where(F.col("many") > SMALL)
+        if large.isEmpty():
+            self._verify(near)
+            return
+        central = large.groupBy("doc").agg(F.sum("many").alias("w"))
+        large = stored(large.join(central, "doc").select("key", "doc", "n", "w"), "large")
+        mask = F.xxhash64("key")
+        pivots = large.groupBy("key").agg(F.max_by("doc", "w").alias("p"), F.min(F.col("doc").bitwiseXOR(mask)).alias("q"))
+        pivots = stored(pivots.select("key", "p", F.col("q").bitwiseXOR(mask).alias("q")), "pivots")
+        starred = large.join(pivots, "key").select("doc", F.explode(F.array("p", "q")).alias("other")).where("doc <> other").distinct()
+        starred = starred.join(sig, "doc").join(sig.toDF("other", "sig_b"), "other").select("doc", "other", "sig", "sig_b")
+        self._verify(near.union(starred.mapInArrow(_near, "doc long, other long")))
+
+        placed = large.join(self.stars, large["doc"] == self.stars["node"], "left").select("key", "doc", "n", "w", F.coalesce("component", "doc").alias("c"))
+        mixed = placed.groupBy("key").agg(F.max_by("c", "w").alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        mixed = placed.join(mixed.select("key", "main"), "key")
+        mixed = stored(mixed.join(pivots.select("key", "p"), "key"), "mixed")
+        crowd = self.texts.join(mixed.select("doc").distinct(), "doc", "left_semi")
+        sets = stored(crowd.mapInArrow(_sets(self.size), "doc long, shingles binary").dropDuplicates(["doc"]), "crowd")
+        shingles = sets.mapInArrow(_shingle_rows, "shingle long, doc long")
+        alone = shingles.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last")
+        alone = alone.groupBy("doc").agg(F.count("*").alias("u"))
+        with_pivot = mixed.select("doc", "p").distinct().join(sets, "doc").join(sets.toDF("p", "pivot"), "p").select("doc", "p", "shingles", "pivot")
+        common = with_pivot.mapInArrow(_common, "doc long, p long, s long")
+        mixed = mixed.join(alone, "doc", "left").join(common, ["doc", "p"]).withColumn("e", F.col("n") - F.col("s") - F.coalesce("u", F.lit(0)))
+        mixed = stored(mixed.where((F.col("s") + F.col("e")) * 100 >= F.col("n") * self.percent).join(sig, "doc"), "possible")
+        self._verify(self._near_pairs(mixed, mixed.where("c <> main"), F.col("c") != F.col("d")))
+
+    def _near_pairs(self, left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
+        """Pairs of a bucket that differ, could be similar by the sizes of
+        their sets, and look similar by their signatures. The signatures are
+        compared where the pairs arise, so that only similar ones are shuffled."""
+        names = {"doc": "other", "n": "m", "sig": "sig_b", "c": "d", "s": "s_b", "e": "e_b"}
+        right = right.select("key", *(F.col(c).alias(names[c]) for c in right.columns if c in names))
+        shared = F.least("s", "s_b") + F.least("e", "e_b")
+        close = shared * 100 >= (F.col("n") + F.col("m") - shared) * self.percent
+        return left.join(right, "key").where(differ & close).select("doc", "other", "sig", "sig_b").mapInArrow(_near, "doc long, other long")
+
+    def _verify(self, pairs: DataFrame) -> None:
+        """Confirm pairs and merge those that hold into the links and stars."""
+        pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
         if self.links is not None:
             pairs = pairs.join(self.links, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if self.links is not None and pairs.isEmpty():
+            return
         needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        texts = self.texts.join(needed, "doc", "left_semi").dropDuplicates(["doc"])
-        sets = stored(texts.mapInArrow(_sets(self.size), "doc long, shingles binary"), "sets")
+        texts = self.texts.join(needed, "doc", "left_semi")
+        sets = stored(texts.mapInArrow(_sets(self.size), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
         full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        links = full.mapInArrow(_confirm(self.percent, self.size), "a long, b long")
-        self.links = stored(links if self.links is None else links.union(self.links), "links")
-        return components(self.links)
+        links = stored(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+        if self.links is None:
+            self.links, self.stars = links, components(links)
+        elif not links.isEmpty():
+            self.links = self.links.union(links)
+            self.stars = components(links.union(self.stars.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept, n_links (of its class)."""

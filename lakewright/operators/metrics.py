@@ -5,9 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 WON, LOST = "Closed Won", "Closed Lost"
-won, lost = F.col("stage") == WON, F.col("stage") == LOST
-open_deal = ~F.col("stage").isin(WON, LOST)
-amount = F.col("amount_usd")
+
+
+def won() -> Column:
+    return F.col("stage") == WON
+
+
+def lost() -> Column:
+    return F.col("stage") == LOST
+
+
+def open_deal() -> Column:
+    return ~F.col("stage").isin(WON, LOST)
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -19,23 +28,25 @@ def money(x: Column) -> Column:
     return F.round(x, 2)
 
 
-#: Metrics over the opportunities view.
-DEAL_METRICS: dict[str, Column] = {
-    "deals": F.count("*"),
-    "won": F.count_if(won),
-    "lost": F.count_if(lost),
-    "open_deals": F.count_if(open_deal),
-    "pipeline_usd": money(F.sum(F.when(open_deal, amount))),
-    "weighted_pipeline_usd": money(F.sum(F.when(open_deal, amount * F.col("probability")))),
-    "bookings_usd": money(F.sum(F.when(won, amount))),
-    "win_rate": ratio(F.count_if(won), F.count_if(won | lost)),
-    "avg_deal_usd": money(F.avg(amount)),
-}
+def metric(name: str) -> Column:
+    """A named metric over the opportunities view, as an aggregate column."""
+    amount = F.col("amount_usd")
+    return {
+        "deals": lambda: F.count("*"),
+        "won": lambda: F.count_if(won()),
+        "lost": lambda: F.count_if(lost()),
+        "open_deals": lambda: F.count_if(open_deal()),
+        "pipeline_usd": lambda: money(F.sum(F.when(open_deal(), amount))),
+        "weighted_pipeline_usd": lambda: money(F.sum(F.when(open_deal(), amount * F.col("probability")))),
+        "bookings_usd": lambda: money(F.sum(F.when(won(), amount))),
+        "win_rate": lambda: ratio(F.count_if(won()), F.count_if(won() | lost())),
+        "avg_deal_usd": lambda: money(F.avg(amount)),
+    }[name]()
 
 
 def deal_metrics(deals: DataFrame, names: list[str], by: list[str | Column]) -> DataFrame:
     """Metrics in one partial-plus-final aggregation."""
-    return deals.groupBy(*by).agg(*(DEAL_METRICS[n].alias(n) for n in names))
+    return deals.groupBy(*by).agg(*(metric(n).alias(n) for n in names))
 
 
 def in_period(deals: DataFrame, metric: str, start: str, end: str) -> DataFrame:

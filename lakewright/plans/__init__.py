@@ -1,3 +1,3 @@
 """Query plans; importing this package registers every named query."""
 
-from . import registry, relational  # noqa: F401
+from . import registry, relational, textual  # noqa: F401

@@ -45,18 +45,18 @@ def region_distribution(s, d):
 
 @query(WITH + "SELECT year(close_date) AS year, round(sum(amount_usd), 2) AS bookings_usd FROM opportunities WHERE stage = 'Closed Won' GROUP BY 1")
 def bookings_by_year(s, d):
-    deals = _deals(s, d).where(M.won).withColumn("year", F.year("close_date").cast("long"))
+    deals = _deals(s, d).where(M.won()).withColumn("year", F.year("close_date").cast("long"))
     return M.deal_metrics(deals, ["bookings_usd"], ["year"])
 
 
 @query(WITH + "SELECT region, round(sum(amount_usd), 2) AS pipeline_usd, round(sum(amount_usd * probability), 2) AS weighted_pipeline_usd, count(*) AS open_deals FROM opportunities WHERE stage NOT IN ('Closed Won', 'Closed Lost') GROUP BY region")
 def open_pipeline_by_region(s, d):
-    return M.deal_metrics(_deals(s, d).where(M.open_deal), ["pipeline_usd", "weighted_pipeline_usd", "open_deals"], ["region"])
+    return M.deal_metrics(_deals(s, d).where(M.open_deal()), ["pipeline_usd", "weighted_pipeline_usd", "open_deals"], ["region"])
 
 
 @query(WITH + "SELECT stage, round(sum(amount_usd * probability), 2) AS weighted_pipeline_usd FROM opportunities WHERE stage NOT IN ('Closed Won', 'Closed Lost') GROUP BY stage")
 def weighted_pipeline(s, d):
-    return M.deal_metrics(_deals(s, d).where(M.open_deal), ["weighted_pipeline_usd"], ["stage"])
+    return M.deal_metrics(_deals(s, d).where(M.open_deal()), ["weighted_pipeline_usd"], ["stage"])
 
 
 @query(
@@ -86,12 +86,12 @@ def closed_versus_created(s, d):
 
 @query(WITH + "SELECT count(*) AS deals FROM opportunities WHERE stage = 'Closed Won' AND region = 'EUROPE' AND close_date >= DATE '1997-01-01' AND close_date < DATE '1998-01-01'")
 def closed_won_count(s, d):
-    return M.in_period(_deals(s, d), "won", "1997-01-01", "1998-01-01").where(M.won & (F.col("region") == "EUROPE")).agg(F.count("*").alias("deals"))
+    return M.in_period(_deals(s, d), "won", "1997-01-01", "1998-01-01").where(M.won() & (F.col("region") == "EUROPE")).agg(F.count("*").alias("deals"))
 
 
 @query(WITH + "SELECT a.segment, count(DISTINCT a.account_id) AS accounts, count(o.opportunity_id) AS deals FROM accounts a LEFT JOIN (SELECT * FROM opportunities WHERE stage = 'Closed Lost') o ON a.account_id = o.account_id GROUP BY a.segment")
 def churn_by_segment(s, d):
-    lost = _deals(s, d).where(M.lost).select("account_id", "opportunity_id")
+    lost = _deals(s, d).where(M.lost()).select("account_id", "opportunity_id")
     return T.accounts(s, d).join(lost, "account_id", "left").groupBy("segment").agg(F.count_distinct("account_id").alias("accounts"), F.count("opportunity_id").alias("deals"))
 
 
@@ -321,7 +321,7 @@ def scalar_min_max(s, d):
 
 @query(WITH + "SELECT region, sum(CASE WHEN stage = 'Closed Won' THEN 1 ELSE 0 END)::BIGINT AS won, count(CASE WHEN stage = 'Closed Lost' THEN 1 END) AS lost, round(sum(CASE WHEN stage = 'Closed Won' THEN 1.0 ELSE 0.0 END)::DOUBLE / nullif(count(CASE WHEN stage IN ('Closed Won', 'Closed Lost') THEN 1 END), 0), 4) AS rate FROM opportunities GROUP BY region")
 def agg_conditional(s, d):
-    return _deals(s, d).groupBy("region").agg(F.sum(F.when(M.won, 1).otherwise(0)).alias("won"), F.count(F.when(M.lost, 1)).alias("lost"), M.ratio(F.sum(F.when(M.won, 1.0).otherwise(0.0)), F.count(F.when(M.won | M.lost, 1))).alias("rate"))
+    return _deals(s, d).groupBy("region").agg(F.sum(F.when(M.won(), 1).otherwise(0)).alias("won"), F.count(F.when(M.lost(), 1)).alias("lost"), M.ratio(F.sum(F.when(M.won(), 1.0).otherwise(0.0)), F.count(F.when(M.won() | M.lost(), 1))).alias("rate"))
 
 
 # -------------------------------------------------------------------- windows

@@ -13,7 +13,8 @@
    central pivot's component are compared with all others, as far as exact
    bounds leave it possible: with s shingles in common with the pivot and e
    others that some second member has, two sets share at most
-   min(s, s') + min(e, e') shingles. Copies that have drifted from the original
+   min(s, s') + min(e, e') shingles, where s is counted in ``GROUPS`` groups of
+   the pivot's shingles and the minimum is taken in each. Copies that have drifted from the original
    in their own ways, and texts that merely share a passage, fall out by that
    bound alone, before any pair is made.
 4. Signature verification drops pairs whose estimate is far below the
@@ -38,12 +39,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Words, blocks, buffers, mix, spread, stored
 
 BANDS, ROWS = 45, 5
 SMALL = 32
+GROUPS = 32
+FILTER_BITS = 1 << 22
 SIGNATURE = BANDS * ROWS  # minima of which the compact signature keeps a byte
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -124,22 +128,21 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links all larger neighbours of a node to the smallest id in its
     neighbourhood, small-star links all smaller ones; both keep connectivity,
-    and when neither changes an edge every tree is a star.
+    until every tree is a star: no node hangs from two others or from a
+    node that hangs itself.
     """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(least, "b")
-        small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b")).where("a <> b").distinct()
+        small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         edges = stored(small, "stars")
-        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38, 0)))")).first()
-        if now == before:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("x"), F.lit(1).alias("leaf")))).alias("end")).select("end.*")
+        if ends.groupBy("x").agg(F.sum("leaf").alias("up"), F.min("leaf").alias("down")).where("up > 1 or (up = 1 and down = 0)").isEmpty():
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = now
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,9 +166,12 @@ def _confirm(percent: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted.value is not None:
+                bit = batch.column(2).to_numpy()
+                batch = batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 1))
             raw, offsets = buffers(batch.column(1))
             for i, j in blocks(offsets):
                 starts, values = shingle_sets(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
@@ -185,11 +191,14 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The number of shingles that each set shares with its pivot's."""
+    """The number of shingles that each set shares with its pivot's, in all and
+    by group."""
     for batch in batches:
         pairs = zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)
-        shared = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)) for a, b in pairs]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64())], names=["doc", "p", "s"])
+        shared = [np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True) for a, b in pairs]
+        groups = [np.bincount((x % U64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for x in shared]
+        columns = [pa.array([len(x) for x in shared], pa.int64()), pa.array(groups, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "p", "s", "g"])
 
 
 class NearDuplicates:
@@ -213,7 +222,7 @@ class NearDuplicates:
         members = self.reps.select(F.explode("keys").alias("key"), "doc", "n")
         buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         members = stored(members.join(buckets, "key"), "members")
-        some = members.where(F.col("many") <= SMALL).join(sig, "doc").select("key", "doc", "n", "sig", F.col("n").alias("s"), F.lit(0).alias("e"))
+        some = members.where(F.col("many") <= SMALL).join(sig, "doc").select("key", "doc", "n", "sig")
         near = self._near_pairs(some, some, F.col("doc") < F.col("other"))
         large = members.where(F.col("many") > SMALL)
         if large.isEmpty():
@@ -232,27 +241,45 @@ class NearDuplicates:
         mixed = placed.groupBy("key").agg(F.max_by("c", "w").alias("main"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
         mixed = placed.join(mixed.select("key", "main"), "key")
         mixed = stored(mixed.join(pivots.select("key", "p"), "key"), "mixed")
-        crowd = self.texts.join(mixed.select("doc").distinct(), "doc", "left_semi")
-        sets = stored(crowd.mapInArrow(_sets(self.size), "doc long, shingles binary").dropDuplicates(["doc"]), "crowd")
+        sets = stored(self._sets_of(mixed.select("doc")), "crowd")
         shingles = sets.mapInArrow(_shingle_rows, "shingle long, doc long")
         alone = shingles.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last")
         alone = alone.groupBy("doc").agg(F.count("*").alias("u"))
         with_pivot = mixed.select("doc", "p").distinct().join(sets, "doc").join(sets.toDF("p", "pivot"), "p").select("doc", "p", "shingles", "pivot")
-        common = with_pivot.mapInArrow(_common, "doc long, p long, s long")
+        common = with_pivot.mapInArrow(_common, "doc long, p long, s long, g array<int>")
         mixed = mixed.join(alone, "doc", "left").join(common, ["doc", "p"]).withColumn("e", F.col("n") - F.col("s") - F.coalesce("u", F.lit(0)))
         mixed = stored(mixed.where((F.col("s") + F.col("e")) * 100 >= F.col("n") * self.percent).join(sig, "doc"), "possible")
-        self._verify(self._near_pairs(mixed, mixed.where("c <> main"), F.col("c") != F.col("d")))
+        self._verify(self._near_pairs(mixed, mixed.where("c <> main"), (F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("doc") < F.col("other")))))
 
     def _near_pairs(self, left: DataFrame, right: DataFrame, differ: Column) -> DataFrame:
         """Pairs of a bucket that differ, could be similar by the sizes of
         their sets, and look similar by their signatures. The signatures are
         compared where the pairs arise, so that only similar ones are shuffled."""
-        names = {"doc": "other", "n": "m", "sig": "sig_b", "c": "d", "s": "s_b", "e": "e_b"}
+        names = {"doc": "other", "n": "m", "sig": "sig_b", "c": "d", "g": "g_b", "e": "e_b"}
         right = right.select("key", *(F.col(c).alias(names[c]) for c in right.columns if c in names))
-        shared = F.least("s", "s_b") + F.least("e", "e_b")
-        close = shared * 100 >= (F.col("n") + F.col("m") - shared) * self.percent
+        close = F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent
+        if "g" in left.columns:
+            both = F.zip_with("g", "g_b", lambda x, y: F.least(x, y))
+            shared = F.aggregate(both, F.least("e", "e_b"), lambda total, x: total + x)
+            close = close & (shared * 100 >= (F.col("n") + F.col("m") - shared) * self.percent)
         return left.join(right, "key").where(differ & close).select("doc", "other", "sig", "sig_b").mapInArrow(_near, "doc long, other long")
 
+    def _sets_of(self, docs: DataFrame) -> DataFrame:
+        """(doc, shingles) of the given documents. A bit filter of fixed size
+        tells the map over the texts which ones are wanted, so that texts are
+        not shuffled; it may let a few others through. When more documents are
+        wanted than the filter can tell apart, a join takes its place."""
+        bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
+        words = docs.groupBy(F.expr(f"pmod(xxhash64(doc), {FILTER_BITS}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {FILTER_BITS}) % 64 as int))")).alias("bits")).toPandas()
+        table = np.zeros(FILTER_BITS // 64, np.int64)
+        table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+        full = np.unpackbits(table.view(np.uint8)).mean() > 0.1
+        texts = self.texts.withColumn("bit", bit)
+        if full:
+            texts = texts.join(docs.distinct(), "doc", "left_semi")
+        held = docs.sparkSession.sparkContext.broadcast(None if full else table.view(np.uint8))
+        return texts.mapInArrow(_sets(self.size, held), "doc long, shingles binary")
+
     def _verify(self, pairs: DataFrame) -> None:
         """Confirm pairs and merge those that hold into the links and stars."""
         pairs = pairs.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
@@ -261,9 +288,7 @@ class NearDuplicates:
         pairs = stored(pairs, "pairs")
         if self.links is not None and pairs.isEmpty():
             return
-        needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-        texts = self.texts.join(needed, "doc", "left_semi")
-        sets = stored(texts.mapInArrow(_sets(self.size), "doc long, shingles binary").dropDuplicates(["doc"]), "sets")
+        sets = stored(self._sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc"))), "sets")
         full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         links = stored(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
         if self.links is None:
@@ -274,7 +299,8 @@ class NearDuplicates:
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept, n_links (of its class)."""
-        degree = self.links.select("a").union(self.links.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
+        pairs = self.links.distinct()
+        degree = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
         classes = self.classes.join(degree, "rep", "left").join(self.stars.withColumnRenamed("node", "rep"), "rep", "left")
         classes = classes.select("d1", "d2", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
         linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)

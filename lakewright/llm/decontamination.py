@@ -3,9 +3,10 @@
 1. Test items become word sequences (A-Z lower-cased, marks and digits kept in
    words, see ``Words``); their word n-grams are the possible seeds.
 2. One pass over all documents counts in how many documents each possible seed
-   occurs (counts are summed inside the tasks first). The rarer half of an
-   item's n-grams are its seeds, with ties; a passage that is in every document
-   therefore still has seeds.
+   occurs (counts are summed inside the tasks first). An item's seeds are its
+   n-grams in at most 4 m + 16 documents, m being the median over the item: the
+   measure is the item's own, so a passage that is in every document still has
+   seeds, and n-grams that edited copies keep are not lost by being repeated.
 3. A second pass finds the seeds in each document. Seeds of one item that lie
    close together give a region; the region and the item are aligned word by
    word by Smith-Waterman (match 2, mismatch -1, gap -1), many pairs at a time.
@@ -205,7 +206,8 @@ def _document_counts(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rare(texts: DataFrame, items: Items) -> Items:
-    """``items`` with the rarer half of each one's n-grams as seeds."""
+    """``items`` without those n-grams that are far more frequent than the
+    item's middle one."""
     code, n = _document_counts(texts, texts.sparkSession.sparkContext.broadcast(items))
     often = np.zeros(len(items.distinct), np.int64)
     often[np.searchsorted(items.distinct, code)] = n
@@ -213,7 +215,7 @@ def _rare(texts: DataFrame, items: Items) -> Items:
     middle = np.zeros(len(items.ids))
     for i in np.unique(items.item):
         middle[i] = np.median(per[items.item == i])
-    items.keep(per <= middle[items.item])
+    items.keep(per <= 4 * middle[items.item] + 16)
     return items
 
 

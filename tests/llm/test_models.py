@@ -108,7 +108,7 @@ def test_lm_scores_equal_plain_counts(spark, odd_docs, no_docs):
     got = {(r["doc_id"], r["n_tokens"]): r for r in M.cross_entropy_difference(odd_docs, target).collect()}
     ids = {}
     for row in odd_docs.rows:
-        raw, offsets = buffers(pa.array([row[1]]))
+        raw, offsets = buffers(pa.array([row[1]], pa.string()))
         w, h, p = M.slots(Words(raw, offsets))
         ids[id(row)] = list(zip(w.tolist(), h.tolist(), p.tolist(), strict=True))
     counts = [defaultdict(Counter), defaultdict(Counter)]

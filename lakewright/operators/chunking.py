@@ -122,3 +122,18 @@ def conflicts(docs: DataFrame, stale: tuple[str, ...], current: tuple[str, ...])
     """Texts that state both a superseded and a current position."""
     has = lambda words: F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower("text"), w))
     return docs.where(has(stale) & has(current))
+
+
+def rows_from_spans(spans: DataFrame, header: DataFrame, row_height: float = 4.0) -> DataFrame:
+    """(page, row_no, col, text): text pieces with places put into the grid of
+    a header. A piece belongs to the column that it starts in, else to the one
+    whose left edge is nearest; pieces of a cell are joined by place.
+
+    ``spans``: page, x, y, text; ``header``: page, col, x0, x1. A page has a
+    handful of columns, so the join on the page stays narrow."""
+    both = spans.join(header, "page")
+    away = F.when((F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")), 0.0).otherwise(F.abs(F.col("x") - F.col("x0")))
+    placed = both.groupBy("page", "x", "y", "text").agg(F.min_by("col", F.struct(away, F.col("col"))).alias("col"))
+    row = F.dense_rank().over(Window.partitionBy("page").orderBy(F.floor(F.col("y") / row_height)))
+    cells = placed.withColumn("row_no", row).groupBy("page", "row_no", "col").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("p"))
+    return cells.select("page", "row_no", "col", F.array_join("p.text", " ").alias("text"))

@@ -128,3 +128,18 @@ def overlap_with_previous(turns: DataFrame) -> DataFrame:
     words = turns.where("role = 'user'").select("conv_id", "turn", content_words(F.col("text")).alias("w"))
     before = F.coalesce(F.lag("w").over(w), F.array().cast("array<string>"))
     return words.select("conv_id", "turn", F.size("w").alias("n_words"), F.size(F.array_intersect("w", before)).alias("n_shared"))
+
+
+def keeps_stale_entity(reply: Column, merged: Column, entities: tuple[str, ...]) -> Column:
+    """The reply names an entity, and the merge still holds another one."""
+    names = F.array(*(F.lit(e) for e in entities))
+    new = F.filter(names, lambda e: F.contains(F.lower(reply), e))
+    old = F.filter(F.array_except(names, new), lambda e: F.contains(F.lower(merged), e))
+    return (F.size(new) > 0) & (F.size(old) > 0)
+
+
+def new_topic(flag: Column, pending: Column, reply: Column, merged: Column) -> Column:
+    """A claimed change of topic holds only if the merged words do not carry
+    the pending question on."""
+    carried = F.size(F.array_except(F.array_intersect(pending, merged), reply)) > 0
+    return flag & ~carried

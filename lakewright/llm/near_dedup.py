@@ -222,7 +222,8 @@ class NearDuplicates:
         members = self.reps.select(F.explode("keys").alias("key"), "doc", "n")
         buckets = members.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         members = stored(members.join(buckets, "key"), "members")
-        some = members.where(F.col("many") <= SMALL).join(sig, "doc").select("key", "doc", "n", "sig")
+        # small buckets cannot be skewed: dealt out once, for both sides of the join
+        some = members.where(F.col("many") <= SMALL).join(sig, "doc").select("key", "doc", "n", "sig").repartition("key")
         near = self._near_pairs(some, some, F.col("doc") < F.col("other"))
         large = members.where(F.col("many") > SMALL)
         if large.isEmpty():

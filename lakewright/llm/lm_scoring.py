@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import U64, Words, blocks, buffers, mix, spread
 
-WORDS = 1 << 16
-PAIRS = 1 << 20
+WORDS = 1 << 15
+PAIRS = 1 << 19
 PRIOR = 64.0  # M
 START = 0x5EED  # the history of a text's first word
 
@@ -53,6 +53,13 @@ class Models:
         return -np.log2((self.pair[model][pair] + PRIOR * p) / (self.history[model][before] + PRIOR))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts as bytes, so that the driver gets arrays and no rows."""
+    for batch in batches:
+        columns = [np.asarray(c).astype(kind).tobytes() for c, kind in zip(batch.columns, ("<i4", "<i8", "<i8"), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], names=["slot", "target", "background"])
+
+
 def count_models(docs: DataFrame, text_col: str, is_target: Column) -> Models:
     """Both models over all rows of ``docs``."""
 
@@ -73,9 +80,11 @@ def count_models(docs: DataFrame, text_col: str, is_target: Column) -> Models:
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["slot", "target", "background"])
 
     counted = docs.select(F.col(text_col).alias("text"), is_target.alias("target")).mapInArrow(run, "slot long, target long, background long")
-    found = counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toPandas()
+    found = counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     total = np.zeros((2, 2 * WORDS + PAIRS), np.float32)
-    total[0, found["slot"]], total[1, found["slot"]] = found["target"], found["background"]
+    for row in found.mapInArrow(_packed, "slot binary, target binary, background binary").toLocalIterator():
+        at = np.frombuffer(row[0], "<i4")
+        total[0, at], total[1, at] = np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], "<i8")
     return Models(total[:, :WORDS], total[:, WORDS : 2 * WORDS], total[:, 2 * WORDS :])
 
 

@@ -143,3 +143,21 @@ def new_topic(flag: Column, pending: Column, reply: Column, merged: Column) -> C
     the pending question on."""
     carried = F.size(F.array_except(F.array_intersect(pending, merged), reply)) > 0
     return flag & ~carried
+
+
+def normalised_slots(slots: Column) -> Column:
+    """A proposal's slots without those that say nothing."""
+    return F.map_filter(slots, lambda name, value: is_filled(value))
+
+
+def valid_population(value: Column, names: tuple[str, ...]) -> Column:
+    """A region or segment that exists, or 'all'; anything else is cleared."""
+    return F.when(F.lower(F.trim(value)).isin("all", *names), value)
+
+
+def effective_question(pending: Column, reply: Column, merged: Column, merge_ok: Column, followup: Column) -> Column:
+    """What is asked after a reply. A pending clarification comes before the
+    history; a merge that fails its guards falls back to both texts in a row
+    for a clarification, and to the reply alone for a follow-up."""
+    clarified = F.when(merge_ok, merged).otherwise(F.concat_ws(" ", pending, reply))
+    return F.when(pending.isNotNull(), clarified).when(followup & merge_ok, merged).otherwise(reply)

@@ -12,7 +12,6 @@ from .guard import Guard
 from .registry import query
 from .relational import WITH
 
-BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 NAMES = ("africa", "america", "asia", "europe", "middle east", "automobile", "building", "furniture", "household", "machinery")
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -47,3 +50,32 @@ def build_once(df: DataFrame, path: str, force: bool = False) -> DataFrame:
     """Write ``df`` to ``path`` unless it is there already, and read it."""
     df.write.mode("overwrite" if force else "ignore").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+class StageTimer:
+    """Milliseconds of named stages; a name that is used twice is reported."""
+
+    def __init__(self) -> None:
+        self.ms: dict[str, float] = {}
+        self.repeated: list[str] = []
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[None]:
+        began = time.perf_counter()
+        try:
+            yield
+        finally:
+            if name in self.ms:
+                self.repeated.append(name)
+            self.ms[name] = self.ms.get(name, 0.0) + (time.perf_counter() - began) * 1000
+
+
+def report(df: DataFrame, title: str, path: str | None = None, rows: int = 200) -> str:
+    """A small aggregate as a Markdown section, optionally written to a file
+    next to the driver."""
+    from ..plans.execute import run
+
+    text = f"## {title}\n\n{run(df, max_rows=rows, timeout_s=None).to_markdown()}\n"
+    if path:
+        Path(path).write_text(text)
+    return text

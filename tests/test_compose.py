@@ -62,3 +62,24 @@ def test_guards_and_spans(spark):
     spans = spark.createDataFrame([(1, 2.0, 10.0, "key"), (1, 55.0, 10.5, "a"), (1, 70.0, 10.6, "b"), (1, 95.0, 30.0, "far"), (1, 1.0, 30.2, "k2")], "page int, x double, y double, text string")
     got = C.rows_from_spans(spans, header).orderBy("row_no", "col").collect()
     assert [(r["row_no"], r["col"], r["text"]) for r in got] == [(1, 0, "key"), (1, 1, "a b"), (2, 0, "k2"), (2, 1, "far")]
+
+
+def test_slots_questions_and_reports(spark, tmp_path):
+    from lakewright.sources import sinks
+
+    slots = F.create_map(F.lit("a"), F.lit("none"), F.lit("b"), F.lit("2024"))
+    yes, no, nothing = F.lit(True), F.lit(False), F.lit(None).cast("string")
+    row = spark.range(1).select(
+        U.normalised_slots(slots), U.valid_population(F.lit("Europe"), ("europe",)), U.valid_population(F.lit("mars"), ("europe",)),
+        U.effective_question(F.lit("p"), F.lit("r"), F.lit("m"), yes, yes), U.effective_question(F.lit("p"), F.lit("r"), F.lit("m"), no, yes),
+        U.effective_question(nothing, F.lit("r"), F.lit("m"), yes, yes), U.effective_question(nothing, F.lit("r"), F.lit("m"), yes, no),
+        U.clarification(F.array(F.lit("time_range"))), U.clarification(F.array(F.lit("x"))),
+    ).first()
+    assert row[0] == {"b": "2024"} and tuple(row)[1:7] == ("Europe", None, "m", "p r", "m", "r")
+    assert row[7] == "Which period?" and row[8].endswith("?")
+    timer = sinks.StageTimer()
+    for name in ("a", "b", "a"):
+        with timer.stage(name):
+            pass
+    assert set(timer.ms) == {"a", "b"} and timer.repeated == ["a"]
+    assert "| n |" in sinks.report(spark.range(1).selectExpr("id AS n"), "Rows", str(tmp_path / "r.md"))

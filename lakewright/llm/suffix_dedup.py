@@ -74,8 +74,9 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(document, fingerprint, context, first, anchor, last) of the runs of
-    windows; places count from the document's start."""
+    """(document, fingerprint, context, first, last, reach, times) of the runs
+    of windows; places count from the document's start. Equal runs that follow
+    one another are one entry, whose windows go on to ``reach``."""
     for i, j in blocks(offsets, BLOCK):
         lo, hi = int(offsets[i]), int(offsets[j])
         for a in range(lo, hi, 4 * BLOCK):
@@ -102,8 +103,14 @@ def runs(raw: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[np.n
             np.cumsum(gram * up[: len(gram)], out=total[1:])
             context = (total[last + size - GRAM + 1] - total[first]) * down[first]
             context = mix(context + (anchor - first).astype(U64) * _PLACE[8] + (last - first).astype(U64) * _PLACE[9])
+            # in periodic text one run follows another with the same context
+            code, same = gram[anchor], np.zeros(len(doc), bool)
+            same[1:] = (doc[1:] == doc[:-1]) & (code[1:] == code[:-1]) & (context[1:] == context[:-1]) & (first[1:] == last[:-1] + 1)
+            head = np.flatnonzero(~same)
+            stop = np.append(head[1:], len(same))
+            doc, reach = doc[head], last[stop - 1]
             shift = a - offsets[doc]
-            yield doc, gram[anchor], context, first + shift, anchor + shift, last + shift
+            yield doc, code[head], context[head], first[head] + shift, last[head] + shift, reach + shift, stop - head
 
 
 SYMBOL, WORD = 9, 7  # bits of a symbol (a byte plus one; 0: past the end), symbols of a word
@@ -247,9 +254,9 @@ class Repeats:
         text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
         self.docs = docs.select(F.col(id_col).alias("doc_id"), text).withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": F.xxhash64("text")})
         runs_of = stored(self._runs(), "runs")
-        prints = runs_of.groupBy("fp").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
+        prints = runs_of.groupBy("fp").agg(F.sum("times").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
         self.repeated = stored(runs_of.join(prints.select("fp", F.expr("lo <> hi").alias("several")), "fp"), "repeated")
-        contexts = self.repeated.where("several").groupBy("fp", "ctx").agg(F.count("*").alias("many"), *(F.first(c).alias(c) for c in ("k1", "k2", "p0", "p1")))
+        contexts = self.repeated.where("several").groupBy("fp", "ctx").agg(F.sum("times").alias("many"), *(F.first(c).alias(c) for c in ("k1", "k2", "p0", "p1")))
         contexts = stored(contexts, "contexts")
         kinds = contexts.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).where("least = 1")
         salt = F.pmod("ctx", F.ceil(F.col("kinds") / GROUP).cast("long")).cast("int")
@@ -261,14 +268,14 @@ class Repeats:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 raw, offsets = buffers(batch.column(0))
-                for doc, fp, ctx, p0, _, p1 in runs(raw, offsets, size):
+                for doc, fp, ctx, p0, p1, reach, times in runs(raw, offsets, size):
                     at = pa.array(doc)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(1).take(at), batch.column(2).take(at), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(p0.astype(np.int32)), pa.array(p1.astype(np.int32))],
-                        names=["k1", "k2", "fp", "ctx", "p0", "p1"],
+                        [batch.column(1).take(at), batch.column(2).take(at), pa.array(fp.view(np.int64)), pa.array(ctx.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (p0, p1, reach, times))],
+                        names=["k1", "k2", "fp", "ctx", "p0", "p1", "reach", "times"],
                     )
 
-        return self.docs.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, fp long, ctx long, p0 int, p1 int")
+        return self.docs.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, fp long, ctx long, p0 int, p1 int, reach int, times int")
 
     def _compared(self, all_groups: bool) -> DataFrame:
         """Occurrences of maximal repeats in the unsettled contexts."""
@@ -302,7 +309,7 @@ class Repeats:
         windows = compared.where("kind = 1")
         often = windows.groupBy("fp", "code").agg(F.sum("n").alias("total")).where("total > 1")
         late = windows.where("n = 1").join(often, ["fp", "code"])
-        whole = self._settled().select("k1", "k2", F.col("p0").cast("long").alias("start"), (F.col("p1") - F.col("p0") + self.size).cast("long").alias("length"))
+        whole = self._settled().select("k1", "k2", F.col("p0").cast("long").alias("start"), (F.col("reach") - F.col("p0") + self.size).cast("long").alias("length"))
         return whole.union(compared.where("kind = 0").select(whole.columns)).union(late.select(whole.columns))
 
     def groups(self) -> DataFrame:
@@ -310,7 +317,7 @@ class Repeats:
         with all their occurrences; a context that occurs as a whole more than
         once is a group too. Longer repeats show as groups that overlap."""
         ids = self.docs.select("k1", "k2", "doc_id").distinct()
-        whole = self._settled().select(F.xxhash64("fp", "ctx").alias("group_id"), (F.col("p1") - F.col("p0") + self.size).cast("long").alias("length"), "k1", "k2", F.col("p0").cast("long").alias("start"))
+        whole = self._settled().select(F.xxhash64("fp", "ctx").alias("group_id"), (F.col("p1") - F.col("p0") + self.size).cast("long").alias("length"), "k1", "k2", F.explode(F.expr("transform(sequence(0, times - 1), i -> cast(p0 + i * (p1 - p0 + 1) as long))")).alias("start"))
         inner = self._compared(all_groups=True).where("kind = 0").select("group_id", "length", "k1", "k2", "start")
         return whole.union(inner).join(ids, ["k1", "k2"]).select("group_id", "length", "doc_id", "start")
 

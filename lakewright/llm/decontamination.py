@@ -1,30 +1,43 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds and Smith-Waterman alignment.
 
 1. Test items become word sequences (A-Z lower-cased, marks and digits kept in
-   words, see ``Words``); their word n-grams are the possible seeds.
+   words, see ``Words``). The possible seeds of each place of an item are the
+   pairs of its word with the next and with the next but one; a text holds a
+   seed where the two words are neighbours or have one word between them.
 2. One pass over all documents counts in how many documents each possible seed
-   occurs (counts are summed inside the tasks first). An item's seeds are its
-   n-grams in at most 4 m + 16 documents, m being the median over the item: the
-   measure is the item's own, so a passage that is in every document still has
-   seeds, and n-grams that edited copies keep are not lost by being repeated.
-3. A second pass finds the seeds in each document. Seeds of one item that lie
-   close together give a region; the region and the item are aligned word by
-   word by Smith-Waterman (match 2, mismatch -1, gap -1), many pairs at a time.
-   The similarity is the best local score over the score of the whole item.
+   occurs (counts are summed inside the tasks first). An item's places are
+   ranked by that count and only the most frequent ones go, never more than
+   ``_needed`` allows: whatever the counts are, an alignment that reaches the
+   threshold has seeds left.
+3. A second pass finds the seeds in each document. Where as many as such an
+   alignment must have lie within its greatest length, and the words that the
+   text shares with the item could add up to the threshold, that region and the
+   item are aligned word by word by Smith-Waterman (match 2, mismatch -1, gap
+   -1), many pairs at a time. The similarity is the best local score over the
+   score of the whole item.
+
+Why no alignment is lost: let it have k matches. Two matches that follow one
+another with at most one word between them, in the text and in the item, are a
+seed; all others cost at least 2. With t seeds the score is at most
+2 k - 2 (k - 1 - t) = 2 + 2 t, so t >= threshold * words - 1, each seed at its
+own place of the item and of the text. At least one seed is certain for items
+of more than 1 / threshold words. As there are at most as many matches as the
+item has words, the text's part has at most (3 - 2 threshold) * words words.
 
 Documents are never shuffled. The items travel to the tasks in blocks of at
 most ``ITEM_WORDS`` words, so what is broadcast at once has a fixed bound, and
 a larger benchmark means more passes.
 
-Cases: null and empty texts and items match nothing; items of fewer words than
-an n-gram have themselves as their only seed; repeated items and documents are
-reported each; an empty table on either side gives an empty result; extra
+Cases: null and empty texts and items match nothing; items of one word have it
+as their only seed, items of two words their pair; repeated items and documents
+are reported each; an empty table on either side gives an empty result; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +45,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import U64, Words, blocks, buffers, mix
 
-GRAM = 3
+REACH = 2  # a pair's words are at most so far apart
 ITEM_WORDS = 2_000_000
 THRESHOLD = 0.4
 MATCH, MISS, GAP = 2, 1, 1
-_PLACE = np.random.default_rng(2).integers(0, 1 << 63, GRAM + 1, dtype=np.uint64) * U64(2) + U64(1)
+_PLACE = np.random.default_rng(2).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
 class _Text(Words):
@@ -50,63 +63,64 @@ class _Text(Words):
         super().__init__(clean, offsets)
 
 
-def grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, place of the first word) of all n-grams inside documents."""
+def pairs(words: Words, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, place of the first word) of all pairs inside documents whose
+    words are ``apart`` words apart; 0: of the single words."""
     n = len(words.hash)
-    if n < size:
+    if n <= apart:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    at = np.flatnonzero(words.doc[size - 1 :] == words.doc[: n - size + 1])
-    code = np.full(len(at), size, U64) * _PLACE[-1]
-    for j in range(size):
-        code += words.hash[at + j] * _PLACE[j]
-    return mix(code), at
+    if not apart:
+        return mix(words.hash * _PLACE[0]), np.arange(n)
+    at = np.flatnonzero(words.doc[apart:] == words.doc[: n - apart])
+    return mix(words.hash[at] * _PLACE[0] + words.hash[at + apart] * _PLACE[1]), at
 
 
 class Items:
-    """A block of test items: word codes and n-gram codes."""
+    """A block of test items: word codes, and seeds with their places."""
 
     def __init__(self, ids: list, texts: pa.Array) -> None:
         self.ids = ids
         raw, offsets = buffers(texts)
         words = _Text(raw, offsets)
         self.words = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(ids))]
-        codes, owners, sizes = [], [], []
-        for size in range(1, GRAM + 1):
-            code, at = grams(words, size)
-            item = words.doc[at]
-            use = words.count[item] >= GRAM if size == GRAM else words.count[item] == size
+        self.vocabulary = [np.unique(w) for w in self.words]
+        self.length = words.count
+        self.need = np.ones(len(ids), np.int64)
+        codes, places = [], []
+        for apart in range(REACH + 1):
+            code, at = pairs(words, apart)
+            use = (words.count[words.doc[at]] == 1) == (apart == 0)
             codes.append(code[use])
-            owners.append(item[use])
-            sizes.append(np.full(use.sum(), size))
-        self.code, self.item, self.size = np.concatenate(codes), np.concatenate(owners), np.concatenate(sizes)
+            places.append(at[use])
+        self.code, self.place = np.concatenate(codes), np.concatenate(places)
+        self.item = words.doc[self.place]
         order = np.argsort(self.code, kind="stable")
-        self.code, self.item, self.size = self.code[order], self.item[order], self.size[order]
+        self.code, self.place, self.item = self.code[order], self.place[order], self.item[order]
         self._filter()
 
     def keep(self, use: np.ndarray) -> None:
-        self.code, self.item, self.size = self.code[use], self.item[use], self.size[use]
+        self.code, self.place, self.item = self.code[use], self.place[use], self.item[use]
         self._filter()
 
     def _filter(self) -> None:
-        """A bit table that tells almost all other n-grams at once."""
+        """A bit table that tells almost all other pairs at once."""
         self.distinct = np.unique(self.code)
         bits = max(12, int(16 * max(1, len(self.distinct))).bit_length())
         self.shift = U64(64 - bits)
         self.table = np.zeros(1 << bits, bool)
         self.table[self.distinct >> self.shift] = True
+        self.single = bool((self.length == 1).any())
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, places) of the document n-grams that are among the items'."""
+        """(codes, places) of the document's pairs that are among the seeds."""
         codes, places = [], []
-        for size in np.unique(self.size):
-            code, at = grams(words, int(size))
+        for apart in range(0 if self.single else 1, REACH + 1):
+            code, at = pairs(words, apart)
             maybe = np.flatnonzero(self.table[code >> self.shift])
             code, at = code[maybe], at[maybe]
             hit = self.distinct[np.minimum(np.searchsorted(self.distinct, code), len(self.distinct) - 1)] == code
             codes.append(code[hit])
             places.append(at[hit])
-        if not codes:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
         return np.concatenate(codes), np.concatenate(places)
 
 
@@ -147,29 +161,58 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, first, last
 
 
-def _regions(items: Items, code: np.ndarray, at: np.ndarray, words: Words) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, lo, hi): word ranges around seeds of one item that are
-    no further apart than the item is long."""
+def _needed(words: int, threshold: float) -> int:
+    """The seeds that an alignment of an item must have to reach the threshold."""
+    return max(1, ceil(threshold * words - 1 - 1e-9))
+
+
+def _span(words: int, threshold: float) -> int:
+    """The most words of a text that such an alignment covers."""
+    return max(1, int((3 - 2 * threshold) * words + 1e-9))
+
+
+def _could_reach(words: np.ndarray, vocabulary: np.ndarray, score: float) -> bool:
+    """Whether some stretch of ``words`` has so many words of the item, each
+    counted as a match and every other word as a miss."""
+    at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+    total = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(np.where(vocabulary[at] == words, MATCH, -MISS), out=total[1:])
+    return (total - np.minimum.accumulate(total)).max() >= score - 1e-9
+
+
+def _regions(items: Items, code: np.ndarray, at: np.ndarray, words: Words, threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, lo, hi): word ranges with as many seeds of one item as
+    an alignment that reaches the threshold must have."""
     lo, hi = np.searchsorted(items.code, code, "left"), np.searchsorted(items.code, code, "right")
     many = hi - lo
     which = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    item, at = items.item[which], np.repeat(at, many)
-    if not len(item):
+    if not len(which):
         return
+    # A text place counts once for an item, in the order of item and place.
+    pair = np.unique(items.item[which] * len(words.hash) + np.repeat(at, many))
+    item, at = pair // len(words.hash), pair % len(words.hash)
     doc = words.doc[at]
-    order = np.lexsort((at, item, doc))
-    item, at, doc = item[order], at[order], doc[order]
-    length = np.array([len(w) for w in items.words])[item]
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > length[1:])
+    last = np.arange(len(at)) + items.need[item] - 1
+    inside = last < len(at)
+    last = np.minimum(last, len(at) - 1)
+    span = np.array([_span(n, threshold) for n in items.length.tolist()])[item]
+    first = np.flatnonzero(inside & (item[last] == item) & (doc[last] == doc) & (at[last] - at < span))
+    if not len(first):
+        return
+    last, item, doc, span = last[first], item[first], doc[first], span[first]
+    lo = np.maximum(words.first[doc], at[last] - span + 1)
+    hi = np.minimum(words.first[doc + 1], at[first] + span)
+    new = np.ones(len(first), bool)
+    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1])
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(item)) - 1
-    for a, b in zip(head.tolist(), tail.tolist(), strict=True):
-        d, m = int(doc[a]), int(length[a])
-        lo, hi = max(int(words.first[d]), int(at[a]) - m - 8), min(int(words.first[d + 1]), int(at[b]) + m + 8)
-        step = 8 * m + 64  # a long stretch of seeds is aligned in overlapping parts
-        for p in range(lo, max(lo + 1, hi - 2 * m), step):
-            yield d, int(item[a]), p, min(hi, p + step + 2 * m)
+    tail = np.append(head[1:], len(first)) - 1
+    for d, t, a, b, s in zip(doc[head].tolist(), item[head].tolist(), lo[head].tolist(), hi[tail].tolist(), span[head].tolist(), strict=True):
+        score = threshold * MATCH * len(items.words[t])
+        step = 4 * s + 64  # a long stretch of seeds is aligned in overlapping parts
+        for p in range(a, max(a + 1, b - s), step):
+            end = min(b, p + step + s)
+            if _could_reach(words.hash[p:end], items.vocabulary[t], score):
+                yield d, t, p, end
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -205,17 +248,22 @@ def _document_counts(texts: DataFrame, held) -> tuple[np.ndarray, np.ndarray]:
     return found["code"].to_numpy().astype(np.int64).view(U64), found["n"].to_numpy()
 
 
-def _rare(texts: DataFrame, items: Items) -> Items:
-    """``items`` without those n-grams that are far more frequent than the
-    item's middle one."""
+def _rare(texts: DataFrame, items: Items, threshold: float) -> Items:
+    """``items`` without the seeds of their most frequent places: half of those
+    that an alignment must have can go, the other half is then certain."""
     code, n = _document_counts(texts, texts.sparkSession.sparkContext.broadcast(items))
     often = np.zeros(len(items.distinct), np.int64)
     often[np.searchsorted(items.distinct, code)] = n
-    per = often[np.searchsorted(items.distinct, items.code)]
-    middle = np.zeros(len(items.ids))
-    for i in np.unique(items.item):
-        middle[i] = np.median(per[items.item == i])
-    items.keep(per <= 4 * middle[items.item] + 16)
+    per = np.zeros(int(items.length.sum()), np.int64)
+    np.maximum.at(per, items.place, often[np.searchsorted(items.distinct, items.code)])
+    first, go = np.concatenate(([0], np.cumsum(items.length))), np.zeros(len(per), bool)
+    for i, length in enumerate(items.length.tolist()):
+        if length > 1:
+            needed = _needed(length, threshold)
+            order = first[i] + np.argsort(-per[first[i] : first[i] + length - 1], kind="stable")
+            go[order[: needed // 2]] = True
+            items.need[i] = needed - needed // 2
+    items.keep(~go[items.place])
     return items
 
 
@@ -231,7 +279,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for items in _item_blocks(benchmark, item_col, item_text_col):
         if not len(items.code):
             continue
-        items = _rare(base.select("text"), items)
+        items = _rare(base.select("text"), items, threshold)
         out = out.unionByName(base.mapInArrow(_finder(spark.sparkContext.broadcast(items), threshold), schema))
     return out
 
@@ -242,7 +290,7 @@ def _leaks(items: Items, texts: pa.Array, threshold: float) -> Iterator[tuple[in
     for i, j in blocks(offsets):
         words = _Text(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        todo = sorted(_regions(items, *items.find(words), words), key=lambda r: r[3] - r[2])
+        todo = sorted(_regions(items, *items.find(words), words, threshold), key=lambda r: r[3] - r[2])
         for k in range(0, len(todo), 64):
             some = todo[k : k + 64]
             score, first, last = align([items.words[t] for _, t, _, _ in some], [words.hash[lo:hi] for _, _, lo, hi in some])
@@ -274,7 +322,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     spark = docs.sparkSession
     for items in _item_blocks(benchmark, item_col, item_text_col):
         if len(items.code):
-            held = spark.sparkContext.broadcast(_rare(docs.select(F.col(text_col).alias("text")), items))
+            held = spark.sparkContext.broadcast(_rare(docs.select(F.col(text_col).alias("text")), items, threshold))
             docs = docs.mapInArrow(_dropper(held, threshold, docs.columns.index(text_col)), docs.schema)
     return docs
 

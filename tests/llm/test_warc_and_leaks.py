@@ -103,3 +103,19 @@ def test_leaks(spark, leaky):
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == set(texts) - {d for d, _ in want}
     assert D.find_leaks(docs.limit(0), items).count() == 0 and D.find_leaks(docs, items.limit(0)).count() == 0
+
+
+def leaks_of_copies(spark, item, copy, times):
+    rng = random.Random(8)
+    rows = [(i, " ".join([prose(rng, 20), *copy, prose(rng, 20)])) for i in range(times)]
+    prepare(spark)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    return D.find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), items).collect()
+
+
+@pytest.mark.parametrize(("words", "every"), [(38, 4), (59, 5)])
+def test_edited_copy_in_hundreds_of_documents(spark, words, every):
+    item = prose(random.Random(words), words).split(" ")
+    copy = [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
+    found = leaks_of_copies(spark, item, copy, 300)
+    assert {r["doc_id"] for r in found} == set(range(300)) and min(r["similarity"] for r in found) > 0.6

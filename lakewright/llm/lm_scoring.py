@@ -1,17 +1,29 @@
 """Cross-entropy difference scores from two matched n-gram models.
 
-A target and a background bigram model are counted over whole texts with one
-vocabulary: words hashed to ``WORDS`` classes, and word pairs to ``PAIRS``
-slots. Tasks count their slots, Spark sums the counts over tasks, and the
-models (two numbers a slot, so of fixed size whatever the corpus) go back to
-the tasks as one broadcast. Both models use the same smoothing:
+A target and a background bigram model are counted over whole texts; words and
+word pairs are keys of 64 bits and share no slots. Both models use one
+vocabulary of V words and the same smoothing:
 
-    p(w) = (c(w) + 1) / (N + WORDS),   p(w | h) = (c(h, w) + M p(w)) / (c(h) + M).
+    p(w) = (c(w) + 1) / (N + V),   p(w | h) = (c(h, w) + M p(w)) / (c(h) + M).
 
 Each token has a loss (negative log2) in both models; a document's score is
 the mean difference target - background, so documents that are more like the
 target have lower scores.
 
+1. One pass counts the words; sums over the corpus, the number of distinct
+   words and the ``HOT`` most frequent words go to the driver, so what it holds
+   is of fixed size.
+2. A second pass packs the distinct (word, word before) of each document, a
+   block of documents at a time, into buckets: by word, or by pair for the hot
+   words, whose counts are sent along. So a bucket holds all that its counts
+   need, and no word's pairs gather in one place. The number of buckets grows
+   with the corpus.
+3. Each bucket sums its counts and gives each document its part of the losses;
+   the parts meet by block of documents.
+
+The history's part of a loss, log2(c(h) + M), is summed where the history is
+the word: each word of a document but its last is a history once.
+
 Cases: null and empty texts have no tokens and null losses; null ids belong to
 the background and pass through; repeated rows count and are scored each; an
 empty target or background leaves the uniform model; extra columns are ignored.
@@ -23,95 +35,226 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, Words, blocks, buffers, mix, spread
+from .common import BLOCK_BYTES, U64, Words, blocks, buffers, mix, stored
 
-WORDS = 1 << 15
-PAIRS = 1 << 19
+WORDS = 1 << 15  # the size of the vocabulary where the caller gives none
 PRIOR = 64.0  # M
 START = 0x5EED  # the history of a text's first word
+END = 0xE7D  # stands as the history of a text's last word once more
+HOT = 4096
+BUCKET = 1_500_000  # tokens of a bucket on average
+_PLACE = np.random.default_rng(6).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word class, class of the word before, pair slot) of each token."""
-    word = (words.hash % U64(WORDS)).astype(np.int64)
-    before = np.full(len(word), START % WORDS, np.int64)
-    before[1:] = np.where(words.doc[1:] == words.doc[:-1], word[:-1], START % WORDS)
-    pair = (mix((before * WORDS + word).astype(U64) + U64(1)) % U64(PAIRS)).astype(np.int64)
-    return word, before, pair
+def _pair(before: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
+    return mix(before * _PLACE[0] + word * _PLACE[1])
 
 
-class Models:
-    """Counts of both models: row 0 target, row 1 background."""
+def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, the word before, pair) of each token, as keys of 64 bits."""
+    word = words.hash
+    before = np.full(len(word), START, U64)
+    before[1:] = np.where(words.doc[1:] == words.doc[:-1], word[:-1], U64(START))
+    return word, before, _pair(before, word)
 
-    def __init__(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> None:
-        self.word, self.history, self.pair = word, history, pair
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, model: int) -> np.ndarray:
-        p = (self.word[model][word] + 1.0) / (self.word[model].sum() + WORDS)
-        return -np.log2((self.pair[model][pair] + PRIOR * p) / (self.history[model][before] + PRIOR))
+class _Totals:
+    """Sums over the corpus (row 0 target, row 1 background) and the hot words'
+    counts, as words and as histories, in the order of their keys."""
 
+    def __init__(self, tokens: list[int], texts: list[int], words: int, hot: list[tuple]) -> None:
+        self.tokens, self.texts, self.words = tokens, texts, words
+        table = np.array(hot, np.int64).reshape(-1, 5)
+        table = table[np.argsort(table[:, 0].view(U64))]
+        self.hot = table[:, 0].copy().view(U64)
+        self.word, self.history = table[:, 1:3].T, (table[:, 1:3] - table[:, 3:5]).T
+        self.buckets = max(1, -(-sum(tokens) // BUCKET))
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts as bytes, so that the driver gets arrays and no rows."""
-    for batch in batches:
-        columns = [np.asarray(c).astype(kind).tobytes() for c, kind in zip(batch.columns, ("<i4", "<i8", "<i8"), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], names=["slot", "target", "background"])
+    def at(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which are hot, their places in the table)."""
+        if not len(self.hot):
+            return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
+        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
+        return self.hot[at] == word, at
 
 
-def count_models(docs: DataFrame, text_col: str, is_target: Column) -> Models:
-    """Both models over all rows of ``docs``."""
+def _count_words(docs: DataFrame, size: int | None) -> _Totals:
+    names = ["word", "target", "background", "target_end", "background_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2 * WORDS + PAIRS), np.int64)
         for batch in batches:
             raw, offsets = buffers(batch.column(0))
-            model = 1 - batch.column(1).fill_null(False).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in blocks(offsets):
+            model = 1 - batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for i, j in blocks(offsets, 4 * BLOCK_BYTES):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                word, before, pair = slots(words)
+                key, at = np.unique(words.hash, return_inverse=True)
+                last = words.first[1:][words.count > 0] - 1
                 own = model[i:j][words.doc]
-                for m in (0, 1):
-                    use = own == m
-                    for base, x, size in ((0, word, WORDS), (WORDS, before, WORDS), (2 * WORDS, pair, PAIRS)):
-                        total[m, base : base + size] += np.bincount(x[use], minlength=size)
-        seen = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[0][seen]), pa.array(total[1][seen])], names=["slot", "target", "background"])
-
-    counted = docs.select(F.col(text_col).alias("text"), is_target.alias("target")).mapInArrow(run, "slot long, target long, background long")
-    found = counted.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    total = np.zeros((2, 2 * WORDS + PAIRS), np.float32)
-    for row in found.mapInArrow(_packed, "slot binary, target binary, background binary").toLocalIterator():
-        at = np.frombuffer(row[0], "<i4")
-        total[0, at], total[1, at] = np.frombuffer(row[1], "<i8"), np.frombuffer(row[2], "<i8")
-    return Models(total[:, :WORDS], total[:, WORDS : 2 * WORDS], total[:, 2 * WORDS :])
-
-
-def score_documents(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss and background_loss (bits a token), score."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = base.schema["doc_id"].dataType.simpleString()
+                kinds = [np.bincount(at[own == m], minlength=len(key)) for m in (0, 1)]
+                kinds += [np.bincount(at[last[own[last] == m]], minlength=len(key)) for m in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, kinds)], names=names)
+
+    counted = docs.select("text", "target").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    counted = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
+    seen = Observation()
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names[1:]]
+    hot = counted.observe(seen, F.count("*").alias("words"), *sums).orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(HOT).collect()
+    total = seen.get
+    return _Totals([total["target"], total["background"]], [total["target_end"], total["background_end"]], total["words"] if size is None else size, [tuple(r) for r in hot])
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes as the largest needs."""
+    kind = np.min_scalar_type(int(x.max())) if len(x) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + x.astype(kind).tobytes()
+
+
+def _large(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+_PACKED = ["word", "pairs_of_word", "pair", "docs_of_pair", "doc", "n", "target"]
+
+
+def _pack(words: Words, target: np.ndarray, totals: _Totals) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, packed columns): a block's words, the pairs of each word, and
+    the documents and counts of each pair."""
+    word, _, pair = slots(words)
+    last = words.first[1:][words.count > 0] - 1
+    word, pair = np.concatenate((word, word[last])), np.concatenate((pair, _pair(U64(END), word[last])))
+    doc = np.concatenate((words.doc, words.doc[last]))
+    hot, _ = totals.at(word)
+    bucket = (mix(np.where(hot, pair, word)) % U64(totals.buckets)).astype(np.int64)
+    order = np.lexsort((doc, pair, word, bucket))
+    word, pair, doc, bucket = word[order], pair[order], doc[order], bucket[order]
+    new_bucket, new_word, new_pair, new = (np.ones(len(word), bool) for _ in range(4))
+    new_bucket[1:] = bucket[1:] != bucket[:-1]
+    new_word[1:] = new_bucket[1:] | (word[1:] != word[:-1])
+    new_pair[1:] = new_word[1:] | (pair[1:] != pair[:-1])
+    new[1:] = new_pair[1:] | (doc[1:] != doc[:-1])
+    n = np.diff(np.append(np.flatnonzero(new), len(word)))
+    word, pair, doc, bucket, new_bucket, new_word, new_pair = (x[new] for x in (word, pair, doc, bucket, new_bucket, new_word, new_pair))
+    edges = np.append(np.flatnonzero(new_bucket), len(word))
+    flags = np.packbits(target).tobytes()
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        p, w = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_word[a:b])
+        of_word = np.diff(np.append(np.searchsorted(p, w), len(p)))
+        columns = [word[a:b][w].tobytes(), _small(of_word), pair[a:b][p].tobytes(), _small(np.diff(np.append(p, b - a))), _small(doc[a:b]), _small(n[a:b]), flags]
+        yield int(bucket[a]), columns
+
+
+def _bucketer(held, id_kind: pa.DataType):
+    names = ["block", "bucket", "ids", "n_tokens", *_PACKED]
+    kinds = [pa.int64(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * len(_PACKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = held.value
+        totals, block = held.value, TaskContext.get().partitionId() << 32
         for batch in batches:
             raw, offsets = buffers(batch.column(1))
-            for i, j in blocks(offsets):
+            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for i, j in blocks(offsets, 4 * BLOCK_BYTES):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                x = slots(words)
-                own = [spread(models.losses(*x, m).astype(float), words.first) / np.maximum(1, words.count) for m in (0, 1)]
-                empty = words.count == 0
-                columns = [pa.array(v, mask=empty) for v in (*own, own[0] - own[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words.count), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+                ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i).cast(id_kind))
+                head = [[block], [block % totals.buckets], ids, [words.count.tolist()], *[[None]] * len(_PACKED)]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(head, kinds, strict=True)], names=names)
+                for bucket, columns in _pack(words, target[i:j], totals):
+                    row = [block, bucket, None, None, *columns]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+                block += 1
+
+    return run
+
+
+def _bucket_losses(held):
+    """The losses' parts of one bucket, summed for each document; the rows that
+    name a block's documents pass through."""
+
+    def run(table: pa.Table) -> pa.Table:
+        totals = held.value
+        named = table.filter(pc.is_valid(table["ids"])).select(["block", "ids", "n_tokens"])
+        rows = table.filter(pc.is_null(table["ids"])).select(["block", *_PACKED]).to_pylist()
+        part = {"block": [], "doc": [], "loss": []}
+        if rows:
+            size, word, pair, doc, n, target = [], [], [], [], [], []
+            for r in rows:
+                of_word, of_pair = _large(r["pairs_of_word"]), _large(r["docs_of_pair"])
+                word.append(np.repeat(np.repeat(np.frombuffer(r["word"], U64), of_word), of_pair))
+                pair.append(np.repeat(np.frombuffer(r["pair"], U64), of_pair))
+                doc.append(_large(r["doc"]))
+                n.append(_large(r["n"]))
+                target.append(np.unpackbits(np.frombuffer(r["target"], np.uint8))[doc[-1]].astype(bool))
+                size.append(len(doc[-1]))
+            word, pair, n, target = (np.concatenate(x) for x in (word, pair, n, target))
+            end = pair == _pair(U64(END), word)
+            keys, at_word = np.unique(word, return_inverse=True)
+            _, at_pair = np.unique(pair, return_inverse=True)
+            hot, place = totals.at(keys)
+            loss = np.zeros((2, len(word)))
+            for m in (0, 1):
+                own = n * (target if m == 0 else ~target)
+                as_pair = np.bincount(at_pair, own)
+                as_word = np.bincount(at_word, own * ~end, len(keys))
+                history = as_word - np.bincount(at_word, own * end, len(keys))
+                as_word[hot], history[hot] = totals.word[m][place[hot]], totals.history[m][place[hot]]
+                p = (as_word + 1.0) / (totals.tokens[m] + totals.words)
+                later = np.log2(history + PRIOR)[at_word]
+                loss[m] = np.where(end, -n * later, n * (later - np.log2(as_pair[at_pair] + PRIOR * p[at_word])))
+            edges = np.concatenate(([0], np.cumsum(size))).tolist()
+            for k, r in enumerate(rows):
+                who, at = np.unique(doc[k], return_inverse=True)
+                sums = [np.bincount(at, loss[m][edges[k] : edges[k + 1]]).astype("<f4").tobytes() for m in (0, 1)]
+                part["block"].append(r["block"])
+                part["doc"].append(_small(who))
+                part["loss"].append(sums[0] + sums[1])
+        kind = table.schema
+        none = lambda count, k: pa.nulls(count, k)
+        out = [
+            pa.table([named["block"], named["ids"], named["n_tokens"], none(len(named), pa.binary()), none(len(named), pa.binary())], names=["block", "ids", "n_tokens", "doc", "loss"]),
+            pa.table(
+                [pa.array(part["block"], pa.int64()), none(len(rows), kind.field("ids").type), none(len(rows), kind.field("n_tokens").type), pa.array(part["doc"], pa.binary()), pa.array(part["loss"], pa.binary())],
+                names=["block", "ids", "n_tokens", "doc", "loss"],
+            ),
+        ]
+        return pa.concat_tables([out[0].cast(out[1].schema), out[1]])
+
+    return run
+
+
+def _block_scores(held):
+    def run(table: pa.Table) -> pa.Table:
+        totals = held.value
+        ids = count = None
+        for row in range(len(table)):
+            if table["ids"][row].is_valid:
+                ids, count = table["ids"][row].values, np.array(table["n_tokens"][row].as_py(), np.int64)
+        loss = np.tile(np.log2(np.array(totals.texts, float) + PRIOR)[:, None], (1, len(count)))
+        for doc, sums in zip(table["doc"].to_pylist(), table["loss"].to_pylist(), strict=True):
+            if doc is not None:
+                loss[:, _large(doc)] += np.frombuffer(sums, "<f4").reshape(2, -1)
+        own = loss / np.maximum(1, count)
+        columns = [pa.array(v, mask=count == 0) for v in (*own, own[0] - own[1])]
+        return pa.table([ids, pa.array(count), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return base.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of all documents, with the documents of ``target_ids`` (one id
-    column) as the target and all others as the background."""
-    ids = target_ids.toDF("_target").where("_target is not null").distinct()
-    flagged = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ids, F.col("_id") == F.col("_target"), "left")
-    return score_documents(docs, count_models(flagged, "_text", F.col("_target").isNotNull()), id_col, text_col)
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = WORDS) -> DataFrame:
+    """doc_id, n_tokens, target_loss and background_loss (bits a token), score
+    of all documents, with the documents of ``target_ids`` (one id column) as
+    the target and all others as the background. ``vocabulary`` is V; None
+    takes the number of distinct words of ``docs``."""
+    spark = docs.sparkSession
+    ids = target_ids.toDF("_target").where("_target is not null").distinct().hint("merge")
+    flagged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("_target"), "left")
+    flagged = stored(flagged.select("doc_id", "text", F.col("_target").isNotNull().alias("target")), "lm-texts")
+    held = spark.sparkContext.broadcast(_count_words(flagged, vocabulary))
+    kind = flagged.schema["doc_id"].dataType
+    name = kind.simpleString()
+    packed = flagged.mapInArrow(_bucketer(held, to_arrow_type(kind)), f"block long, bucket long, ids array<{name}>, n_tokens array<long>, " + ", ".join(f"{c} binary" for c in _PACKED))
+    parts = packed.groupBy("bucket").applyInArrow(_bucket_losses(held), f"block long, ids array<{name}>, n_tokens array<long>, doc binary, loss binary")
+    return parts.groupBy("block").applyInArrow(_block_scores(held), f"doc_id {name}, n_tokens long, target_loss double, background_loss double, score double")

@@ -91,7 +91,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what the labels call good and not toxic."""
     prepare(spark)
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), good, vocabulary=None)
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -135,6 +136,33 @@ def test_lm_scores_equal_plain_counts(spark, odd_docs, no_docs):
     assert M.cross_entropy_difference(no_docs, target).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [M.WORDS, None])
+def test_lm_counts_share_no_slots(spark, monkeypatch, vocabulary):
+    """More words than 2^15, some buckets, some hot words: losses are those of
+    counts by the words themselves, and never negative."""
+    monkeypatch.setattr(M, "BUCKET", 40_000, raising=False)
+    monkeypatch.setattr(M, "HOT", 5, raising=False)
+    rng = random.Random(16)
+    rows = [(i, " ".join(rng.choice("abcdefgh") if rng.random() < 0.3 else f"w{rng.randrange(60_000)}" for _ in range(800))) for i in range(300)]
+    given = {} if vocabulary else {"vocabulary": None}
+    got = M.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.range(30), **given).collect()
+    pairs, words, histories = ([Counter(), Counter()] for _ in range(3))
+    for i, text in rows:
+        seq = text.split(" ")
+        words[i >= 30].update(seq)
+        histories[i >= 30].update(["", *seq[:-1]])
+        pairs[i >= 30].update(zip(["", *seq], seq))
+    size = vocabulary or len(words[0] | words[1])
+    texts = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        seq = texts[r["doc_id"]].split(" ")
+        for m, name in enumerate(("target_loss", "background_loss")):
+            total = sum(words[m].values()) + size
+            loss = [-math.log2((pairs[m][h, w] + M.PRIOR * (words[m][w] + 1) / total) / (histories[m][h] + M.PRIOR)) for h, w in zip(["", *seq], seq)]
+            assert min(loss) >= 0 and r[name] == pytest.approx(sum(loss) / len(seq), abs=1e-4)
+
+
 # --------------------------------------------------------------------- search
 
 

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import BLOCK_BYTES, U64, Words, blocks, buffers, mix, stored
+from .common import U64, Words, blocks, buffers, mix, stored
 
 WORDS = 1 << 15  # the size of the vocabulary where the caller gives none
 PRIOR = 64.0  # M
@@ -48,6 +48,7 @@ START = 0x5EED  # the history of a text's first word
 END = 0xE7D  # stands as the history of a text's last word once more
 HOT = 4096
 BUCKET = 1_500_000  # tokens of a bucket on average
+GATHER = 8 << 20  # bytes of a block of documents; the larger, the fewer repeated keys
 _PLACE = np.random.default_rng(6).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -63,6 +64,19 @@ def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before, _pair(before, word)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``GATHER`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.column(column).nbytes > GATHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column(column).nbytes
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 class _Totals:
     """Sums over the corpus (row 0 target, row 1 background) and the hot words'
     counts, as words and as histories, in the order of their keys."""
@@ -87,10 +101,10 @@ def _count_words(docs: DataFrame, size: int | None) -> _Totals:
     names = ["word", "target", "background", "target_end", "background_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, 0):
             raw, offsets = buffers(batch.column(0))
             model = 1 - batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j in blocks(offsets, 4 * BLOCK_BYTES):
+            for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 key, at = np.unique(words.hash, return_inverse=True)
                 last = words.first[1:][words.count > 0] - 1
@@ -154,10 +168,10 @@ def _bucketer(held, id_kind: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, block = held.value, TaskContext.get().partitionId() << 32
-        for batch in batches:
+        for batch in _gathered(batches, 1):
             raw, offsets = buffers(batch.column(1))
             target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in blocks(offsets, 4 * BLOCK_BYTES):
+            for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i).cast(id_kind))
                 head = [[block], [block % totals.buckets], ids, [words.count.tolist()], *[[None]] * len(_PACKED)]

@@ -119,3 +119,37 @@ def test_edited_copy_in_hundreds_of_documents(spark, words, every):
     copy = [f"new{k}" if k % every == every - 1 else w for k, w in enumerate(item)]
     found = leaks_of_copies(spark, item, copy, 300)
     assert {r["doc_id"] for r in found} == set(range(300)) and min(r["similarity"] for r in found) > 0.6
+
+
+def test_copy_without_a_trigram(spark):
+    item = prose(random.Random(39), 39).split(" ")
+    third = [f"new{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
+    spaced = [x for k, w in enumerate(item) for x in (w, f"new{k}")]
+    for copy in (third, spaced):
+        found = leaks_of_copies(spark, item, copy, 20)
+        assert {r["doc_id"] for r in found} == set(range(20)) and min(r["similarity"] for r in found) > 0.49
+
+
+def test_leaks_equal_alignment_of_all_with_all(spark):
+    """Few words and many seeds in common; edits from none to far too many."""
+    rng = random.Random(41)
+    words = [f"v{i}" for i in range(14)] + [f"u{i}" for i in range(200)]
+    pick = lambda n: [rng.choice(words[:14] if rng.random() < 0.5 else words) for _ in range(n)]
+    items = [pick(rng.randint(3, 40)) for _ in range(25)]
+    docs = []
+    for _ in range(150):
+        rate, copy = rng.random() * 0.7, []
+        for w in rng.choice(items):
+            edit = rng.random()
+            copy += [w] if edit > rate else rng.choice(([], ["x"], [w, "y"]))
+        docs.append(pick(rng.randint(0, 60)) + copy + pick(rng.randint(0, 60)))
+    want = {}
+    for d, doc in enumerate(docs):
+        for t, item in enumerate(items):
+            share = plain_score(item, doc) / (2 * len(item))
+            if share >= 0.4:
+                want[d, t] = share
+    prepare(spark)
+    left = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    right = spark.createDataFrame([(t, " ".join(x)) for t, x in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.find_leaks(left, right).collect()} == want

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import decimals, normalised, number_tokens, number_value, stripped_claims
 
 WINDOW, STEP = 60, 30
-MAX_PLACES = 6
 
 
 def claims(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -29,13 +28,12 @@ def offenders(stated: DataFrame, allowed: DataFrame, id_col: str) -> DataFrame:
     times smaller, to two places more.
 
     The match is an equality of rounded values, so that it is a hash join."""
-    places = F.explode(F.sequence(F.lit(0), F.lit(MAX_PLACES + 2)))
     scaled = lambda value, p: F.round(value * F.pow(F.lit(10.0), p), 0)
-    keys = allowed.select("value", places.alias("p")).select("p", scaled(F.col("value"), F.col("p")).alias("v")).distinct()
-    tokens = stated.where("value is not null").withColumn("p", F.least("places", F.lit(MAX_PLACES)))
+    tokens = stated.where("value is not null").withColumn("p", F.col("places"))
     ways = F.when(F.col("is_pct"), F.array(F.struct(F.col("p"), F.col("value").alias("v")), F.struct((F.col("p") + 2).alias("p"), (F.col("value") / 100).alias("v"))))
     tokens = tokens.withColumn("way", F.explode(F.coalesce(ways, F.array(F.struct(F.col("p"), F.col("value").alias("v"))))))
     tokens = tokens.select(id_col, "pos", "token", F.col("way.p").alias("p"), scaled(F.col("way.v"), F.col("way.p")).alias("v"))
+    keys = allowed.select("value").crossJoin(F.broadcast(tokens.select("p").distinct())).select("p", scaled(F.col("value"), F.col("p")).alias("v")).distinct()
     good = tokens.join(keys, ["p", "v"], "left_semi").select(id_col, "token").distinct()
     bad = tokens.join(good, [id_col, "token"], "left_anti")
     return bad.groupBy(id_col, "token").agg(F.min("pos").alias("pos"))

@@ -83,6 +83,13 @@ def test_offenders_once_and_in_order(spark):
     assert [(r["token"], r["pos"]) for r in found] == [("7", 0), ("8", 1)]
 
 
+def test_numbers_at_their_own_places(spark):
+    allowed = spark.createDataFrame([(1.23456789,)], "value double")
+    stated = V.claims(spark.createDataFrame([(1, "1.23456789 then 1.23456811 then 123.4567890% and 123.456712%")], "id long, text string"), "id")
+    found = V.offenders(stated, allowed, "id").orderBy("pos").collect()
+    assert [r["token"] for r in found] == ["1.23456811", "123.456712%"]
+
+
 def test_fusion(spark):
     rows = lambda ids: spark.createDataFrame([(1, i, d) for i, d in enumerate(ids, 1)], "query_id long, rank int, doc_id string")
     fused = R.fuse({"x": rows("abc"), "y": rows("cad")}).orderBy("rank").collect()

@@ -18,7 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BLOCK_BYTES = 1 << 20
 U64 = np.uint64
@@ -73,6 +73,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def need_integers(df: DataFrame, id_col: str) -> None:
+    """Raise for an id column of another type than an integer."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be integers; {id_col} is {kind.simpleString()}")
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id's text, modulo ``modulus``; a null id counts as ''."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

@@ -1,31 +1,46 @@
 """Exact BM25 top-k by block-max WAND over sharded inverted indexes.
 
 Index: every task turns the documents that it reads into shards of at most
-``SHARD_DOCS`` documents, each one row of a Parquet table: sorted term codes,
-posting lists (document, term frequency) in term order, and document lengths.
-Nothing is shuffled, and every document is indexed.
-
-Search: queries come in blocks of at most ``QUERY_BLOCK``. For each block the
-document frequencies of its terms are summed over all shards (global
-statistics), then each shard answers the block by itself:
-
-* postings of a term lie in blocks of ``BLOCK_DOCS`` neighbouring documents,
-  each with its largest impact;
-* a query's upper bound for a block of documents is the sum of its terms'
-  block maxima. The most promising blocks are scored first and set the
-  threshold; then only blocks whose bound reaches it are scored.
-
-Shards return their k best, which are merged by score and id. Scores are
-rounded to six places, and equal scores are ordered by id, so that the result
-does not depend on the sharding.
+``SHARD_DOCS`` documents. A shard's documents are dealt into ``CLUSTERS``
+segments of similar ones (k-means on their most frequent words) and lie in a
+segment from the longest to the shortest, so that neighbours have alike bounds.
+A segment is one row of a Parquet table: sorted term codes, posting lists
+(document, term frequency) in term order, and document lengths. Texts are not
+shuffled, and every document is indexed.
+
+Queries are a table too: their words are joined with the document frequencies
+summed over all shards (global statistics), and they are searched in blocks of
+bounded size, each block against every segment.
+
+Search of a segment, for many queries at once:
+
+* a query's threshold is the k-th best score that it has found so far; it rises
+  with every block, is carried over the segments of a task, and begins at a
+  value that all shards share: the k-th best over the longest documents of a few
+  shards (``LEAD_SHARDS``, ``LEAD_DOCS``), which a first pass scores;
+* a segment is skipped where the sum of the terms' largest impacts does not
+  reach the threshold;
+* postings of words with short lists are read whole, those of the others (the
+  segment's ``DENSE_TERMS`` most frequent words) stand in a matrix with one row
+  for each document. A block of ``BLOCK_DOCS`` documents is bounded by the sum
+  of its frequent words' block maxima and the largest sum of the others; blocks
+  are visited in order, and one that does not reach the threshold is skipped.
+  So the pivot moves from block to block, for all queries together;
+* what is left is scored exactly, and scores that reach the threshold enter the
+  k best.
+
+Only rows that reach the shared threshold leave a task; they are merged by
+score and id. Scores are rounded to six places, and equal scores are ordered by
+id, so that the result does not depend on the sharding.
 
 score(q, d) = sum over the query's words of
     ln(1 + (N - n + 0.5) / (n + 0.5)) * tf (K1 + 1) / (tf + K1 (1 - B + B dl / avgdl)).
 
-Cases: null and empty texts are indexed with length 0 and found by nothing; a
-query without words has no results; null ids are indexed and can be results
-(last among equals), but are no queries; repeated documents are results each;
-an empty table gives an empty result; extra columns are ignored.
+Cases: ids are integers; null and empty texts are indexed with length 0 and
+found by nothing; a query without words has no results; null ids are indexed
+and can be results (last among equals), but are no queries; repeated documents
+are results each, and queries that repeat an id are one query with all their
+words; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +51,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, blocks, buffers, stored
+from .common import Words, blocks, buffers, need_integers, stored
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 16_384
-SHARD_POSTINGS = 6_000_000
-BLOCK_DOCS = 128
-QUERY_BLOCK = 2048
+SHARD_DOCS = 8192
+SHARD_POSTINGS = 3_000_000
+CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 8, 256, 6
+BLOCK_DOCS = 64
+DENSE_TERMS, DENSE_SHARE = 1024, 32  # at most so many words, each in 1/32 of a segment's documents at least
+QUERY_TERMS, QUERY_BLOCK = 2_000_000, 16_384  # of a block of queries on average
+BATCH = 256  # queries whose scores lie side by side
+LEAD_SHARDS, LEAD_DOCS = 16, 256
 NO_ID = np.iinfo(np.int64).max
-_SHARD = "ids binary, lengths binary, terms binary, sizes binary, docs binary, tfs binary"
+SLACK = 2e-6  # rounding to six places
+_SEGMENT = "shard long, ids binary, lengths binary, terms binary, sizes binary, docs binary, tfs binary"
 
 
 def term_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -60,53 +80,6 @@ def term_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
         yield i, words.count, doc[at], term[at], np.diff(np.append(at, len(doc)))
 
 
-class Shard:
-    """One shard's postings, opened for search."""
-
-    def __init__(self, row: dict, average: float) -> None:
-        part = lambda name, kind: np.frombuffer(row[name], kind)
-        self.ids, length = part("ids", "<i8"), part("lengths", "<i4")
-        self.terms, size = part("terms", "<u8"), part("sizes", "<i4").astype(np.int64)
-        self.docs, tf = part("docs", "<u2").astype(np.int64), part("tfs", "<i4")
-        norm = K1 * (1 - B + B * length / max(average, 1e-9))
-        self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
-        owner = np.repeat(np.arange(len(size)), size)
-        block = self.docs // BLOCK_DOCS
-        new = np.ones(len(block), bool)
-        new[1:] = (block[1:] != block[:-1]) | (owner[1:] != owner[:-1])
-        self.starts = np.flatnonzero(new)
-        self.block = block[self.starts]
-        self.most = np.maximum.reduceat(self.impact, self.starts) if len(block) else np.zeros(0)
-        self.starts = np.append(self.starts, len(block))
-        self.first = np.searchsorted(owner[self.starts[:-1]], np.arange(len(size) + 1))
-        self.n_blocks = len(self.ids) // BLOCK_DOCS + 1
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, rounded scores) of the k best."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        have = np.flatnonzero(self.terms[at] == terms) if len(self.terms) else np.zeros(0, int)
-        entry, owner = _ranges(self.first[at[have]], self.first[at[have] + 1])
-        weight = weights[have][owner]
-        block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        done = np.zeros(self.n_blocks, bool)
-        for step in (4, None):
-            least = np.partition(scores, -k)[-k] if len(scores) >= k else 0.0
-            todo = np.zeros(self.n_blocks, bool)
-            todo[order[:step]] = True
-            todo &= ~done & (bound > 0) & (bound >= least - 2e-6)
-            done |= todo
-            use = todo[block]
-            place, which = _ranges(self.starts[entry[use]], self.starts[entry[use] + 1])
-            total = np.bincount(self.docs[place], weight[use][which] * self.impact[place], len(self.ids))
-            found = np.flatnonzero(total > 0)
-            rows, scores = np.concatenate([rows, found]), np.concatenate([scores, np.round(total[found], 6)])
-        best = np.lexsort((self.ids[rows], -scores))[:k]
-        return rows[best], scores[best]
-
-
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of some ranges, and the range of each."""
     many = hi - lo
@@ -114,24 +87,186 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many), owner
 
 
+def clusters(n: int, row: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A cluster of each document by its frequent words. It decides which
+    documents lie together, and so how much can be skipped, not what is found."""
+    if n <= CLUSTERS:
+        return np.zeros(n, np.int64)
+    often = np.full(len(size), -1)
+    top = np.argsort(-size, kind="stable")[:CLUSTER_TERMS]
+    often[top] = np.arange(len(top))
+    use = often[kind] >= 0
+    x = np.zeros((n, len(top)), np.float32)
+    x[row[use], often[kind[use]]] = 1
+    x /= np.maximum(1e-6, np.sqrt(x.sum(1, keepdims=True)))
+    rng = np.random.default_rng(5)
+    centers = x[:1]
+    for _ in range(CLUSTERS - 1):
+        far = np.maximum(0, 1 - (x @ centers.T).max(1)).astype(float) ** 2
+        if far.sum() <= 0:
+            break
+        centers = np.vstack((centers, x[rng.choice(n, p=far / far.sum())]))
+    own = np.zeros(n, np.int64)
+    for _ in range(CLUSTER_ROUNDS):
+        own = (x @ centers.T).argmax(1)
+        sums = np.zeros_like(centers)
+        for c in range(len(centers)):
+            sums[c] = x[own == c].sum(0)
+        centers = sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))
+    return own
+
+
+def _segments(shard: int, ids: np.ndarray, length: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard."""
+    kinds, kind, size = np.unique(term, return_inverse=True, return_counts=True)
+    own = clusters(len(ids), row, kind, size)
+    order = np.lexsort((-length, own))
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    edge = np.searchsorted(own[order], np.arange(own.max() + 2))
+    sort = np.lexsort((place[row], kind, own[row]))
+    cut = np.searchsorted(own[row][sort], np.arange(own.max() + 2))
+    for c in range(len(edge) - 1):
+        docs, part = order[edge[c] : edge[c + 1]], sort[cut[c] : cut[c + 1]]
+        if len(docs):
+            here, size = np.unique(kind[part], return_counts=True)
+            columns = (ids[docs].astype("<i8"), length[docs].astype("<i4"), kinds[here].astype("<u8"), size.astype("<i4"), (place[row[part]] - edge[c]).astype("<u2"), tf[part].astype("<i4"))
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+
+
+class Segment:
+    """One segment's postings, opened for search; ``head`` limits it to its
+    first documents."""
+
+    def __init__(self, row: dict, average: float, block_docs: int = BLOCK_DOCS, head: int | None = None) -> None:
+        self.block_docs = block_docs
+        part = lambda name, kind: np.frombuffer(row[name], kind)
+        self.ids, length = part("ids", "<i8")[:head], part("lengths", "<i4")[:head]
+        self.terms, size = part("terms", "<u8"), part("sizes", "<i4").astype(np.int64)
+        docs, tf = part("docs", "<u2").astype(np.int64), part("tfs", "<i4")
+        term = np.repeat(np.arange(len(size)), size)
+        if head is not None:
+            use = docs < head
+            docs, tf, term = docs[use], tf[use], term[use]
+            size = np.bincount(term, minlength=len(size))
+        norm = K1 * (1 - B + B * length / max(average, 1e-9))
+        impact = tf * (K1 + 1) / (tf + norm[docs])
+        n = self.n = len(self.ids)
+        self.most = np.zeros(len(size))  # a term's largest impact
+        full = np.flatnonzero(size)
+        if len(full):
+            self.most[full] = np.maximum.reduceat(impact, (np.cumsum(size) - size)[full])
+        frequent = np.flatnonzero(size * DENSE_SHARE >= n)
+        frequent = frequent[np.argsort(-size[frequent], kind="stable")[:DENSE_TERMS]]
+        self.column = np.full(len(size), -1)
+        self.column[frequent] = np.arange(len(frequent))
+        dense = self.column[term] >= 0
+        self.matrix = np.zeros((n, len(frequent)))
+        self.matrix[docs[dense], self.column[term[dense]]] = impact[dense]
+        self.starts = np.arange(0, n, block_docs)
+        self.block_most = np.maximum.reduceat(self.matrix, self.starts, axis=0)
+        self.docs, self.impact = docs[~dense], impact[~dense]
+        self.first = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, size))))
+
+    def search(self, queries: Queries, best: Best) -> None:
+        """Offer ``best`` all documents that can be among the k best."""
+        at = np.minimum(np.searchsorted(self.terms, queries.terms), len(self.terms) - 1)
+        term = np.where(self.terms[at] == queries.terms, at, -1)[queries.term] if len(self.terms) else np.zeros(0, int)
+        have = np.flatnonzero(term >= 0)
+        term, owner, weight = term[have], queries.owner[have], queries.weight[have]
+        bound = np.bincount(owner, weight * self.most[term], len(queries.ids))
+        alive = np.flatnonzero((bound > 0) & (bound >= best.least - SLACK))
+        first = np.searchsorted(owner, np.arange(len(queries.ids) + 1))
+        for i in range(0, len(alive), BATCH):
+            some = alive[i : i + BATCH]
+            entry, who = _ranges(first[some], first[some + 1])
+            self._batch(some, who, term[entry], weight[entry], best)
+
+    def _batch(self, some: np.ndarray, who: np.ndarray, term: np.ndarray, weight: np.ndarray, best: Best) -> None:
+        dense = self.column[term] >= 0
+        w = np.zeros((len(some), self.matrix.shape[1]))
+        w[who[dense], self.column[term[dense]]] = weight[dense]
+        who, term, weight = who[~dense], term[~dense], weight[~dense]
+        place, entry = _ranges(self.first[term], self.first[term + 1])
+        rest = np.bincount(who[entry] * self.n + self.docs[place], weight[entry] * self.impact[place], len(some) * self.n).reshape(len(some), self.n)
+        bound = w @ self.block_most.T + np.maximum.reduceat(rest, self.starts, axis=1)
+        for b, lo in enumerate(self.starts.tolist()):
+            live = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best.least[some] - SLACK))
+            if len(live):
+                hi = min(self.n, lo + self.block_docs)
+                score = w[live] @ self.matrix[lo:hi].T + rest[live, lo:hi]
+                best.offer(some[live], score, self.ids[lo:hi])
+
+
+class Queries:
+    """A block of queries: distinct terms, and (query, term, weight) in the
+    order of the queries."""
+
+    def __init__(self, table: pa.Table) -> None:
+        table = table.combine_chunks()
+        self.ids = table["query_id"].to_numpy()
+        lists = table["terms"].combine_chunks()
+        many = np.diff(lists.offsets.to_numpy())
+        flat = lists.flatten()
+        self.owner = np.repeat(np.arange(len(self.ids)), many)
+        self.terms, self.term = np.unique(flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        self.weight = flat.field("weight").to_numpy(zero_copy_only=False)
+
+
+class Best:
+    """The k best scores of each query and the documents that reach them."""
+
+    def __init__(self, least: np.ndarray, k: int) -> None:
+        self.k, self.least = k, least.copy()
+        self.top = np.zeros((len(least), k))
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        score = np.round(score, 6)
+        q, d = np.nonzero((score > 0) & (score >= self.least[queries, None] - SLACK))
+        if not len(q):
+            return
+        self.found.append((queries[q], ids[d], score[q, d]))
+        rows = np.unique(q)
+        both = np.concatenate((self.top[queries[rows]], score[rows]), axis=1)
+        both.partition(both.shape[1] - self.k, axis=1)
+        self.top[queries[rows]] = both[:, -self.k :]
+        self.least[queries[rows]] = np.maximum(self.least[queries[rows]], both[:, -self.k])
+        if sum(len(x[0]) for x in self.found[-64:]) > 1 << 20:
+            self.found = [self.result()]
+
+    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score), at most k of each query."""
+        if not self.found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, doc, score = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        begin = np.searchsorted(query, query)
+        use = (np.arange(len(query)) - begin < self.k) & (score >= self.least[query] - SLACK)
+        return query[use], doc[use], score[use]
+
+
 class Index:
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, block_docs: int = BLOCK_DOCS) -> None:
+        self.block_docs = block_docs
+        need_integers(docs, id_col)
         base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
 
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            shard = TaskContext.get().partitionId() << 32
             ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
 
-            def flush() -> pa.RecordBatch:
-                row, term, tf = np.concatenate(rows), np.concatenate(terms), np.concatenate(tfs)
-                order = np.lexsort((row, term))
-                kinds, size = np.unique(term, return_counts=True)
-                parts = (np.concatenate(ids).astype("<i8"), np.concatenate(lengths).astype("<i4"), kinds.astype("<u8"), size.astype("<i4"), row[order].astype("<u2"), tf[order].astype("<i4"))
-                return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], names=[x.split()[0] for x in _SHARD.split(", ")])
+            def whole() -> tuple[np.ndarray, ...]:
+                return tuple(np.concatenate(x) for x in (ids, lengths, rows, terms, tfs))
 
             for batch in batches:
                 for i, count, doc, term, tf in term_counts(batch.column(1)):
-                    if held and (held + len(count) > SHARD_DOCS or postings + len(term) > SHARD_POSTINGS):
-                        yield flush()
+                    if held and (held + len(count) > shard_docs or postings + len(term) > SHARD_POSTINGS):
+                        yield from _segments(shard, *whole())
+                        shard += 1
                         ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
                     ids.append(batch.column(0).slice(i, len(count)).to_numpy())
                     lengths.append(count)
@@ -140,66 +275,53 @@ class Index:
                     tfs.append(tf)
                     held, postings = held + len(count), postings + len(term)
             if held:
-                yield flush()
+                yield from _segments(shard, *whole())
 
-        self.table = stored(base.mapInArrow(build, _SHARD), "index")
+        self.table = stored(base.mapInArrow(build, _SEGMENT), "index")
         total = self.table.select(F.expr("length(ids) div 8").alias("n"), F.col("lengths")).mapInArrow(_sizes, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
         self.n, self.words = (x or 0 for x in total)
-
-    def _frequencies(self, terms: np.ndarray) -> np.ndarray:
-        held = self.table.sparkSession.sparkContext.broadcast(terms)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            wanted = held.value
-            total = np.zeros(len(wanted), np.int64)
-            for batch in batches:
-                for own, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    own, size = np.frombuffer(own, "<u8"), np.frombuffer(size, "<i4")
-                    at = np.minimum(np.searchsorted(own, wanted), max(0, len(own) - 1))
-                    if len(own):
-                        total += np.where(own[at] == wanted, size[at], 0)
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["at", "n"])
-
-        found = self.table.select("terms", "sizes").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-        out = np.zeros(len(terms), np.int64)
-        out[found["at"].to_numpy(np.int64)] = found["n"]
-        return out
-
-    def top(self, ids: list[int], texts: list[str | None], k: int) -> DataFrame:
-        """(query_id, doc_id, score) of one block of queries, before the merge."""
-        owner, term, tf = [], [], []
-        for i, _, doc, t, f in term_counts(pa.array(texts, pa.string())):
-            owner.append(doc + i)
-            term.append(t)
-            tf.append(f)
-        owner, term, tf = np.concatenate(owner), np.concatenate(term), np.concatenate(tf)
-        distinct, at = np.unique(term, return_inverse=True)
-        n = self._frequencies(distinct)
-        weight = (np.log1p((self.n - n + 0.5) / (n + 0.5)))[at] * tf
-        starts = np.searchsorted(owner, np.arange(len(ids) + 1))
-        held = self.table.sparkSession.sparkContext.broadcast((np.array(ids), starts, term, weight))
-        average = self.words / max(1, self.n)
+        shards = [r[0] for r in self.table.select("shard").distinct().orderBy(F.xxhash64("shard")).limit(LEAD_SHARDS).collect()]
+        self.lead = self.table.where(F.col("shard").isin(shards))
+
+    def frequencies(self) -> DataFrame:
+        """(term, n): in how many documents each term occurs."""
+        return self.table.select("terms", "sizes").mapInArrow(_list_sizes, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+    def queries(self, queries: DataFrame) -> DataFrame:
+        """(block, query_id, terms) of (id, text) rows, with the terms' weights."""
+        terms = queries.mapInArrow(_query_terms, "query_id long, term long, tf long").groupBy("query_id", "term").agg(F.sum("tf").alias("tf"))
+        weight = F.log1p((F.lit(self.n) - F.col("n") + 0.5) / (F.col("n") + 0.5)) * F.col("tf")
+        rows = terms.join(self.frequencies(), "term").select("query_id", F.struct("term", weight.alias("weight")).alias("t"))
+        return stored(rows.groupBy("query_id").agg(F.collect_list("t").alias("terms")), "queries")
+
+    def top(self, block: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, score) of a block of queries, before the merge."""
+        spark = self.table.sparkSession
+        queries = Queries(block.select("query_id", "terms").toArrow())
+        if not len(queries.ids):
+            return spark.createDataFrame([], "query_id long, doc_id long, score double")
+        start = np.zeros(len(queries.ids))
+        held = spark.sparkContext.broadcast((queries, start))
+        lead = self._search(self.lead, held, k, LEAD_DOCS).groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("score"), asc=False), k).alias("least")).where("least is not null").toArrow()
+        place = np.argsort(queries.ids)
+        start[place[np.searchsorted(queries.ids[place], lead["query_id"].to_numpy())]] = lead["least"].to_numpy()
+        held.destroy()
+        return self._search(self.table, spark.sparkContext.broadcast((queries, start)), k)
+
+    def _search(self, table: DataFrame, held, k: int, head: int | None = None) -> DataFrame:
+        average, block_docs = self.words / max(1, self.n), self.block_docs
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, starts, term, weight = held.value
-            best_id, best_score = [[np.zeros(0, np.int64)] for _ in ids], [[np.zeros(0)] for _ in ids]
+            queries, start = held.value
+            best = Best(start, k)
             for batch in batches:
-                for row in batch.to_pylist():
-                    shard = Shard(row, average)
-                    for q in range(len(ids)):
-                        s = slice(starts[q], starts[q + 1])
-                        rows, scores = shard.search(term[s], weight[s], k)
-                        best_id[q].append(shard.ids[rows])
-                        best_score[q].append(scores)
-            for q in range(len(ids)):
-                doc, score = np.concatenate(best_id[q]), np.concatenate(best_score[q])
-                keep = np.lexsort((doc, -score))[:k]
-                best_id[q], best_score[q] = doc[keep], score[keep]
-            doc = np.concatenate(best_id)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(x) for x in best_id])), pa.array(doc, mask=doc == NO_ID), pa.array(np.concatenate(best_score))], names=["query_id", "doc_id", "score"])
-
-        return self.table.mapInArrow(search, "query_id long, doc_id long, score double")
+                for r in range(batch.num_rows):
+                    row = {name: batch.column(name)[r].as_buffer() for name in batch.schema.names if name != "shard"}
+                    Segment(row, average, block_docs, head).search(queries, best)
+            q, doc, score = best.result()
+            yield pa.RecordBatch.from_arrays([pa.array(queries.ids[q]), pa.array(doc, mask=doc == NO_ID), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+        return table.mapInArrow(search, "query_id long, doc_id long, score double")
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,23 +330,30 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64())], names=["n", "words"])
 
 
-def search_all(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for terms, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, "<i8")), pa.array(np.frombuffer(sizes, "<i4").astype(np.int64))], names=["term", "n"])
+
+
+def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, count, doc, term, tf in term_counts(batch.column(1)):
+            ids = batch.column(0).slice(i, len(count)).take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(term.view(np.int64)), pa.array(tf)], names=["query_id", "term", "tf"])
+
+
+def search_all(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of all rows for
     each row of ``docs`` for which ``is_query`` holds."""
-    index = Index(docs, id_col, text_col)
-    spark = docs.sparkSession
+    index = Index(docs, id_col, text_col, shard_docs, block_docs)
     queries = docs.where(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts, ids, texts = [], [], []
-    for row in queries.toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1])
-        if len(ids) == QUERY_BLOCK:
-            parts.append(stored(index.top(ids, texts, k), "top"))
-            ids, texts = [], []
-    if ids:
-        parts.append(stored(index.top(ids, texts, k), "top"))
-    found = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    for part in parts:
-        found = found.unionByName(part)
+    queries = index.queries(queries)
+    size = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("terms")).first()
+    n_blocks = max(1, -(-size["terms"] // QUERY_TERMS), -(-size["n"] // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    found = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    for b in range(n_blocks):
+        found = found.unionByName(stored(index.top(queries.where(block == b), k), "top"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

@@ -166,10 +166,8 @@ def test_lm_counts_share_no_slots(spark, monkeypatch, vocabulary):
 # --------------------------------------------------------------------- search
 
 
-@pytest.mark.parametrize(("shard", "block"), [(16_384, 128), (7, 2)])
-def test_search_equals_exhaustive(docs, odd_docs, no_docs, monkeypatch, shard, block):
-    monkeypatch.setattr(B, "SHARD_DOCS", shard)
-    monkeypatch.setattr(B, "BLOCK_DOCS", block)
+@pytest.mark.parametrize(("shard", "block"), [(8192, 64), (8192, 2), (40, 3)])
+def test_search_equals_exhaustive(docs, odd_docs, no_docs, shard, block):
     df = docs.select("doc_id", "text").union(odd_docs.where("doc_id is not null").select(F.col("doc_id") + 1000, "text"))
     rows = df.collect()
     bags = [Counter(words_of(r["text"])) for r in rows]
@@ -189,7 +187,7 @@ def test_search_equals_exhaustive(docs, odd_docs, no_docs, monkeypatch, shard, b
                 scores.append((-round(s, 6), rows[d]["doc_id"]))
         want[r["doc_id"]] = sorted(scores)[:10]
     got = defaultdict(list)
-    for r in B.search_all(df, F.col("doc_id") % 50 == 0).collect():
+    for r in B.search_all(df, F.col("doc_id") % 50 == 0, shard_docs=shard, block_docs=block).collect():
         got[r["query_id"]].append((r["rank"], r["doc_id"], r["score"]))
     for query, expected in want.items():
         found = sorted(got[query])

@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 BLOCK_BYTES = 1 << 20
@@ -104,6 +105,24 @@ def bounded_sample(df: DataFrame, by: list[str], order: str, most: int) -> DataF
     return df.where(u < share)
 
 
+FILTER_BITS = 1 << 22
+
+
+def filter_bit(id_col: str, bits: int = FILTER_BITS) -> Column:
+    """The place of an id in a bit filter."""
+    return F.pmod(F.xxhash64(id_col), F.lit(bits))
+
+
+def bit_filter(ids: DataFrame, id_col: str, bits: int = FILTER_BITS) -> Broadcast:
+    """A filter of fixed size in which the bits of all ``ids`` are set. Those
+    that are not among them pass with the share of bits that are set."""
+    at = filter_bit(id_col, bits)
+    words = ids.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("bits")).toArrow()
+    table = np.zeros(max(1, bits // 64), np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+
+
 # ---------------------------------------------------------------- text blocks
 
 

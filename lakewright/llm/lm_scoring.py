@@ -1,32 +1,42 @@
 """Cross-entropy difference scores from two matched n-gram models.
 
-A target and a background bigram model are counted over whole texts; words and
-word pairs are keys of 64 bits and share no slots. Both models use one
-vocabulary of V words and the same smoothing:
+A target and a background bigram model are counted over whole texts. Both use
+one vocabulary of V words (those of the corpus and the text's end) and the same
+smoothing:
 
     p(w) = (c(w) + 1) / (N + V),   p(w | h) = (c(h, w) + M p(w)) / (c(h) + M).
 
-Each token has a loss (negative log2) in both models; a document's score is
-the mean difference target - background, so documents that are more like the
-target have lower scores.
-
-1. One pass counts the words; sums over the corpus, the number of distinct
-   words and the ``HOT`` most frequent words go to the driver, so what it holds
-   is of fixed size.
-2. A second pass packs the distinct (word, word before) of each document, a
-   block of documents at a time, into buckets: by word, or by pair for the hot
-   words, whose counts are sent along. So a bucket holds all that its counts
+Each token, and the end after the last one, has a loss (negative log2) in both
+models; a document's score is the mean difference target - background, so
+documents that are more like the target have lower scores. A text does not
+judge itself: its own c(h, w), c(h) and c(w) are left out of the model that it
+is part of (N stays), so that texts of the target and like texts outside it are
+scored alike.
+
+1. The target's texts are picked by a bit filter of fixed size and an exact join
+   of what passes it; no other text is shuffled. All texts give the total counts,
+   the target's texts give its own, and the background is the difference.
+2. One pass counts the words; sums over the corpus, the number of distinct words
+   and the ``HOT`` most frequent words go to the driver, so what it holds is of
+   fixed size.
+3. A second pass packs the distinct (word, word before) of each document, some
+   megabytes of documents at a time, into buckets: by word, or by pair for the
+   hot words, whose counts are sent along. So a bucket holds all that its counts
    need, and no word's pairs gather in one place. The number of buckets grows
-   with the corpus.
-3. Each bucket sums its counts and gives each document its part of the losses;
-   the parts meet by block of documents.
+   with the corpus. Each entry carries its document's own counts.
+4. Each bucket sums its counts and gives each document its part of the losses;
+   a task adds the parts of its buckets before it sends them, and they meet by
+   block of documents.
 
-The history's part of a loss, log2(c(h) + M), is summed where the history is
-the word: each word of a document but its last is a history once.
+Every document passes as one of the background, and the target's once more as
+such; a join with the target's ids keeps the one that applies. The history's
+part of a loss, log2(c(h) + M), is summed where the history is the word, as each
+word of a text is a history once. Keys are hashes of 48 bits inside a bucket.
 
 Cases: null and empty texts have no tokens and null losses; null ids belong to
-the background and pass through; repeated rows count and are scored each; an
-empty target or background leaves the uniform model; extra columns are ignored.
+the background and pass through; repeated rows count and are scored each (a copy
+of a text is no part of it, and counts); an empty target or background leaves the
+uniform model; ids may be of any type; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,30 +50,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import U64, Words, blocks, buffers, mix, stored
+from .common import U64, Words, bit_filter, blocks, buffers, filter_bit, mix, stored
 
-WORDS = 1 << 15  # the size of the vocabulary where the caller gives none
 PRIOR = 64.0  # M
-START = 0x5EED  # the history of a text's first word
-END = 0xE7D  # stands as the history of a text's last word once more
+START = U64(0x5EED)  # the history of a text's first word
+END = U64(0xE7D)  # the word after a text's last
 HOT = 4096
-BUCKET = 1_500_000  # tokens of a bucket on average
+BUCKET = 1_000_000  # tokens of a bucket on average
 GATHER = 8 << 20  # bytes of a block of documents; the larger, the fewer repeated keys
+ROW = 8192  # entries of a packed row at the most, but for one word's
+PARTS = 2_000_000  # documents whose parts a task adds up
+SHORT = U64(16)  # bits that a packed key leaves out
 _PLACE = np.random.default_rng(6).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _pair(before: np.ndarray | np.uint64, word: np.ndarray) -> np.ndarray:
-    return mix(before * _PLACE[0] + word * _PLACE[1])
-
-
-def slots(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, the word before, pair) of each token, as keys of 64 bits."""
-    word = words.hash
-    before = np.full(len(word), START, U64)
-    before[1:] = np.where(words.doc[1:] == words.doc[:-1], word[:-1], U64(START))
-    return word, before, _pair(before, word)
-
-
 def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``GATHER`` bytes of text."""
     held, size = [], 0
@@ -78,48 +78,57 @@ def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Rec
 
 
 class _Totals:
-    """Sums over the corpus (row 0 target, row 1 background) and the hot words'
-    counts, as words and as histories, in the order of their keys."""
-
-    def __init__(self, tokens: list[int], texts: list[int], words: int, hot: list[tuple]) -> None:
-        self.tokens, self.texts, self.words = tokens, texts, words
-        table = np.array(hot, np.int64).reshape(-1, 5)
-        table = table[np.argsort(table[:, 0].view(U64))]
-        self.hot = table[:, 0].copy().view(U64)
-        self.word, self.history = table[:, 1:3].T, (table[:, 1:3] - table[:, 3:5]).T
-        self.buckets = max(1, -(-sum(tokens) // BUCKET))
-
-    def at(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over the corpus (first of the target, then of the background) and
+    the hot words' counts in the order of their keys."""
+
+    def __init__(self, events: list[int], texts: list[int], words: int, hot: list[tuple[int, int, int]]) -> None:
+        self.events, self.texts, self.words = events, texts, words
+        counts = {key: (target, total - target) for key, total, target in hot} | {int(END): tuple(texts)}
+        keys = np.array(list(counts), np.int64).view(U64)
+        order = np.argsort(keys)
+        self.hot, self.count = keys[order], np.array(list(counts.values()), np.int64).reshape(-1, 2)[order].T
+        self.short = self.hot >> SHORT
+        self.buckets = max(1, -(-sum(events) // BUCKET))
+
+    def places(self, word: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which are hot, their places in the table)."""
-        if not len(self.hot):
-            return np.zeros(len(word), bool), np.zeros(len(word), np.int64)
-        at = np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)
-        return self.hot[at] == word, at
+        at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+        return keys[at] == word, at
 
 
-def _count_words(docs: DataFrame, size: int | None) -> _Totals:
-    names = ["word", "target", "background", "target_end", "background_end"]
+def _count_words(texts: DataFrame, size: int | None) -> _Totals:
+    names = ["word", "total", "target"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, 0):
-            raw, offsets = buffers(batch.column(0))
-            model = 1 - batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        for batch in _gathered(batches, 1):
+            raw, offsets = buffers(batch.column(1))
+            own = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 key, at = np.unique(words.hash, return_inverse=True)
-                last = words.first[1:][words.count > 0] - 1
-                own = model[i:j][words.doc]
-                kinds = [np.bincount(at[own == m], minlength=len(key)) for m in (0, 1)]
-                kinds += [np.bincount(at[last[own[last] == m]], minlength=len(key)) for m in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, kinds)], names=names)
-
-    counted = docs.select("text", "target").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-    counted = counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in names[1:]))
+                key = np.append(key, END)
+                target = np.append(np.bincount(at[own[i:j][words.doc]], minlength=len(key) - 1), np.count_nonzero((words.count > 0) & own[i:j]))
+                both = np.append(np.bincount(at, minlength=len(key) - 1), np.count_nonzero(words.count))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(both - target), pa.array(target)], names=names)
+
+    counted = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("word").agg(F.sum("total").alias("total"), F.sum("target").alias("target")).where("total > 0")
     seen = Observation()
-    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names[1:]]
-    hot = counted.observe(seen, F.count("*").alias("words"), *sums).orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(HOT).collect()
-    total = seen.get
-    return _Totals([total["target"], total["background"]], [total["target_end"], total["background_end"]], total["words"] if size is None else size, [tuple(r) for r in hot])
+    ends = F.col("word") == int(END)
+    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in (("total", F.col("total")), ("target", F.col("target")), ("texts", F.when(ends, F.col("total"))), ("own", F.when(ends, F.col("target"))))]
+    hot = counted.observe(seen, F.count("*").alias("words"), *sums).orderBy(F.desc("total"), "word").limit(HOT).collect()
+    s = seen.get
+    return _Totals([s["target"], s["total"] - s["target"]], [s["own"], s["texts"] - s["own"]], s["words"] if size is None else size, [tuple(r) for r in hot])
+
+
+def _keys(x: np.ndarray) -> bytes:
+    """Keys of 48 bits."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _full(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -132,109 +141,151 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-_PACKED = ["word", "pairs_of_word", "pair", "docs_of_pair", "doc", "n", "target"]
-
-
-def _pack(words: Words, target: np.ndarray, totals: _Totals) -> Iterator[tuple[int, list[bytes]]]:
-    """(bucket, packed columns): a block's words, the pairs of each word, and
-    the documents and counts of each pair."""
-    word, _, pair = slots(words)
-    last = words.first[1:][words.count > 0] - 1
-    word, pair = np.concatenate((word, word[last])), np.concatenate((pair, _pair(U64(END), word[last])))
-    doc = np.concatenate((words.doc, words.doc[last]))
-    hot, _ = totals.at(word)
-    bucket = (mix(np.where(hot, pair, word)) % U64(totals.buckets)).astype(np.int64)
-    order = np.lexsort((doc, pair, word, bucket))
-    word, pair, doc, bucket = word[order], pair[order], doc[order], bucket[order]
-    new_bucket, new_word, new_pair, new = (np.ones(len(word), bool) for _ in range(4))
-    new_bucket[1:] = bucket[1:] != bucket[:-1]
-    new_word[1:] = new_bucket[1:] | (word[1:] != word[:-1])
-    new_pair[1:] = new_word[1:] | (pair[1:] != pair[:-1])
-    new[1:] = new_pair[1:] | (doc[1:] != doc[:-1])
-    n = np.diff(np.append(np.flatnonzero(new), len(word)))
-    word, pair, doc, bucket, new_bucket, new_word, new_pair = (x[new] for x in (word, pair, doc, bucket, new_bucket, new_word, new_pair))
-    edges = np.append(np.flatnonzero(new_bucket), len(word))
-    flags = np.packbits(target).tobytes()
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+_PACKED = ["word", "pairs_of_word", "pair", "docs_of_pair", "doc", "n", "m"]
+
+
+def _events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, pair, document) of all tokens and ends."""
+    full = np.flatnonzero(words.count)
+    before_end = np.cumsum(words.count > 0) - 1
+    at = np.arange(len(words.hash)) + before_end[words.doc]
+    word, doc = np.full(len(words.hash) + len(full), END, U64), np.zeros(len(words.hash) + len(full), np.int64)
+    word[at], doc[at] = words.hash, words.doc
+    end = np.cumsum(words.count[full] + 1) - 1
+    doc[end] = full
+    before = np.empty_like(word)
+    before[1:] = word[:-1]
+    before[end - words.count[full]] = START
+    return word, mix(before * _PLACE[0] + word * _PLACE[1]), doc
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where one of some sorted arrays changes."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def _pack(words: Words, totals: _Totals) -> Iterator[tuple[int, list[bytes]]]:
+    """(bucket, packed columns): words, the pairs of each word, the documents of
+    each pair, and how often the document has the pair (n) and the word (m)."""
+    word, pair, doc = _events(words)
+    if not len(word):
+        return
+    _, at, own = np.unique(mix(word + doc.astype(U64) * _PLACE[1]), return_inverse=True, return_counts=True)
+    own = own[at]
+    hot, _ = totals.places(word, totals.hot)
+    bucket = mix(np.where(hot, pair, word)) % U64(totals.buckets)
+    word, pair = word >> SHORT, pair >> SHORT
+    minor = ((pair << SHORT) | doc.astype(U64),) if len(words.count) <= 1 << 16 else (doc, pair)
+    order = np.lexsort((*minor, word, bucket))
+    word, pair, doc, bucket, own = word[order], pair[order], doc[order], bucket[order].astype(np.int64), own[order]
+    first = np.flatnonzero(_starts(bucket, word, pair, doc))
+    n = np.diff(np.append(first, len(word)))
+    word, pair, doc, bucket, own = (x[first] for x in (word, pair, doc, bucket, own))
+    new_word = _starts(bucket, word)
+    new_pair = new_word | _starts(pair)
+    # a row ends with its bucket, or at the first new word when it is full
+    heads = np.flatnonzero(new_word)
+    full = _starts(heads // ROW) | _starts(bucket[heads])
+    edges = np.append(heads[full], len(word)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         p, w = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_word[a:b])
         of_word = np.diff(np.append(np.searchsorted(p, w), len(p)))
-        columns = [word[a:b][w].tobytes(), _small(of_word), pair[a:b][p].tobytes(), _small(np.diff(np.append(p, b - a))), _small(doc[a:b]), _small(n[a:b]), flags]
-        yield int(bucket[a]), columns
+        yield int(bucket[a]), [_keys(word[a:b][w]), _small(of_word), _keys(pair[a:b][p]), _small(np.diff(np.append(p, b - a))), _small(doc[a:b]), _small(n[a:b]), _small(own[a:b])]
 
 
 def _bucketer(held, id_kind: pa.DataType):
-    names = ["block", "bucket", "ids", "n_tokens", *_PACKED]
-    kinds = [pa.int64(), pa.int64(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * len(_PACKED)]
+    names = ["block", "bucket", "target", "size", "ids", "n_tokens", *_PACKED]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * len(_PACKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, block = held.value, TaskContext.get().partitionId() << 32
-        for batch in _gathered(batches, 1):
+        for batch, target in ((b.filter(pc.equal(b.column(2), t)), t) for b in _gathered(batches, 1) for t in (False, True)):
             raw, offsets = buffers(batch.column(1))
-            target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(0).slice(i, j - i).cast(id_kind))
-                head = [[block], [block % totals.buckets], ids, [words.count.tolist()], *[[None]] * len(_PACKED)]
+                head = [[block], [block % totals.buckets], [target], [j - i], ids, [words.count.tolist()], *[[None]] * len(_PACKED)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(head, kinds, strict=True)], names=names)
-                for bucket, columns in _pack(words, target[i:j], totals):
-                    row = [block, bucket, None, None, *columns]
+                for bucket, columns in _pack(words, totals):
+                    row = [block, bucket, target, j - i, None, None, *columns]
                     yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
                 block += 1
 
     return run
 
 
-def _bucket_losses(held):
-    """The losses' parts of one bucket, summed for each document; the rows that
-    name a block's documents pass through."""
+def _losses(rows: list[dict], totals: _Totals) -> Iterator[tuple[dict, np.ndarray]]:
+    """(row, (2, documents) parts of the losses) of the rows of one bucket."""
+    word, pair, of_word, of_pair, doc, n, m = ([] for _ in _PACKED)
+    for r in rows:
+        for out, name in ((of_word, "pairs_of_word"), (of_pair, "docs_of_pair"), (doc, "doc"), (n, "n"), (m, "m")):
+            out.append(_large(r[name]))
+        word.append(_full(r["word"]))
+        pair.append(_full(r["pair"]))
+    size = [len(x) for x in doc]
+    target = np.repeat([r["target"] for r in rows], size)
+    of_word, of_pair, doc, n, m = (np.concatenate(x) for x in (of_word, of_pair, doc, n, m))
+    words, at = np.unique(np.concatenate(word), return_inverse=True)
+    at_word = np.repeat(np.repeat(at, of_word), of_pair)
+    _, at = np.unique(np.concatenate(pair), return_inverse=True)
+    at_pair = np.repeat(at, of_pair)
+    is_hot, place = totals.places(words, totals.short)
+    loss = np.zeros((2, len(doc)))
+    history = words != END >> SHORT
+    count = [np.bincount(at_pair, n * target), np.bincount(at_pair, n * ~target)]
+    whole = [np.bincount(at_word, n * target, len(words)), np.bincount(at_word, n * ~target, len(words))]
+    for model in (0, 1):
+        c = count[0] if model == 0 else count[1] - count[0]
+        w = whole[0] if model == 0 else whole[1] - whole[0]
+        w[is_hot] = totals.count[model][place[is_hot]]
+        mine = target if model == 0 else ~target
+        # in the passes that do not apply own counts are more than there are
+        c, w = np.maximum(0, c[at_pair] - n * mine), np.maximum(0, w[at_word] - m * mine)
+        p = (w + 1.0) / (totals.events[model] + totals.words)
+        loss[model] = n * (np.where(history[at_word], np.log2(w + PRIOR), 0) - np.log2(c + PRIOR * p))
+    edges = np.concatenate(([0], np.cumsum(size))).tolist()
+    for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True):
+        yield r, np.array([np.bincount(doc[a:b], loss[model][a:b], r["size"]) for model in (0, 1)])
+
+
+def _bucket_losses(held, schema: pa.Schema):
+    """The losses' parts of a task's buckets; the rows that name a block's
+    documents pass through."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = held.value
-        named = table.filter(pc.is_valid(table["ids"])).select(["block", "ids", "n_tokens"])
-        rows = table.filter(pc.is_null(table["ids"])).select(["block", *_PACKED]).to_pylist()
-        part = {"block": [], "doc": [], "loss": []}
-        if rows:
-            size, word, pair, doc, n, target = [], [], [], [], [], []
-            for r in rows:
-                of_word, of_pair = _large(r["pairs_of_word"]), _large(r["docs_of_pair"])
-                word.append(np.repeat(np.repeat(np.frombuffer(r["word"], U64), of_word), of_pair))
-                pair.append(np.repeat(np.frombuffer(r["pair"], U64), of_pair))
-                doc.append(_large(r["doc"]))
-                n.append(_large(r["n"]))
-                target.append(np.unpackbits(np.frombuffer(r["target"], np.uint8))[doc[-1]].astype(bool))
-                size.append(len(doc[-1]))
-            word, pair, n, target = (np.concatenate(x) for x in (word, pair, n, target))
-            end = pair == _pair(U64(END), word)
-            keys, at_word = np.unique(word, return_inverse=True)
-            _, at_pair = np.unique(pair, return_inverse=True)
-            hot, place = totals.at(keys)
-            loss = np.zeros((2, len(word)))
-            for m in (0, 1):
-                own = n * (target if m == 0 else ~target)
-                as_pair = np.bincount(at_pair, own)
-                as_word = np.bincount(at_word, own * ~end, len(keys))
-                history = as_word - np.bincount(at_word, own * end, len(keys))
-                as_word[hot], history[hot] = totals.word[m][place[hot]], totals.history[m][place[hot]]
-                p = (as_word + 1.0) / (totals.tokens[m] + totals.words)
-                later = np.log2(history + PRIOR)[at_word]
-                loss[m] = np.where(end, -n * later, n * (later - np.log2(as_pair[at_pair] + PRIOR * p[at_word])))
-            edges = np.concatenate(([0], np.cumsum(size))).tolist()
-            for k, r in enumerate(rows):
-                who, at = np.unique(doc[k], return_inverse=True)
-                sums = [np.bincount(at, loss[m][edges[k] : edges[k + 1]]).astype("<f4").tobytes() for m in (0, 1)]
-                part["block"].append(r["block"])
-                part["doc"].append(_small(who))
-                part["loss"].append(sums[0] + sums[1])
-        kind = table.schema
-        none = lambda count, k: pa.nulls(count, k)
-        out = [
-            pa.table([named["block"], named["ids"], named["n_tokens"], none(len(named), pa.binary()), none(len(named), pa.binary())], names=["block", "ids", "n_tokens", "doc", "loss"]),
-            pa.table(
-                [pa.array(part["block"], pa.int64()), none(len(rows), kind.field("ids").type), none(len(rows), kind.field("n_tokens").type), pa.array(part["doc"], pa.binary()), pa.array(part["loss"], pa.binary())],
-                names=["block", "ids", "n_tokens", "doc", "loss"],
-            ),
-        ]
-        return pa.concat_tables([out[0].cast(out[1].schema), out[1]])
+        parts: dict[tuple[int, bool], np.ndarray] = {}
+        rows: list[dict] = []
+
+        def add() -> None:
+            for r, part in _losses(rows, totals) if rows else ():
+                key = (r["block"], r["target"])
+                parts[key] = parts[key] + part if key in parts else part
+            rows.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (block, target), part in parts.items():
+                who = np.flatnonzero(part.any(0))
+                row = [block, target, None, None, _small(who), part[:, who].astype("<f4").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
+            parts.clear()
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if batch.column("ids")[k].is_valid:
+                    one = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*(one.column(f.name).cast(f.type) if f.name in one.schema.names and f.name != "doc" else pa.nulls(1, f.type) for f in schema)], schema=schema)
+                    continue
+                row = {name: batch.column(name)[k].as_py() for name in ("block", "bucket", "target", "size", *_PACKED)}
+                if rows and rows[-1]["bucket"] != row["bucket"]:
+                    add()
+                    if sum(x.shape[1] for x in parts.values()) > PARTS:
+                        yield from flush()
+                rows.append(row)
+        add()
+        yield from flush()
 
     return run
 
@@ -242,33 +293,48 @@ def _bucket_losses(held):
 def _block_scores(held):
     def run(table: pa.Table) -> pa.Table:
         totals = held.value
-        ids = count = None
-        for row in range(len(table)):
-            if table["ids"][row].is_valid:
-                ids, count = table["ids"][row].values, np.array(table["n_tokens"][row].as_py(), np.int64)
-        loss = np.tile(np.log2(np.array(totals.texts, float) + PRIOR)[:, None], (1, len(count)))
+        named = table.filter(table["ids"].is_valid())
+        ids, count, target = named["ids"][0].values, np.array(named["n_tokens"][0].as_py(), np.int64), named["target"][0].as_py()
+        own = np.array([target, not target])
+        loss = np.tile(np.log2(np.maximum(0, np.array(totals.texts) - own) + PRIOR)[:, None], (1, len(count)))
         for doc, sums in zip(table["doc"].to_pylist(), table["loss"].to_pylist(), strict=True):
             if doc is not None:
                 loss[:, _large(doc)] += np.frombuffer(sums, "<f4").reshape(2, -1)
-        own = loss / np.maximum(1, count)
-        columns = [pa.array(v, mask=count == 0) for v in (*own, own[0] - own[1])]
-        return pa.table([ids, pa.array(count), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        mean = loss / (count + 1)
+        columns = [pa.array(v, mask=count == 0) for v in (*mean, mean[0] - mean[1])]
+        return pa.table([ids, pa.array(count), *columns, pa.array(np.full(len(count), target))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score", "as_target"])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = WORDS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None) -> DataFrame:
     """doc_id, n_tokens, target_loss and background_loss (bits a token), score
     of all documents, with the documents of ``target_ids`` (one id column) as
     the target and all others as the background. ``vocabulary`` is V; None
-    takes the number of distinct words of ``docs``."""
+    takes the number of distinct words of ``docs`` and the end."""
     spark = docs.sparkSession
-    ids = target_ids.toDF("_target").where("_target is not null").distinct().hint("merge")
-    flagged = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("_target"), "left")
-    flagged = stored(flagged.select("doc_id", "text", F.col("_target").isNotNull().alias("target")), "lm-texts")
-    held = spark.sparkContext.broadcast(_count_words(flagged, vocabulary))
-    kind = flagged.schema["doc_id"].dataType
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = base.schema["doc_id"].dataType
     name = kind.simpleString()
-    packed = flagged.mapInArrow(_bucketer(held, to_arrow_type(kind)), f"block long, bucket long, ids array<{name}>, n_tokens array<long>, " + ", ".join(f"{c} binary" for c in _PACKED))
-    parts = packed.groupBy("bucket").applyInArrow(_bucket_losses(held), f"block long, ids array<{name}>, n_tokens array<long>, doc binary, loss binary")
-    return parts.groupBy("block").applyInArrow(_block_scores(held), f"doc_id {name}, n_tokens long, target_loss double, background_loss double, score double")
+    ids = target_ids.toDF("_target").select(F.col("_target").cast(kind)).where("_target is not null").distinct()
+    maybe = base.withColumn("bit", filter_bit("doc_id")).mapInArrow(_passing(bit_filter(ids, "_target")), base.schema)
+    target = stored(maybe.join(ids, F.col("doc_id") == F.col("_target"), "left_semi"), "lm-target")
+    texts = base.withColumn("target", F.lit(False)).union(target.withColumn("target", F.lit(True)))
+    held = spark.sparkContext.broadcast(_count_words(texts, vocabulary))
+    lists = f"ids array<{name}>, n_tokens array<long>"
+    packed = texts.mapInArrow(_bucketer(held, to_arrow_type(kind)), f"block long, bucket long, target boolean, size int, {lists}, " + ", ".join(f"{c} binary" for c in _PACKED))
+    schema = pa.schema([("block", pa.int64()), ("target", pa.bool_()), ("ids", pa.list_(to_arrow_type(kind))), ("n_tokens", pa.list_(pa.int64())), ("doc", pa.binary()), ("loss", pa.binary())])
+    parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_losses(held, schema), f"block long, target boolean, {lists}, doc binary, loss binary")
+    scores = parts.groupBy("block").applyInArrow(_block_scores(held), f"doc_id {name}, n_tokens long, target_loss double, background_loss double, score double, as_target boolean")
+    return scores.join(ids, F.col("doc_id") == F.col("_target"), "left").where(F.col("_target").isNotNull() == F.col("as_target")).drop("_target", "as_target")
+
+
+def _passing(wanted):
+    """The rows whose bit is set, without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 1)).select([0, 1])
+
+    return run

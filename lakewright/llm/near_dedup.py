@@ -42,12 +42,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import U64, Words, blocks, buffers, mix, spread, stored
+from .common import FILTER_BITS, U64, Words, bit_filter, blocks, buffers, filter_bit, mix, need_integers, spread, stored
 
 BANDS, ROWS = 45, 5
 SMALL = 32
 GROUPS = 32
-FILTER_BITS = 1 << 22
 SIGNATURE = BANDS * ROWS  # minima of which the compact signature keeps a byte
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -166,10 +165,10 @@ def _confirm(percent: int):
     return run
 
 
-def _sets(size: int, wanted: Broadcast):
+def _sets(size: int, wanted: Broadcast | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if wanted.value is not None:
+            if wanted is not None:
                 bit = batch.column(2).to_numpy()
                 batch = batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 1))
             raw, offsets = buffers(batch.column(1))
@@ -204,8 +203,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class NearDuplicates:
     """The links between classes of equal sets, and the classes' components."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> None:
-        self.size, self.percent = size, percent
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, filter_bits: int = FILTER_BITS) -> None:
+        need_integers(docs, id_col)
+        self.size, self.percent, self.filter_bits = size, percent, filter_bits
         self.texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
         self.signed = stored(sign(docs, id_col, text_col, size), "signed")
         linkable = self.signed.where("n_shingles > 0 and doc_id is not null")
@@ -270,16 +270,12 @@ class NearDuplicates:
         tells the map over the texts which ones are wanted, so that texts are
         not shuffled; it may let a few others through. When more documents are
         wanted than the filter can tell apart, a join takes its place."""
-        bit = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-        words = docs.groupBy(F.expr(f"pmod(xxhash64(doc), {FILTER_BITS}) div 64").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {FILTER_BITS}) % 64 as int))")).alias("bits")).toPandas()
-        table = np.zeros(FILTER_BITS // 64, np.int64)
-        table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-        full = np.unpackbits(table.view(np.uint8)).mean() > 0.1
-        texts = self.texts.withColumn("bit", bit)
+        held = bit_filter(docs, "doc", self.filter_bits)
+        full = np.unpackbits(held.value).mean() > 0.1
+        texts = self.texts.withColumn("bit", filter_bit("doc", self.filter_bits))
         if full:
             texts = texts.join(docs.distinct(), "doc", "left_semi")
-        held = docs.sparkSession.sparkContext.broadcast(None if full else table.view(np.uint8))
-        return texts.mapInArrow(_sets(self.size, held), "doc long, shingles binary")
+        return texts.mapInArrow(_sets(self.size, None if full else held), "doc long, shingles binary")
 
     def _verify(self, pairs: DataFrame) -> None:
         """Confirm pairs and merge those that hold into the links and stars."""

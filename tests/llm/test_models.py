@@ -104,63 +104,88 @@ def test_quality(spark, sf_dir, docs, odd_docs, no_docs):
 # ----------------------------------------------------------------- LM scoring
 
 
-def test_lm_scores_equal_plain_counts(spark, odd_docs, no_docs):
-    target = spark.createDataFrame([(6,), (9,), (None,)], "id long")
-    got = {(r["doc_id"], r["n_tokens"]): r for r in M.cross_entropy_difference(odd_docs, target).collect()}
-    ids = {}
-    for row in odd_docs.rows:
-        raw, offsets = buffers(pa.array([row[1]], pa.string()))
-        w, h, p = M.slots(Words(raw, offsets))
-        ids[id(row)] = list(zip(w.tolist(), h.tolist(), p.tolist(), strict=True))
-    counts = [defaultdict(Counter), defaultdict(Counter)]
-    for row in odd_docs.rows:
-        c = counts[0 if row[0] in (6, 9) else 1]
-        for w, h, p in ids[id(row)]:
-            c["w"][w] += 1
-            c["h"][h] += 1
-            c["p"][p] += 1
-    for row in odd_docs.rows:
-        r = got[row[0], len(words_of(row[1]))]
-        if not ids[id(row)]:
-            assert r["score"] is None
+def plain_losses(rows, is_target, vocabulary=None):
+    """(target loss, background loss) of each text by counts of the words
+    themselves, its own left out; None for texts without words."""
+    texts = [["<s>", *words_of(text), "</s>"] for _, text in rows]
+    texts = [t if len(t) > 2 else None for t in texts]
+    pairs, words, histories = ([Counter(), Counter()] for _ in range(3))
+    for (key, _), t in zip(rows, texts, strict=True):
+        if t:
+            m = 0 if is_target(key) else 1
+            words[m].update(t[1:])
+            histories[m].update(t[:-1])
+            pairs[m].update(zip(t, t[1:]))
+    size = vocabulary or len(words[0] | words[1])
+    out = []
+    for (key, _), t in zip(rows, texts, strict=True):
+        if not t:
+            out.append(None)
             continue
-        loss = []
-        for c in counts:
-            n = sum(c["w"].values())
-            total = 0
-            for w, h, p in ids[id(row)]:
-                unigram = (c["w"][w] + 1) / (n + M.WORDS)
-                total -= math.log2((c["p"][p] + M.PRIOR * unigram) / (c["h"][h] + M.PRIOR))
-            loss.append(total / len(ids[id(row)]))
-        assert r["target_loss"] == pytest.approx(loss[0], abs=1e-4) and r["score"] == pytest.approx(loss[0] - loss[1], abs=1e-4)
+        both = []
+        for m in (0, 1):
+            own = t if is_target(key) == (m == 0) else []
+            own_words, own_histories, own_pairs = Counter(own[1:]), Counter(own[:-1]), Counter(zip(own, own[1:]))
+            total, loss = sum(words[m].values()) + size, 0
+            for h, w in zip(t, t[1:]):
+                p = (words[m][w] - own_words[w] + 1) / total
+                one = -math.log2((pairs[m][h, w] - own_pairs[h, w] + M.PRIOR * p) / (histories[m][h] - own_histories[h] + M.PRIOR))
+                assert one >= 0
+                loss += one
+            both.append(loss / (len(t) - 1))
+        out.append(both)
+    return out
+
+
+def test_lm_scores_equal_plain_counts(spark, odd_docs, no_docs):
+    target = spark.createDataFrame([(6,), (9,), (None,), (9,)], "id long")
+    rows = [(r[0], r[1]) for r in odd_docs.rows]
+    want = plain_losses(rows, lambda i: i in (6, 9))
+    got = defaultdict(list)
+    for r in M.cross_entropy_difference(odd_docs, target).collect():
+        got[r["doc_id"], r["n_tokens"]].append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for row, loss in zip(rows, want, strict=True):
+        for r in got[row[0], len(words_of(row[1]))]:
+            if loss is None:
+                assert r["score"] is None and r["target_loss"] is None
+            else:
+                assert r["target_loss"] == pytest.approx(loss[0], abs=1e-4) and r["background_loss"] == pytest.approx(loss[1], abs=1e-4)
+                assert r["score"] == pytest.approx(r["target_loss"] - r["background_loss"], abs=1e-9)
     assert M.cross_entropy_difference(no_docs, target).count() == 0
+    alone = plain_losses(rows, lambda i: False)
+    for r in M.cross_entropy_difference(odd_docs.where("doc_id = 14"), target).union(M.cross_entropy_difference(odd_docs, target.limit(0)).where("doc_id = 10")).collect():
+        if r["doc_id"] == 10:
+            assert r["background_loss"] == pytest.approx(next(x[1] for x, row in zip(alone, rows, strict=True) if row[0] == 10), abs=1e-4)
+        else:
+            assert r["n_tokens"] == 20_000 and r["score"] is not None
 
 
-@pytest.mark.parametrize("vocabulary", [M.WORDS, None])
-def test_lm_counts_share_no_slots(spark, monkeypatch, vocabulary):
-    """More words than 2^15, some buckets, some hot words: losses are those of
-    counts by the words themselves, and never negative."""
-    monkeypatch.setattr(M, "BUCKET", 40_000, raising=False)
-    monkeypatch.setattr(M, "HOT", 5, raising=False)
+@pytest.mark.parametrize("vocabulary", [1 << 16, None])
+def test_lm_counts_are_exact_over_many_buckets(spark, monkeypatch, vocabulary):
+    """More words than 2^15, some buckets, some hot words, more rows than one in
+    a bucket, ids that are strings."""
+    monkeypatch.setattr(M, "BUCKET", 40_000)
+    monkeypatch.setattr(M, "HOT", 5)
     rng = random.Random(16)
-    rows = [(i, " ".join(rng.choice("abcdefgh") if rng.random() < 0.3 else f"w{rng.randrange(60_000)}" for _ in range(800))) for i in range(300)]
-    given = {} if vocabulary else {"vocabulary": None}
-    got = M.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.range(30), **given).collect()
-    pairs, words, histories = ([Counter(), Counter()] for _ in range(3))
-    for i, text in rows:
-        seq = text.split(" ")
-        words[i >= 30].update(seq)
-        histories[i >= 30].update(["", *seq[:-1]])
-        pairs[i >= 30].update(zip(["", *seq], seq))
-    size = vocabulary or len(words[0] | words[1])
-    texts = dict(rows)
-    assert len(got) == len(rows)
+    rows = [(f"d{i}", " ".join(rng.choice("abcdefgh") if rng.random() < 0.3 else f"w{rng.randrange(60_000)}" for _ in range(800))) for i in range(300)]
+    target = spark.range(30).select(F.concat(F.lit("d"), "id"))
+    got = M.cross_entropy_difference(spark.createDataFrame(rows, "doc_id string, text string").repartition(3), target, vocabulary=vocabulary).collect()
+    want = dict(zip((r[0] for r in rows), plain_losses(rows, lambda i: int(i[1:]) < 30, vocabulary), strict=True))
+    assert sorted(r["doc_id"] for r in got) == sorted(want)
     for r in got:
-        seq = texts[r["doc_id"]].split(" ")
-        for m, name in enumerate(("target_loss", "background_loss")):
-            total = sum(words[m].values()) + size
-            loss = [-math.log2((pairs[m][h, w] + M.PRIOR * (words[m][w] + 1) / total) / (histories[m][h] + M.PRIOR)) for h, w in zip(["", *seq], seq)]
-            assert min(loss) >= 0 and r[name] == pytest.approx(sum(loss) / len(seq), abs=1e-4)
+        assert (r["target_loss"], r["background_loss"]) == pytest.approx(want[r["doc_id"]], abs=1e-4)
+
+
+def test_lm_score_is_no_memory_of_the_text(spark):
+    """Texts of the target and texts of the same kind outside it score alike."""
+    rng = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(400)] for k in "ab"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2]) for _ in range(200))) for i in range(200)]
+    got = {r["doc_id"]: r["score"] for r in M.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(0, 100, 2)).collect()}
+    seen, unseen, other = [got[i] for i in range(0, 100, 2)], [got[i] for i in range(100, 200, 2)], [got[i] for i in range(1, 200, 2)]
+    assert max(seen + unseen) < min(other)
+    assert abs(np.mean(seen) - np.mean(unseen)) < 0.1 * (np.mean(other) - np.mean(unseen))
 
 
 # --------------------------------------------------------------------- search

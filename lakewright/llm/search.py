@@ -54,14 +54,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import Words, blocks, buffers, need_integers, stored
 
 K1, B = 1.2, 0.75
-SHARD_DOCS = 8192
-SHARD_POSTINGS = 3_000_000
+SHARD_DOCS = 4096
+SHARD_POSTINGS = 1_500_000
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 8, 256, 6
 BLOCK_DOCS = 64
 DENSE_TERMS, DENSE_SHARE = 1024, 32  # at most so many words, each in 1/32 of a segment's documents at least
 QUERY_TERMS, QUERY_BLOCK = 2_000_000, 16_384  # of a block of queries on average
 BATCH = 256  # queries whose scores lie side by side
-LEAD_SHARDS, LEAD_DOCS = 16, 256
+LEAD_SHARDS, LEAD_DOCS = 16, 64
 NO_ID = np.iinfo(np.int64).max
 SLACK = 2e-6  # rounding to six places
 _SEGMENT = "shard long, ids binary, lengths binary, terms binary, sizes binary, docs binary, tfs binary"

@@ -191,7 +191,7 @@ def test_lm_score_is_no_memory_of_the_text(spark):
 # --------------------------------------------------------------------- search
 
 
-@pytest.mark.parametrize(("shard", "block"), [(8192, 64), (8192, 2), (40, 3)])
+@pytest.mark.parametrize(("shard", "block"), [(4096, 64), (40, 3)])
 def test_search_equals_exhaustive(docs, odd_docs, no_docs, shard, block):
     df = docs.select("doc_id", "text").union(odd_docs.where("doc_id is not null").select(F.col("doc_id") + 1000, "text"))
     rows = df.collect()

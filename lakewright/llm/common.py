@@ -105,6 +105,13 @@ def bounded_sample(df: DataFrame, by: list[str], order: str, most: int) -> DataF
     return df.where(u < share)
 
 
+def dealt_anew(df: DataFrame, key: str) -> DataFrame:
+    """``df``, of one row for each ``key``, dealt out by a hash of it. A join by
+    the key then deals out both of its sides itself, and adaptive execution can
+    split a hot key of the other side, which it can't next to an aggregate."""
+    return df.repartition(F.xxhash64(key, F.lit(1)))
+
+
 FILTER_BITS = 1 << 22
 
 

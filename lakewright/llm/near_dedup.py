@@ -24,9 +24,10 @@
 
 A similar pair (3/4) is missed by all bands with probability 5e-6. Keys are
 counted with map-side combining; hot keys occur only on one side of plain
-joins, which adaptive execution splits.
+joins, which adaptive execution splits, and a pivot's members are dealt out
+with one copy of its set for each ``STAR`` of them.
 
-Cases: null and empty texts and texts of white space have an empty set and are
+Cases: ids are integers; null and empty texts and texts of white space have an empty set and are
 linked with nothing; texts of 1 to 4 words have their whole sequence as the one
 shingle; a null id is never linked and keeps a null component (``kept`` is
 true); rows that repeat an id are one node of the graph; an empty table gives
@@ -42,11 +43,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import FILTER_BITS, U64, Words, bit_filter, blocks, buffers, filter_bit, mix, need_integers, spread, stored
+from .common import FILTER_BITS, U64, Words, bit_filter, blocks, buffers, dealt_anew, filter_bit, mix, need_integers, spread, stored
 
 BANDS, ROWS = 45, 5
 SMALL = 32
 GROUPS = 32
+STAR = 256  # members that are compared with one copy of their pivot's set
 SIGNATURE = BANDS * ROWS  # minima of which the compact signature keeps a byte
 _RNG = np.random.default_rng(20)
 _ODD = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -134,9 +136,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
+        large = both.join(dealt_anew(least, "a"), "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(least, "b")
+        joined = large.join(dealt_anew(least, "b"), "b")
         small = joined.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         edges = stored(small, "stars")
         ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("x"), F.lit(1).alias("leaf")))).alias("end")).select("end.*")
@@ -152,15 +154,29 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.filter(pa.array((a == b).sum(1) >= 0.6 * SIGNATURE)).select([0, 1])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches of (a, salt, b, set) in this order, without the rows that hold
+    the set of ``a`` (b is null), and the two sets of each row."""
+    own = None
+    for batch in batches:
+        sets, other = [], batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+        for k in range(batch.num_rows):
+            one = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+            if other[k]:
+                sets.append((own, one))
+            else:
+                own = one.copy()
+        yield batch.filter(pa.array(other)), sets
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+        for batch, sets in _stars(batches):
+            good = np.zeros(len(sets), bool)
+            for k, (a, b) in enumerate(sets):
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 good[k] = 100 * shared >= percent * (len(a) + len(b) - shared)
-            yield batch.filter(pa.array(good)).select([0, 1])
+            yield batch.filter(pa.array(good)).select([0, 2])
 
     return run
 
@@ -192,12 +208,21 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of shingles that each set shares with its pivot's, in all and
     by group."""
-    for batch in batches:
-        pairs = zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)
-        shared = [np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True) for a, b in pairs]
+    for batch, sets in _stars(batches):
+        shared = [np.intersect1d(a, b, assume_unique=True) for a, b in sets]
         groups = [np.bincount((x % U64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32) for x in shared]
         columns = [pa.array([len(x) for x in shared], pa.int64()), pa.array(groups, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc", "p", "s", "g"])
+        yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *columns], names=["doc", "p", "s", "g"])
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, salt, b, set) of distinct pairs, sorted, for ``_stars``: the set of
+    each b, and that of a once for each ``STAR`` of its pairs, before them."""
+    many = dealt_anew(pairs.groupBy("a").agg(F.count("*").alias("many")), "a")
+    salts = F.ceil(F.col("many") / STAR)
+    rows = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), salts).alias("salt"), "b").join(sets.select(F.col("doc").alias("b"), "shingles"), "b")
+    heads = many.join(sets.select(F.col("doc").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "shingles")
+    return rows.select(heads.columns).union(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
 
 
 class NearDuplicates:
@@ -206,8 +231,9 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, filter_bits: int = FILTER_BITS) -> None:
         need_integers(docs, id_col)
         self.size, self.percent, self.filter_bits = size, percent, filter_bits
-        self.texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null")
-        self.signed = stored(sign(docs, id_col, text_col, size), "signed")
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.texts = docs.withColumnRenamed("doc_id", "doc").where("doc is not null")
+        self.signed = stored(sign(docs, size=size), "signed")
         linkable = self.signed.where("n_shingles > 0 and doc_id is not null")
         self.classes = stored(linkable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
         self.reps = stored(
@@ -246,8 +272,8 @@ class NearDuplicates:
         shingles = sets.mapInArrow(_shingle_rows, "shingle long, doc long")
         alone = shingles.groupBy("shingle").agg(F.min("doc").alias("doc"), F.max("doc").alias("last")).where("doc = last")
         alone = alone.groupBy("doc").agg(F.count("*").alias("u"))
-        with_pivot = mixed.select("doc", "p").distinct().join(sets, "doc").join(sets.toDF("p", "pivot"), "p").select("doc", "p", "shingles", "pivot")
-        common = with_pivot.mapInArrow(_common, "doc long, p long, s long, g array<int>")
+        with_pivot = mixed.select(F.col("p").alias("a"), F.col("doc").alias("b")).distinct()
+        common = _with_sets(with_pivot, sets).mapInArrow(_common, "doc long, p long, s long, g array<int>")
         mixed = mixed.join(alone, "doc", "left").join(common, ["doc", "p"]).withColumn("e", F.col("n") - F.col("s") - F.coalesce("u", F.lit(0)))
         mixed = stored(mixed.where((F.col("s") + F.col("e")) * 100 >= F.col("n") * self.percent).join(sig, "doc"), "possible")
         self._verify(self._near_pairs(mixed, mixed.where("c <> main"), (F.col("c") != F.col("d")) & ((F.col("c") == F.col("main")) | (F.col("doc") < F.col("other")))))
@@ -286,8 +312,7 @@ class NearDuplicates:
         if self.links is not None and pairs.isEmpty():
             return
         sets = stored(self._sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc"))), "sets")
-        full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        links = stored(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
+        links = stored(_with_sets(pairs, sets).mapInArrow(_confirm(self.percent), "a long, b long"), "links")
         if self.links is None:
             self.links, self.stars = links, components(links)
         elif not links.isEmpty():
@@ -295,7 +320,8 @@ class NearDuplicates:
             self.stars = components(links.union(self.stars.select(F.col("component").alias("a"), F.col("node").alias("b"))))
 
     def result(self) -> DataFrame:
-        """doc_id, n_shingles, component_id, kept, n_links (of its class)."""
+        """doc_id, n_shingles, component_id, kept, n_links (confirmed links of its
+        class; pairs that are already in one component are not all compared)."""
         pairs = self.links.distinct()
         degree = pairs.select("a").union(pairs.select("b")).groupBy(F.col("a").alias("rep")).agg(F.count("*").alias("n_links"))
         classes = self.classes.join(degree, "rep", "left").join(self.stars.withColumnRenamed("node", "rep"), "rep", "left")

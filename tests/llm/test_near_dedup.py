@@ -1,9 +1,11 @@
 import random
 from itertools import combinations
 
+import pytest
 from conftest import prose, words_of
 
-from lakewright.llm.near_dedup import components, keep_one, near_duplicates
+from lakewright.llm import near_dedup as N
+from lakewright.llm.near_dedup import NearDuplicates, components, keep_one, near_duplicates
 
 
 def shingles(text, size=5):
@@ -29,10 +31,10 @@ def brute_force(rows):
     return {x: find(x) for x in up}
 
 
-def check(df):
+def check(df, **given):
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     expected = brute_force([r for r in rows if r[0] is not None])
-    got = near_duplicates(df).collect()
+    got = NearDuplicates(df, **given).result().collect()
     assert len(got) == len(rows)
     for r in got:
         if r["doc_id"] is None:
@@ -71,6 +73,29 @@ def test_crowded_buckets(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
 
 
+def test_crowd_below_the_threshold_and_a_hub(spark, monkeypatch):
+    """One text in many exact copies and hundreds of near ones, beside a crowd
+    that shares two thirds of a text and is linked with nothing; with a filter
+    that tells no documents apart, and few pairs for each copy of a set."""
+    monkeypatch.setattr(N, "STAR", 7)
+    rng = random.Random(12)
+    base, other = prose(rng, 120).split(" "), prose(rng, 90)
+    rows = [(i, " ".join(base)) for i in range(150)]
+    for i in range(150, 350):
+        text = list(base)
+        text[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, other + " " + prose(rng, 45)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    check(df)
+    check(df, filter_bits=64)
+
+
+def test_ids_are_integers(spark):
+    with pytest.raises(TypeError, match="doc_id is string"):
+        near_duplicates(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_keep_one(odd_docs):
     kept = keep_one(odd_docs)
     assert kept.columns == odd_docs.columns

@@ -3,17 +3,18 @@
 An archive is one file. It begins with a skippable frame (magic 0x184D2A5D)
 that holds the dictionary, itself a Zstandard frame; then follows one frame for
 each record, compressed with that dictionary, so that a record can be read on
-its own. Tasks write archives of bounded size straight to the shared folder
-(under a name of their own attempt, moved into place when complete) and report
-the finished files; a repeated task leaves no second copy among the reported
-files. The reader takes the reported files through Spark's binary file source
-and validates magics, headers, lengths, record ends and digests.
+its own. Tasks write archives of bounded size straight to the shared folder,
+under hidden names of their own attempt, and report the finished files in a
+stored table; then a job over that table gives those files their visible names.
+So the reader takes a folder, and a repeated task leaves no second copy in it.
+The reader uses Spark's binary file source and validates magics, headers,
+lengths, record ends and digests.
 
 Records with equal payloads: the one with the largest page id is a response,
 the others are revisits of it and carry no payload (identical-payload-digest
 profile). Payloads smaller than ``least`` bytes are always responses.
 
-Cases: a null payload is empty; null urls are written as an empty target; rows
+Cases: ids are integers; a null payload is empty; null urls are written as an empty target; rows
 that repeat an id are records of their own (all with the largest id are
 responses); a null id is the smallest; an empty table gives no archive; extra
 columns are ignored.
@@ -34,11 +35,12 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import shared_dir
+from .common import dealt_anew, need_integers, shared_dir, stored
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 ARCHIVE_BYTES = 4 << 20
+STEP = 1 << 16  # bytes that the reader gives to a frame at once
 DICTIONARY_BYTES = 16 << 10
 SAMPLE_PAGES, SAMPLE_BYTES = 400, 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -143,15 +145,17 @@ def read_archive(data: bytes) -> Iterator[bytes]:
     while at < len(data):
         if data[at : at + 4] != FRAME_MAGIC:
             raise BadArchive(f"no frame begins at byte {at}")
-        frame = reader.decompressobj()
-        try:
-            record = frame.decompress(memoryview(data)[at:])
-        except zstandard.ZstdError as e:
-            raise BadArchive(f"the frame at byte {at} is broken: {e}") from e
-        if not frame.eof:
-            raise BadArchive(f"the frame at byte {at} is cut off")
-        at = len(data) - len(frame.unused_data)
-        yield record
+        frame, parts, stop = reader.decompressobj(), [], at
+        while not frame.eof:
+            if stop >= len(data):
+                raise BadArchive(f"the frame at byte {at} is cut off")
+            try:
+                parts.append(frame.decompress(memoryview(data)[stop : stop + STEP]))
+            except zstandard.ZstdError as e:
+                raise BadArchive(f"the frame at byte {at} is broken: {e}") from e
+            stop = min(len(data), stop + STEP)
+        at = stop - len(frame.unused_data)
+        yield b"".join(parts)
 
 
 def train_dictionary(pages: DataFrame, payload_col: str, size: int = DICTIONARY_BYTES) -> bytes:
@@ -169,15 +173,17 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
 
 
-def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> list[str]:
-    """Write one record for each row; returns the archives' paths."""
+def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Write one record for each row into archives in a new folder, which is
+    returned; its table ``_archives`` (name, records, bytes) lists them."""
+    need_integers(pages, id_col)
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     base = base.withColumns({"code": F.sha1("payload"), "size": F.octet_length("payload")})
     newest = base.where(F.col("size") >= least).groupBy("code").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1")
-    base = base.join(newest.select("code", "newest"), "code", "left")
+    base = base.join(dealt_anew(newest.select("code", "newest"), "code"), "code", "left")
     revisit = F.col("newest").isNotNull() & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("newest"))
     base = base.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", F.unhex("code").alias("sha1"), F.when(revisit, F.col("newest")).alias("refers_to"), revisit.alias("revisit"))
     dictionary = spark.sparkContext.broadcast(train_dictionary(pages, payload_col))
@@ -185,35 +191,45 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
-        done, out, writer, name = [], None, None, ""
+        out = writer = None
+        name, records = "", 0
 
-        def close() -> None:
+        def close() -> pa.RecordBatch:
             out.close()
-            files.move(f"{root}/.{name}", f"{root}/{name}")
-            done.append(f"{folder}/{name}")
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records]), pa.array([writer.size])], names=["name", "records", "bytes"])
 
         for batch in batches:
             for page_id, url, payload, size, sha1, refers_to, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if writer is None or writer.size >= archive_bytes:
                     if writer is not None:
-                        close()
-                    name = f"{uuid.uuid4().hex}.warc.zst"
+                        yield close()
+                    name, records = f"{uuid.uuid4().hex}.warc.zst", 0
                     out = files.open_output_stream(f"{root}/.{name}", compression=None)
                     writer = ArchiveWriter(out, dictionary.value)
                 writer.add(write_record(page_id, url, payload, size, base64.b32encode(sha1).decode(), refers_to, bool(again)))
+                records += 1
         if writer is not None:
-            close()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["path"])
+            yield close()
 
-    return [r[0] for r in base.mapInArrow(run, "path string").collect()]
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _filesystem(folder)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                if files.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:  # else shown by an earlier attempt
+                    files.move(f"{root}/.{name}", f"{root}/{name}")
+            yield batch.select([0])
+
+    reported = f"{folder}/_archives"
+    base.mapInArrow(run, "name string, records long, bytes long").write.parquet(reported)
+    spark.read.parquet(reported).select("name").mapInArrow(show, "name string").write.format("noop").mode("overwrite").save()
+    return folder
 
 
-def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, record_type, payload (null for revisits), payload_digest,
-    stated_bytes (as the record's HTTP header gives it), refers_to."""
+    stated_bytes (as the record's HTTP header gives it), refers_to of all
+    archives in a folder."""
     schema = "page_id long, url string, record_type string, payload binary, payload_digest string, stated_bytes long, refers_to long"
-    if not paths:
-        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -230,8 +246,7 @@ def read_archives(spark: SparkSession, paths: list[str]) -> DataFrame:
                         rows, held = [], 0
                 yield _frame(rows)
 
-    files = spark.read.format("binaryFile").load(paths).select("content")
-    return files.mapInPandas(run, schema)
+    return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(run, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -244,8 +259,9 @@ def resolve(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; a revisit
     takes the length from the response that it names, and must name one with
     its digest."""
-    known = records.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("own"))
+    known = stored(records.select("page_id", "record_type", "payload_digest", "refers_to", F.octet_length("payload").cast("long").alias("own")), "records")
     target = known.where("record_type = 'response'").select(F.col("page_id").alias("target"), F.col("payload_digest").alias("same"), F.col("own").alias("full")).distinct()
+    target = dealt_anew(target, "target")
     revisit = known.where("record_type = 'revisit'").join(target, (F.col("refers_to") == F.col("target")) & (F.col("payload_digest") == F.col("same")), "left")
     lost = F.raise_error(F.concat(F.lit("the target of a revisit is missing: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null"))))
     revisit = revisit.select("page_id", F.coalesce("full", lost.cast("long")).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from conftest import prose, words_of
+from pyspark.sql import functions as F
 
 from lakewright.llm import decontamination as D, warc as A
 from lakewright.llm.common import prepare
@@ -14,9 +15,13 @@ def test_round_trip(spark, tmp_path):
     rows = [(i, f"https://x/{i}", f"<p>{'é' * (i % 7)} {i % 11}</p>", None) for i in range(300)]
     rows += [(500, None, None, "x"), (501, "a\r\nb", "", None), (502, "u", "z" * 300_000, None), (None, "n", rows[5][2], None), (299, "again", rows[299][2], None)]
     pages = spark.createDataFrame(rows, PAGES).repartition(3)
-    paths = A.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=4000)
-    assert len(paths) > 3 and all((tmp_path / "w" / p.rpartition("/")[2]).exists() for p in paths)
-    records = A.read_archives(spark, paths)
+    folder = A.write_archives(pages, f"file://{tmp_path}/w", archive_bytes=4000)
+    listed = {r["name"]: r for r in spark.read.parquet(f"{folder}/_archives").collect()}
+    assert len(listed) > 3 and sum(r["records"] for r in listed.values()) == len(rows)
+    assert {f.name for f in (tmp_path / "w").glob("*.zst") if f.name[0] != "."} == set(listed)
+    assert all((tmp_path / "w" / name).stat().st_size == r["bytes"] for name, r in listed.items())
+    (tmp_path / "w" / ".lost.warc.zst").write_bytes(b"left by a task that was repeated")
+    records = A.read_archives(spark, folder)
     assert records.count() == len(rows)
     newest = {}
     for page_id, _, html, _ in rows:
@@ -27,6 +32,8 @@ def test_round_trip(spark, tmp_path):
     payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in records.where("record_type = 'response'").collect()}
     assert payloads[502] == "z" * 300_000
     assert A.resolve(A.read_archives(spark, A.write_archives(pages.limit(0), f"file://{tmp_path}/e"))).count() == 0
+    with pytest.raises(TypeError):
+        A.write_archives(pages.withColumn("page_id", F.lit("x")))
 
 
 def test_broken_archives(tmp_path):

@@ -13,9 +13,8 @@ judge itself: its own c(h, w), c(h) and c(w) are left out of the model that it
 is part of (N stays), so that texts of the target and like texts outside it are
 scored alike.
 
-1. The target's texts are picked by a bit filter of fixed size and an exact join
-   of what passes it; no other text is shuffled. All texts give the total counts,
-   the target's texts give its own, and the background is the difference.
+1. A bit filter of fixed size tells most texts at once to be of the background;
+   those that pass it are joined with the target's ids. No other text is shuffled.
 2. One pass counts the words; sums over the corpus, the number of distinct words
    and the ``HOT`` most frequent words go to the driver, so what it holds is of
    fixed size.
@@ -28,10 +27,9 @@ scored alike.
    a task adds the parts of its buckets before it sends them, and they meet by
    block of documents.
 
-Every document passes as one of the background, and the target's once more as
-such; a join with the target's ids keeps the one that applies. The history's
-part of a loss, log2(c(h) + M), is summed where the history is the word, as each
-word of a text is a history once. Keys are hashes of 48 bits inside a bucket.
+The history's part of a loss, log2(c(h) + M), is summed where the history is the
+word, as each word of a text is a history once. Keys are hashes: a word's of 48
+bits inside its bucket, a word before of 40 bits inside the word.
 
 Cases: null and empty texts have no tokens and null losses; null ids belong to
 the background and pass through; repeated rows count and are scored each (a copy
@@ -46,7 +44,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -56,23 +55,28 @@ PRIOR = 64.0  # M
 START = U64(0x5EED)  # the history of a text's first word
 END = U64(0xE7D)  # the word after a text's last
 HOT = 4096
-BUCKET = 1_000_000  # tokens of a bucket on average
-GATHER = 8 << 20  # bytes of a block of documents; the larger, the fewer repeated keys
+BUCKET = 500_000  # tokens of a bucket on average
+GATHER = 4 << 20  # bytes of a block of documents; the larger, the fewer repeated keys
+FILTER = 1 << 26  # bits of the filter
 ROW = 8192  # entries of a packed row at the most, but for one word's
 PARTS = 2_000_000  # documents whose parts a task adds up
-SHORT = U64(16)  # bits that a packed key leaves out
+WORD_BYTES, PAIR_BYTES = 6, 5  # of packed keys
+SHORT = U64(16)  # bits that a packed word leaves out
 _PLACE = np.random.default_rng(6).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``GATHER`` bytes of text."""
+def _gathered(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(id, text, target, bit) in batches of about ``GATHER`` bytes of text; rows
+    whose bit is set are left to the table of those that were looked up."""
     held, size = [], 0
     for batch in batches:
-        if held and size + batch.column(column).nbytes > GATHER:
+        bit = batch.column(3).fill_null(-1).to_numpy()
+        batch = batch.filter(pa.array((bit < 0) | ((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 0)))
+        if held and size + batch.column(1).nbytes > GATHER:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
             held, size = [], 0
         held.append(batch)
-        size += batch.column(column).nbytes
+        size += batch.column(1).nbytes
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
@@ -83,7 +87,7 @@ class _Totals:
 
     def __init__(self, events: list[int], texts: list[int], words: int, hot: list[tuple[int, int, int]]) -> None:
         self.events, self.texts, self.words = events, texts, words
-        counts = {key: (target, total - target) for key, total, target in hot} | {int(END): tuple(texts)}
+        counts = {key: (target, background) for key, target, background in hot} | {int(END): tuple(texts)}
         keys = np.array(list(counts), np.int64).view(U64)
         order = np.argsort(keys)
         self.hot, self.count = keys[order], np.array(list(counts.values()), np.int64).reshape(-1, 2)[order].T
@@ -96,38 +100,36 @@ class _Totals:
         return keys[at] == word, at
 
 
-def _count_words(texts: DataFrame, size: int | None) -> _Totals:
-    names = ["word", "total", "target"]
+def _count_words(texts: DataFrame, wanted: Broadcast, size: int | None) -> _Totals:
+    names = ["word", "target", "background"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gathered(batches, 1):
+        for batch in _gathered(batches, wanted):
             raw, offsets = buffers(batch.column(1))
             own = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 key, at = np.unique(words.hash, return_inverse=True)
-                key = np.append(key, END)
-                target = np.append(np.bincount(at[own[i:j][words.doc]], minlength=len(key) - 1), np.count_nonzero((words.count > 0) & own[i:j]))
-                both = np.append(np.bincount(at, minlength=len(key) - 1), np.count_nonzero(words.count))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(both - target), pa.array(target)], names=names)
+                kinds = [np.append(np.bincount(at[use[words.doc]], minlength=len(key)), np.count_nonzero((words.count > 0) & use)) for use in (own[i:j], ~own[i:j])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(key, END).view(np.int64)), *map(pa.array, kinds)], names=names)
 
-    counted = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("word").agg(F.sum("total").alias("total"), F.sum("target").alias("target")).where("total > 0")
+    counted = texts.mapInArrow(run, ", ".join(f"{c} long" for c in names)).groupBy("word").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).where("target + background > 0")
     seen = Observation()
     ends = F.col("word") == int(END)
-    sums = [F.coalesce(F.sum(x), F.lit(0)).alias(c) for c, x in (("total", F.col("total")), ("target", F.col("target")), ("texts", F.when(ends, F.col("total"))), ("own", F.when(ends, F.col("target"))))]
-    hot = counted.observe(seen, F.count("*").alias("words"), *sums).orderBy(F.desc("total"), "word").limit(HOT).collect()
+    sums = [F.coalesce(F.sum(F.when(use, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, use in enumerate((F.lit(True), ends)) for c in names[1:]]
+    hot = counted.observe(seen, F.count("*").alias("words"), *sums).orderBy(F.desc(F.col("target") + F.col("background")), "word").limit(HOT).collect()
     s = seen.get
-    return _Totals([s["target"], s["total"] - s["target"]], [s["own"], s["texts"] - s["own"]], s["words"] if size is None else size, [tuple(r) for r in hot])
+    return _Totals([s["target0"], s["background0"]], [s["target1"], s["background1"]], s["words"] if size is None else size, [tuple(r) for r in hot])
 
 
-def _keys(x: np.ndarray) -> bytes:
-    """Keys of 48 bits."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _keys(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of keys."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def _full(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _full(data: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(data) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(data, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
@@ -141,7 +143,20 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-_PACKED = ["word", "pairs_of_word", "pair", "docs_of_pair", "doc", "n", "m"]
+def _squeezed(arrays: list[np.ndarray]) -> bytes:
+    """Some arrays of small integers, compressed together."""
+    parts = [_small(x) for x in arrays]
+    sizes = np.array([len(p) for p in parts], "<u4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(sizes + b"".join(parts))
+
+
+def _released(data: bytes, many: int) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    ends = 4 * many + np.cumsum(np.frombuffer(data, "<u4", many))
+    return [_large(data[a:b]) for a, b in zip([4 * many, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+_PACKED = ["word", "pair", "counts"]  # counts: pairs of a word, documents of a pair, and for each of these the document, n and m
 
 
 def _events(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +191,7 @@ def _pack(words: Words, totals: _Totals) -> Iterator[tuple[int, list[bytes]]]:
     own = own[at]
     hot, _ = totals.places(word, totals.hot)
     bucket = mix(np.where(hot, pair, word)) % U64(totals.buckets)
-    word, pair = word >> SHORT, pair >> SHORT
+    word, pair = word >> SHORT, pair & U64((1 << 8 * PAIR_BYTES) - 1)
     minor = ((pair << SHORT) | doc.astype(U64),) if len(words.count) <= 1 << 16 else (doc, pair)
     order = np.lexsort((*minor, word, bucket))
     word, pair, doc, bucket, own = word[order], pair[order], doc[order], bucket[order].astype(np.int64), own[order]
@@ -192,16 +207,16 @@ def _pack(words: Words, totals: _Totals) -> Iterator[tuple[int, list[bytes]]]:
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         p, w = np.flatnonzero(new_pair[a:b]), np.flatnonzero(new_word[a:b])
         of_word = np.diff(np.append(np.searchsorted(p, w), len(p)))
-        yield int(bucket[a]), [_keys(word[a:b][w]), _small(of_word), _keys(pair[a:b][p]), _small(np.diff(np.append(p, b - a))), _small(doc[a:b]), _small(n[a:b]), _small(own[a:b])]
+        yield int(bucket[a]), [_keys(word[a:b][w], WORD_BYTES), _keys(pair[a:b][p], PAIR_BYTES), _squeezed([of_word, np.diff(np.append(p, b - a)), doc[a:b], n[a:b], own[a:b]])]
 
 
-def _bucketer(held, id_kind: pa.DataType):
+def _bucketer(held: Broadcast, wanted: Broadcast, id_kind: pa.DataType):
     names = ["block", "bucket", "target", "size", "ids", "n_tokens", *_PACKED]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.list_(id_kind), pa.list_(pa.int64()), *[pa.binary()] * len(_PACKED)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals, block = held.value, TaskContext.get().partitionId() << 32
-        for batch, target in ((b.filter(pc.equal(b.column(2), t)), t) for b in _gathered(batches, 1) for t in (False, True)):
+        for batch, target in ((b.filter(pc.equal(b.column(2), t)), t) for b in _gathered(batches, wanted) for t in (False, True)):
             raw, offsets = buffers(batch.column(1))
             for i, j in blocks(offsets, GATHER):
                 words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -218,31 +233,22 @@ def _bucketer(held, id_kind: pa.DataType):
 
 def _losses(rows: list[dict], totals: _Totals) -> Iterator[tuple[dict, np.ndarray]]:
     """(row, (2, documents) parts of the losses) of the rows of one bucket."""
-    word, pair, of_word, of_pair, doc, n, m = ([] for _ in _PACKED)
-    for r in rows:
-        for out, name in ((of_word, "pairs_of_word"), (of_pair, "docs_of_pair"), (doc, "doc"), (n, "n"), (m, "m")):
-            out.append(_large(r[name]))
-        word.append(_full(r["word"]))
-        pair.append(_full(r["pair"]))
-    size = [len(x) for x in doc]
+    counts = [_released(r["counts"], 5) for r in rows]
+    size = [len(c[2]) for c in counts]
     target = np.repeat([r["target"] for r in rows], size)
-    of_word, of_pair, doc, n, m = (np.concatenate(x) for x in (of_word, of_pair, doc, n, m))
-    words, at = np.unique(np.concatenate(word), return_inverse=True)
-    at_word = np.repeat(np.repeat(at, of_word), of_pair)
-    _, at = np.unique(np.concatenate(pair), return_inverse=True)
-    at_pair = np.repeat(at, of_pair)
+    of_word, of_pair, doc, n, m = (np.concatenate(x) for x in zip(*counts, strict=True))
+    words, at = np.unique(np.concatenate([_full(r["word"], WORD_BYTES) for r in rows]), return_inverse=True)
+    at = np.repeat(at, of_word)
+    at_word = np.repeat(at, of_pair)
+    pair = np.concatenate([_full(r["pair"], PAIR_BYTES) for r in rows])
+    at_pair = np.repeat(np.unique(mix(pair) + words[at] * _PLACE[0], return_inverse=True)[1], of_pair)
     is_hot, place = totals.places(words, totals.short)
-    loss = np.zeros((2, len(doc)))
     history = words != END >> SHORT
-    count = [np.bincount(at_pair, n * target), np.bincount(at_pair, n * ~target)]
-    whole = [np.bincount(at_word, n * target, len(words)), np.bincount(at_word, n * ~target, len(words))]
-    for model in (0, 1):
-        c = count[0] if model == 0 else count[1] - count[0]
-        w = whole[0] if model == 0 else whole[1] - whole[0]
+    loss = np.zeros((2, len(doc)))
+    for model, mine in enumerate((target, ~target)):
+        c, w = np.bincount(at_pair, n * mine), np.bincount(at_word, n * mine, len(words))
         w[is_hot] = totals.count[model][place[is_hot]]
-        mine = target if model == 0 else ~target
-        # in the passes that do not apply own counts are more than there are
-        c, w = np.maximum(0, c[at_pair] - n * mine), np.maximum(0, w[at_word] - m * mine)
+        c, w = c[at_pair] - n * mine, w[at_word] - m * mine
         p = (w + 1.0) / (totals.events[model] + totals.words)
         loss[model] = n * (np.where(history[at_word], np.log2(w + PRIOR), 0) - np.log2(c + PRIOR * p))
     edges = np.concatenate(([0], np.cumsum(size))).tolist()
@@ -296,13 +302,13 @@ def _block_scores(held):
         named = table.filter(table["ids"].is_valid())
         ids, count, target = named["ids"][0].values, np.array(named["n_tokens"][0].as_py(), np.int64), named["target"][0].as_py()
         own = np.array([target, not target])
-        loss = np.tile(np.log2(np.maximum(0, np.array(totals.texts) - own) + PRIOR)[:, None], (1, len(count)))
+        loss = np.tile(np.log2(np.maximum(0, np.array(totals.texts) - own) + PRIOR)[:, None], (1, len(count)))  # of START
         for doc, sums in zip(table["doc"].to_pylist(), table["loss"].to_pylist(), strict=True):
             if doc is not None:
                 loss[:, _large(doc)] += np.frombuffer(sums, "<f4").reshape(2, -1)
         mean = loss / (count + 1)
         columns = [pa.array(v, mask=count == 0) for v in (*mean, mean[0] - mean[1])]
-        return pa.table([ids, pa.array(count), *columns, pa.array(np.full(len(count), target))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score", "as_target"])
+        return pa.table([ids, pa.array(count), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run
 
@@ -317,24 +323,25 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     kind = base.schema["doc_id"].dataType
     name = kind.simpleString()
     ids = target_ids.toDF("_target").select(F.col("_target").cast(kind)).where("_target is not null").distinct()
-    maybe = base.withColumn("bit", filter_bit("doc_id")).mapInArrow(_passing(bit_filter(ids, "_target")), base.schema)
-    target = stored(maybe.join(ids, F.col("doc_id") == F.col("_target"), "left_semi"), "lm-target")
-    texts = base.withColumn("target", F.lit(False)).union(target.withColumn("target", F.lit(True)))
-    held = spark.sparkContext.broadcast(_count_words(texts, vocabulary))
+    wanted = bit_filter(ids, "_target", FILTER)
+    placed = base.select("doc_id", "text", F.lit(False).alias("target"), filter_bit("doc_id", FILTER).alias("bit"))
+    maybe = placed.mapInArrow(_passing(wanted), placed.schema).join(ids, F.col("doc_id") == F.col("_target"), "left")
+    maybe = stored(maybe.select("doc_id", "text", F.col("_target").isNotNull().alias("target"), F.lit(None).cast("long").alias("bit")), "lm-texts")
+    texts = placed.union(maybe)
+    held = spark.sparkContext.broadcast(_count_words(texts, wanted, vocabulary))
     lists = f"ids array<{name}>, n_tokens array<long>"
-    packed = texts.mapInArrow(_bucketer(held, to_arrow_type(kind)), f"block long, bucket long, target boolean, size int, {lists}, " + ", ".join(f"{c} binary" for c in _PACKED))
+    packed = texts.mapInArrow(_bucketer(held, wanted, to_arrow_type(kind)), f"block long, bucket long, target boolean, size int, {lists}, " + ", ".join(f"{c} binary" for c in _PACKED))
     schema = pa.schema([("block", pa.int64()), ("target", pa.bool_()), ("ids", pa.list_(to_arrow_type(kind))), ("n_tokens", pa.list_(pa.int64())), ("doc", pa.binary()), ("loss", pa.binary())])
     parts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_losses(held, schema), f"block long, target boolean, {lists}, doc binary, loss binary")
-    scores = parts.groupBy("block").applyInArrow(_block_scores(held), f"doc_id {name}, n_tokens long, target_loss double, background_loss double, score double, as_target boolean")
-    return scores.join(ids, F.col("doc_id") == F.col("_target"), "left").where(F.col("_target").isNotNull() == F.col("as_target")).drop("_target", "as_target")
+    return parts.groupBy("block").applyInArrow(_block_scores(held), f"doc_id {name}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def _passing(wanted):
-    """The rows whose bit is set, without it."""
+def _passing(wanted: Broadcast):
+    """The rows whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            yield batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 1)).select([0, 1])
+            bit = batch.column(3).to_numpy()
+            yield batch.filter(pa.array((wanted.value[bit >> 3] >> (bit & 7)) & 1 == 1))
 
     return run

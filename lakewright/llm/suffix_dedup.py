@@ -9,22 +9,23 @@ at another place, in the same document or in any other.
    equal anchor fingerprints. Neighbouring windows with one anchor form a run,
    about one for 85 bytes; a run's context is the bytes of all its windows.
 2. Runs are counted by fingerprint and by context (map-side combined, so that
-   a passage in a third of all documents is one count). A context that occurs
-   twice is settled as a whole: all its windows repeat.
-3. Only fingerprints with several contexts of which some occur once need a
-   comparison of bytes. Their distinct contexts are dealt out by fingerprint;
-   a task lays some megabyte of them end to end, sorts all window starts by
-   prefix doubling, computes common prefix lengths from the doubling levels,
-   and scans the intervals of common prefixes of at least ``size`` bytes with a
-   stack. An interval whose occurrences differ in the byte to their left is a
-   maximal repeat, reported with all its occurrences; others are covered by
-   their extension to the left.
+   a passage in a third of all documents is one count). A fingerprint with one
+   context that repeats has a tree of one leaf: the context is its only repeat.
+3. The distinct contexts of all other fingerprints are dealt out by fingerprint,
+   each with the number of its places; a task lays some megabyte of them end to
+   end, sorts all window starts by prefix doubling, computes common prefix lengths
+   from the doubling levels, and scans the intervals of common prefixes of at
+   least ``size`` bytes with a stack. An interval whose occurrences differ in the
+   byte to their left is a maximal repeat; others are covered by their extension
+   to the left, and a context with several places is a repeat as a whole. Every
+   repeat has all its contexts, and through them all its places.
 4. A fingerprint with more than ``GROUP`` distinct contexts is split by salt;
-   its distinct windows are then also counted by content over all salts, and
-   those that were alone under their salt are looked up in these counts.
-5. The spans are merged for each document and cut out of its text.
+   its windows are then also counted by content over all salts, and those that
+   were alone under their salt are looked up in these counts.
+5. The repeats' spans are joined with the places of their contexts, merged for
+   each document and cut out of its text.
 
-Cases: null text is empty; texts shorter than ``size`` are kept whole; equal
+Cases: ids are integers; null text is empty; texts shorter than ``size`` are kept whole; equal
 rows, also with the same id, repeat each other; null ids are documents like any
 other; an empty table gives an empty result; extra columns are ignored.
 """
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import POWERS, U64, blocks, buffers, mix, stored
+from .common import POWERS, U64, blocks, buffers, dealt_anew, mix, need_integers, stored
 
 GRAM = 32
 GROUP = 2048
@@ -189,40 +190,65 @@ class ContextArray:
         return mix((total[self.sa + self.size] - total[self.sa]) * down[self.sa])
 
 
-_OUT = "kind int, fp long, code long, n long, k1 long, k2 long, start long, length long, group_id long"
+_OUT = "kind int, fp long, ctx long, code long, n long, start long, length long, group_id long"
+
+
+def _union(owner: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of spans that overlap or touch, for each owner."""
+    if not len(owner):
+        return owner, start, length
+    wide = int((start + length).max()) + 2
+    order = np.lexsort((start, owner))
+    a = owner[order] * wide + start[order]
+    b = np.maximum.accumulate(owner[order] * wide + (start + length)[order])
+    new = np.append(True, a[1:] > b[:-1])
+    head = np.flatnonzero(new)
+    a, b = a[head], b[np.append(head[1:], len(b)) - 1]
+    return a // wide, a % wide, b - a
 
 
 def _scan(size: int, all_groups: bool):
-    """Contexts sorted by (fp, salt) to marks (kind 0: an occurrence of a
-    maximal repeat) and, for split fingerprints, window counts (kind 1)."""
+    """Contexts sorted by (fp, salt) to places in them (``start`` counts from the
+    context's): kind 0, parts of maximal repeats, group by group or (for cutting)
+    their unions; kind 1, windows of split fingerprints with their counts."""
 
     def block(rows: dict[str, list]) -> pa.RecordBatch:
         array = ContextArray(rows["bytes"], size)
-        many, k1, k2, p0 = (np.array(rows[c], np.int64) for c in ("many", "k1", "k2", "p0"))
+        many, fp, ctx = (np.array(rows[c], np.int64) for c in ("many", "fp", "ctx"))
+        split = np.array(rows["split"], bool)
         owner = array.owner[array.sa]
-        place = p0[owner] + array.sa - array.starts[owner]
-        out: list[tuple[np.ndarray, ...]] = []
+        place = array.sa - array.starts[owner]
+        whole = np.flatnonzero(many > 1)
+        lengths = np.diff(array.starts)
+        found = [(whole, np.zeros(len(whole), np.int64), lengths[whole], np.array([_name(rows["bytes"][k]) for k in whole] if all_groups else whole, np.int64))]
         deepest = np.zeros(len(array.sa), np.int64)
-        fp = np.array(rows["fp"], np.int64)
         for lb, rb, length in array.repeats():
             at = np.arange(lb, rb + 1)
             if not all_groups:
                 at = at[deepest[at] < length]
                 deepest[at] = length
-                at = at[many[owner[at]] == 1]
-            group = int.from_bytes(hashlib.blake2b(array.text[array.sa[lb] : array.sa[lb] + length].tobytes(), digest_size=8).digest(), "little", signed=True)
-            full = lambda x, n=len(at): np.full(n, x, np.int64)
-            out.append((full(0), fp[owner[at]], full(0), many[owner[at]], k1[owner[at]], k2[owner[at]], place[at], full(length), full(group)))
-        # windows of split fingerprints, one for each distinct string
-        cluster = np.concatenate(([0], np.cumsum(array.lcp < size))) if len(owner) else np.zeros(0, np.int64)
-        first = np.flatnonzero(np.append(True, np.diff(cluster) > 0)[: len(owner)])
-        total = np.bincount(cluster, many[owner]).astype(np.int64)
-        use = np.flatnonzero(np.array(rows["split"], bool)[owner[first]])
+            group = _name(array.text[array.sa[lb] : array.sa[lb] + length].tobytes()) if all_groups else 0
+            found.append((owner[at], place[at], np.full(len(at), length), np.full(len(at), group)))
+        o, start, length, group = (np.concatenate(x) for x in zip(*found, strict=True))
+        if all_groups:
+            use = ~split[o]
+            o, start, length, group = o[use], start[use], length[use], group[use]
+        else:
+            o, start, length = _union(o, start, length)
+            group = np.zeros(len(o), np.int64)
+        zero = np.zeros(len(o), np.int64)
+        out = [(zero, fp[o], ctx[o], zero, many[o], start, length, group)]
+        # windows of split fingerprints: all, or one for each distinct string
+        use = np.flatnonzero(split[owner])
         if len(use):
-            at, zero = first[use], np.zeros(len(use), np.int64)
-            code, o = array.window_hashes()[at].view(np.int64), owner[at]
-            out.append((zero + 1, fp[o], code, total[use], k1[o], k2[o], place[at], zero + size, zero))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 9
+            n = many[owner]
+            if not all_groups:
+                cluster = np.concatenate(([0], np.cumsum(array.lcp < size)))
+                first = np.append(True, np.diff(cluster) > 0)
+                n, use = np.bincount(cluster, n).astype(np.int64)[cluster], use[first[use]]
+            o, zero = owner[use], np.zeros(len(use), np.int64)
+            out.append((zero + 1, fp[o], ctx[o], array.window_hashes()[use].view(np.int64), n[use], place[use], zero + size, zero))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(columns[0].astype(np.int32)), *map(pa.array, columns[1:])], names=[x.split()[0] for x in _OUT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +270,16 @@ def _scan(size: int, all_groups: bool):
     return run
 
 
+def _name(data: bytes) -> int:
+    """The id of a repeated string."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 class Repeats:
     """Repeated strings of at least ``size`` bytes in all texts."""
 
-    def __init__(self, docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def __init__(self, docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> None:
+        need_integers(docs, id_col)
         if size < GRAM + 8:
             raise ValueError(f"repeats of at least {GRAM + 8} bytes are found")
         self.size = size
@@ -255,12 +287,13 @@ class Repeats:
         self.docs = docs.select(F.col(id_col).alias("doc_id"), text).withColumns({"k1": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "k2": F.xxhash64("text")})
         runs_of = stored(self._runs(), "runs")
         prints = runs_of.groupBy("fp").agg(F.sum("times").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi")).where("n > 1")
-        self.repeated = stored(runs_of.join(prints.select("fp", F.expr("lo <> hi").alias("several")), "fp"), "repeated")
+        prints = dealt_anew(prints.select("fp", F.expr("lo <> hi").alias("several")), "fp")
+        self.repeated = stored(runs_of.join(prints, "fp"), "repeated")
         contexts = self.repeated.where("several").groupBy("fp", "ctx").agg(F.sum("times").alias("many"), *(F.first(c).alias(c) for c in ("k1", "k2", "p0", "p1")))
         contexts = stored(contexts, "contexts")
-        kinds = contexts.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("many").alias("least")).where("least = 1")
-        salt = F.pmod("ctx", F.ceil(F.col("kinds") / GROUP).cast("long")).cast("int")
-        self.unsettled = stored(contexts.join(kinds, "fp").withColumns({"salt": salt, "split": F.col("kinds") > GROUP}).drop("kinds", "least"), "unsettled")
+        kinds = dealt_anew(contexts.groupBy("fp").agg(F.count("*").alias("kinds")), "fp")
+        salt = F.pmod("ctx", F.ceil(F.col("kinds") / group).cast("long")).cast("int")
+        self.contexts = stored(contexts.join(kinds, "fp").withColumns({"salt": salt, "split": F.col("kinds") > group}).drop("kinds"), "dealt")
 
     def _runs(self) -> DataFrame:
         size = self.size
@@ -278,54 +311,67 @@ class Repeats:
         return self.docs.select("text", "k1", "k2").mapInArrow(run, "k1 long, k2 long, fp long, ctx long, p0 int, p1 int, reach int, times int")
 
     def _compared(self, all_groups: bool) -> DataFrame:
-        """Occurrences of maximal repeats in the unsettled contexts."""
+        """The repeats in the contexts of fingerprints with several."""
         size = self.size
-        wanted = self.unsettled.groupBy("k1", "k2").agg(F.collect_list(F.struct("fp", "salt", "split", "many", "p0", "p1")).alias("w"))
+        wanted = self.contexts.groupBy("k1", "k2").agg(F.collect_list(F.struct("fp", "ctx", "salt", "split", "many", "p0", "p1")).alias("w"))
+        # rows that repeat an id and a text bring a context once
         texts = self.docs.select("k1", "k2", F.col("text").cast("binary").alias("text")).join(wanted, ["k1", "k2"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 rows = []
-                for k1, k2, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    rows += [(k1, k2, w["fp"], w["salt"], w["split"], w["many"], w["p0"], text[w["p0"] : w["p1"] + size]) for w in want]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())
-                columns = list(zip(*rows, strict=True)) or [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k1", "k2", "fp", "salt", "split", "many", "p0", "bytes"])
-
-        parts = texts.mapInArrow(cut, "k1 long, k2 long, fp long, salt int, split boolean, many long, p0 int, bytes binary")
-        # rows that repeat an id and a text bring a context once each
-        parts = parts.repartition("fp", "salt").dropDuplicates(["fp", "salt", "k1", "k2", "p0"]).sortWithinPartitions("fp", "salt")
+                for text, want in zip(*(c.to_pylist() for c in batch.select([2, 3]).columns), strict=True):
+                    rows += [(w["fp"], w["ctx"], w["salt"], w["split"], w["many"], text[w["p0"] : w["p1"] + size]) for w in want]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+                columns = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["fp", "ctx", "salt", "split", "many", "bytes"])
+
+        parts = texts.mapInArrow(cut, "fp long, ctx long, salt int, split boolean, many long, bytes binary")
+        parts = parts.repartition("fp", "salt").dropDuplicates(["fp", "salt", "ctx"]).sortWithinPartitions("fp", "salt")
         return stored(parts.mapInArrow(_scan(size, all_groups), _OUT), "compared")
 
-    def _settled(self) -> DataFrame:
-        single = self.unsettled.where("many = 1").select("fp", "ctx")
-        one = self.repeated.where("not several")
-        return one.union(self.repeated.where("several").join(single, ["fp", "ctx"], "left_anti").select(one.columns))
+    def _whole(self) -> DataFrame:
+        """Places of the contexts that are alone under their fingerprint."""
+        return self.repeated.where("not several")
 
     def marks(self) -> DataFrame:
-        """(k1, k2, start, length): strings that repeat; their union over a
+        """(k1, k2, start, length): parts of maximal repeats; their union over a
         document is what its repeated windows cover."""
         compared = self._compared(all_groups=False)
         windows = compared.where("kind = 1")
         often = windows.groupBy("fp", "code").agg(F.sum("n").alias("total")).where("total > 1")
         late = windows.where("n = 1").join(often, ["fp", "code"])
-        whole = self._settled().select("k1", "k2", F.col("p0").cast("long").alias("start"), (F.col("reach") - F.col("p0") + self.size).cast("long").alias("length"))
-        return whole.union(compared.where("kind = 0").select(whole.columns)).union(late.select(whole.columns))
+        inner = compared.where("kind = 0").select("fp", "ctx", "start", "length")
+        places = self.repeated.where("several").join(inner.union(late.select(inner.columns)), ["fp", "ctx"])
+        # a whole context goes on to the end of the equal runs that follow it
+        all_of_it = (F.col("start") == 0) & (F.col("length") == F.col("p1") - F.col("p0") + self.size)
+        length = F.when(all_of_it, F.col("reach") - F.col("p0") + self.size).otherwise(F.col("length"))
+        places = places.select("k1", "k2", (F.col("p0") + F.col("start")).alias("start"), length.cast("long").alias("length"))
+        return places.union(self._whole().select("k1", "k2", F.col("p0").cast("long"), (F.col("reach") - F.col("p0") + self.size).cast("long")))
 
     def groups(self) -> DataFrame:
-        """(group_id, length, doc_id, start): maximal repeats inside contexts
-        with all their occurrences; a context that occurs as a whole more than
-        once is a group too. Longer repeats show as groups that overlap."""
+        """(group_id, length, doc_id, start): maximal repeats inside contexts with
+        all their occurrences. Every repeated window lies in a group at the same
+        place of each occurrence, and has no other places. Longer repeats show as
+        groups that overlap; under a split fingerprint the groups are windows."""
         ids = self.docs.select("k1", "k2", "doc_id").distinct()
-        whole = self._settled().select(F.xxhash64("fp", "ctx").alias("group_id"), (F.col("p1") - F.col("p0") + self.size).cast("long").alias("length"), "k1", "k2", F.explode(F.expr("transform(sequence(0, times - 1), i -> cast(p0 + i * (p1 - p0 + 1) as long))")).alias("start"))
-        inner = self._compared(all_groups=True).where("kind = 0").select("group_id", "length", "k1", "k2", "start")
+        each = F.explode(F.expr("transform(sequence(0, times - 1), i -> cast(p0 + i * (p1 - p0 + 1) as long))"))
+        whole = self._whole().select(F.xxhash64("fp", "ctx").alias("group_id"), (F.col("p1") - F.col("p0") + self.size).cast("long").alias("length"), "k1", "k2", each.alias("start"))
+        compared = self._compared(all_groups=True)
+        windows = compared.where("kind = 1")
+        often = dealt_anew(windows.groupBy(F.xxhash64("fp", "code").alias("group_id")).agg(F.sum("n").alias("total")).where("total > 1"), "group_id")
+        windows = windows.withColumn("group_id", F.xxhash64("fp", "code")).join(often, "group_id")
+        inner = compared.where("kind = 0").select("fp", "ctx", F.col("start").alias("shift"), "length", "group_id")
+        inner = inner.union(windows.select("fp", "ctx", "start", "length", "group_id"))
+        inner = self.repeated.where("several").join(inner, ["fp", "ctx"]).select("group_id", "length", "k1", "k2", "shift", each.alias("start"))
+        inner = inner.select("group_id", "length", "k1", "k2", F.col("start") + F.col("shift"))
         return whole.union(inner).join(ids, ["k1", "k2"]).select("group_id", "length", "doc_id", "start")
 
 
-def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining
     bytes), spans (the maximal removed runs)."""
-    found = Repeats(docs, size, id_col, text_col)
+    found = Repeats(docs, size, id_col, text_col, group)
     spans = found.marks().groupBy("k1", "k2").agg(F.collect_list("start").alias("s"), F.collect_list("length").alias("l"))
     both = found.docs.join(spans, ["k1", "k2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "s", "l")
     kind = both.schema["doc_id"].dataType.simpleString()

@@ -27,12 +27,12 @@ def brute_force(texts, size):
     return out
 
 
-def check(df, size):
+def check(df, size, **given):
     rows = df.select("doc_id", "text").collect()
     expected = brute_force([(r["text"] or "").encode() for r in rows], size)
     key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
     want = sorted(key((r["doc_id"], *x)) for r, x in zip(rows, expected, strict=True))
-    got = S.remove_repeats(df, size).collect()
+    got = S.remove_repeats(df, size, **given).collect()
     assert sorted(key((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == want
 
 
@@ -43,28 +43,48 @@ def test_odd_rows(odd_docs, no_docs):
 
 
 @pytest.mark.parametrize("group", [2048, 3])
-def test_shared_passages(spark, monkeypatch, group):
+def test_shared_passages(spark, group):
     """Passages with other text around them, nested repeats, periodic text;
     with a small group size every fingerprint is split."""
-    monkeypatch.setattr(S, "GROUP", group)
     rng = random.Random(6)
     long, short = prose(rng, 90), prose(rng, 20)
     texts = [prose(rng, rng.randint(5, 60)) + rng.choice(["", " "]) + rng.choice([long, long[: rng.randint(90, 400)], short, "ab" * 80, ""]) + prose(rng, 20) for _ in range(60)]
     rows = list(enumerate(texts))
     rows[3] = (2, rows[2][1])
-    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80, group=group)
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("group", [2048, 3])
+def test_groups_equal_brute_force(spark, group):
+    """Every window that repeats lies in a group whose occurrences are all of
+    its places; a group's occurrences are equal strings, and not all of them
+    can be extended to the left inside what was compared."""
+    size = 80
     rng = random.Random(9)
-    passage = prose(rng, 40)
-    texts = [prose(rng, 30) + f" {i} " + passage + f" {i} " + prose(rng, 30) for i in range(5)]
-    found = S.Repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80).groups().collect()
-    for r in found:
-        t = texts[r["doc_id"]].encode()
-        x = t[r["start"] : r["start"] + r["length"]]
-        assert len(x) == r["length"] >= 80 and sum(x in y.encode() for y in texts) >= 2
-    assert {r["doc_id"] for r in found} == set(range(5))
+    passage, short = prose(rng, 60), prose(rng, 25)
+    texts = [prose(rng, 10) + f" {i} " + passage + f" {i} " + prose(rng, 10) for i in range(5)]
+    texts += [prose(rng, 10) + rng.choice("xyz") + passage[k : k + 150] + rng.choice("xyz") + short + str(k) for k in range(0, 60, 7)]
+    texts += ["ab" * 100, "ab" * 90 + "c", None, "", texts[0], "x" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data = [(t or "").encode() for t in texts]
+    places = {}
+    for d, t in enumerate(data):
+        for p in range(len(t) - size + 1):
+            places.setdefault(t[p : p + size], set()).add((d, p))
+    groups = {}
+    for r in S.Repeats(rows, size, group=group).groups().collect():
+        groups.setdefault((r["group_id"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    covering = {}
+    for (_, length), at in groups.items():
+        d, p = min(at)
+        string = data[d][p : p + length]
+        assert len(string) == length >= size and len(at) > 1 and all(data[d][p : p + length] == string for d, p in at)
+        for shift in range(length - size + 1):
+            covering.setdefault(string[shift : shift + size], []).append({(d, p + shift) for d, p in at})
+    for window, at in places.items():
+        if len(at) > 1:
+            assert at in covering[window]
+    assert all(len(places[w]) > 1 for w in covering)
 
 
 def test_cut_repeats(odd_docs):

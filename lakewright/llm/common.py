@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of long texts can hold in a Python worker,
-    and send this package to the executors (once for each application)."""
+    """Bound what one Arrow batch can hold in a Python worker, by rows and by
+    bytes (a longer row stands alone), and send this package to the executors
+    (once for each application)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{8 << 20}b")
     sc = spark.sparkContext
     if getattr(sc, "_lakewright_sent", False):
         return

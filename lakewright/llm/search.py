@@ -59,8 +59,8 @@ SHARD_POSTINGS = 1_500_000
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 8, 256, 6
 BLOCK_DOCS = 64
 DENSE_TERMS, DENSE_SHARE = 1024, 32  # at most so many words, each in 1/32 of a segment's documents at least
-QUERY_TERMS, QUERY_BLOCK = 2_000_000, 16_384  # of a block of queries on average
-BATCH = 256  # queries whose scores lie side by side
+QUERY_TERMS, QUERY_BLOCK = 1_000_000, 16_384  # of a block of queries on average
+CHUNK, BATCH = 1024, 256  # queries that are bounded at once, and whose scores lie side by side
 LEAD_SHARDS, LEAD_DOCS = 16, 64
 NO_ID = np.iinfo(np.int64).max
 SLACK = 2e-6  # rounding to six places
@@ -170,17 +170,21 @@ class Segment:
 
     def search(self, queries: Queries, best: Best) -> None:
         """Offer ``best`` all documents that can be among the k best."""
+        if not len(self.terms):
+            return
         at = np.minimum(np.searchsorted(self.terms, queries.terms), len(self.terms) - 1)
-        term = np.where(self.terms[at] == queries.terms, at, -1)[queries.term] if len(self.terms) else np.zeros(0, int)
-        have = np.flatnonzero(term >= 0)
-        term, owner, weight = term[have], queries.owner[have], queries.weight[have]
-        bound = np.bincount(owner, weight * self.most[term], len(queries.ids))
-        alive = np.flatnonzero((bound > 0) & (bound >= best.least - SLACK))
-        first = np.searchsorted(owner, np.arange(len(queries.ids) + 1))
-        for i in range(0, len(alive), BATCH):
-            some = alive[i : i + BATCH]
-            entry, who = _ranges(first[some], first[some + 1])
-            self._batch(some, who, term[entry], weight[entry], best)
+        at = np.where(self.terms[at] == queries.terms, at, -1)
+        for q in range(0, len(queries.ids), CHUNK):
+            part = slice(queries.first[q], queries.first[min(q + CHUNK, len(queries.ids))])
+            term = at[queries.term[part]]
+            have = np.flatnonzero(term >= 0)
+            term, owner, weight = term[have], queries.owner[part][have], queries.weight[part][have]
+            bound = np.bincount(owner - q, weight * self.most[term], min(CHUNK, len(queries.ids) - q))
+            alive = q + np.flatnonzero((bound > 0) & (bound >= best.least[q : q + CHUNK] - SLACK))
+            for i in range(0, len(alive), BATCH):
+                some = alive[i : i + BATCH]
+                entry, who = _ranges(np.searchsorted(owner, some), np.searchsorted(owner, some + 1))
+                self._batch(some, who, term[entry], weight[entry], best)
 
     def _batch(self, some: np.ndarray, who: np.ndarray, term: np.ndarray, weight: np.ndarray, best: Best) -> None:
         dense = self.column[term] >= 0
@@ -208,8 +212,10 @@ class Queries:
         lists = table["terms"].combine_chunks()
         many = np.diff(lists.offsets.to_numpy())
         flat = lists.flatten()
-        self.owner = np.repeat(np.arange(len(self.ids)), many)
-        self.terms, self.term = np.unique(flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        self.first = np.concatenate(([0], np.cumsum(many)))
+        self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), many)
+        self.terms, term = np.unique(flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
+        self.term = term.astype(np.int32)
         self.weight = flat.field("weight").to_numpy(zero_copy_only=False)
 
 

@@ -2,42 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
+from ..sources.sinks import build_once, shared_path
 
 # BM25 and fusion constants.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-
-
-def postings(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(term, doc_id, tf); counting per document needs no shuffle by term."""
-    words = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col("text"))).alias("term"))
-    return words.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, doc_id, score) for queries (query_id, text). The idf of
-    terms in more than half of the documents is replaced by EPSILON times the
-    mean idf; a repeated query word counts again; documents that share no word
-    have score 0 and fill up by id."""
-    posts = postings(docs)
-    lengths = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("dl"))
-    df = posts.groupBy("term").agg(F.count("*").alias("n"))
-    corpus = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    idf = df.crossJoin(F.broadcast(corpus)).select("term", (F.log(F.col("docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)).alias("idf"))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    wanted = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf"))
-    weighted = wanted.join(idf, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", (weight * F.col("qtf")).alias("w"))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    hits = posts.join(weighted, "term").join(lengths, "doc_id").crossJoin(F.broadcast(corpus))
-    scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
-    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k).crossJoin(F.broadcast(queries.select("query_id")))
-    filled = scored.join(first, ["query_id", "doc_id"], "full").select("query_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-    return ranked(filled, "query_id", k)
+SMALL_ROWS = 200_000  # rows of the side of a join that is broadcast
+BLOCK_VALUES = 4_000_000  # numbers of a block of query vectors
+BATCH_ROWS, BATCH_QUERIES = 4096, 512  # whose products lie side by side
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class MissingIndex(FileNotFoundError):
+    """There is no lexical index at a path: it has to be built first."""
+
+
+class LexicalIndex:
+    """Postings (doc_id, dl, term, tf), term counts, document lengths and corpus
+    statistics, as Parquet tables in one folder. Texts are tokenized once; they
+    are dealt out by document, so that counting words needs no other shuffle."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        try:
+            self.postings, self.terms, self.lengths, self.stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "lengths", "stats"))
+        except AnalysisException as e:
+            raise MissingIndex(f"no lexical index at {path}; build it first") from e
+
+    @classmethod
+    def build(cls, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", force: bool = False) -> LexicalIndex:
+        """Write the index to ``path`` unless it is there (a new shared path if
+        none is given), and open it. The statistics are written last, so a
+        build that broke off is done again."""
+        spark = docs.sparkSession
+        path = path or shared_path(spark, "lexical-index")
+        try:
+            spark.read.parquet(f"{path}/stats")
+        except AnalysisException:
+            force = True
+        if force:
+            cut = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).repartition("doc_id")
+            cut = cut.select("doc_id", F.size("w").alias("dl"), "w")
+            # a document without words keeps its length by a null term
+            posts = build_once(cut.select("doc_id", "dl", F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), f"{path}/postings", True)
+            terms = build_once(posts.where("term is not null").groupBy("term").agg(F.count("*").alias("n")), f"{path}/terms", True)
+            lengths = build_once(posts.select("doc_id", "dl").distinct(), f"{path}/lengths", True)
+            corpus = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+            idf = terms.crossJoin(F.broadcast(corpus)).agg(F.avg(_idf()).alias("mean_idf"), F.count("*").alias("n_terms"), F.sum("n").alias("n_postings"))
+            build_once(corpus.crossJoin(F.broadcast(idf)), f"{path}/stats", True)  # one row each
+        return cls(spark, path)
+
+    def _wanted(self, queries: DataFrame) -> DataFrame:
+        return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+    def bm25(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """(query_id, rank, doc_id, score) for queries (query_id, text). The idf
+        of terms in more than half of the documents is replaced by EPSILON times
+        the mean idf; a repeated query word counts again; documents that share
+        no word have score 0 and fill up by id."""
+        stats = self.stats.first()
+        weight = F.when(_idf(F.lit(stats["docs"])) < 0, F.lit(stats["mean_idf"]) * EPSILON).otherwise(_idf(F.lit(stats["docs"])))
+        weighted = self._wanted(queries).join(self.terms, "term").select("query_id", "term", (weight * F.col("qtf")).alias("w"))
+        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"]))
+        hits = self.postings.join(broadcast_if_small(weighted), "term")
+        scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
+        best = ranked(scored, "query_id", k)
+        short = queries.select("query_id").join(best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id").distinct()
+        if short.isEmpty():
+            return best
+        return ranked(best.select("query_id", "doc_id", "score").union(self._unmatched(scored, short, k)), "query_id", k)
+
+    def _unmatched(self, scored: DataFrame, short: DataFrame, k: int) -> DataFrame:
+        """(query_id, doc_id, 0.0): for each query of ``short`` the documents of
+        the lowest ids that share no word with it, ``k`` of them at least (or
+        all). As many of the lowest ids are taken as every such query needs."""
+        n = self.stats.first()["docs"]
+        taken, short = 2 * k, broadcast_if_small(short)
+        while True:
+            first = F.broadcast(self.lengths.select("doc_id").orderBy("doc_id").limit(taken)) if taken <= SMALL_ROWS else self.lengths.select("doc_id").orderBy("doc_id").limit(taken)
+            met = scored.join(short, "query_id", "left_semi").join(first, "doc_id", "left_semi").select("query_id", "doc_id")
+            if taken >= n or (met.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) + k <= taken:
+                break
+            taken *= 4
+        return first.crossJoin(short).join(met, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+
+    def overlap(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """Documents by the number of distinct query words that they hold."""
+        hits = self.postings.join(broadcast_if_small(self._wanted(queries).select("query_id", "term")), "term")
+        return ranked(hits.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), "query_id", k)
+
+
+def _idf(docs=None):
+    docs = F.col("docs") if docs is None else docs
+    return F.log(docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
 
 
 def ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
@@ -46,22 +114,49 @@ def ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, "rank", "doc_id", "score")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine search of unit vectors: (query_id, rank, doc_id, score) for
-    vectors (doc_id, v) and a stated set of queries (query_id, q)."""
-    scored = vectors.crossJoin(queries).select("query_id", "doc_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(scored, "query_id", k)
-
-
-def overlap(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Documents by the number of distinct query words that they hold."""
-    words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return ranked(words.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), "query_id", k)
+    vectors (doc_id, v) and a stated set of queries (query_id, q). Queries go to
+    the vectors in blocks of fixed size; tasks multiply blocks and keep the k
+    best of each query, so that no pair is ever a row."""
+    n, width = queries.agg(F.count("*"), F.max(F.size("q"))).first()
+    parts = max(1, -(-n * (width or 1) // BLOCK_VALUES))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    kind, other = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "doc_id")))
+    schema = f"query_id {kind}, doc_id {other}, score double"
+    found = []
+    for b in range(parts):
+        some = queries.where(block == b).select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow().combine_chunks()
+        if len(some):
+            held = vectors.sparkSession.sparkContext.broadcast((some["query_id"].combine_chunks(), np.array(some["q"].to_pylist())))
+            found.append(vectors.select("doc_id", F.col("v").cast("array<double>").alias("v")).where("v is not null").mapInArrow(_best(held, k), schema))
+    return ranked(reduce(DataFrame.unionByName, found), "query_id", k) if found else queries.sparkSession.createDataFrame([], f"query_id {kind}, rank int, doc_id {other}, score double")
+
+
+def _best(held, k: int):
+    batch_rows, batch_queries = BATCH_ROWS, BATCH_QUERIES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, asked = held.value
+        found = [(np.zeros(0, np.int64), np.zeros(0), None) for _ in range(0, len(names), batch_queries)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_rows):
+                part = batch.slice(at, batch_rows)
+                ids, matrix = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy().reshape(len(part), -1)
+                for b, (query, score, doc) in enumerate(found):
+                    own = np.round(asked[b * batch_queries : (b + 1) * batch_queries] @ matrix.T, 6)
+                    least = np.partition(own, -min(k, own.shape[1]), axis=1)[:, -min(k, own.shape[1])]
+                    q, d = np.nonzero(own >= least[:, None])  # ties stay until the ids decide
+                    query, score = np.concatenate([query, q]), np.concatenate([score, own[q, d]])
+                    doc = ids[d] if doc is None else np.concatenate([doc, ids[d]])
+                    order = np.lexsort((doc, -score, query))
+                    order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+                    found[b] = (query[order], score[order], doc[order])
+        for b, (query, score, doc) in enumerate(found):
+            if doc is not None:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query + b * batch_queries)), pa.array(doc), pa.array(score)], names=["query_id", "doc_id", "score"])
+
+    return run
 
 
 def fuse(lists: dict[str, DataFrame], by: str = "query_id", k: int = 7) -> DataFrame:
@@ -70,7 +165,14 @@ def fuse(lists: dict[str, DataFrame], by: str = "query_id", k: int = 7) -> DataF
     own = [F.max(F.when(F.col("src") == name, F.col("rank"))).alias(f"{name}_rank") for name in lists]
     score = F.round(F.sum(1 / (RRF_K + F.col("rank"))), 9).alias("score")
     fused = reduce(DataFrame.unionByName, tagged).groupBy(by, "doc_id").agg(score, *own)
-    return ranked(fused, by, k).join(fused.drop("score"), [by, "doc_id"])
+    w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("doc_id"))
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, "rank", "doc_id", "score", *(f"{name}_rank" for name in lists))
+
+
+def with_payload(hits: DataFrame, payload: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Hits with the columns of ``payload`` merged in by id; a hit without one
+    keeps its ranks."""
+    return hits.join(payload, id_col, "left")
 
 
 def context_recall(retrieved: DataFrame, relevant: DataFrame, by: str = "query_id") -> DataFrame:

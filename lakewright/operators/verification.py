@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import decimals, normalised, number_tokens, number_value, stripped_claims
 
 WINDOW, STEP = 60, 30
+LONG, GRAM = 29, 16  # a piece without an inner word has one blank at most
 
 
 def claims(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -49,18 +50,25 @@ def windows(templates: DataFrame, id_col: str) -> DataFrame:
 
 def leaks(texts: DataFrame, templates: DataFrame, id_col: str = "doc_id", template_col: str = "item_id") -> DataFrame:
     """(id, template id): texts that hold a piece of a template verbatim, after
-    normalisation. A piece is looked up by its longest whole word, so that
-    texts and pieces meet in an equality join; only pieces without a whole
-    word are tried against every text."""
+    normalisation. A piece is looked up by its longest inner word; one without
+    an inner word has a part of at least ``LONG`` characters, and is looked up
+    by the first ``GRAM`` of its longest part among the grams of long words. Only
+    (id, key) pairs meet the pieces, and only texts that share a key are read
+    again to confirm it."""
     pieces = windows(templates, template_col)
-    inner = F.slice(F.split("piece", " "), 2, F.greatest(F.size(F.split("piece", " ")) - 2, F.lit(0)))
-    anchor = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    pieces = pieces.withColumn("word", anchor)
+    parts = F.split("piece", " ")
+    longest = lambda words: F.aggregate(words, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    inner = longest(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))))
+    pieces = pieces.withColumn("key", F.when(inner != "", inner).otherwise(F.concat(F.lit(" "), F.substring(longest(parts), 1, GRAM))))
     clean = texts.select(id_col, normalised(F.col("text")).alias("t"))
-    words = clean.select(id_col, "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word"))
-    found = words.join(pieces.where("word <> ''"), "word").where(F.contains("t", "piece"))
-    rest = clean.join(pieces.where("word = ''"), F.contains(F.col("t"), F.col("piece")))
-    return found.select(id_col, template_col).union(rest.select(id_col, template_col)).distinct()
+    words = F.array_distinct(F.split("t", " "))
+    starts = lambda w: F.sequence(F.lit(1), F.length(w) - GRAM + 1)
+    grams = F.flatten(F.transform(F.filter(words, lambda w: F.length(w) >= LONG), lambda w: F.transform(starts(w), lambda i: F.concat(F.lit(" "), w.substr(i, F.lit(GRAM))))))
+    keys = clean.select(id_col, F.explode(F.concat(words, F.array_distinct(grams))).alias("key"))
+    maybe = keys.join(pieces, "key").select(id_col, template_col, "piece").distinct()
+    held = maybe.groupBy(id_col).agg(F.collect_list(F.struct(template_col, "piece")).alias("pieces"))
+    found = clean.join(held, id_col).select(id_col, F.explode(F.filter("pieces", lambda p: F.contains(F.col("t"), p["piece"]))).alias("p"))
+    return found.select(id_col, f"p.{template_col}").distinct()
 
 
 def redact(text: Column, piece: Column) -> Column:

@@ -251,7 +251,7 @@ i AS (SELECT term, ln(docs - n + 0.5) - ln(n + 0.5) AS idf FROM (SELECT term, co
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({TOK}) AS term FROM benchmark) z GROUP BY ALL),
 w AS (SELECT query_id, q.term, qtf * CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END AS w FROM q JOIN i USING (term), m),
 s AS (SELECT query_id, doc_id, round(sum(w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN w USING (term) JOIN dl USING (doc_id), c GROUP BY ALL),
-f AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM s FULL JOIN (SELECT item_id AS query_id, doc_id FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20) l) e USING (query_id, doc_id)),
+f AS (SELECT query_id, doc_id, coalesce(score, 0.0) AS score FROM (SELECT item_id AS query_id, doc_id FROM benchmark, documents) e LEFT JOIN s USING (query_id, doc_id)),
 bm AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM f) r WHERE rank <= 10)"""
 
 
@@ -261,15 +261,14 @@ def _items(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BM25} SELECT query_id, rank, doc_id, score FROM bm")
 def bm25_topk(s, d):
-    return R.bm25(_load(s, d, "documents"), _items(s, d))
+    return R.LexicalIndex.build(_load(s, d, "documents")).bm25(_items(s, d))
 
 
 @query(f"SELECT count(*) AS n_docs, round(avg(len({TOK})), 6) AS avg_len, sum(len(list_distinct({TOK})))::BIGINT AS n_postings, (SELECT count(DISTINCT term) FROM (SELECT unnest({TOK}) AS term FROM documents) x) AS n_terms FROM documents")
 def postings_stats(s, d):
-    docs = _load(s, d, "documents")
-    terms = R.postings(docs).agg(F.count("*").alias("n_postings"), F.count_distinct("term").alias("n_terms"))
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.round(F.avg(F.size(X.tokens(F.col("text")))), 6).alias("avg_len"))
-    return sizes.crossJoin(F.broadcast(terms))
+    """What the persisted index says of the corpus."""
+    stats = R.LexicalIndex.build(_load(s, d, "documents")).stats
+    return stats.select(F.col("docs").alias("n_docs"), F.round("avgdl", 6).alias("avg_len"), "n_postings", "n_terms")
 
 
 DENSE = """dn AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM
@@ -296,8 +295,8 @@ OVERLAP = f"""ov AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_nu
     f"WITH {BM25}, {OVERLAP}, u AS (SELECT query_id, doc_id, rank, 'bm25' AS src FROM bm UNION ALL SELECT query_id, doc_id, rank, 'overlap' FROM ov), g AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(CASE WHEN src = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN src = 'overlap' THEN rank END) AS overlap_rank FROM u GROUP BY ALL) SELECT query_id, rank, doc_id, score, bm25_rank, overlap_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM g) z WHERE rank <= 7"
 )
 def rrf_fused(s, d):
-    docs, items = _load(s, d, "documents"), _items(s, d)
-    return R.fuse({"bm25": R.bm25(docs, items), "overlap": R.overlap(docs, items)})
+    index, items = R.LexicalIndex.build(_load(s, d, "documents")), _items(s, d)
+    return R.fuse({"bm25": index.bm25(items), "overlap": index.overlap(items)})
 
 
 @query(
@@ -306,7 +305,7 @@ def rrf_fused(s, d):
 def ctx_recall(s, d):
     docs, items = _load(s, d, "documents"), _load(s, d, "benchmark")
     relevant = V.leaks(docs, items).select(F.col("item_id").alias("query_id"), "doc_id")
-    return R.context_recall(R.bm25(docs, _items(s, d)), relevant)
+    return R.context_recall(R.LexicalIndex.build(docs).bm25(_items(s, d)), relevant)
 
 
 @query(
@@ -315,7 +314,7 @@ def ctx_recall(s, d):
 def ctx_precision(s, d):
     docs, items = _load(s, d, "documents"), _load(s, d, "benchmark")
     relevant = V.leaks(docs, items).select(F.col("item_id").alias("query_id"), "doc_id")
-    return R.context_precision(R.bm25(docs, _items(s, d)), relevant)
+    return R.context_precision(R.LexicalIndex.build(docs).bm25(_items(s, d)), relevant)
 
 
 @query(f"WITH {DENSE} SELECT dn.query_id, round(avg(score), 5) AS relevancy, count(*) FILTER (v.label = q.label) AS same_label FROM dn JOIN embeddings v ON dn.doc_id = v.vec_id JOIN embeddings q ON dn.query_id = q.vec_id GROUP BY dn.query_id")

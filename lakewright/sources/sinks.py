@@ -15,8 +15,13 @@ TRACE_SCHEMA = "trace_id long, user long, route string, question string, timings
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares with its executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new path in the folder that the session shares with its executors
+    (``spark.checkpoint.dir``); a temporary folder in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

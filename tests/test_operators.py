@@ -1,6 +1,7 @@
 """Unit tables for the text, retrieval, check and rule operators."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -106,10 +107,67 @@ def test_retrieval_measures(spark):
     assert {r[0]: r[1] for r in R.context_precision(got, relevant).collect()} == {1: pytest.approx((1 / 2 + 2 / 3) / 2, abs=1e-6), 2: 0.0, 3: 0.0}
 
 
-def test_zero_scores_fill_up(spark):
+def test_zero_scores_fill_up(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red apple"), (2, "green pear"), (3, ""), (4, None)], "doc_id long, text string")
-    found = R.bm25(docs, spark.createDataFrame([(9, "Apple!")], "query_id long, text string")).orderBy("rank").collect()
+    index = R.LexicalIndex.build(docs, str(tmp_path / "i"))
+    found = index.bm25(spark.createDataFrame([(9, "Apple!")], "query_id long, text string")).orderBy("rank").collect()
     assert [r["doc_id"] for r in found] == [1, 2, 3, 4] and [r["score"] > 0 for r in found] == [True, False, False, False]
+    assert R.LexicalIndex.build(docs.limit(0), str(tmp_path / "i")).lengths.count() == 4  # built once
+    assert R.LexicalIndex.build(docs.limit(0), str(tmp_path / "i"), force=True).bm25(spark.createDataFrame([(9, "x")], "query_id long, text string")).count() == 0
+    with pytest.raises(R.MissingIndex):
+        R.LexicalIndex(spark, str(tmp_path / "none"))
+
+
+def test_bm25_equals_plain_scores(spark):
+    """Terms in most documents have negative weights here, so documents without
+    a query word come before those that have one; all of them are ranked."""
+    import math
+    import re
+    from collections import Counter
+
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.randint(4, 9)))) for i in range(0, 120)]
+    texts += [(200 + i, f"only{i}") for i in range(6)]
+    queries = [(1, "aa bb aa"), (2, "only3 aa"), (3, "nothing here"), (4, "")]
+    bags = {i: Counter(re.findall("[a-z0-9_-]+", t)) for i, t in texts}
+    n, avg = len(bags), sum(sum(b.values()) for b in bags.values()) / len(bags)
+    df = Counter(t for b in bags.values() for t in b)
+    idf = {t: math.log(n - c + 0.5) - math.log(c + 0.5) for t, c in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    assert mean > 0 > min(idf.values())
+    want = set()
+    for q, text in queries:
+        scores = []
+        for i, b in bags.items():
+            score = sum(f * (idf[t] if idf[t] >= 0 else 0.25 * mean) * b[t] * 2.5 / (b[t] + 1.5 * (0.25 + 0.75 * sum(b.values()) / avg)) for t, f in Counter(text.split()).items() if t in b)
+            scores.append((-round(score, 6), i))
+        want |= {(q, k, i) for k, (_, i) in enumerate(sorted(scores)[:10], 1)}
+    got = R.LexicalIndex.build(spark.createDataFrame(texts, "doc_id long, text string")).bm25(spark.createDataFrame(queries, "query_id long, text string"))
+    assert {(r["query_id"], r["rank"], r["doc_id"]) for r in got.collect()} == want
+
+
+def test_unmatched_documents_beyond_the_lowest_ids(spark):
+    docs = spark.createDataFrame([(i, "aa bb") for i in range(100)] + [(1000 + i, "cc") for i in range(30)], "doc_id long, text string")
+    index = R.LexicalIndex.build(docs)
+    short = spark.createDataFrame([(1,)], "query_id long")
+    negative = index.postings.where("term = 'aa'").selectExpr("1L as query_id", "doc_id", "-1.0D as score")
+    found = R.ranked(negative.union(index._unmatched(negative, short, 10)), "query_id", 10)
+    assert [r["doc_id"] for r in found.orderBy("rank").collect()] == list(range(1000, 1010))
+
+
+def test_dense_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_VALUES", 30)
+    monkeypatch.setattr(R, "BATCH_ROWS", 7)
+    monkeypatch.setattr(R, "BATCH_QUERIES", 3)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(90)]
+    vectors, queries = spark.createDataFrame(rows, "doc_id long, v array<float>"), spark.createDataFrame(rows[::5], "query_id long, q array<float>")
+    want = set()
+    for q, a in rows[::5]:
+        best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in rows)[:6]
+        want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in R.dense(vectors.repartition(3), queries, 6).collect()} == want
+    assert R.dense(vectors, queries.limit(0), 6).count() == 0
 
 
 def test_leaks_and_redaction(spark):
@@ -117,6 +175,13 @@ def test_leaks_and_redaction(spark):
     texts = [(1, f"Sure:\n{secret}\nbye"), (2, secret.replace(" ", "  \n").upper()), (3, secret[:40]), (4, ""), (5, None)]
     docs, items = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(7, secret), (8, "short")], "item_id long, text string")
     assert {tuple(r) for r in V.leaks(docs, items).collect()} == {(1, 7), (2, 7)}
+    block = "".join(chr(97 + i * i % 26) for i in range(200))
+    texts = [(1, block), (2, "x " + block[30:] + " y"), (3, block[:59]), (4, "ab " + block[:40] + " " + block[40:120])]
+    items2 = spark.createDataFrame([(7, block), (8, block[:40] + " " + block[40:120])], "item_id long, text string")
+    found = {tuple(r) for r in V.leaks(spark.createDataFrame(texts, "doc_id long, text string"), items2).collect()}
+    normal = {i: t for i, t in texts}
+    pieces = [(r["item_id"], r["piece"]) for r in V.windows(items2, "item_id").collect()]
+    assert found == {(i, item) for i, t in normal.items() for item, piece in pieces if piece in t} and len(found) > 3
     piece = V.windows(items, "item_id").first()["piece"]
     assert docs.where("doc_id = 1").select(V.redact(F.col("text"), F.lit(piece))).first()[0] == "Sure:\nbye"
 

@@ -9,6 +9,7 @@ from ..functions.text import sentences
 TARGET_TOKENS = 300
 TABLE_ROWS = 6
 SHORT_LINE = 60
+BLOCK_TAGS = "h[1-6]|p|div|nav|footer|header"
 
 
 def estimate_tokens(text: Column) -> Column:
@@ -50,13 +51,15 @@ def is_heading() -> Column:
 
 
 def html_lines(pages: DataFrame) -> DataFrame:
-    """(page_id, line_no, text, size, bold_ratio) from headings, paragraphs and
-    navigation of raw HTML; sizes stand for the tags."""
-    block = r"(?s)<(h1|p|nav|footer)>(.*?)</(?:h1|p|nav|footer)>"
+    """(page_id, line_no, text, size, bold_ratio) from headings, paragraphs,
+    divisions and navigation of raw HTML, with or without attributes; sizes
+    stand for the tags."""
+    block = rf"(?s)<({BLOCK_TAGS})(?:\s[^>]*)?>(.*?)</(?:{BLOCK_TAGS})>"
     found = F.arrays_zip(F.regexp_extract_all("html", F.lit(block), 1).alias("tag"), F.regexp_extract_all("html", F.lit(block), 2).alias("inner"))
     cut = pages.select("page_id", F.posexplode(found).alias("line_no", "b"))
     text = F.trim(F.regexp_replace(F.regexp_replace("b.inner", r"<[^>]*>", " "), r"\s+", " "))
-    size = F.when(F.col("b.tag") == "h1", 16.0).when(F.col("b.tag") == "p", 9.0).otherwise(7.0)
+    tag = F.col("b.tag")
+    size = F.when(tag == "h1", 16.0).when(tag == "h2", 14.0).when(tag.startswith("h") & (tag != "header"), 12.0).when(tag.isin("p", "div"), 9.0).otherwise(7.0)
     bold = F.when(F.col("b.inner").startswith("<b>"), 1.0).otherwise(0.0)
     return cut.select("page_id", "line_no", text.alias("text"), size.alias("size"), bold.alias("bold_ratio")).where("text <> ''")
 

@@ -21,6 +21,15 @@ VAGUE_TIME = ("recently", "lately", "these days", "nowadays", "currently", "at t
 VAGUE_SUPERLATIVE = r"(?i)\b(top|best|worst|biggest|how's|hows|looking)\b"
 CONNECTORS = ("and ", "what about", "same for", "same but", "also", "how about", "what if", "compared to")
 REFERENCES = ("it", "that", "those", "this")
+STAGE_NAMES = (
+    "prospecting", "discovery", "evaluation", "proposal", "negotiation",
+    "closed won", "closed lost", "qualify", "discover", "solution fit",
+    "commercial align", "commit", "handoff",
+)
+PRODUCT_NAMES = (
+    "product xyz", "opportunity tracker", "xyz-core", "xyz-analytics",
+    "xyz-automation", "xyz-security",
+)
 UNFILLED = ("", "none", "null", "unknown", "unspecified", "n/a")
 MIN_CONFIDENCE = 0.6
 SHORT_QUESTION = 8
@@ -55,12 +64,15 @@ def missing_slots(question: Column, route: Column, time_slot: Column, population
 
 def decide(question: Column, route: Column, confidence: Column, sql_part: Column, time_slot: Column, population_slot: Column, names: tuple[str, ...], allowed: Column | None = None) -> Column:
     """struct(final_route, rule_id): the first rule that fires, else the
-    proposal. Confidence is clamped to 0..1."""
+    proposal. Confidence is clamped to 0..1; on a quantitative route a population
+    that does not exist counts as missing."""
     verdict = lambda r, rule: F.struct(F.lit(r).alias("final_route"), F.lit(rule).alias("rule_id"))
     proposed = F.upper(F.coalesce(route, F.lit("ASK")))
     effective = F.when((proposed == "HYBRID") & ~is_filled(sql_part), "RAG").otherwise(proposed)
     sure = F.least(F.greatest(F.coalesce(confidence, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    outside = F.lit(False) if allowed is None else is_filled(population_slot) & (F.lower(population_slot) != "all") & ~F.array_contains(allowed, population_slot)
+    quantitative = effective.isin("SQL", "HYBRID")
+    population_slot = F.when(~quantitative, population_slot).otherwise(valid_population(population_slot, names))
+    outside = F.lit(False) if allowed is None else quantitative & is_filled(population_slot) & (F.lower(F.trim(population_slot)) != "all") & ~F.array_contains(allowed, population_slot)
     return F.coalesce(
         F.when(asks_pii(question), verdict("REFUSE", "pii")),
         F.when(question.rlike(WRITE_INTENT), verdict("REFUSE", "write")),
@@ -74,6 +86,13 @@ def decide(question: Column, route: Column, confidence: Column, sql_part: Column
     )
 
 
+def narrowed_population(population_slot: Column, allowed: Column | None = None) -> Column:
+    """The values that a population stands for: 'all' is what the user may see
+    (null where nothing limits it), a value itself, nothing if unfilled."""
+    whole = F.lit(None).cast("array<string>") if allowed is None else F.array_sort(allowed)
+    return F.when(is_filled(population_slot), F.when(F.lower(F.trim(population_slot)) == "all", whole).otherwise(F.array(population_slot)))
+
+
 def clarification(missing: Column, most: int = 3) -> Column:
     """The questions for missing slots, or a general one."""
     asked = F.filter(F.transform(F.slice(missing, 1, most), lambda m: F.create_map(*(F.lit(x) for kv in QUESTIONS.items() for x in kv))[m]), lambda q: q.isNotNull())
@@ -87,7 +106,8 @@ def is_followup(question: Column, names: tuple[str, ...]) -> Column:
     starts = F.exists(F.array(*(F.lit(c) for c in CONNECTORS)), lambda c: F.startswith(q, c))
     refers = F.arrays_overlap(F.regexp_extract_all(q, F.lit("[a-z0-9]+"), 0), F.array(*(F.lit(w) for w in REFERENCES)))
     words = F.size(F.filter(F.split(q, r"\s+"), lambda w: w != ""))
-    return starts | refers | ((words <= SHORT_QUESTION) & ~has_time(question) & ~has_population(question, names))
+    concrete = has_time(question) | has_population(question, names) | any_of(question, STAGE_NAMES + PRODUCT_NAMES)
+    return starts | refers | ((words <= SHORT_QUESTION) & ~concrete)
 
 
 def strip_connector(question: Column) -> Column:
@@ -101,6 +121,35 @@ def substitute_stage(question: Column, old: Column, new: Column) -> Column:
     return F.regexp_replace(question, pattern, F.concat(F.lit(""), new))
 
 
+def named_stage(text: Column, stages: tuple[str, ...] = STAGE_NAMES) -> Column:
+    """The first of the known stages that a text names, in their order."""
+    return F.get(F.filter(F.array(*(F.lit(x) for x in stages)), lambda x: F.contains(F.lower(text), x)), F.lit(0))
+
+
+def _beyond(text: Column, stage: Column) -> Column:
+    """Content words of a text besides its connector and a stage's name."""
+    return F.array_except(content_words(strip_connector(text)), F.split(stage, " "))
+
+
+def bare_stage_reply(recent: Column, reply: Column, stages: tuple[str, ...] = STAGE_NAMES) -> Column:
+    """The question that a reply stands for which says nothing but another stage:
+    the latest of the ``recent`` questions (oldest first) that names a different
+    stage and more than that, with its stage replaced. Null for other replies."""
+    new = named_stage(reply, stages)
+    fits = lambda q: (named_stage(q, stages) != new) & (F.size(_beyond(q, named_stage(q, stages))) > 0)
+    last = F.get(F.reverse(F.filter(recent, fits)), F.lit(0))
+    as_typed = F.substr(reply, F.position(new, F.lower(reply)), F.length(new))
+    return F.when(new.isNotNull() & (F.size(_beyond(reply, new)) == 0), substitute_stage(last, named_stage(last, stages), as_typed))
+
+
+def keeps_stale_stage(recent: Column, reply: Column, merged: Column, stages: tuple[str, ...] = STAGE_NAMES) -> Column:
+    """The reply names a stage, and the merge still holds another one that any of
+    the recent questions named."""
+    new = named_stage(reply, stages)
+    stale = F.exists(F.transform(recent, lambda q: named_stage(q, stages)), lambda x: F.coalesce((x != new) & F.contains(F.lower(merged), x), F.lit(False)))
+    return new.isNotNull() & stale
+
+
 def keeps_content(source: Column, reply: Column, merged: Column) -> Column:
     """At least 60 % of the source's words survive and the reply is used."""
     kept = F.size(F.array_intersect(source, merged)) / F.greatest(F.size(source), F.lit(1))

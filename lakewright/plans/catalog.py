@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import textwrap
 from dataclasses import dataclass
 from functools import reduce
@@ -24,6 +23,17 @@ def columns_frame(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFram
     return spark.createDataFrame(columns(frames), "table_name string, column_name string, type string, nullable boolean")
 
 
+def fill_counts(frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, type, filled): how many values each column has,
+    by one aggregation for each table."""
+    parts = []
+    for t, df in sorted(frames.items()):
+        counts = df.agg(*(F.count(f"`{c}`").alias(c) for c in df.columns))
+        each = F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kind).alias("type"), F.col(f"`{c}`").alias("filled")) for c, kind in df.dtypes))
+        parts.append(counts.select(F.lit(t).alias("table_name"), F.explode(each).alias("x")).select("table_name", "x.*"))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n), one small aggregation for each table."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table_name"), "n") for t, df in sorted(frames.items())]
@@ -58,12 +68,14 @@ def orphans(frames: dict[str, DataFrame], keys: dict = T.FOREIGN_KEYS) -> DataFr
     return reduce(DataFrame.unionAll, parts)
 
 
-def drift(spark: SparkSession, text: str, schema: dict[str, list[str]]) -> DataFrame:
-    """(table_name, column_name): names in prose, table.column, whose table is
+def drift(texts: DataFrame, schema: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """(table_name, column_name): names in texts, table.column, whose table is
     known but whose column is not."""
-    known = spark.createDataFrame([(t, c) for t, cs in schema.items() for c in cs], "table_name string, column_name string")
-    found = sorted({(t, c) for t, c in re.findall(r"\b([a-z_]+)\.([a-z_0-9]+)\b", text.lower()) if t in schema})
-    return spark.createDataFrame(found, known.schema).join(known, ["table_name", "column_name"], "left_anti")
+    known = F.create_map(*(F.lit(x) for t, cs in sorted(schema.items()) for x in (t, ",".join(["", *cs, ""]))))
+    named = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_col), F.lit(r"\b[a-z_]+\.[a-z_0-9]+\b"), 0)))
+    names = texts.select(named.alias("name")).select(F.substring_index("name", ".", 1).alias("table_name"), F.substring_index("name", ".", -1).alias("column_name"))
+    columns = F.try_element_at(known, F.col("table_name"))
+    return names.where(columns.isNotNull() & ~F.contains(columns, F.concat(F.lit(","), "column_name", F.lit(",")))).distinct()
 
 
 @dataclass

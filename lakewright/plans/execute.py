@@ -13,6 +13,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 MAX_ROWS = 200
 NARRATE_ROWS = 20
 
+# Words that ask for more than a table.
+NARRATION_MARKERS = (
+    "why", "what's driving", "whats driving", "what is driving", "explain",
+    "reason", "cause", "root cause", "insight", "interpret", "so what",
+    "summarize", "summarise", "trend", "story",
+)
+
 
 @dataclass
 class Result:
@@ -91,7 +98,7 @@ def clean_sql(text: Column) -> Column:
     return F.regexp_replace(text, r"\s*;?\s*$", "")
 
 
-def needs_narration(n_rows: Column, question: Column, markers: tuple[str, ...] = ("why", "explain", "summar", "compare", "trend")) -> Column:
+def needs_narration(n_rows: Column, question: Column, markers: tuple[str, ...] = NARRATION_MARKERS) -> Column:
     """Many rows, or a question that asks for more than a table."""
     asks = F.exists(F.array(*(F.lit(m) for m in markers)), lambda m: F.contains(F.lower(question), m))
     return (n_rows > NARRATE_ROWS) | asks

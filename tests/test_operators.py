@@ -271,5 +271,6 @@ def test_catalog(spark, sf_dir):
     frames = {name: make(spark, sf_dir) for name, make in T.VIEWS.items()}
     card = catalog.Catalog.read(frames).card()
     assert max(map(len, card.splitlines())) <= 79 and "accounts" in card and "Closed Won" in card
-    drift = catalog.drift(spark, "see accounts.segment, accounts.colour and nowhere.x", {t: df.columns for t, df in frames.items()})
+    prose = spark.createDataFrame([("see accounts.segment, accounts.colour",), ("and nowhere.x, ACCOUNTS.Colour",), (None,), ("",)], "text string")
+    drift = catalog.drift(prose, {t: df.columns for t, df in frames.items()})
     assert [tuple(r) for r in drift.collect()] == [("accounts", "colour")]

@@ -55,7 +55,7 @@ from .common import Words, blocks, buffers, need_integers, stored
 
 K1, B = 1.2, 0.75
 SHARD_DOCS = 4096
-SHARD_POSTINGS = 1_500_000
+SHARD_POSTINGS = 1_000_000
 CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 8, 256, 6
 BLOCK_DOCS = 64
 DENSE_TERMS, DENSE_SHARE = 1024, 32  # at most so many words, each in 1/32 of a segment's documents at least
@@ -265,8 +265,10 @@ class Index:
             shard = TaskContext.get().partitionId() << 32
             ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
 
-            def whole() -> tuple[np.ndarray, ...]:
-                return tuple(np.concatenate(x) for x in (ids, lengths, rows, terms, tfs))
+            def whole() -> Iterator[np.ndarray]:
+                for x in (ids, lengths, rows, terms, tfs):
+                    yield np.concatenate(x)
+                    x.clear()
 
             for batch in batches:
                 for i, count, doc, term, tf in term_counts(batch.column(1)):
@@ -276,9 +278,9 @@ class Index:
                         ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
                     ids.append(batch.column(0).slice(i, len(count)).to_numpy())
                     lengths.append(count)
-                    rows.append(doc + held)
+                    rows.append((doc + held).astype(np.int32))
                     terms.append(term)
-                    tfs.append(tf)
+                    tfs.append(tf.astype(np.int32))
                     held, postings = held + len(count), postings + len(term)
             if held:
                 yield from _segments(shard, *whole())

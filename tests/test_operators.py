@@ -228,6 +228,43 @@ def test_followups(spark):
     assert [(r["question"], r["answer"]) for r in U.last_turns(turns).orderBy("back").collect()] == [("q2", "a2"), ("q1", "a1")]
 
 
+def test_stages_in_followups(spark):
+    rows = [
+        (["What are the exit criteria for Stage 1 - Qualify?"], "what about Discover", "What are the exit criteria for Discover?"),
+        (["What are the exit criteria for Stage 1 - Qualify?", "and in Commit?"], "and Handoff", "What are the exit criteria for Handoff?"),
+        (["How long is Discovery?", "Who owns the Commit plan?"], "Proposal", "Who owns the Proposal plan?"),
+        (["How long is Discovery?"], "what about the commit SLA", None),
+        (["How long is Commit?"], "commit", None),
+        (["How many deals?"], "commit", None),
+        ([], "commit", None),
+        (["How long is Commit?"], "Why?", None),
+    ]
+    df = spark.createDataFrame(rows, "recent array<string>, reply string, want string")
+    assert [r[0] for r in df.select(U.bare_stage_reply(F.col("recent"), F.col("reply"))).collect()] == [r[2] for r in rows]
+    stale = [
+        (["criteria for Qualify", "criteria for Commit"], "what about discover", "criteria for Qualify and Discover", True),
+        (["criteria for Qualify", "criteria for Commit"], "what about discover", "criteria for Discover", False),
+        (["criteria for Qualify"], "and the SLA?", "SLA for Qualify", False),
+        ([], "discover", "discover", False),
+    ]
+    df = spark.createDataFrame(stale, "recent array<string>, reply string, merged string, want boolean")
+    assert [r[0] for r in df.select(U.keeps_stale_stage(F.col("recent"), F.col("reply"), F.col("merged"))).collect()] == [r[3] for r in stale]
+    names = spark.createDataFrame([("And handoff?", True), ("Who owns Solution Fit now?", False), ("What does XYZ-Core cost?", False), ("What does it cost?", True)], "q string, want boolean")
+    assert [r[0] for r in names.select(U.is_followup(F.col("q"), ("europe",))).collect()] == [r[1] for r in names.collect()]
+
+
+def test_populations(spark):
+    rows = [("all", ["EUROPE", "ASIA"]), ("ALL ", None), ("europe", ["europe"]), ("none", None), (None, None)]
+    df = spark.createDataFrame([(r[0],) for r in rows], "p string")
+    allowed = F.array(F.lit("EUROPE"), F.lit("ASIA"))
+    assert [r[0] for r in df.select(U.narrowed_population(F.col("p"), allowed)).collect()] == [["ASIA", "EUROPE"], ["ASIA", "EUROPE"], ["europe"], None, None]
+    assert [r[0] for r in df.select(U.narrowed_population(F.col("p"))).collect()] == [None, None, ["europe"], None, None]
+    nothing = F.lit(None).cast("string")
+    made_up = spark.createDataFrame([("deals", "SQL", "mars"), ("deals", "SQL", "europe"), ("how is it computed", "RAG", "mars")], "q string, route string, p string")
+    decided = made_up.select(U.decide(F.col("q"), F.col("route"), F.lit(0.9), nothing, F.lit("2024"), F.col("p"), ("europe",), F.array(F.lit("europe"))).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in decided] == [("ASK", "missing_slot"), ("SQL", None), ("RAG", None)]
+
+
 def test_execution(spark):
     df = spark.createDataFrame([(1, 2.5, "x"), (2, None, "y")], "a int, Secret double, t string")
     result = execute.run(df, denied=("SECRET",))

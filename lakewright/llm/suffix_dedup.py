@@ -223,12 +223,14 @@ def _scan(size: int, all_groups: bool):
         found = [(whole, np.zeros(len(whole), np.int64), lengths[whole], np.array([_name(rows["bytes"][k]) for k in whole] if all_groups else whole, np.int64))]
         deepest = np.zeros(len(array.sa), np.int64)
         for lb, rb, length in array.repeats():
-            at = np.arange(lb, rb + 1)
-            if not all_groups:
-                at = at[deepest[at] < length]
-                deepest[at] = length
-            group = _name(array.text[array.sa[lb] : array.sa[lb] + length].tobytes()) if all_groups else 0
-            found.append((owner[at], place[at], np.full(len(at), length), np.full(len(at), group)))
+            np.maximum(deepest[lb : rb + 1], length, out=deepest[lb : rb + 1])
+            if all_groups:
+                at = np.arange(lb, rb + 1)
+                group = _name(array.text[array.sa[lb] : array.sa[lb] + length].tobytes())
+                found.append((owner[at], place[at], np.full(len(at), length), np.full(len(at), group)))
+        if not all_groups:  # the longest repeat at each place says it all
+            at = np.flatnonzero(deepest)
+            found.append((owner[at], place[at], deepest[at], np.zeros(len(at), np.int64)))
         o, start, length, group = (np.concatenate(x) for x in zip(*found, strict=True))
         if all_groups:
             use = ~split[o]
@@ -417,7 +419,7 @@ def _whole_characters(text: bytes, a: list[int], b: list[int]) -> tuple[list[int
 def cut_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
     """The rows of ``docs``, all columns, with texts cut to what does not
     repeat (whole characters only) and ``n_chars`` counted again; rows whose
-    repeats leave only white space go."""
+    repeats leave only white space go. A null text becomes an empty one."""
     found = Repeats(docs, size, id_col, text_col)
     spans = found.marks().groupBy("k1", "k2").agg(F.collect_list("start").alias("s"), F.collect_list("length").alias("l"))
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")

@@ -52,8 +52,8 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only when neither the session nor the context has one (tests, a laptop)
-    is a local temporary folder chosen.
+    Only in local mode (tests, a laptop) is a temporary folder chosen where
+    neither the session nor the context has one; a cluster must name one.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -62,6 +62,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -73,9 +75,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The paths of all tables that ``stored`` has written and that are there."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_lakewright_written"):
+        sc._lakewright_written = []
+    return sc._lakewright_written
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the stored tables from number ``since`` on, but for the last
+    ``keep``. What was computed from them must not be read again."""
+    paths = written(spark)
+    gone = paths[since : len(paths) - keep]
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    paths[since : len(paths) - keep] = []
+
+
 def need_integers(df: DataFrame, id_col: str) -> None:
     """Raise for an id column of another type than an integer."""
     kind = df.schema[id_col].dataType

@@ -7,7 +7,7 @@
 2. One pass over all documents counts in how many documents each possible seed
    occurs (counts are summed inside the tasks first). An item's places are
    ranked by that count and only the most frequent ones go, never more than
-   ``_needed`` allows: whatever the counts are, an alignment that reaches the
+   an alignment can spare: whatever the counts are, an alignment that reaches the
    threshold has seeds left.
 3. A second pass finds the seeds in each document. Where as many as such an
    alignment must have lie within its greatest length, and the words that the
@@ -37,7 +37,6 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -161,16 +160,6 @@ def align(items: list[np.ndarray], texts: list[np.ndarray]) -> tuple[np.ndarray,
     return best, first, last
 
 
-def _needed(words: int, threshold: float) -> int:
-    """The seeds that an alignment of an item must have to reach the threshold."""
-    return max(1, ceil(threshold * words - 1 - 1e-9))
-
-
-def _span(words: int, threshold: float) -> int:
-    """The most words of a text that such an alignment covers."""
-    return max(1, int((3 - 2 * threshold) * words + 1e-9))
-
-
 def _could_reach(words: np.ndarray, vocabulary: np.ndarray, score: float) -> bool:
     """Whether some stretch of ``words`` has so many words of the item, each
     counted as a match and every other word as a miss."""
@@ -195,7 +184,8 @@ def _regions(items: Items, code: np.ndarray, at: np.ndarray, words: Words, thres
     last = np.arange(len(at)) + items.need[item] - 1
     inside = last < len(at)
     last = np.minimum(last, len(at) - 1)
-    span = np.array([_span(n, threshold) for n in items.length.tolist()])[item]
+    # the most words of a text that such an alignment covers
+    span = np.maximum(1, ((3 - 2 * threshold) * items.length[item] + 1e-9).astype(np.int64))
     first = np.flatnonzero(inside & (item[last] == item) & (doc[last] == doc) & (at[last] - at < span))
     if not len(first):
         return
@@ -256,14 +246,15 @@ def _rare(texts: DataFrame, items: Items, threshold: float) -> Items:
     often[np.searchsorted(items.distinct, code)] = n
     per = np.zeros(int(items.length.sum()), np.int64)
     np.maximum.at(per, items.place, often[np.searchsorted(items.distinct, items.code)])
-    first, go = np.concatenate(([0], np.cumsum(items.length))), np.zeros(len(per), bool)
-    for i, length in enumerate(items.length.tolist()):
-        if length > 1:
-            needed = _needed(length, threshold)
-            order = first[i] + np.argsort(-per[first[i] : first[i] + length - 1], kind="stable")
-            go[order[: needed // 2]] = True
-            items.need[i] = needed - needed // 2
-    items.keep(~go[items.place])
+    first, many = np.concatenate(([0], np.cumsum(items.length))), items.length > 1
+    per[first[1:][many] - 1] = -1  # an item's last word begins no pair
+    owner = np.repeat(np.arange(len(items.length)), items.length)
+    order = np.lexsort((-per, owner))
+    rank = np.empty(len(per), np.int64)
+    rank[order] = np.arange(len(per)) - first[owner]
+    needed = np.where(many, np.maximum(1, np.ceil(threshold * items.length - 1 - 1e-9)).astype(np.int64), 1)
+    items.need = needed - needed // 2
+    items.keep(rank[items.place] >= (needed // 2)[items.item])
     return items
 
 

@@ -1,10 +1,11 @@
 """Each stage on the rows that its predecessor kept, against plain rules."""
 
 import corpus_pipeline as P
+import pytest
 from test_near_dedup import brute_force
 from test_suffix_dedup import brute_force as repeats
 
-from lakewright.llm.common import stored, table
+from lakewright.llm.common import release, shared_dir, stored, table, written
 
 
 def test_stages(spark, sf_dir):
@@ -34,3 +35,30 @@ def test_stages(spark, sf_dir):
     assert not any(item in text for text in last.values() for item in items)
     assert set(fourth) - set(last) <= {i for i, t in fourth.items() if any(item[:40] in t or item[-40:] in t for item in items)}
     assert {r["doc_id"] for r in docs.collect()} == set(last)
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_stages_on_odd_rows(spark, sf_dir, odd_docs, no_docs, some):
+    """Nulls, empty and long texts, repeated rows and an empty table."""
+    docs = odd_docs if some else no_docs
+    for name, stage in P.STAGES:
+        before = docs
+        docs = stored(stage(spark, docs, sf_dir), f"odd-{name}")
+        if name != "packing":
+            assert docs.columns == before.columns and docs.dtypes == before.dtypes
+            assert {r["doc_id"] for r in docs.collect()} <= {r["doc_id"] for r in before.collect()}
+    pieces = docs.collect()
+    assert sorted({r["doc_id"] is None for r in pieces}) == ([False, True] if some else []) or not some
+    assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in before.collect()}
+
+
+def test_run_leaves_only_the_stages(spark, sf_dir):
+    import os
+
+    began = len(written(spark))
+    result = P.run(spark, sf_dir)
+    paths = written(spark)[began:]
+    assert len(paths) == len(P.STAGES) and all(f"/stage-{name}-" in p for (name, _), p in zip(P.STAGES, paths, strict=True))
+    assert result.count() > 0 and shared_dir(spark)
+    release(spark, began)
+    assert len(written(spark)) == began and not any(os.path.exists(p.removeprefix("file:")) for p in paths)

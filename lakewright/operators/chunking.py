@@ -36,6 +36,12 @@ def is_page_number(line: Column) -> Column:
     return line.rlike(r"(?i)^(.*\|?\s*)?page\s*\d+$") & (F.length(line) < SHORT_LINE)
 
 
+def body_lines(docs: DataFrame, group: str, doc: str, share: float = 0.5) -> DataFrame:
+    """(group, doc, line_no, line): lines without furniture and page numbers."""
+    own = lines(docs, group, doc).where(~is_page_number(F.col("line")))
+    return own.join(furniture(docs, group, doc, share).select(group, "line"), [group, "line"], "left_anti").select(group, doc, "line_no", "line")
+
+
 def body_size(page_lines: DataFrame, *page: str) -> DataFrame:
     """The font size with the most characters on each page; the smaller of
     equals."""

@@ -175,6 +175,25 @@ def with_payload(hits: DataFrame, payload: DataFrame, id_col: str = "doc_id") ->
     return hits.join(payload, id_col, "left")
 
 
+def context_blocks(hits: DataFrame, by: str = "query_id") -> DataFrame:
+    """(by, context): the hits of each query as one text in the order of their
+    ranks, each under a line that names its document, page and section. Hits:
+    by, rank, doc, page, section, text; an empty section shows as '-'."""
+    section = F.when(F.coalesce("section", F.lit("")) == "", "-").otherwise(F.col("section"))
+    # fixed value: the head of a passage
+    one = F.format_string("--- doc: %s | page: %s | section: %s ---\n%s\n", F.col("doc").cast("string"), F.col("page").cast("string"), section, F.coalesce("text", F.lit("")))
+    each = hits.select(by, F.struct("rank", one.alias("block")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return each.select(by, F.array_join("x.block", "\n").alias("context"))
+
+
+def eval_means(cases: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """(metric, mean, n) over cases (route, expected_route, metrics): cases that
+    took another route are not scored, and nulls do not count."""
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))).alias("x")
+    scored = cases.where("route = expected_route").select(each).select("x.*")
+    return scored.groupBy("metric").agg(F.round(F.avg("value"), 3).alias("mean"), F.count("value").alias("n"))
+
+
 def context_recall(retrieved: DataFrame, relevant: DataFrame, by: str = "query_id") -> DataFrame:
     """Share of relevant items found; 1 where nothing is relevant."""
     wanted = relevant.select(by, "doc_id").distinct()

@@ -238,6 +238,15 @@ def furniture_lines(s, d):
     return C.furniture(_load(s, d, "documents"), "source", "doc_id", 0.05)
 
 
+@query(
+    f"WITH l AS ({LINES}), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY source), n AS (SELECT source, line, count(DISTINCT doc_id) AS n_docs FROM l WHERE line <> '' AND length(line) <= 60 GROUP BY source, line), f AS (SELECT source, line FROM n JOIN p USING (source) WHERE n_docs >= greatest(2, ceil(pages * 0.05))) SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS chars FROM l WHERE line <> '' AND NOT (length(line) < 60 AND regexp_matches(line, '(?i)^(.*\\|?\\s*)?page\\s*\\d+$')) AND (source IS NULL OR NOT EXISTS (SELECT 1 FROM f WHERE f.source = l.source AND f.line = l.line)) GROUP BY doc_id"
+)
+def body_lines(s, d):
+    """What is left of documents without furniture and page numbers."""
+    kept = C.body_lines(_load(s, d, "documents"), "source", "doc_id", 0.05)
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
+
+
 TABLE_ROWS = f"""l AS ({LINES}), b AS (SELECT doc_id, line_no, line, trim(string_split(line, '|')[1]) = '' AS blank FROM l WHERE line LIKE '%|%'),
 k AS (SELECT *, bool_or(NOT blank) OVER (PARTITION BY doc_id) AS any_key FROM b), r AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS row_no FROM k WHERE NOT blank OR NOT any_key)"""
 
@@ -361,6 +370,33 @@ def ctx_precision(s, d):
     return R.context_precision(R.LexicalIndex.build(docs).bm25(_items(s, d)), relevant)
 
 
+@query(
+    f"WITH {BM25} SELECT query_id, md5(string_agg('--- doc: ' || bm.doc_id || ' | page: 1 | section: ' || coalesce(nullif(source, ''), '-') || ' ---' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank)) AS digest FROM bm JOIN documents USING (doc_id) GROUP BY query_id"
+)
+def context_digest(s, d):
+    """The passages of each query as they are handed on, hits merged with their
+    documents by id."""
+    docs = _load(s, d, "documents")
+    hits = R.with_payload(R.LexicalIndex.build(docs).bm25(_items(s, d)), docs.select("doc_id", "text", F.col("source").alias("section")))
+    blocks = R.context_blocks(hits.withColumns({"doc": F.col("doc_id"), "page": F.lit(1)}))
+    return blocks.select("query_id", F.md5("context").alias("digest"))
+
+
+@query(
+    f"WITH {BM25}, {LEAKS}, h AS (SELECT bm.query_id, rank, bm.doc_id, (l.doc_id IS NOT NULL)::INTEGER AS hit FROM bm LEFT JOIN leaks l ON bm.query_id = l.item_id AND bm.doc_id = l.doc_id), cs AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM h), pr AS (SELECT query_id, round(coalesce(avg(CASE WHEN hit = 1 THEN so_far / rank::DOUBLE END), 0.0), 6) AS precision, count(*) FILTER (hit = 1) AS found FROM cs GROUP BY query_id), wn AS (SELECT item_id, count(*) AS wanted FROM leaks GROUP BY item_id), e AS (SELECT query_id, precision, CASE WHEN wanted > 0 THEN round(found / wanted::DOUBLE, 6) END AS recall FROM pr LEFT JOIN wn ON query_id = item_id WHERE query_id % 7 <> 3) SELECT 'precision' AS metric, round(avg(precision), 3) AS mean, count(precision) AS n FROM e UNION ALL SELECT 'recall', round(avg(recall), 3), count(recall) FROM e"
+)
+def eval_report(s, d):
+    """Means over the questions that took the expected route (here by their
+    ids); recall is unknown where nothing is relevant."""
+    docs, items = _load(s, d, "documents"), _load(s, d, "benchmark")
+    relevant = V.leaks(docs, items).select(F.col("item_id").alias("query_id"), "doc_id")
+    hits = R.LexicalIndex.build(docs).bm25(_items(s, d))
+    some = relevant.select("query_id", F.lit(True).alias("any")).distinct()
+    cases = R.context_precision(hits, relevant).join(R.context_recall(hits, relevant), "query_id").join(some, "query_id", "left")
+    cases = cases.withColumns({"recall": F.when(F.col("any"), F.col("recall")), "route": F.when(F.col("query_id") % 7 == 3, "SQL").otherwise("RAG"), "expected_route": F.lit("RAG")})
+    return R.eval_means(cases, ("recall", "precision"))
+
+
 @query(f"WITH {DENSE} SELECT dn.query_id, round(avg(score), 5) AS relevancy, count(*) FILTER (v.label = q.label) AS same_label FROM dn JOIN embeddings v ON dn.doc_id = v.vec_id JOIN embeddings q ON dn.query_id = q.vec_id GROUP BY dn.query_id")
 def relevancy(s, d):
     labels = _load(s, d, "embeddings").select("vec_id", "label")

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 TOKEN = "[a-z0-9_-]+"
+
+# Patterns of numbers, citations, list markers and sentence ends.
 NUMBER = r"[-+]?\$?\d[\d,]*(?:\.\d+)?%?"
+CITATION = r"\[[^\[\]]*?\bp\.\s?\d+[^\[\]]*?\]"
+LIST_MARKER = r"(?m)^\s*[-*]?\s*\d+[.)]\s"
+SENTENCE_END = r"(?<=[.!?;:])\s+|\n"
 
 # Words that carry no content of their own.
 STOPWORDS = (
@@ -33,8 +38,8 @@ def normalised(text: Column) -> Column:
 
 def stripped_claims(text: Column) -> Column:
     """Text without citations such as [Guide, p.3] and list markers."""
-    text = F.regexp_replace(text, r"\[[^\[\]]*?\bp\.\s?\d+[^\[\]]*?\]", "")
-    return F.regexp_replace(text, r"(?m)^\s*[-*]?\s*\d+[.)]\s", "\n")
+    text = F.regexp_replace(text, CITATION, "")
+    return F.regexp_replace(text, LIST_MARKER, "\n")
 
 
 def number_tokens(text: Column) -> Column:
@@ -57,7 +62,7 @@ def format_cell(x: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end after . ! ? ; : and white space, or at a line end."""
-    cut = F.split(text, r"(?<=[.!?;:])\s+|\n")
+    cut = F.split(text, SENTENCE_END)
     return F.filter(F.transform(cut, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 

@@ -76,14 +76,14 @@ def redact(text: Column, piece: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.contains(normalised(line), piece)), "\n")
 
 
-# Identifier formats, and phrases that ask for personal data.
-PII_FORMATS = r"\b\d{3}-\d{2}-\d{4}\b|\b(?:\d[ -]?){13,16}\b"
-PII_PHRASES = (
-    r"(?i)\b(email\s*(address|id)|(phone|mobile|cell)\s*(no\.?|number|#)|home (address|phone)|mailing address|contact (number|info|details)|"
-    r"personal (email|phone|contact|address|information|details)|social security( number)?|ssn|passport(\s+number)?|driver'?s licen[sc]e|"
-    r"credit card( number)?|bank account( number)?|routing number|date of birth|dob)\b"
+# Fixed value: identifier formats, and phrases that ask for personal data.
+PII = (
+    r"(?i)\b\d{3}-\d{2}-\d{4}\b|\b(?:\d[ -]?){13,16}\b|"
+    r"\b(email\s*(address|id)|(phone|mobile|cell)\s*(no\.?|number|#)|home (address|phone)|mailing address|contact (number|info|details)|"
+    r"personal (email|phone|contact|address|information|details)|social security( number)?|\bssn\b|passport(\s+number)?|"
+    r"driver'?s licen[sc]e|credit card( number)?|bank account( number)?|routing number|date of birth|\bdob\b)\b"
 )
 
 
 def asks_pii(text: Column) -> Column:
-    return text.rlike(PII_FORMATS) | text.rlike(PII_PHRASES)
+    return text.rlike(PII)

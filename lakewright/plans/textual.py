@@ -476,7 +476,7 @@ def slots_missing(s, d):
 @query(
     f"""WITH q AS (SELECT *, (turn % 10) / 10.0::DOUBLE AS confidence, CASE conv_id % 4 WHEN 0 THEN 'SQL' WHEN 1 THEN 'RAG' WHEN 2 THEN 'HYBRID' ELSE 'OFF_TOPIC' END AS route FROM conversations WHERE role = 'user'),
  f AS (SELECT *, CASE WHEN route = 'HYBRID' AND length(text) % 2 = 1 THEN 'RAG' ELSE route END AS eff, regexp_matches(text, '{TIME}') AS tm, regexp_matches(text, '{POPULATION}') AS pp,
- regexp_matches(text, '\\b\\d{{3}}-\\d{{2}}-\\d{{4}}\\b|\\b(?:\\d[ -]?){{13,16}}\\b') OR regexp_matches(text, '{V.PII_PHRASES.replace("'", "''")}') AS pii, regexp_matches(text, '{U.WRITE_INTENT}') AS wr, ({' OR '.join(f"contains(lower(text), '{w}')" for w in U.VAGUE_TIME)}) AS vg FROM q)
+ regexp_matches(text, '{V.PII.replace("'", "''")}') AS pii, regexp_matches(text, '{U.WRITE_INTENT}') AS wr, ({' OR '.join(f"contains(lower(text), '{w}')" for w in U.VAGUE_TIME)}) AS vg FROM q)
  SELECT conv_id, turn, CASE WHEN pii OR wr OR route = 'OFF_TOPIC' THEN 'REFUSE' WHEN eff <> route THEN 'RAG' WHEN eff IN ('SQL', 'HYBRID') AND NOT (tm AND pp) THEN 'ASK' WHEN vg AND NOT tm THEN 'ASK' WHEN confidence < 0.6 THEN 'ASK' ELSE eff END AS final_route,
  CASE WHEN pii THEN 'pii' WHEN wr THEN 'write' WHEN route = 'OFF_TOPIC' THEN 'off_topic' WHEN eff <> route THEN 'no_sql_half' WHEN eff IN ('SQL', 'HYBRID') AND NOT (tm AND pp) THEN 'missing_slot' WHEN vg AND NOT tm THEN 'vague_time' WHEN confidence < 0.6 THEN 'low_confidence' END AS rule_id FROM f"""
 )

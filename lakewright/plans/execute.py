@@ -49,12 +49,17 @@ def format_value(x: object) -> str:
     return str(x)
 
 
+def shown(df: DataFrame, denied: tuple[str, ...]) -> DataFrame:
+    """``df`` without the denied columns, in any case of their names."""
+    gone = {c.lower() for c in denied}
+    return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def run(df: DataFrame, max_rows: int = MAX_ROWS, timeout_s: float | None = 5.0, denied: tuple[str, ...] = ()) -> Result:
     """Collect at most ``max_rows`` rows. Denied columns are dropped before
     anything is computed; a late query is cancelled by its tag and the caller
     is released at once."""
-    gone = {c.lower() for c in denied}
-    df = df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+    df = shown(df, denied)
     spark, tag = df.sparkSession, f"run-{uuid.uuid4().hex}"
 
     def work() -> list:

@@ -133,8 +133,7 @@ def row_cap_flag(s, d):
 @query("SELECT value FROM (SELECT unnest([n_nationkey::VARCHAR, n_regionkey::VARCHAR]) AS value FROM nation) x")
 def flat_cells(s, d):
     """All cells after a denied column is dropped."""
-    kept = _load(s, d, "nation").drop(*[c for c in ("n_name",)])
-    return execute.flat_values(kept)
+    return execute.flat_values(execute.shown(_load(s, d, "nation"), ("N_NAME",)))
 
 
 @query("SELECT event_type, count(*) AS n, (count(*) > 20 OR " + " OR ".join(f"contains(event_type, '{m}')" for m in ("why", "explain", "reason", "cause", "insight", "trend", "story")) + ") AS narrate FROM events GROUP BY event_type")
@@ -488,6 +487,23 @@ def route_rules(s, d):
     return _user_turns(s, d).select("conv_id", "turn", decided.alias("r")).select("conv_id", "turn", "r.final_route", "r.rule_id")
 
 
+@query(
+    f"""WITH q AS (SELECT *, CASE conv_id % 5 WHEN 0 THEN 'all' WHEN 1 THEN 'EUROPE' WHEN 2 THEN 'AFRICA' WHEN 3 THEN 'mars' END AS slot FROM conversations WHERE role = 'user'),
+ f AS (SELECT *, CASE WHEN slot <> 'mars' THEN slot END AS p, regexp_matches(text, '{POPULATION}') AS pp, regexp_matches(text, '{V.PII.replace("'", "''")}') AS pii, regexp_matches(text, '{U.WRITE_INTENT}') AS wr FROM q)
+ SELECT conv_id, turn, CASE WHEN pii OR wr THEN 'REFUSE' WHEN p IS NULL AND NOT pp THEN 'ASK' WHEN p = 'AFRICA' THEN 'REFUSE' ELSE 'SQL' END AS final_route,
+ CASE WHEN pii THEN 'pii' WHEN wr THEN 'write' WHEN p IS NULL AND NOT pp THEN 'missing_slot' WHEN p = 'AFRICA' THEN 'out_of_scope' END AS rule_id, CASE p WHEN 'all' THEN 'ASIA,EUROPE' ELSE p END AS scope FROM f"""
+)
+def scope_rules(s, d):
+    """Proposals that name all, an allowed, a forbidden, a made-up or no region,
+    for a user who may see two: 'all' is narrowed, a made-up one is cleared."""
+    allowed = F.array(F.lit("EUROPE"), F.lit("ASIA"))
+    slot = F.get(F.array(*(F.lit(x) for x in ("all", "EUROPE", "AFRICA", "mars", None))), (F.col("conv_id") % 5).cast("int"))
+    turns = _user_turns(s, d).withColumn("slot", slot)
+    decided = U.decide(F.col("text"), F.lit("SQL"), F.lit(0.9), F.lit(None).cast("string"), F.lit("2024"), F.col("slot"), NAMES, allowed)
+    scope = F.array_join(U.narrowed_population(U.valid_population(F.col("slot"), NAMES), allowed), ",")
+    return turns.select("conv_id", "turn", decided.alias("r"), scope.alias("scope")).select("conv_id", "turn", "r.*", "scope")
+
+
 FOLLOW = "regexp_replace(lower(trim(text)), '\\?+$', '')"
 
 

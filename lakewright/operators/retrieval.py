@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokens
 from ..sources.sinks import build_once, shared_path
@@ -175,6 +175,31 @@ def with_payload(hits: DataFrame, payload: DataFrame, id_col: str = "doc_id") ->
     return hits.join(payload, id_col, "left")
 
 
+# Rows of a table, lines without content, and the marks around words.
+NUMBERED_ROW, RULE_LINE, MARKS = r"^\s*\d+\s*[—-]", r"^[\s|:-]+$", r"^[.,;:—-]+|[.,;:—-]+$"
+SNIPPET = 180
+
+
+def snippet(text: Column, question: Column) -> Column:
+    """The line of a passage that shares most words with a question, the first of
+    equals. The passage's first line is its heading and is left out where there
+    are more; numbered rows come before all others, and rules come last. Words of
+    more than three letters meet where one holds the other."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    body = F.when(F.size(lines) > 1, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
+    rows, plain = F.filter(body, lambda x: x.rlike(NUMBERED_ROW)), F.filter(body, lambda x: ~x.rlike(RULE_LINE))
+    lines = F.when(F.size(rows) > 0, rows).when(F.size(plain) > 0, plain).otherwise(body)
+    bare = lambda w: F.lower(F.regexp_replace(w, MARKS, ""))
+    asked = F.transform(F.filter(F.split(question, r"\s+"), lambda w: F.length(w) > 3), bare)
+
+    def shared(line: Column) -> Column:
+        own = F.filter(F.transform(F.split(line, r"\s+"), bare), lambda w: F.length(w) > 3)
+        return F.aggregate(asked, F.lit(0), lambda n, q: n + F.size(F.filter(own, lambda w: F.contains(w, q) | F.contains(q, w))))
+
+    best = F.array_min(F.transform(lines, lambda x, i: F.struct((-shared(x)).alias("less"), i.alias("place"), x.alias("line"))))
+    return F.substring(F.coalesce(best["line"], text), 1, SNIPPET)
+
+
 def context_blocks(hits: DataFrame, by: str = "query_id") -> DataFrame:
     """(by, context): the hits of each query as one text in the order of their
     ranks, each under a line that names its document, page and section. Hits:

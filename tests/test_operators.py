@@ -100,6 +100,28 @@ def test_fusion(spark):
     assert [r["doc_id"] for r in tied] == ["a", "b"]
 
 
+def test_snippets(spark):
+    table = "STAGES\nName | Days\n---|---\n1 — Qualify | 10\n2 - Discover | 14\n3 — Closed Won | 1"
+    rows = [
+        (table, "How long is Discovery?", "2 - Discover | 14"),
+        (table, "nothing of the sort", "1 — Qualify | 10"),
+        ("Heading about stages\nplain line\nstages, listed here", "Which stages?", "stages, listed here"),
+        ("Only a heading", "heading", "Only a heading"),
+        ("H\n---|---\n:--", "x", "---|---"),
+        ("H\n" + "w" * 300, "www", "w" * 180),
+        ("", "question", ""),
+    ]
+    df = spark.createDataFrame(rows, "t string, q string, want string")
+    assert [r[0] for r in df.select(R.snippet(F.col("t"), F.col("q"))).collect()] == [r[2] for r in rows]
+
+
+def test_evaluation_report(spark):
+    cases = spark.createDataFrame([("RAG", "RAG", 1.0, None), ("RAG", "RAG", 0.5, 0.25), ("SQL", "RAG", 0.0, 0.0), ("RAG", "RAG", None, None)], "route string, expected_route string, recall double, precision double")
+    assert {tuple(r) for r in R.eval_means(cases, ("recall", "precision")).collect()} == {("recall", 0.75, 2), ("precision", 0.25, 1)}
+    hits = spark.createDataFrame([(1, 2, "B", 3, None, "two"), (1, 1, "A", 1, "S", "one")], "query_id long, rank int, doc string, page int, section string, text string")
+    assert R.context_blocks(hits).first()["context"] == "--- doc: A | page: 1 | section: S ---\none\n\n--- doc: B | page: 3 | section: - ---\ntwo\n"
+
+
 def test_retrieval_measures(spark):
     got = spark.createDataFrame([(1, 1, "x"), (1, 2, "a"), (1, 3, "a"), (2, 1, "z"), (3, 1, "q")], "query_id long, rank int, doc_id string")
     relevant = spark.createDataFrame([(1, "a"), (1, "b"), (2, "y")], "query_id long, doc_id string")

@@ -310,7 +310,7 @@ class Index:
             return spark.createDataFrame([], "query_id long, doc_id long, score double")
         start = np.zeros(len(queries.ids))
         held = spark.sparkContext.broadcast((queries, start))
-        lead = self._search(self.lead, held, k, LEAD_DOCS).groupBy("query_id").agg(F.element_at(F.sort_array(F.collect_list("score"), asc=False), k).alias("least")).where("least is not null").toArrow()
+        lead = self._search(self.lead, held, k, LEAD_DOCS).groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("least")).where("least is not null").toArrow()
         place = np.argsort(queries.ids)
         start[place[np.searchsorted(queries.ids[place], lead["query_id"].to_numpy())]] = lead["least"].to_numpy()
         held.destroy()

@@ -219,6 +219,10 @@ def test_search_equals_exhaustive(docs, odd_docs, no_docs, shard, block):
         assert len(found) == len(expected) and [x[0] for x in found] == list(range(1, len(found) + 1))
         assert all(abs(f[2] + e[0]) < 2e-6 for f, e in zip(found, expected, strict=True))
     assert B.search_all(no_docs, F.lit(True)).count() == 0
+    few = odd_docs.where("doc_id in (0, 3, 4, 5, 6, 7, 12)")  # fewer results than k, or none
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in B.search_all(few, F.lit(True), shard_docs=shard, block_docs=block).collect())
+    assert {x[0] for x in got} == {3, 4, 5, 6, 7, 12} and [x for x in got if x[0] == 12] == [(12, 1, 12)]
+    assert {x[2] for x in got if x[0] == 3} == {3, 4, 5}
 
 
 def test_long_texts_are_cut_at_white_space():

@@ -42,7 +42,7 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("group", [2048, 3])
+@pytest.mark.parametrize("group", [512, 3])
 def test_shared_passages(spark, group):
     """Passages with other text around them, nested repeats, periodic text;
     with a small group size every fingerprint is split."""
@@ -54,7 +54,7 @@ def test_shared_passages(spark, group):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 80, group=group)
 
 
-@pytest.mark.parametrize("group", [2048, 3])
+@pytest.mark.parametrize("group", [512, 3])
 def test_groups_equal_brute_force(spark, group):
     """Every window that repeats lies in a group whose occurrences are all of
     its places; a group's occurrences are equal strings, and not all of them

@@ -113,7 +113,8 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
 
 def bounded_sample(df: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
     """About ``most`` rows of each group of ``by`` at the most (all of them if
-    there are fewer), chosen by a hash of ``order``.
+    there are fewer), chosen by a hash of ``order``; rows without an order are
+    taken all or none.
 
     The group sizes come from a map-side combined count (one number for each
     class that is to be learned, so as small as the model itself); the rows

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import POWERS, U64, blocks, buffers, dealt_anew, mix, need_integers, stored
 
 GRAM = 32
-GROUP = 512
+GROUP = 2048
 BLOCK = 1 << 18
 _PLACE = np.random.default_rng(3).integers(0, 1 << 63, 16, dtype=np.uint64) * U64(2) + U64(1)
 _PLACE_BITS = U64((1 << 22) - 1)

@@ -15,6 +15,7 @@ from .common import held_out, prepare, table
 from .decontamination import find_leaks
 from .language_id import identify, learn
 from .lm_scoring import cross_entropy_difference
+from .manifest import Manifest, digest_of, fold, leaf_of
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality, train
@@ -109,8 +110,25 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the id's crc32 (a null id has none), A-Z of the text are
+    lower-cased after the manifest was made; proofs show it."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = leaf_of(*(F.translate("text", UPPER, LOWER) if f == "text" else F.col(f) for f in FIELDS))
+    manifest = Manifest(docs, FIELDS, "lang", "doc_id", carry={"changed": F.when(tampered & F.col("text").rlike("[A-Z]"), changed)})
+    folded = fold(F.coalesce("changed", "leaf"), F.col("path"))
+    rows = manifest.proofs().select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", digest_of(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

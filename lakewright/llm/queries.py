@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import twins
 from .common import held_out, prepare, table
 from .decontamination import find_leaks
 from .language_id import identify, learn
@@ -132,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_search": OP5_SQL}
+    return {"op5_search": OP5_SQL, "op13_manifest": twins.OP13}

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import twins
 from .common import held_out, prepare, table
 from .decontamination import find_leaks
+from .fingerprints import edited
 from .language_id import identify, learn
 from .lm_scoring import cross_entropy_difference
 from .manifest import Manifest, digest_of, fold, leaf_of
@@ -111,6 +112,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return edited(table(spark, sf_dir, "documents"))
+
+
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -129,7 +135,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality, op13_manifest)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality, op12_fingerprints, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -159,7 +159,8 @@ class Manifest:
         carry = carry or {}
         self.spark: SparkSession = docs.sparkSession
         kept = [F.col(order).alias("key"), leaf_of(*(F.col(f) for f in fields)).alias("node"), *(c.alias(f"c_{n}") for n, c in carry.items())]
-        leaves = docs.select(F.col(group).cast("string").alias("group"), *kept).withColumn("row", F.monotonically_increasing_id())
+        # stored, since a range shuffle first looks at a sample of what it deals out
+        leaves = stored(docs.select(F.col(group).cast("string").alias("group"), *kept).withColumn("row", F.monotonically_increasing_id()), "leaves")
         self.carry = list(carry)
         self.leaves = Tree(ranked(leaves, "group", ["key", "node", "row"]), ["key", *(f"c_{n}" for n in carry)])
         subroots = self.leaves.roots().select(F.lit(0).alias("group"), F.col("group").alias("name"), "node")

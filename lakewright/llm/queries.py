@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import twins
 from .common import held_out, prepare, table
+from .conversation_repair import Repair
 from .decontamination import find_leaks
 from .fingerprints import edited
 from .language_id import identify, learn
@@ -112,6 +113,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with faults, each row's by the CRC-32 of its place: ``copies``
+    is 0 for a lost row and 2 for a repeated one."""
+    blank = F.lit(" ")
+    place = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), blank) for c in ("conv_id", "turn")))
+    act = F.crc32(place.cast("binary")) % 20
+    text = F.coalesce("text", blank)
+    return conversations.select(
+        "conv_id",
+        "turn",
+        F.when(act == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(act == 1, "").when(act == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(act == 0, 0).when(act == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return Repair(damaged(table(spark, sf_dir, "conversations")), copies="copies").digests().withColumnRenamed("conv", "conv_id")
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return edited(table(spark, sf_dir, "documents"))
@@ -135,8 +157,8 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality, op12_fingerprints, op13_manifest)}
+    return {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_suffix_dedup, op4_warc, op5_search, op6_lm_scoring, op7_near_dedup, op8_token_counts, op9_packing, op10_quality, op11_conversation_repair, op12_fingerprints, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_search": OP5_SQL, "op13_manifest": twins.OP13}
+    return {"op5_search": OP5_SQL, "op11_conversation_repair": twins.OP11, "op13_manifest": twins.OP13}

@@ -87,10 +87,10 @@ class Fingerprints:
     def then(self, more: Fingerprints) -> Fingerprints:
         return Fingerprints(np.concatenate([self.low, more.low]), np.concatenate([self.full, more.full]))
 
-    def packed(self) -> list[str]:
+    def packed(self) -> list[bytes]:
         bits = self.low[:, :, None] >> np.arange(BITS - 1, -1, -1, dtype=np.uint8) & 1
         rows = np.packbits(bits.reshape(len(bits), -1), axis=1)
-        return [row.tobytes().hex() if full else "" for row, full in zip(rows, self.full, strict=True)]
+        return [row.tobytes() if full else b"" for row, full in zip(rows, self.full, strict=True)]
 
     def likeness(self, other: Fingerprints) -> np.ndarray:
         chance = 2.0**-BITS
@@ -99,8 +99,8 @@ class Fingerprints:
         return np.where(self.full & other.full, both, (self.full == other.full).astype(float))
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def edit(text: str, following: str) -> str:
@@ -112,7 +112,7 @@ def edit(text: str, following: str) -> str:
 def _compared(texts: list[str], following: list[str], own: Fingerprints, others: Fingerprints) -> list[pa.Array]:
     changed = [edit(t, f) for t, f in zip(texts, following, strict=True)]
     edited = Fingerprints.of(pa.array(changed, pa.large_string()))
-    sums = [hashlib.sha256(t.encode()).hexdigest() for t in changed]
+    sums = [hashlib.sha256(t.encode()).digest() for t in changed]
     columns = ([len(t) for t in texts], sums, own.packed(), edited.packed(), own.likeness(edited), own.likeness(others))
     return [pa.array(c, kind) for c, kind in zip(columns, _KINDS, strict=True)]
 
@@ -122,7 +122,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(Fingerprints.of(batch.column(1)).packed(), pa.string())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f.hex() for f in Fingerprints.of(batch.column(1)).packed()], pa.string())], names=["doc_id", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fingerprint string")
@@ -172,4 +172,5 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     ends = edges.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("next"))
     pairs = edges.drop("opening").join(ends, "part").join(edges.select(F.col("part").alias("next"), "opening"), "next")
     last = pairs.select("doc_id", "closing", "opening").mapInArrow(finish, f"doc_id {kind}, {_RESULT}")
-    return found.where("part is null").select(names).union(last)
+    written = found.where("part is null").select(names).union(last)
+    return written.select(*(F.lower(F.hex(c)).alias(c) if kind == "binary" else c for c, kind in written.dtypes))

@@ -150,4 +150,4 @@ def test_packing(spark, sf_dir, rows, tokenizer_json):
 
 def test_all_are_registered():
     names = Counter(name.split("_")[0] for name in Q.queries())
-    assert names == Counter(f"op{n}" for n in range(1, 11))
+    assert names == Counter(f"op{n}" for n in range(1, 14))

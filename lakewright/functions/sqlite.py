@@ -20,6 +20,10 @@ _DEFINITIONS = {
     # a number is what a text begins with, 0 if that is none
     "sqlite_int(x STRING) RETURNS BIGINT": "CASE WHEN x IS NOT NULL THEN coalesce(try_cast(regexp_extract(x, r'^\\s*([+-]?\\d+)\\s*$', 1) as bigint), try_cast(" + _NUMBER + " as bigint), 0) END",
     "sqlite_real(x STRING) RETURNS DOUBLE": "CASE WHEN x IS NOT NULL THEN coalesce(" + _NUMBER + ", 0.0D) END",
+    # a date as SQLite reads it; other texts are none
+    "sqlite_stamp(x STRING) RETURNS TIMESTAMP": r"CASE WHEN x RLIKE r'^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$' THEN try_cast(x as timestamp) END",
+    # -1, 0 or 1: a number beside a text, which counts as a number if all of it is one and else is greater
+    "sqlite_order(n DOUBLE, x STRING) RETURNS INT": r"CASE WHEN n IS NOT NULL AND x IS NOT NULL THEN CASE WHEN NOT x RLIKE r'^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$' THEN -1 ELSE cast(sign(n - try_cast(trim(x) as double)) as int) END END",
     # place 0 is before the first character; a negative length counts to the left
     "sqlite_substr2(x STRING, p BIGINT) RETURNS STRING": "substring(x, cast(p as int))",
     "sqlite_substr3(x STRING, p BIGINT, n BIGINT) RETURNS STRING": """CASE WHEN n >= 0 AND p = 0 THEN substring(x, 1, cast(greatest(n - 1, 0) as int))

@@ -8,7 +8,7 @@ from ..functions import sqlite, text as X
 from ..operators import chunking as C, retrieval as R, rules as U, verification as V
 from ..sources import sinks, tables as T
 from . import catalog, execute
-from .guard import Guard
+from .guard import RULES, Guard, in_scope
 from .registry import query
 from .relational import WITH
 
@@ -113,7 +113,7 @@ def guard_aggregates(s, d):
 )
 def guard_scalars(s, d):
     """Lenient casts, substr from place 0 and max of two values."""
-    return _guard(s, d).query("SELECT account_id, substr(account_name, 0, 5) AS head, CAST(account_name AS INTEGER) AS none, CAST(annual_revenue_usd AS INTEGER) AS whole, max(account_id, 5) AS five, CAST(account_id AS TEXT) AS t FROM accounts WHERE segment LIKE 'BUILDING' OR segment LIKE 'furniture'", limit=10**9)
+    return _guard(s, d).query("SELECT account_id, substr(account_name, 0, 5) AS head, CAST(account_name AS INTEGER) AS none, CAST(annual_revenue_usd AS INTEGER) AS whole, max(account_id, 5) AS five, CAST(account_id AS TEXT) AS t FROM accounts WHERE segment LIKE 'BUILDING' OR segment LIKE 'furniture'", limit=None)
 
 
 @query(
@@ -122,7 +122,61 @@ def guard_scalars(s, d):
 )
 def guard_dates(s, d):
     """Dates with modifiers, through the guard."""
-    return _guard(s, d).query("SELECT opportunity_id, date(created_date, 'start of month') AS month, date(created_date, '-7 days') AS week, date(created_date, 'start of year', '-1 day') AS year, strftime('%Y/%m', created_date) AS ym FROM opportunities WHERE stage LIKE 'closed%'", limit=10**9)
+    return _guard(s, d).query("SELECT opportunity_id, date(created_date, 'start of month') AS month, date(created_date, '-7 days') AS week, date(created_date, 'start of year', '-1 day') AS year, strftime('%Y/%m', created_date) AS ym FROM opportunities WHERE stage LIKE 'closed%'", limit=None)
+
+
+@query(
+    WITH
+    + "SELECT opportunity_id, opportunity_id // 7 AS whole, opportunity_id % 7 AS rest, amount_usd / 7 AS share, (trunc(amount_usd)::BIGINT % 7)::DOUBLE AS left_over, CASE WHEN opportunity_id % 3 <> 0 THEN opportunity_id // (opportunity_id % 3) ELSE -1 END AS maybe, opportunity_id // 4 * 0.5 AS nested, NULL::DOUBLE AS nothing FROM opportunities WHERE opportunity_id // 2 % 2 = 0"
+)
+def guard_arithmetic(s, d):
+    """Whole and real division and remainders, by zero too."""
+    return _guard(s, d).query("SELECT opportunity_id, opportunity_id / 7 AS whole, opportunity_id % 7 AS rest, amount_usd / 7 AS share, amount_usd % 7 AS left_over, coalesce(opportunity_id / (opportunity_id % 3), -1) AS maybe, opportunity_id / 4 * 0.5 AS nested, amount_usd / 0 AS nothing FROM opportunities WHERE opportunity_id / 2 % 2 = 0", limit=None)
+
+
+@query(
+    WITH
+    + "SELECT opportunity_id, coalesce(strftime(close_date, '%Y-%m-%d'), 'open') AS closed, CASE WHEN probability > 0.5 THEN CAST(opportunity_id AS VARCHAR) ELSE 'unlikely' END AS likely, account_id = 16 AS sixteen, false AS never, true AS always, strftime(close_date, '%Y-%m-%d') > '1996-1' AS late FROM opportunities WHERE account_id > 15 AND (close_date IS NULL OR strftime(close_date, '%Y-%m-%d') >= '1994') AND stage <> '5'"
+)
+def guard_mixed(s, d):
+    """Operands of different types, by SQLite's affinity."""
+    text = "SELECT opportunity_id, coalesce(close_date, 'open') AS closed, CASE WHEN probability > 0.5 THEN opportunity_id ELSE 'unlikely' END AS likely, account_id = '16' AS sixteen, account_id = 'sixteen' AS never, account_id < 'sixteen' AS always, close_date > '1996-1' AS late FROM opportunities WHERE account_id > '15' AND (close_date IS NULL OR close_date BETWEEN '1994' AND 'x') AND stage <> 5"
+    return _guard(s, d).query(text, limit=None)
+
+
+@query(
+    WITH
+    + "SELECT a.account_name AS named, o.stage AS stage, trim(a.account_name, 'Customer#0') AS bare, o.region FROM opportunities o JOIN accounts a ON o.account_id = a.account_id ORDER BY o.opportunity_id LIMIT 150 OFFSET 7"
+)
+def guard_names(s, d):
+    """Names in double quotes, trim of given characters, LIMIT with an offset before it, a comment."""
+    return _guard(s, d).query("""SELECT a."account_name" AS named, o."stage", trim(a.account_name, 'Customer#0') AS bare, o."region" FROM (SELECT * FROM opportunities) o JOIN accounts a ON o.account_id = a.account_id /* by "id" */ ORDER BY o."opportunity_id" LIMIT 7, 150""")
+
+
+@query(
+    WITH
+    + "SELECT opportunity_id, strftime(created_date + CAST((7 - dayofweek(created_date)) % 7 AS INTEGER), '%Y-%m-%d') AS sunday, strftime(created_date, '%j|%w|%W') AS week, strftime(created_date::TIMESTAMP + INTERVAL 36 HOUR, '%Y-%m-%d %H:%M:%S') AS later, '06:30:00' AS clock, epoch(created_date::TIMESTAMP) / 86400.0 + 2440588.25 AS jd FROM opportunities"
+)
+def guard_calendar(s, d):
+    """Weekdays, weeks, fractions of days, and time of day."""
+    return _guard(s, d).query("SELECT opportunity_id, date(created_date, 'weekday 0') AS sunday, strftime('%j|%w|%W', created_date) AS week, datetime(created_date, '+1.5 days') AS later, time(created_date, '+06:30') AS clock, julianday(datetime(created_date, '+18 hours')) AS jd FROM opportunities", limit=None)
+
+
+@query(
+    WITH
+    + "SELECT region, segment, reason = '' AS ok, reason FROM (SELECT DISTINCT region, segment, CASE WHEN region NOT IN ('ASIA', 'EUROPE') THEN 'region is outside what the user may see: ' || region WHEN segment <> 'BUILDING' THEN 'segment is outside what the user may see: ' || segment ELSE '' END AS reason FROM accounts) x"
+)
+def guard_verdicts(s, d):
+    """What the guard says of one text for each pair of a region and a segment,
+    asked by a user who may see some of them. Pairs of two short lists of names."""
+    guard = _guard(s, d)
+    guard.rules = [*RULES, in_scope({"region": {"ASIA", "EUROPE"}, "segment": {"BUILDING"}})]
+    pairs = guard.spark.table("accounts").select("region", "segment").distinct().collect()
+    rows = []
+    for region, segment in pairs:
+        verdict = guard.check(f"SELECT count(*) FROM opportunities o WHERE o.region = '{region}' AND o.segment IN ('{segment}')")
+        rows.append((region, segment, verdict.ok, verdict.reason))
+    return s.createDataFrame(rows, "region string, segment string, ok boolean, reason string")
 
 
 @query("SELECT o_orderkey, true AS truncated FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200) x")

@@ -1,4 +1,4 @@
-"""Lexical and dense retrieval, fusion and their measures."""
+"""Dense retrieval, fusion of ranked lists and their measures; lexical search is in ``lexical``."""
 
 from __future__ import annotations
 
@@ -7,113 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import tokens
-from ..sources.sinks import build_once, shared_path
+from .lexical import LexicalIndex, MissingIndex, ranked
 
-# BM25 and fusion constants.
-K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
-SMALL_ROWS = 200_000  # rows of the side of a join that is broadcast
+# Fixed value: the fusion constant.
+RRF_K = 60
 BLOCK_VALUES = 4_000_000  # numbers of a block of query vectors
 BATCH_ROWS, BATCH_QUERIES = 4096, 512  # whose products lie side by side
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-class MissingIndex(FileNotFoundError):
-    """There is no lexical index at a path: it has to be built first."""
-
-
-class LexicalIndex:
-    """Postings (doc_id, dl, term, tf), term counts, document lengths and corpus
-    statistics, as Parquet tables in one folder. Texts are tokenized once; they
-    are dealt out by document, so that counting words needs no other shuffle."""
-
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        try:
-            self.postings, self.terms, self.lengths, self.stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "lengths", "stats"))
-        except AnalysisException as e:
-            raise MissingIndex(f"no lexical index at {path}; build it first") from e
-
-    @classmethod
-    def build(cls, docs: DataFrame, path: str | None = None, id_col: str = "doc_id", force: bool = False) -> LexicalIndex:
-        """Write the index to ``path`` unless it is there (a new shared path if
-        none is given), and open it. The statistics are written last, so a
-        build that broke off is done again."""
-        spark = docs.sparkSession
-        path = path or shared_path(spark, "lexical-index")
-        try:
-            spark.read.parquet(f"{path}/stats")
-        except AnalysisException:
-            force = True
-        if force:
-            cut = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("w")).repartition("doc_id")
-            cut = cut.select("doc_id", F.size("w").alias("dl"), "w")
-            # a document without words keeps its length by a null term
-            posts = build_once(cut.select("doc_id", "dl", F.explode_outer("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), f"{path}/postings", True)
-            terms = build_once(posts.where("term is not null").groupBy("term").agg(F.count("*").alias("n")), f"{path}/terms", True)
-            lengths = build_once(posts.select("doc_id", "dl").distinct(), f"{path}/lengths", True)
-            corpus = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-            idf = terms.crossJoin(F.broadcast(corpus)).agg(F.avg(_idf()).alias("mean_idf"), F.count("*").alias("n_terms"), F.sum("n").alias("n_postings"))
-            build_once(corpus.crossJoin(F.broadcast(idf)), f"{path}/stats", True)  # one row each
-        return cls(spark, path)
-
-    def _wanted(self, queries: DataFrame) -> DataFrame:
-        return queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-
-    def bm25(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """(query_id, rank, doc_id, score) for queries (query_id, text). The idf
-        of terms in more than half of the documents is replaced by EPSILON times
-        the mean idf; a repeated query word counts again; documents that share
-        no word have score 0 and fill up by id."""
-        stats = self.stats.first()
-        weight = F.when(_idf(F.lit(stats["docs"])) < 0, F.lit(stats["mean_idf"]) * EPSILON).otherwise(_idf(F.lit(stats["docs"])))
-        weighted = self._wanted(queries).join(self.terms, "term").select("query_id", "term", (weight * F.col("qtf")).alias("w"))
-        norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"]))
-        hits = self.postings.join(broadcast_if_small(weighted), "term")
-        scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / norm), 6).alias("score"))
-        best = ranked(scored, "query_id", k)
-        short = queries.select("query_id").join(best.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < k).select("query_id").distinct()
-        if short.isEmpty():
-            return best
-        return ranked(best.select("query_id", "doc_id", "score").union(self._unmatched(scored, short, k)), "query_id", k)
-
-    def _unmatched(self, scored: DataFrame, short: DataFrame, k: int) -> DataFrame:
-        """(query_id, doc_id, 0.0): for each query of ``short`` the documents of
-        the lowest ids that share no word with it, ``k`` of them at least (or
-        all). As many of the lowest ids are taken as every such query needs."""
-        n = self.stats.first()["docs"]
-        taken, short = 2 * k, broadcast_if_small(short)
-        while True:
-            first = F.broadcast(self.lengths.select("doc_id").orderBy("doc_id").limit(taken)) if taken <= SMALL_ROWS else self.lengths.select("doc_id").orderBy("doc_id").limit(taken)
-            met = scored.join(short, "query_id", "left_semi").join(first, "doc_id", "left_semi").select("query_id", "doc_id")
-            if taken >= n or (met.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0) + k <= taken:
-                break
-            taken *= 4
-        return first.crossJoin(short).join(met, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
-
-    def overlap(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """Documents by the number of distinct query words that they hold."""
-        hits = self.postings.join(broadcast_if_small(self._wanted(queries).select("query_id", "term")), "term")
-        return ranked(hits.groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score")), "query_id", k)
-
-
-def _idf(docs=None):
-    docs = F.col("docs") if docs is None else docs
-    return F.log(docs - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-
-
-def ranked(scored: DataFrame, by: str, k: int) -> DataFrame:
-    """The k best of each group, by score and then id."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(by, "rank", "doc_id", "score")
-
-
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Exact cosine search of unit vectors: (query_id, rank, doc_id, score) for
     vectors (doc_id, v) and a stated set of queries (query_id, q). Queries go to

@@ -14,15 +14,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 TRACE_SCHEMA = "trace_id long, user long, route string, question string, timings map<string,double>, stages array<struct<name: string, ms: double>>"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session shares with its executors
-    (``spark.checkpoint.dir``); a temporary folder in local mode only."""
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the session shares with its executors
+    (``spark.checkpoint.dir``); a temporary folder, one for each application, in
+    local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = getattr(spark.sparkContext, "_lakewright_root", None) or tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext._lakewright_root = base
+    return base.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def append_traces(traces: DataFrame, path: str) -> None:

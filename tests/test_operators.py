@@ -134,8 +134,6 @@ def test_zero_scores_fill_up(spark, tmp_path):
     index = R.LexicalIndex.build(docs, str(tmp_path / "i"))
     found = index.bm25(spark.createDataFrame([(9, "Apple!")], "query_id long, text string")).orderBy("rank").collect()
     assert [r["doc_id"] for r in found] == [1, 2, 3, 4] and [r["score"] > 0 for r in found] == [True, False, False, False]
-    assert R.LexicalIndex.build(docs.limit(0), str(tmp_path / "i")).lengths.count() == 4  # built once
-    assert R.LexicalIndex.build(docs.limit(0), str(tmp_path / "i"), force=True).bm25(spark.createDataFrame([(9, "x")], "query_id long, text string")).count() == 0
     with pytest.raises(R.MissingIndex):
         R.LexicalIndex(spark, str(tmp_path / "none"))
 
@@ -168,13 +166,52 @@ def test_bm25_equals_plain_scores(spark):
     assert {(r["query_id"], r["rank"], r["doc_id"]) for r in got.collect()} == want
 
 
-def test_unmatched_documents_beyond_the_lowest_ids(spark):
-    docs = spark.createDataFrame([(i, "aa bb") for i in range(100)] + [(1000 + i, "cc") for i in range(30)], "doc_id long, text string")
-    index = R.LexicalIndex.build(docs)
-    short = spark.createDataFrame([(1,)], "query_id long")
-    negative = index.postings.where("term = 'aa'").selectExpr("1L as query_id", "doc_id", "-1.0D as score")
-    found = R.ranked(negative.union(index._unmatched(negative, short, 10)), "query_id", 10)
-    assert [r["doc_id"] for r in found.orderBy("rank").collect()] == list(range(1000, 1010))
+def test_index_follows_its_source(spark, tmp_path):
+    """A second build over the same files does nothing, new files are added, and
+    a document that is gone has the index built anew; each time as a new index."""
+    src, at = str(tmp_path / "docs"), str(tmp_path / "i")
+    queries = spark.createDataFrame([(1, "aa bb"), (2, "cc dd cc"), (3, "zz"), (4, None)], "query_id long, text string")
+    rows = [(i, f"{'aa ' * (i % 3)}{'bb ' * (i % 2)}cc") for i in range(40)] + [(None, "aa zz"), (7, "repeats an id")]
+
+    def written(some, mode):
+        spark.createDataFrame(some, "doc_id long, text string").write.mode(mode).parquet(src)
+        return spark.read.parquet(src)
+
+    def answers(index):
+        return sorted(tuple(r) for r in index.bm25(queries, 5).collect()), sorted(map(str, index.overlap(queries, 5).collect())), tuple(index.stats.first())
+
+    def fresh(docs):
+        return answers(R.LexicalIndex.build(docs))
+
+    docs = written(rows, "overwrite")
+    first = R.LexicalIndex.build(docs, at)
+    again = R.LexicalIndex.build(spark.read.parquet(src), at)
+    assert [b["build"] for b in again.builds] == [first.last["build"]] and answers(again) == fresh(docs)
+    docs = written([(100 + i, "dd dd aa") for i in range(5)], "append")
+    more = R.LexicalIndex.build(docs, at)
+    assert len(more.builds) == 2 and more.segments.agg({"n": "sum"}).first()[0] == 47 and answers(more) == fresh(docs)
+    touched = written([], "append")
+    assert len(R.LexicalIndex.build(touched, at).builds) == 3 and answers(R.LexicalIndex(spark, at)) == fresh(docs)
+    gone = R.LexicalIndex.build(docs.where("doc_id < 103"), at)
+    assert len(gone.builds) == 1 and answers(gone) == fresh(docs.where("doc_id < 103"))
+    assert R.LexicalIndex.build(docs.limit(0), at, force=True).bm25(queries).count() == 0
+
+
+def test_segments_bounds_and_blocks(spark, monkeypatch):
+    """Small segments, blocks and products; text ids; equal to one large segment."""
+    from lakewright.operators import lexical as L
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(rng.choices(words, k=rng.randint(0, 25)))) for i in range(300)], "doc_id string, text string").repartition(3)
+    queries = spark.createDataFrame([(i, " ".join(rng.choices([*words, "none"], k=6))) for i in range(25)], "query_id int, text string")
+    plain = R.LexicalIndex.build(docs)
+    want = [sorted(tuple(r) for r in f(queries, 4).collect()) for f in (plain.bm25, plain.overlap)]
+    for name, value in (("SEGMENT_DOCS", 16), ("SEGMENT_WORDS", 150), ("BLOCK_TERMS", 20), ("BLOCK_QUERIES", 3), ("PRODUCTS", 10)):
+        monkeypatch.setattr(L, name, value)
+    small = R.LexicalIndex.build(docs)
+    assert small.segments.count() > 20
+    assert [sorted(tuple(r) for r in f(queries, 4).collect()) for f in (small.bm25, small.overlap)] == want
 
 
 def test_dense_in_blocks(spark, monkeypatch):

@@ -316,13 +316,16 @@ class Repeats:
         """The repeats in the contexts of fingerprints with several."""
         size = self.size
         wanted = self.contexts.groupBy("k1", "k2").agg(F.collect_list(F.struct("fp", "ctx", "salt", "split", "many", "p0", "p1")).alias("w"))
-        # rows that repeat an id and a text bring a context once
         texts = self.docs.select("k1", "k2", F.col("text").cast("binary").alias("text")).join(wanted, ["k1", "k2"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: set[tuple[int, int]] = set()  # rows that repeat an id and a text bring a context once
             for batch in batches:
                 rows = []
-                for text, want in zip(*(c.to_pylist() for c in batch.select([2, 3]).columns), strict=True):
+                for k1, k2, text, want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if (k1, k2) in done:
+                        continue
+                    done.add((k1, k2))
                     rows += [(w["fp"], w["ctx"], w["salt"], w["split"], w["many"], text[w["p0"] : w["p1"] + size]) for w in want]
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
                 columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -351,6 +354,12 @@ class Repeats:
         places = places.select("k1", "k2", (F.col("p0") + F.col("start")).alias("start"), length.cast("long").alias("length"))
         return places.union(self._whole().select("k1", "k2", F.col("p0").cast("long"), (F.col("reach") - F.col("p0") + self.size).cast("long")))
 
+    def spans(self) -> DataFrame:
+        """(k1, k2, s, l): the starts and lengths of ``marks``, each once for all
+        rows that repeat an id and a text; sets are merged before they move."""
+        each = self.marks().groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "length")).alias("x"))
+        return each.select("k1", "k2", F.col("x.start").alias("s"), F.col("x.length").alias("l"))
+
     def groups(self) -> DataFrame:
         """(group_id, length, doc_id, start): maximal repeats inside contexts with
         all their occurrences. Every repeated window lies in a group at the same
@@ -374,7 +383,7 @@ def remove_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", tex
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining
     bytes), spans (the maximal removed runs)."""
     found = Repeats(docs, size, id_col, text_col, group)
-    spans = found.marks().groupBy("k1", "k2").agg(F.collect_list("start").alias("s"), F.collect_list("length").alias("l"))
+    spans = found.spans()
     both = found.docs.join(spans, ["k1", "k2"], "left").select("doc_id", F.col("text").cast("binary").alias("text"), "s", "l")
     kind = both.schema["doc_id"].dataType.simpleString()
 
@@ -421,7 +430,7 @@ def cut_repeats(docs: DataFrame, size: int = 200, id_col: str = "doc_id", text_c
     repeat (whole characters only) and ``n_chars`` counted again; rows whose
     repeats leave only white space go. A null text becomes an empty one."""
     found = Repeats(docs, size, id_col, text_col)
-    spans = found.marks().groupBy("k1", "k2").agg(F.collect_list("start").alias("s"), F.collect_list("length").alias("l"))
+    spans = found.spans()
     row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(text).alias("k2"), text.cast("binary").alias("text"))

@@ -42,6 +42,18 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_thousands_of_rows_with_one_id_and_text(spark, doc_id):
+    """Work and memory grow with the rows, not with their square."""
+    rng = random.Random(9)
+    text = prose(rng, 500)
+    rows = [(doc_id, text)] * 6000 + [(1, "x" + text[400:]), (2, prose(rng, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = S.remove_repeats(df).groupBy("doc_id", "n_removed", "n_spans", "kept_sha256").count().collect()
+    assert sorted((r["doc_id"] or 7, r["n_removed"], r["n_spans"], r["count"]) for r in got) == [(1, len(text) - 400, 1, 1), (2, 0, 0, 1), (7, len(text), 1, 6000)]
+    assert S.cut_repeats(df, n_chars_col=None).count() == 2
+
+
 @pytest.mark.parametrize("group", [2048, 3])
 def test_shared_passages(spark, group):
     """Passages with other text around them, nested repeats, periodic text;

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sqlite, text as X
-from ..operators import chunking as C, retrieval as R, rules as U, verification as V
+from ..operators import chunking as C, history as H, retrieval as R, rules as U, verification as V
 from ..sources import sinks, tables as T
 from . import catalog, execute
 from .guard import RULES, Guard, in_scope
@@ -594,6 +594,40 @@ def last_turns(s, d):
     return U.last_turns(_load(s, d, "conversations"))
 
 
+_STAGE = "list_filter([{}], lambda x: contains(lower({{}}), x))[1]".format(", ".join(f"'{x}'" for x in U.STAGE_NAMES))
+
+
+@query(
+    "WITH RECURSIVE "
+    + WITH.removeprefix("WITH ")
+    + f""", t AS (SELECT account_id AS conv_id, row_number() OVER (PARTITION BY account_id ORDER BY opportunity_id) AS turn, stage,
+ CASE opportunity_id % 5 WHEN 0 THEN 'What closes a deal in ' || stage || ' for ' || region || '?' WHEN 1 THEN 'Show deals' WHEN 2 THEN 'what about ' || stage || '?' ELSE 'and ' || stage END AS text, opportunity_id % 5 NOT IN (0, 1) AS bare FROM opportunities),
+ r AS (SELECT conv_id, 0::BIGINT AS turn, ''::VARCHAR AS effective, ''::VARCHAR AS how, false AS keeps_stale, NULL::VARCHAR AS pending, []::VARCHAR[] AS recent FROM (SELECT DISTINCT conv_id FROM t) x
+ UNION ALL SELECT conv_id, turn, e, way, coalesce(stale, false), CASE WHEN NOT ok THEN e END, CASE WHEN ok THEN list_concat(recent, [e])[-2:] ELSE recent END FROM (
+  SELECT *, regexp_matches(e, '{POPULATION}') AS ok, way <> 'clarified' AND len(list_filter(recent, lambda q: ({_STAGE.format("q")}) <> new AND contains(lower(e), {_STAGE.format("q")}))) > 0 AS stale FROM (
+   SELECT t.conv_id, t.turn, r.recent, {_STAGE.format("t.text")} AS new, list_filter(r.recent, lambda q: ({_STAGE.format("q")}) <> {_STAGE.format("t.text")})[-1] AS old,
+    CASE WHEN r.pending IS NOT NULL THEN 'clarified' WHEN t.bare AND old IS NOT NULL THEN 'substituted' ELSE 'new' END AS way,
+    CASE way WHEN 'clarified' THEN r.pending || ' ' || t.text WHEN 'substituted' THEN regexp_replace(old, {_STAGE.format("old")}, t.stage, 'gi') ELSE t.text END AS e
+   FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1) a) b)
+ SELECT conv_id, turn, effective, how, keeps_stale, pending IS NOT NULL AS pending FROM r WHERE turn > 0"""
+)
+def followup_fold(s, d):
+    """Each account's deals as turns of a conversation: whole questions, bare
+    stages that go on from the last ones, and some that must be asked back."""
+    deals = T.opportunities(s, d)
+    say = F.when(F.col("opportunity_id") % 5 == 0, F.concat(F.lit("What closes a deal in "), "stage", F.lit(" for "), "region", F.lit("?"))).when(F.col("opportunity_id") % 5 == 1, "Show deals")
+    say = say.when(F.col("opportunity_id") % 5 == 2, F.concat(F.lit("what about "), "stage", F.lit("?"))).otherwise(F.concat(F.lit("and "), "stage"))
+    turn = F.row_number().over(Window.partitionBy("account_id").orderBy("opportunity_id")).cast("long")
+    turns = deals.select(F.col("account_id").alias("conv_id"), turn.alias("turn"), say.alias("text"))
+    return H.folded(turns, r"(?i)\b(" + "|".join(NAMES) + r")\b")
+
+
+@query()
+def conversation_fold(s, d):
+    """The same over the users' own turns; held against a plain loop in the tests."""
+    return H.folded(_user_turns(s, d), U.EXPLICIT_TIME)
+
+
 # -------------------------------------------------------- digest, trace, report
 
 

@@ -107,6 +107,29 @@ def chunk_documents(docs: DataFrame, section: Column | None = None, target: int
     return packed.select("doc_id", "chunk_no", named.alias("chunk_id"), offset.alias("offset"), F.col("chunk").alias("text"))
 
 
+def page_chunks(pages: DataFrame, order: tuple[str, ...] = (), target: int = TARGET_TOKENS, per: int = TABLE_ROWS) -> DataFrame:
+    """(place, doc, page, chunk_no, kind, chunk_id, offset, text) of a corpus of
+    documents (doc, page, text) with several pages: on each page its tables come
+    first, then its text without them, packed. Ids and offsets are those of
+    ``chunk_documents``; the offset restarts with each page. ``place`` puts the
+    documents named in ``order`` first, in that order.
+
+    A null document is '-'; an empty page has no chunk."""
+    key = F.struct(F.coalesce("doc", F.lit("-")).alias("doc"), "page").alias("doc_id")
+    keyed = pages.select(key, F.coalesce("text", F.lit("")).alias("text"))
+    tables = table_chunks(table_rows(keyed), per).select("doc_id", F.lit(0).alias("part"), "chunk_no", "text")
+    plain = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.contains(x, F.lit("|"))), "\n")
+    packed = keyed.select("doc_id", F.posexplode(pack_sentences(plain, target)).alias("chunk_no", "text"))
+    packed = packed.select("doc_id", F.lit(1).alias("part"), F.col("chunk_no").cast("long"), F.concat(F.lit("\n"), "text"))
+    w = Window.partitionBy("doc_id").orderBy("part", "chunk_no")
+    both = tables.union(packed).withColumns({"no": F.row_number().over(w) - 1, "offset": F.coalesce(F.sum(F.length("text")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")})
+    doc, page = F.col("doc_id.doc"), F.col("doc_id.page")
+    named = F.substring(F.sha1(F.concat_ws("|", doc, page.cast("string"), F.col("offset").cast("string"))), 1, 12)
+    place = F.array_position(F.array(*(F.lit(x) for x in order)).cast("array<string>"), doc)
+    place = F.when(place > 0, place - 1).otherwise(len(order)).cast("int")
+    return both.select(place.alias("place"), doc.alias("doc"), page.alias("page"), F.col("no").alias("chunk_no"), F.when(F.col("part") == 0, "table").otherwise("text").alias("kind"), named.alias("chunk_id"), "offset", "text")
+
+
 def table_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, row_no, cells): lines with bars, in order. Rows with a blank
     key go, unless all of a table's would."""
@@ -146,3 +169,47 @@ def rows_from_spans(spans: DataFrame, header: DataFrame, row_height: float = 4.0
     row = F.dense_rank().over(Window.partitionBy("page").orderBy(F.floor(F.col("y") / row_height)))
     cells = placed.withColumn("row_no", row).groupBy("page", "row_no", "col").agg(F.array_sort(F.collect_list(F.struct("y", "x", "text"))).alias("p"))
     return cells.select("page", "row_no", "col", F.array_join("p.text", " ").alias("text"))
+
+
+SLACK = 1.0  # by how much places may miss a row or a column
+BAND = 64.0  # height of a band in which spans and rows meet
+
+
+def whole_rows(rows: DataFrame, slack: float = SLACK) -> DataFrame:
+    """``rows`` (page, row_no, y0, y1) without those that lie inside the last
+    kept row above them: second finds of lines that a taller row has already.
+    A fold over the few rows of each page."""
+    each = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("row_no", "y0", "y1"))).alias("r"))
+    empty = F.filter("r", lambda x: F.lit(False))
+
+    def step(kept: Column, row: Column) -> Column:
+        last = F.try_element_at(kept, F.lit(-1))
+        inside = F.coalesce((last["y0"] - slack <= row["y0"]) & (row["y1"] <= last["y1"] + slack), F.lit(False))
+        return F.when(inside, kept).otherwise(F.concat(kept, F.array(row)))
+
+    return each.select("page", F.explode(F.aggregate("r", empty, step)).alias("x")).select("page", "x.*")
+
+
+def table_grid(spans: DataFrame, rows: DataFrame, header: DataFrame, slack: float = SLACK, band: float = BAND) -> DataFrame:
+    """(page, row_no, col, text): the cells of tables whose texts are given by
+    their places. ``spans``: page, x, y0, y1, text; ``rows``: page, row_no, y0,
+    y1; ``header``: page, col, x0, x1, the columns of every row of the page.
+
+    A span lies in the rows that hold its middle, and in the column that it
+    starts in, even where it runs on into the next; in none, in the one whose left
+    edge is nearest. The spans of a cell are joined from top to bottom. Rows and
+    spans meet by page and by bands of equal height, so that a long page is no
+    product of both; a page without a header has no cells."""
+    kept = whole_rows(rows, slack)
+    bands = lambda lo, hi: F.explode(F.sequence(F.floor(lo / band), F.floor(hi / band)))
+    wide = kept.withColumn("band", bands(F.col("y0") - slack, F.col("y1") + slack)).withColumnsRenamed({"y0": "r0", "y1": "r1"})
+    middle = (F.col("y0") + F.col("y1")) / 2
+    pieces = spans.where("text is not null and trim(text) <> ''").withColumns({"middle": middle, "band": F.floor(middle / band)})
+    met = pieces.join(wide, ["page", "band"]).where((F.col("middle") >= F.col("r0") - slack) & (F.col("middle") <= F.col("r1") + slack))
+    columns = header.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("col", "x0", "x1"))).alias("h"))
+    holds = F.filter("h", lambda c: (c["x0"] - slack <= F.col("x")) & (F.col("x") < c["x1"] + slack))
+    nearest = F.array_min(F.transform("h", lambda c: F.struct(F.abs(c["x0"] - F.col("x")).alias("away"), c["col"].alias("col"))))
+    cells = met.join(columns, "page").withColumn("col", F.when(F.size(holds) > 0, holds[0]["col"]).otherwise(nearest["col"]))
+    cells = cells.groupBy("page", "row_no", "col").agg(F.array_sort(F.collect_list(F.struct("y0", "x", F.trim("text").alias("text")))).alias("p"))
+    grid = kept.select("page", "row_no").join(columns, "page").select("page", "row_no", F.explode("h.col").alias("col"))
+    return grid.join(cells, ["page", "row_no", "col"], "left").select("page", "row_no", "col", F.coalesce(F.array_join("p.text", " "), F.lit("")).alias("text"))

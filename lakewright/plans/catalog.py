@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import textwrap
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..sources import tables as T
@@ -49,6 +51,47 @@ def domains(frames: dict[str, DataFrame], enums: dict[str, list[str]] = ENUMS, m
     return values.join(small, "label", "left_semi")
 
 
+def text_domains(frames: dict[str, DataFrame], most: int = MAX_DOMAIN, qualified: tuple[str, ...] = ()) -> DataFrame:
+    """(label, value) of every text column of all tables that has at most
+    ``most`` values over all tables that have it; ``qualified`` columns stand for
+    themselves in each table, as table.column.
+
+    A task keeps at most ``most`` values of a column and then only that there
+    are more, so that wide columns are never shuffled."""
+
+    def capped(names: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[str, set | None] = {n: set() for n in names}
+            for batch in batches:
+                for n, column in zip(names, batch.columns, strict=True):
+                    if seen[n] is not None:
+                        seen[n].update(column.unique().drop_null().to_pylist())
+                        if len(seen[n]) > most:
+                            seen[n] = None
+            rows = [(n, v) for n, values in seen.items() for v in ([None] if values is None else values)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["label", "value"])
+
+        return run
+
+    parts = []
+    for t, df in sorted(frames.items()):
+        texts = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+        if texts:
+            labels = [f"{t}.{c}" if c in qualified else c for c in texts]
+            parts.append(df.select([F.col(f"`{c}`") for c in texts]).mapInArrow(capped(labels), "label string, value string"))
+    values = reduce(DataFrame.unionAll, parts).distinct()  # null: too many
+    small = values.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("over")).where((F.col("n") <= most) & (F.col("over") == 0)).select("label")
+    return values.join(small, "label", "left_semi")
+
+
+def table_order(frames: dict[str, DataFrame], curated: tuple[str, ...] = ()) -> DataFrame:
+    """(place, table_name, n): tables in the curated order, then the others by
+    name, with their rows; curated names without a table are left out."""
+    names = [t for t in curated if t in frames] + sorted(set(frames) - set(curated))
+    place = F.array_position(F.array(*(F.lit(t) for t in names)), F.col("table_name")).cast("int")
+    return row_counts(frames).select(place.alias("place"), "table_name", "n")
+
+
 def ordered(values: DataFrame, curated: dict[str, list[str]]) -> DataFrame:
     """(label, value, place): curated values first, the rest by alphabet."""
     rank = F.lit(None).cast("int")
@@ -85,14 +128,15 @@ class Catalog:
     schema: dict[str, list[str]]
     counts: dict[str, int]
     values: dict[str, list[str]]
+    order: tuple[str, ...] = ()  # tables that come first
 
     @classmethod
-    def read(cls, frames: dict[str, DataFrame], enums: dict[str, list[str]] = ENUMS) -> Catalog:
+    def read(cls, frames: dict[str, DataFrame], enums: dict[str, list[str]] = ENUMS, order: tuple[str, ...] = ()) -> Catalog:
         counts = {r["table_name"]: r["n"] for r in row_counts(frames).collect()}
         values: dict[str, list[str]] = {}
         for r in sorted(domains(frames, enums).collect()):
             values.setdefault(r["label"], []).append(r["value"])
-        return cls({t: df.columns for t, df in frames.items()}, counts, values)
+        return cls({t: df.columns for t, df in frames.items()}, counts, values, order)
 
     def card(self, width: int = 79) -> str:
         """Tables, enums and keys; names are never split across lines."""
@@ -100,7 +144,7 @@ class Catalog:
         def wrap(head: str, items: list[str]) -> str:
             return textwrap.fill(f"{head}: {', '.join(items)}", width, subsequent_indent="  ", break_long_words=False, break_on_hyphens=False)
 
-        lines = ["TABLES"] + [wrap(f"{t} ({self.counts.get(t, 0)} rows)", self.schema[t]) for t in sorted(self.schema)]
+        lines = ["TABLES"] + [wrap(f"{t} ({self.counts.get(t, 0)} rows)", self.schema[t]) for t in sorted(self.schema, key=lambda t: (self.order.index(t) if t in self.order else len(self.order), t))]
         lines += ["VALUES"] + [wrap(k, v) for k, v in sorted(self.values.items())]
         lines += ["KEYS"] + [f"{a}.{b} -> {c}.{d}" for (a, b), (c, d) in T.FOREIGN_KEYS.items()]
         return "\n".join(lines)

@@ -44,6 +44,20 @@ def catalog_enum_order(s, d):
     return catalog.ordered(stages, {"stage": list(T.STAGES)})
 
 
+_TEXTS = {"region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"], "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"]}
+
+
+@query("WITH v AS (" + " UNION ".join(f"SELECT '{'events.event_type' if c == 'event_type' else c}' AS label, {c} AS value FROM {t} WHERE {c} IS NOT NULL" for t, columns in _TEXTS.items() for c in columns) + ") SELECT label, value FROM v WHERE label IN (SELECT label FROM v GROUP BY label HAVING count(*) <= 30)")
+def catalog_text_domains(s, d):
+    """The values of every text column of all tables that has few of them, in one pass."""
+    return catalog.text_domains({t: _load(s, d, t) for t in T.TABLES}, qualified=("event_type",))
+
+
+@query("SELECT row_number() OVER (ORDER BY list_position(['orders', 'customer', 'lineitem'], table_name) NULLS LAST, table_name)::INTEGER AS place, table_name, n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n FROM {t}" for t in sorted(T.TABLES)) + ") x")
+def catalog_table_order(s, d):
+    return catalog.table_order({t: _load(s, d, t) for t in T.TABLES}, ("orders", "customer", "lineitem"))
+
+
 @query(
     " UNION ALL ".join(f"SELECT '{t}.{c}' AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM {r})" for (t, c), (r, rc) in T.FOREIGN_KEYS.items())
 )
@@ -248,10 +262,19 @@ def sentences(s, d):
     return cut.select("doc_id", F.size("p").alias("n"), F.coalesce(F.array_max(F.transform("p", F.length)), F.lit(0)).alias("longest"))
 
 
-@query()
+#: Greedy packing, sentence by sentence, of ``text`` in the table {0}: rows (doc_id, i, chunk).
+PACKED = """sn AS (SELECT doc_id, {sentences} AS s FROM {table}),
+pk AS (SELECT doc_id, s, 0::BIGINT AS i, '' AS open, NULL::VARCHAR AS chunk FROM sn
+ UNION ALL SELECT doc_id, s, i + 1, CASE WHEN whole THEN s[i + 1] ELSE joined END, CASE WHEN whole THEN open END FROM (
+  SELECT *, open <> '' AND length(joined) // 4 > 300 AS whole FROM (SELECT *, CASE WHEN open = '' THEN s[i + 1] ELSE open || ' ' || s[i + 1] END AS joined FROM pk WHERE i < len(s)) a) b),
+ch AS (SELECT doc_id, i, chunk FROM pk WHERE chunk IS NOT NULL UNION ALL SELECT doc_id, i + 1, open FROM pk WHERE i = len(s) AND open <> '')"""
+
+
+@query(
+    f"WITH RECURSIVE {PACKED.format(sentences=SENTENCES, table='documents')}, n AS (SELECT doc_id, row_number() OVER w - 1 AS chunk_no, chr(10) || chunk AS text, coalesce(sum(length(chunk) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, chunk_no::INTEGER AS chunk_no, substr(sha1(doc_id || '|1|' || \"offset\"), 1, 12) AS chunk_id, \"offset\", greatest(1, length(text) // 4)::INTEGER AS tokens FROM n"
+)
 def chunk_ids(s, d):
-    """Greedy packing is a fold, which the twin dialect cannot express; the
-    tests hold it against a plain loop."""
+    """Greedy packing, and ids made of document, page and offset."""
     chunks = C.chunk_documents(_load(s, d, "documents"))
     return chunks.select("doc_id", "chunk_no", "chunk_id", "offset", C.estimate_tokens(F.col("text")).alias("tokens"))
 
@@ -311,6 +334,44 @@ def table_chunks(s, d):
     return C.table_chunks(C.table_rows(_load(s, d, "documents"))).select("doc_id", "chunk_no", "n_rows", F.md5("text").alias("digest"))
 
 
+@query(
+    """WITH ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+ b AS (SELECT doc_id, no, string_split(line, '|') AS cells, no % 3 = 0 AS tall, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS nth FROM ln WHERE contains(line, '|')),
+ k AS (SELECT b.*, NOT (no % 3 = 1 AND EXISTS (SELECT 1 FROM b c WHERE c.doc_id = b.doc_id AND c.no = b.no - 1)) AS kept FROM b),
+ c AS (SELECT doc_id, no, nth, i, cells[i] AS cell, list_sum([0] || list_transform(cells[:i - 1], lambda x: length(x) + 1)) AS x0 FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM b) u),
+ h AS (SELECT doc_id, i - 1 AS col, x0, x0 + length(cell) AS x1 FROM c WHERE nth = 1),
+ sp AS (SELECT doc_id, no, x0 + length(cell) - length(ltrim(cell)) AS x, trim(cell) AS text FROM c WHERE trim(cell) <> ''),
+ pl AS (SELECT sp.*, (SELECT arg_min(col, CASE WHEN x0 - 1 <= x AND x < x1 + 1 THEN col ELSE 1000000 + abs(x0 - x) * 1000 + col END) FROM h WHERE h.doc_id = sp.doc_id) AS col FROM sp),
+ ce AS (SELECT k.doc_id, k.no, col, string_agg(text, ' ' ORDER BY pl.no, x, text) AS text FROM k JOIN pl ON pl.doc_id = k.doc_id AND (pl.no = k.no OR k.tall AND pl.no = k.no + 1) WHERE kept GROUP BY ALL)
+ SELECT k.doc_id, k.no AS row_no, h.col::INTEGER AS col, coalesce(text, '') AS text FROM k JOIN h ON h.doc_id = k.doc_id LEFT JOIN ce ON ce.doc_id = k.doc_id AND ce.no = k.no AND ce.col = h.col WHERE kept"""
+)
+def table_grid(s, d):
+    """Tables of bar lines read by the places of their texts: ten units a line,
+    and every third line found as a row that holds the next one too."""
+    bars = _load(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.contains("line", F.lit("|")))
+    cut = bars.withColumn("cells", F.split("line", r"\|"))
+    start = F.expr("transform(cells, (c, i) -> struct(i as col, aggregate(slice(cells, 1, i), 0, (n, x) -> n + length(x) + 1) as x0, c as cell))")
+    cells = cut.select("doc_id", "no", F.explode(start).alias("c")).select("doc_id", "no", "c.*")
+    first = bars.groupBy("doc_id").agg(F.min("no").alias("no"))
+    header = cells.join(first, ["doc_id", "no"]).select(F.col("doc_id").alias("page"), "col", "x0", (F.col("x0") + F.length("cell")).alias("x1"))
+    top = (F.col("no") * 10.0).alias("y0")
+    spans = cells.select(F.col("doc_id").alias("page"), (F.col("x0") + F.length("cell") - F.length(F.ltrim("cell"))).alias("x"), top, (F.col("no") * 10.0 + 8).alias("y1"), F.col("cell").alias("text"))
+    rows = bars.select(F.col("doc_id").alias("page"), F.col("no").cast("long").alias("row_no"), top, (F.col("no") * 10.0 + F.when(F.col("no") % 3 == 0, 18).otherwise(8)).alias("y1"))
+    return C.table_grid(spans, rows, header).withColumnRenamed("page", "doc_id")
+
+
+ORDER = ("src3", "src1", "src2")
+
+
+@query(
+    f"WITH RECURSIVE {TABLE_ROWS}, g AS (SELECT doc_id, (row_no - 2) // 6 AS chunk_no, string_agg(line, chr(10) ORDER BY row_no) AS body FROM r WHERE row_no > 1 GROUP BY 1, 2), tb AS (SELECT doc_id, chunk_no, r.line || chr(10) || body AS text FROM g JOIN (SELECT * FROM r WHERE row_no = 1) r USING (doc_id)), pl AS (SELECT doc_id, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT contains(x, '|')), chr(10)) AS text FROM documents), {PACKED.format(sentences=SENTENCES, table='pl')}, al AS (SELECT doc_id, 0 AS part, chunk_no::BIGINT AS i, text FROM tb UNION ALL SELECT doc_id, 1, i, chr(10) || chunk FROM ch), n AS (SELECT doc_id, part, text, row_number() OVER w - 1 AS chunk_no, coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM al WINDOW w AS (PARTITION BY doc_id ORDER BY part, i)) SELECT coalesce(list_position({list(ORDER)}, source) - 1, {len(ORDER)})::INTEGER AS place, coalesce(source, '-') AS doc, n.doc_id AS page, chunk_no::INTEGER AS chunk_no, CASE part WHEN 0 THEN 'table' ELSE 'text' END AS kind, substr(sha1(coalesce(source, '-') || '|' || n.doc_id || '|' || \"offset\"), 1, 12) AS chunk_id, \"offset\", md5(n.text) AS digest FROM n JOIN documents USING (doc_id)"
+)
+def page_chunks(s, d):
+    """Sources as documents and their documents as pages, tables first on each."""
+    pages = _load(s, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), "text")
+    return C.page_chunks(pages, ORDER).withColumn("digest", F.md5("text")).drop("text")
+
+
 @query("SELECT doc_id FROM documents WHERE (contains(lower(text), 'licensed under') OR contains(lower(text), 'released under')) AND (contains(lower(text), 'version 2.0') OR contains(lower(text), 'mit license'))")
 def conflict_docs(s, d):
     return C.conflicts(_load(s, d, "documents"), ("licensed under", "released under"), ("version 2.0", "mit license")).select("doc_id")

@@ -370,3 +370,55 @@ def test_catalog(spark, sf_dir):
     prose = spark.createDataFrame([("see accounts.segment, accounts.colour",), ("and nowhere.x, ACCOUNTS.Colour",), (None,), ("",)], "text string")
     drift = catalog.drift(prose, {t: df.columns for t, df in frames.items()})
     assert [tuple(r) for r in drift.collect()] == [("accounts", "colour")]
+
+
+def test_table_grid_by_places(spark):
+    """Spans that run over, that belong to no column, rows found twice, and
+    rows whose places are in different bands; against plain loops."""
+    rng = random.Random(4)
+    header = [(p, c, c * 40.0, c * 40.0 + 35) for p in (1, 2) for c in range(3)]
+    rows = [(p, r, r * 12.0, r * 12.0 + (22 if r % 4 == 0 else 10)) for p in (1, 2, 3) for r in range(30)]
+    spans = [(p, rng.uniform(-10, 150), y := rng.uniform(0, 360), y + 8, rng.choice(["a", " b ", "", None, "c d"])) for p in (1, 2, 3) for _ in range(200)]
+    want = {}
+    for p in (1, 2):
+        anchor = None
+        for _, r, y0, y1 in (x for x in rows if x[0] == p):
+            if anchor and anchor[0] - 1 <= y0 and y1 <= anchor[1] + 1:
+                continue
+            anchor = (y0, y1)
+            cells = {c: [] for c in range(3)}
+            for q, x, a, b, text in spans:
+                if q == p and (text or "").strip() and y0 - 1 <= (a + b) / 2 <= y1 + 1:
+                    inside = [c for _, c, x0, x1 in header[:3] if x0 - 1 <= x < x1 + 1]
+                    cells[inside[0] if inside else min(range(3), key=lambda c: abs(c * 40.0 - x))].append((a, x, text.strip()))
+            want |= {(p, r, c): " ".join(t for _, _, t in sorted(v)) for c, v in cells.items()}
+    frames = (spark.createDataFrame(spans, "page int, x double, y0 double, y1 double, text string"), spark.createDataFrame(rows, "page int, row_no int, y0 double, y1 double"), spark.createDataFrame(header, "page int, col int, x0 double, x1 double"))
+    got = C.table_grid(*frames, band=50.0).collect()
+    assert {(r["page"], r["row_no"], r["col"]): r["text"] for r in got} == want and len(got) == len(want)
+    assert any(want.values()) and len(want) < 180
+
+
+def test_page_chunks(spark):
+    pages = [("b", 1, "Head | X\na | 1\nb | 2\n\nOne. Two."), ("b", 2, "Three."), ("a", 7, None), (None, 1, "x"), ("a", 8, "q")]
+    got = C.page_chunks(spark.createDataFrame(pages, "doc string, page int, text string"), ("b",)).orderBy("place", "doc", "page", "chunk_no").collect()
+    assert [(r["place"], r["doc"], r["page"], r["chunk_no"], r["kind"], r["offset"], r["text"]) for r in got] == [
+        (0, "b", 1, 0, "table", 0, "Head | X\na | 1\nb | 2"), (0, "b", 1, 1, "text", 20, "\nOne. Two."), (0, "b", 2, 0, "text", 0, "\nThree."), (1, "-", 1, 0, "text", 0, "\nx"), (1, "a", 8, 0, "text", 0, "\nq"),
+    ]
+    import hashlib
+
+    assert got[1]["chunk_id"] == hashlib.sha1(b"b|1|20").hexdigest()[:12]
+
+
+def test_capped_domains_and_table_order(spark):
+    from lakewright.plans import catalog
+
+    frames = {
+        "t": spark.createDataFrame([(i, f"v{i % 3}", f"w{i}", None, "t") for i in range(40)], "id int, few string, many string, none string, kind string").repartition(4),
+        "u": spark.createDataFrame([("v9", "u", "w1")], "few string, kind string, many string"),
+        "n": spark.range(3),
+    }
+    got = {}
+    for r in catalog.text_domains(frames, most=5, qualified=("kind",)).collect():
+        got.setdefault(r["label"], set()).add(r["value"])
+    assert got == {"few": {"v0", "v1", "v2", "v9"}, "t.kind": {"t"}, "u.kind": {"u"}}
+    assert [tuple(r) for r in catalog.table_order(frames, ("u", "gone")).orderBy("place").collect()] == [(1, "u", 1), (2, "n", 3), (3, "t", 40)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor, TimeoutError as Late
 from dataclasses import dataclass, field
@@ -10,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.sinks import StageLog
+
 MAX_ROWS = 200
 NARRATE_ROWS = 20
 
@@ -55,31 +58,39 @@ def shown(df: DataFrame, denied: tuple[str, ...]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def run(df: DataFrame, max_rows: int = MAX_ROWS, timeout_s: float | None = 5.0, denied: tuple[str, ...] = ()) -> Result:
+def run(df: DataFrame, max_rows: int = MAX_ROWS, timeout_s: float | None = 5.0, denied: tuple[str, ...] = (), log: StageLog | None = None) -> Result:
     """Collect at most ``max_rows`` rows. Denied columns are dropped before
     anything is computed; a late query is cancelled by its tag and the caller
-    is released at once."""
+    is released at once. ``log`` learns how long it took and how it ended."""
     df = shown(df, denied)
-    spark, tag = df.sparkSession, f"run-{uuid.uuid4().hex}"
+    began = time.perf_counter()
+
+    def ended(outcome: str, result: Result) -> Result:
+        if log:
+            log.timer.ms["execute"], log.outcomes["execute"] = (time.perf_counter() - began) * 1000, outcome
+        return result
+
+    sc, tag = df.sparkSession.sparkContext, f"run-{uuid.uuid4().hex}"
 
     def work() -> list:
-        spark.addTag(tag)
+        sc.addJobTag(tag)  # of this thread's jobs only
+        sc.setInterruptOnCancel(True)
         try:
             return df.limit(max_rows + 1).collect()
         finally:
-            spark.removeTag(tag)
+            sc.removeJobTag(tag)
 
     pool = ThreadPoolExecutor(1)
     try:
         rows = pool.submit(work).result(timeout_s)
     except Late:
-        spark.interruptTag(tag)
-        return Result(error=f"the query took longer than {timeout_s:g} s")
+        sc.cancelJobsWithTag(tag)
+        return ended("late", Result(error=f"the query took longer than {timeout_s:g} s"))
     except PySparkException as e:
-        return Result(error=f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0][:300]}")
+        return ended("error", Result(error=f"{e.getCondition() or type(e).__name__}: {str(e).splitlines()[0][:300]}"))
     finally:
         pool.shutdown(wait=False)
-    return Result(df.columns, [list(r) for r in rows[:max_rows]], truncated=len(rows) > max_rows)
+    return ended("ok", Result(df.columns, [list(r) for r in rows[:max_rows]], truncated=len(rows) > max_rows))
 
 
 def capped(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:

@@ -719,6 +719,19 @@ def trace_roundtrip(s, d):
     return back.groupBy("route").agg(F.count("*").alias("n"), F.round(F.sum(F.col("timings")["total"]), 2).alias("ms"))
 
 
+@query("SELECT 'read' AS name, count(*) AS rows FROM documents UNION ALL SELECT 'with words', count(*) FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'lines', sum(len(string_split(text, chr(10))))::BIGINT FROM documents WHERE trim(text) <> ''")
+def stage_counts(s, d):
+    """Rows that passed each stage of one plan, as Spark counted them, through the trace log."""
+    log = sinks.StageLog(s)
+    some = log.observe("with words", log.observe("read", _load(s, d, "documents").select("text")).where("trim(text) <> ''"))
+    lines = log.observe("lines", some.select(F.explode(F.split("text", "\n")).alias("line")))
+    with log.action("write"):
+        lines.write.format("noop").mode("overwrite").save()
+    path = sinks.shared_path(s, "stages")
+    log.append(path)
+    return sinks.read_stages(s, path).where("rows is not null").select("name", "rows")
+
+
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS INTEGER))::BIGINT AS k FROM events GROUP BY event_type")
 def event_properties(s, d):
     return _load(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k"))

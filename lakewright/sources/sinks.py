@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 TRACE_SCHEMA = "trace_id long, user long, route string, question string, timings map<string,double>, stages array<struct<name: string, ms: double>>"
 
@@ -82,6 +82,50 @@ class StageTimer:
             self.ms[name] = self.ms.get(name, 0.0) + (time.perf_counter() - began) * 1000
 
 
+STAGE_SCHEMA = "trace_id string, name string, rows long, ms double, outcome string"
+
+
+class StageLog:
+    """What Spark says of the stages of one run: the rows that passed each
+    observed place of a plan, counted by Spark itself as the plan runs, and the
+    time and outcome of each action."""
+
+    def __init__(self, spark: SparkSession, trace_id: str | None = None) -> None:
+        self.spark, self.trace_id = spark, trace_id or uuid.uuid4().hex
+        self.timer, self.outcomes, self.seen = StageTimer(), {}, {}
+
+    def observe(self, name: str, df: DataFrame) -> DataFrame:
+        """``df``, whose rows are counted under ``name`` whenever it is run."""
+        self.seen[name] = Observation(f"{name}-{self.trace_id}")
+        return df.observe(self.seen[name], F.count(F.lit(1)).alias("rows"))
+
+    @contextmanager
+    def action(self, name: str) -> Iterator[None]:
+        """An action, timed; its outcome is ok, or the kind of what it raised."""
+        try:
+            with self.timer.stage(name):
+                yield
+        except BaseException as e:
+            self.outcomes[name] = type(e).__name__
+            raise
+        self.outcomes.setdefault(name, "ok")
+
+    def records(self) -> list[tuple]:
+        """(trace_id, name, rows, ms, outcome); counts only of plans that were run
+        to their end, which is when Spark knows them."""
+        done = all(o == "ok" for o in self.outcomes.values())
+        counted = [(self.trace_id, n, o.get["rows"], None, None) for n, o in self.seen.items()] if done and self.outcomes else []
+        return counted + [(self.trace_id, n, None, self.timer.ms.get(n), o) for n, o in self.outcomes.items()]
+
+    def append(self, path: str) -> None:
+        """One JSON object a line, behind what is there."""
+        self.spark.createDataFrame(self.records(), STAGE_SCHEMA).coalesce(1).write.mode("append").json(path)
+
+
+def read_stages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STAGE_SCHEMA).json(path)
+
+
 def report(df: DataFrame, title: str, path: str | None = None, rows: int = 200) -> str:
     """A small aggregate as a Markdown section, optionally written to a file
     next to the driver."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sqlite, text as X
 from ..operators import chunking as C, history as H, retrieval as R, rules as U, verification as V
-from ..sources import sinks, tables as T
+from ..sources import pages as page_source, sinks, tables as T
 from . import catalog, execute
 from .guard import RULES, Guard, in_scope
 from .registry import query
@@ -292,6 +292,15 @@ def _typed_lines(s: SparkSession, d: str) -> DataFrame:
     return lines.join(C.body_size(lines, "page_id"), "page_id").withColumn("is_heading", C.is_heading())
 
 
+@query()
+def page_lines(s, d):
+    """All lines of the pages, by the stack of open tags, under their sections.
+    Broken nesting is beyond patterns; the tests state what is read."""
+    lines = page_source.page_lines(_load(s, d, "pages"))
+    typed = lines.join(C.body_size(lines, "page_id"), "page_id").withColumn("is_heading", C.is_heading())
+    return C.sections(typed, "page_id")
+
+
 @query(f"WITH {HTML_LINES} SELECT page_id, body::DOUBLE AS body, count(*) FILTER (is_heading) AS headings, count(*) AS lines FROM h GROUP BY page_id, body")
 def headings(s, d):
     return _typed_lines(s, d).groupBy("page_id", "body").agg(F.count_if("is_heading").alias("headings"), F.count("*").alias("lines"))

@@ -32,6 +32,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def append_traces(traces: DataFrame, path: str) -> None:
     """One JSON object a line; appending never rewrites what is there."""
     traces.write.mode("append").json(path)

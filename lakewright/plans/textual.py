@@ -193,6 +193,59 @@ def guard_verdicts(s, d):
     return s.createDataFrame(rows, "region string, segment string, ok boolean, reason string")
 
 
+@query(WITH + "SELECT * FROM (SELECT opportunity_id, 'capped' AS kind FROM opportunities ORDER BY opportunity_id LIMIT 200) x UNION ALL SELECT * FROM (SELECT opportunity_id, 'own limit' FROM opportunities ORDER BY opportunity_id LIMIT 500) y")
+def guard_limits(s, d):
+    """A text without a limit gets one of 200 rows; one that limits itself keeps its own."""
+    guard, text = _guard(s, d), "SELECT opportunity_id, '{}' AS kind FROM opportunities ORDER BY opportunity_id"
+    return guard.query(text.format("capped")).union(guard.query(text.format("own limit") + " LIMIT 500"))
+
+
+#: A text for a region, and a part of the reason why it is refused ('': it isn't).
+JUDGED = (
+    ("", "the query is empty"),
+    ("SELECT '{0}'; DROP TABLE accounts", "one statement"),
+    ("DELETE FROM accounts WHERE region = '{0}'", "only queries are allowed"),
+    ("INSERT INTO accounts SELECT * FROM accounts WHERE region = '{0}'", "only queries are allowed"),
+    ("SELECT reverse(region) FROM accounts WHERE region = '{0}'", "function not allowed: reverse"),
+    ("SELECT first_value(region) OVER (ORDER BY account_id) FROM accounts WHERE region = '{0}'", "function not allowed: first_value"),
+    ("SELECT a.stage FROM accounts a WHERE a.region = '{0}'", "no column stage in accounts; it is in opportunities"),
+    ("SELECT z.region FROM accounts a WHERE a.region = '{0}'", "unknown table or alias: z"),
+    ("SELECT region FROM customers WHERE region = '{0}'", "unknown table: customers"),
+    ("SELECT region FROM other.accounts WHERE region = '{0}'", "named without a qualifier"),
+    ("SELECT region FROM main_accounts WHERE region = '{0}'", "unknown table: main_accounts"),
+    ("SELECT count(*) FROM accounts WHERE region = '{0}'", ""),
+    ("WITH r AS (SELECT region FROM accounts WHERE region = '{0}') SELECT count(*) FROM r LIMIT 3", ""),
+)
+
+
+@query("SELECT r_name AS region, i AS text_no, part = '' AS ok, part AS reason FROM region, (VALUES " + ", ".join(f"({i}, '{part}')" for i, (_, part) in enumerate(JUDGED)) + ") t(i, part)")
+def guard_rejections(s, d):
+    """Verdicts on one text of each kind for each region; of a reason, the part that is expected."""
+    guard = _guard(s, d)
+    rows = []
+    for (region,) in _load(s, d, "region").select("r_name").collect():  # a handful of names
+        for i, (text, part) in enumerate(JUDGED):
+            verdict = guard.check(text.format(region))
+            rows.append((region, i, verdict.ok, part if part in verdict.reason else verdict.reason))
+    return s.createDataFrame(rows, "region string, text_no int, ok boolean, reason string")
+
+
+@query("SELECT item_id, trim(text) AS cleaned FROM benchmark")
+def sql_cleanup(s, d):
+    """Texts as a model writes them, in a fence, with a label and an end, and bare again."""
+    fence = F.concat(F.lit("```sql\nSQL: "), F.trim("text"), F.lit(" ;\n```\n"))
+    return _load(s, d, "benchmark").select("item_id", execute.clean_sql(fence).alias("cleaned"))
+
+
+@query("SELECT event_id, CASE WHEN event_type NOT IN ('click', 'unknown') THEN event_type END AS kind, NULL::VARCHAR AS region, 'v' || floor(value)::INTEGER AS value FROM events")
+def slots_normalised(s, d):
+    """Proposals with slots that say nothing, made of events."""
+    kind = F.when(F.col("event_type") == "click", " None ").otherwise(F.col("event_type"))
+    slots = F.create_map(F.lit("kind"), kind, F.lit("region"), F.lit("N/A"), F.lit("value"), F.concat(F.lit("v"), F.floor("value").cast("int").cast("string")))
+    left = U.normalised_slots(slots)
+    return _load(s, d, "events").select("event_id", *(F.try_element_at(left, F.lit(k)).alias(k) for k in ("kind", "region", "value")))
+
+
 @query("SELECT o_orderkey, true AS truncated FROM (SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200) x")
 def row_cap_flag(s, d):
     return execute.capped(_load(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey"))
@@ -418,6 +471,18 @@ def best_snippet(s, d):
     return found.withColumn("shared", shared).groupBy("doc_id", "item_id").agg(best.alias("snippet"), F.max("shared").alias("shared"))
 
 
+@query(
+    f"WITH {LEAKS}, x AS (SELECT doc_id, item_id, string_split(d.text, chr(10)) AS lines, left(trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')), 60) AS piece FROM leaks JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)), y AS (SELECT doc_id, item_id, lines, list_filter(lines, lambda l: NOT contains(lower(trim(regexp_replace(l, '\\s+', ' ', 'g'))), piece)) AS kept FROM x) SELECT doc_id, item_id, (len(lines) - len(kept))::INTEGER AS gone, md5(array_to_string(kept, chr(10))) AS digest FROM y"
+)
+def redactions(s, d):
+    """Documents that leak, without the lines that hold the item's first piece."""
+    docs, items = _load(s, d, "documents"), _load(s, d, "benchmark")
+    piece = F.substring(X.normalised(F.col("item")), 1, V.WINDOW)
+    found = V.leaks(docs, items).join(docs.select("doc_id", "text"), "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
+    clean = V.redact(F.col("text"), piece)
+    return found.select("doc_id", "item_id", (F.size(F.split("text", "\n")) - F.when(clean == "", 0).otherwise(F.size(F.split(clean, "\n")))).alias("gone"), F.md5(clean).alias("digest"))
+
+
 # ------------------------------------------------------------------ retrieval
 
 TOK = "regexp_extract_all(lower(text), '[a-z0-9_-]+')"
@@ -505,6 +570,25 @@ def context_digest(s, d):
     return blocks.select("query_id", F.md5("context").alias("digest"))
 
 
+_BARE = f"list_filter(list_transform(list_filter(regexp_split_to_array({{}}, '\\s+'), lambda w: length(w) > 3), lambda w: lower(regexp_replace(w, '{R.MARKS}', '', 'g'))), lambda w: {{}})"
+
+
+@query(
+    f"""WITH {BM25}, tz AS (SELECT query_id, rank, bm.doc_id, d.text, b.text AS question, list_filter(string_split(d.text, chr(10)), lambda x: trim(x) <> '') AS l FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm.query_id),
+ uz AS (SELECT *, CASE WHEN len(l) > 1 THEN l[2:] ELSE l END AS body FROM tz),
+ vz AS (SELECT *, list_filter(body, lambda x: regexp_matches(x, '{R.NUMBERED_ROW}')) AS numbered, list_filter(body, lambda x: NOT regexp_matches(x, '{R.RULE_LINE}')) AS plain, {_BARE.format("question", "true")} AS asked FROM uz),
+ wz AS (SELECT *, CASE WHEN len(numbered) > 0 THEN numbered WHEN len(plain) > 0 THEN plain ELSE body END AS chosen FROM vz),
+ cz AS (SELECT query_id, rank, doc_id, i, chosen[i] AS line, list_sum([0] || list_transform(asked, lambda q: len(list_filter({_BARE.format("chosen[i]", "length(w) > 3")}, lambda o: contains(o, q) OR contains(q, o))))) AS shared FROM (SELECT *, unnest(range(1, len(chosen) + 1)) AS i FROM wz) z),
+ bz AS (SELECT query_id, rank, arg_min(line, (-shared, i)) AS line FROM cz GROUP BY ALL)
+ SELECT wz.query_id, wz.rank, wz.doc_id, substr(coalesce(bz.line, wz.text), 1, {R.SNIPPET}) AS snippet FROM wz LEFT JOIN bz ON wz.query_id = bz.query_id AND wz.rank = bz.rank"""
+)
+def passage_snippets(s, d):
+    """What the composer shows of each hit."""
+    docs = _load(s, d, "documents")
+    hits = R.with_payload(R.LexicalIndex.build(docs).bm25(_items(s, d)), docs.select("doc_id", "text")).join(_items(s, d).withColumnRenamed("text", "question"), "query_id")
+    return hits.select("query_id", "rank", "doc_id", R.snippet(F.col("text"), F.col("question")).alias("snippet"))
+
+
 @query(
     f"WITH {BM25}, {LEAKS}, h AS (SELECT bm.query_id, rank, bm.doc_id, (l.doc_id IS NOT NULL)::INTEGER AS hit FROM bm LEFT JOIN leaks l ON bm.query_id = l.item_id AND bm.doc_id = l.doc_id), cs AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM h), pr AS (SELECT query_id, round(coalesce(avg(CASE WHEN hit = 1 THEN so_far / rank::DOUBLE END), 0.0), 6) AS precision, count(*) FILTER (hit = 1) AS found FROM cs GROUP BY query_id), wn AS (SELECT item_id, count(*) AS wanted FROM leaks GROUP BY item_id), e AS (SELECT query_id, precision, CASE WHEN wanted > 0 THEN round(found / wanted::DOUBLE, 6) END AS recall FROM pr LEFT JOIN wn ON query_id = item_id WHERE query_id IN (SELECT item_id FROM benchmark WHERE NOT (regexp_matches(text, '{V.PII.replace(chr(39), chr(39) * 2)}') OR regexp_matches(text, '{U.WRITE_INTENT}') OR ({' OR '.join(f"contains(lower(text), '{w}')" for w in U.VAGUE_TIME)}) AND NOT regexp_matches(text, '{U.EXPLICIT_TIME}')))) SELECT 'precision' AS metric, round(avg(precision), 3) AS mean, count(precision) AS n FROM e UNION ALL SELECT 'recall', round(avg(recall), 3), count(recall) FROM e"
 )
@@ -598,6 +682,16 @@ def slots_missing(s, d):
     return _user_turns(s, d).select("conv_id", "turn", F.array_join(missing, ",").alias("missing"))
 
 
+@query(
+    f"SELECT conv_id, turn, CASE WHEN NOT regexp_matches(text, '{TIME}') THEN '{U.QUESTIONS[U.TIME_RANGE]}' || CASE WHEN NOT regexp_matches(text, '{POPULATION}') THEN ' {U.QUESTIONS[U.POPULATION]}' ELSE '' END WHEN NOT regexp_matches(text, '{POPULATION}') THEN '{U.QUESTIONS[U.POPULATION]}' ELSE 'Could you say more precisely what you need?' END AS asked FROM conversations WHERE role = 'user'"
+)
+def clarifications(s, d):
+    """What is asked back for the slots that a quantitative question leaves open."""
+    nothing = F.lit(None).cast("string")
+    missing = U.missing_slots(F.col("text"), F.lit("SQL"), nothing, nothing, NAMES)
+    return _user_turns(s, d).select("conv_id", "turn", U.clarification(missing).alias("asked"))
+
+
 @query(
     f"""WITH q AS (SELECT *, (turn % 10) / 10.0::DOUBLE AS confidence, CASE conv_id % 4 WHEN 0 THEN 'SQL' WHEN 1 THEN 'RAG' WHEN 2 THEN 'HYBRID' ELSE 'OFF_TOPIC' END AS route FROM conversations WHERE role = 'user'),
  f AS (SELECT *, CASE WHEN route = 'HYBRID' AND length(text) % 2 = 1 THEN 'RAG' ELSE route END AS eff, regexp_matches(text, '{TIME}') AS tm, regexp_matches(text, '{POPULATION}') AS pp,

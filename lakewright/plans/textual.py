@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import sqlite, text as X
 from ..operators import chunking as C, history as H, retrieval as R, rules as U, verification as V
+from ..operators.vectors import VectorIndex
 from ..sources import pages as page_source, sinks, tables as T
 from . import catalog, execute
 from .guard import RULES, Guard, in_scope
@@ -528,6 +529,14 @@ def dense_topk(s, d):
     return _dense(s, d)
 
 
+@query(f"WITH {DENSE} SELECT query_id, rank, doc_id, score FROM dn")
+def vector_cells(s, d):
+    """The same search through the stored collection with bounds."""
+    vectors = _load(s, d, "embeddings")
+    index = VectorIndex.build(vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")))
+    return index.search(vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+
+
 OVERLAP = f"""ov AS (SELECT query_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM
  (SELECT query_id, doc_id, count(*)::DOUBLE AS score FROM p JOIN q USING (term) GROUP BY ALL) x) y WHERE rank <= 10)"""
 

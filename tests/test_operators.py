@@ -422,3 +422,33 @@ def test_capped_domains_and_table_order(spark):
         got.setdefault(r["label"], set()).add(r["value"])
     assert got == {"few": {"v0", "v1", "v2", "v9"}, "t.kind": {"t"}, "u.kind": {"u"}}
     assert [tuple(r) for r in catalog.table_order(frames, ("u", "gone")).orderBy("place").collect()] == [(1, "u", 1), (2, "n", 3), (3, "t", 40)]
+
+
+def test_vector_collection(spark, tmp_path, monkeypatch):
+    """Brute force, with ties and repeated ids, in small pages and blocks; far
+    fewer products where the vectors lie in clusters; built once a source."""
+    import numpy as np
+    from lakewright.operators import vectors as N
+
+    for name, value in (("PAGE_VECTORS", 16), ("BLOCK_QUERIES", 4), ("SAMPLE", 150)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * 10
+    rows = [(int(i), [float(x) for x in np.round(centres[i % 12] + rng.normal(size=6) * 0.3, 3)]) for i in range(600)]
+    rows += [(3, rows[3][1]), (700, rows[3][1]), (701, None)]
+    path = str(tmp_path / "v")
+    spark.createDataFrame(rows, "doc_id long, v array<double>").repartition(3).write.parquet(path)
+    vectors = spark.read.parquet(path)
+    queries = spark.createDataFrame(rows[:600:40] + [(9999, None)], "query_id long, q array<double>")
+    want = set()
+    for q, a in rows[:600:40]:
+        best = sorted((-round(sum(x * y for x, y in zip(a, v)), 6), i) for i, v in rows if v)[:5]
+        want |= {(q, k, i, -s) for k, (s, i) in enumerate(best, 1)}
+    index = N.VectorIndex.build(vectors, str(tmp_path / "i"))
+    assert {(r[0], r[1], r[2], r[3] + 0.0) for r in index.search(queries, 5).collect()} == want
+    assert index.share_read(queries, 5) < 0.5 and index.pages.count() > 30
+    written = index.pages.inputFiles()
+    assert N.VectorIndex.build(vectors, str(tmp_path / "i")).pages.inputFiles() == written
+    assert N.VectorIndex.build(vectors.where("doc_id < 0"), str(tmp_path / "i")).search(queries, 5).count() == 0
+    with pytest.raises(N.MissingVectors):
+        N.VectorIndex(spark, str(tmp_path / "none"))

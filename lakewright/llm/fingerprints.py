@@ -89,7 +89,7 @@ class Fingerprints:
 
     def packed(self) -> list[bytes]:
         bits = self.low[:, :, None] >> np.arange(BITS - 1, -1, -1, dtype=np.uint8) & 1
-        rows = np.packbits(bits.reshape(len(bits), -1), axis=1)
+        rows = np.packbits(bits.reshape(len(bits), BINS * BITS), axis=1)
         return [row.tobytes() if full else b"" for row, full in zip(rows, self.full, strict=True)]
 
     def likeness(self, other: Fingerprints) -> np.ndarray:

@@ -30,7 +30,8 @@ with one copy of its set for each ``STAR`` of them.
 Cases: ids are integers; null and empty texts and texts of white space have an empty set and are
 linked with nothing; texts of 1 to 4 words have their whole sequence as the one
 shingle; a null id is never linked and keeps a null component (``kept`` is
-true); rows that repeat an id are one node of the graph; an empty table gives
+true); rows that repeat an id are one node of the graph, and of different
+texts under one id one counts; an empty table gives
 an empty result; extra columns are ignored.
 """
 

@@ -4,7 +4,9 @@ queries in one pass.
 ``segments`` holds up to ``SEGMENT_DOCS`` documents a row, column by column: ids
 and lengths, and for each distinct word (by a 64-bit hash) its documents, counts
 and what bounds its score there, the largest count and the shortest document.
-Documents are cut where they lie; nothing but the words' counts is shuffled.
+Documents are cut where they lie; nothing but the words' counts is shuffled. A
+file holds ``FILE_SEGMENTS`` of them, so that a task that reads segments needs the
+same memory however large the index is.
 
 A query is scored against a segment as a product of sparse matrices inside a
 task, which keeps the k best of each query. Segments meet queries in blocks of
@@ -35,6 +37,7 @@ from ..sources.sinks import shared_path, shared_root
 # BM25 constants.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 SEGMENT_DOCS, SEGMENT_WORDS = 1024, 1 << 20
+FILE_SEGMENTS = 4  # of one file, as Spark's reader lays out all rows of a file at once
 BLOCK_TERMS, BLOCK_QUERIES = 200_000, 1024
 PRODUCTS = 1 << 22  # numbers that are multiplied at once
 
@@ -119,7 +122,7 @@ class LexicalIndex:
         kind = rows.schema["doc_id"].dataType.simpleString()
         hashed = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w))
         schema = f"n int, words long, ids array<{kind}>, digests array<string>, lengths array<int>, terms array<long>, starts array<int>, owners array<int>, counts array<int>, peaks array<int>, shortest array<int>"
-        rows.select("doc_id", "digest", hashed.alias("w")).mapInArrow(_segments(), schema).write.parquet(f"{path}/segments/{build}")
+        rows.select("doc_id", "digest", hashed.alias("w")).mapInArrow(_segments(), schema).write.option("maxRecordsPerFile", FILE_SEGMENTS).parquet(f"{path}/segments/{build}")
         segments = spark.read.parquet(f"{path}/segments/{build}")
         added = segments.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
         if not added["n"] and old:  # nothing but another state of the files

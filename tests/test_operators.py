@@ -214,6 +214,20 @@ def test_segments_bounds_and_blocks(spark, monkeypatch):
     assert [sorted(tuple(r) for r in f(queries, 4).collect()) for f in (small.bm25, small.overlap)] == want
 
 
+def test_files_of_few_segments(spark, monkeypatch):
+    """A reader lays out all segments of a file at once, so a long partition is written as many files."""
+    from pyspark.sql import functions as F
+
+    from lakewright.operators import lexical as L
+
+    monkeypatch.setattr(L, "SEGMENT_DOCS", 5)
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7}") for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = R.LexicalIndex.build(docs)
+    sizes = [n for _, n in index.segments.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) >= 40 and max(sizes) <= 4
+    assert [r["doc_id"] for r in index.bm25(spark.createDataFrame([(1, "w150 w3")], "query_id long, text string"), 2).orderBy("rank").collect()] == [150, 3]
+
+
 def test_dense_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_VALUES", 30)
     monkeypatch.setattr(R, "BATCH_ROWS", 7)

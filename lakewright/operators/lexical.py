@@ -40,6 +40,7 @@ SEGMENT_DOCS, SEGMENT_WORDS = 1024, 1 << 20
 FILE_SEGMENTS = 4  # of one file, as Spark's reader lays out all rows of a file at once
 BLOCK_TERMS, BLOCK_QUERIES = 200_000, 1024
 PRODUCTS = 1 << 22  # numbers that are multiplied at once
+BATCH_BYTES = 8 << 20  # of an Arrow batch; a longer row stands alone
 
 _MANIFEST = "build string, seq int, source string, docs long, words long, n_terms long, n_postings long, mean_idf double"
 
@@ -63,6 +64,12 @@ def source_print(df: DataFrame) -> str | None:
     return hashlib.md5("\n".join(parts).encode()).hexdigest()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Words and segments reach Python in batches of bounded size: a batch is held
+    whole as long as a part of it is in use."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 class LexicalIndex:
     def __init__(self, spark: SparkSession, path: str) -> None:
         try:
@@ -119,6 +126,7 @@ class LexicalIndex:
     def _add(cls, rows: DataFrame, path: str, source: str | None, old: LexicalIndex | None) -> None:
         """Write one build, and commit it."""
         spark, build = rows.sparkSession, uuid.uuid4().hex
+        bounded_batches(spark)
         kind = rows.schema["doc_id"].dataType.simpleString()
         hashed = F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w))
         schema = f"n int, words long, ids array<{kind}>, digests array<string>, lengths array<int>, terms array<long>, starts array<int>, owners array<int>, counts array<int>, peaks array<int>, shortest array<int>"
@@ -158,6 +166,7 @@ class LexicalIndex:
         return self._best(queries, self._wanted(queries).select("query_id", "h", F.lit(1.0).alias("w")), k, plain=True)
 
     def _best(self, queries: DataFrame, weights: DataFrame, k: int, plain: bool) -> DataFrame:
+        bounded_batches(self.spark)
         every = queries.select("query_id").distinct()
         each = weights.groupBy("query_id").agg(F.collect_list(F.struct("h", "w")).alias("t"))
         n, terms = queries.agg(F.count("*"), F.coalesce(F.sum(F.size(tokens(F.col("text")))), F.lit(0))).first()  # as many at most
@@ -188,13 +197,16 @@ def _segments():
     def lists(values: np.ndarray) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
         batch = batch.take(pc.sort_indices(batch.column(0), null_placement="at_start"))
         words = batch.column(2)
         lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int32)
-        owner, term = np.repeat(np.arange(len(lengths)), lengths), words.flatten().to_numpy()
-        order = np.lexsort((owner, term))
+        owner, term = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths), words.flatten().to_numpy()
+        order = np.argsort(term, kind="stable")  # owners ascend
         owner, term = owner[order], term[order]
+        del words, order
         new = np.append(True, (term[1:] != term[:-1]) | (owner[1:] != owner[:-1]))[: len(term)]
         head = np.flatnonzero(new)
         counts = np.diff(np.append(head, len(term)))
@@ -228,10 +240,10 @@ def _segments():
                     held.append(batch.slice(at, taken))
                     docs, words, at = docs + taken, words + int(sizes[at : at + taken].sum()), at + taken
                 if docs >= most_docs or words >= most_words or not taken or at < batch.num_rows:
-                    yield one(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held, docs, words = [], 0, 0
+                    yield one(held)
+                    docs, words = 0, 0
         if held:
-            yield one(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            yield one(held)
 
     return run
 

@@ -214,6 +214,41 @@ def test_segments_bounds_and_blocks(spark, monkeypatch):
     assert [sorted(tuple(r) for r in f(queries, 4).collect()) for f in (small.bm25, small.overlap)] == want
 
 
+def test_batches_of_bounded_bytes(spark, monkeypatch):
+    """What reaches a Python worker at once does not grow with a partition."""
+    from lakewright.operators import lexical as L
+
+    bound, plain, asked = 100_000, L._segments, L._scored
+
+    def watched(make):
+        def made(*args):
+            inner = make(*args)
+
+            def run(batches):
+                def seen():
+                    for batch in batches:
+                        assert batch.num_rows == 1 or batch.nbytes < 2 * bound, batch.nbytes
+                        yield batch
+
+                return inner(seen())
+
+            return run
+
+        return made
+
+    monkeypatch.setattr(L, "BATCH_BYTES", bound, raising=False)
+    monkeypatch.setattr(L, "SEGMENT_DOCS", 10)
+    monkeypatch.setattr(L, "_segments", watched(plain))
+    monkeypatch.setattr(L, "_scored", watched(asked))
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('w', id, repeat(' many words', 50)) as text").coalesce(1)
+    try:
+        index = R.LexicalIndex.build(docs)
+        found = index.bm25(spark.createDataFrame([(1, "w150")], "query_id long, text string"), 1).collect()
+        assert [r["doc_id"] for r in found] == [150] and index.stats.first()["docs"] == 3000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_files_of_few_segments(spark, monkeypatch):
     """A reader lays out all segments of a file at once, so a long partition is written as many files."""
     from pyspark.sql import functions as F

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.sinks import stored
 from .lexical import LexicalIndex, MissingIndex, ranked
 
 # Fixed value: the fusion constant.
@@ -74,8 +75,10 @@ def fuse(lists: dict[str, DataFrame], by: str = "query_id", k: int = 7) -> DataF
 
 def with_payload(hits: DataFrame, payload: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Hits with the columns of ``payload`` merged in by id; a hit without one
-    keeps its ranks."""
-    return hits.join(payload, id_col, "left")
+    keeps its ranks. Hits are stored, so that Spark knows how few they are before
+    it reads the payload, of which only what a hit names is shuffled then."""
+    hits = stored(hits, "hits")
+    return hits.join(payload.join(hits.select(id_col), id_col, "left_semi"), id_col, "left")
 
 
 # Rows of a table, lines without content, and the marks around words.

@@ -263,6 +263,26 @@ def test_files_of_few_segments(spark, monkeypatch):
     assert [r["doc_id"] for r in index.bm25(spark.createDataFrame([(1, "w150 w3")], "query_id long, text string"), 2).orderBy("rank").collect()] == [150, 3]
 
 
+def test_payload_of_hits_alone_is_shuffled(spark, tmp_path):
+    """Texts that no hit names stay where they are, however many there are."""
+    spark.range(2000).selectExpr("id as doc_id", "concat(id, repeat(md5(cast(id as string)), 50)) as text").write.parquet(f"{tmp_path}/docs")
+    hits = spark.createDataFrame([(1, 1, 150), (1, 2, 7), (2, 1, 150), (2, 2, 9999), (2, 3, None)], "query_id long, rank int, doc_id long").coalesce(1)
+    sc = spark.sparkContext
+    sc.setJobGroup(str(tmp_path), "payload")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the texts
+    try:
+        rows = R.with_payload(hits, spark.read.parquet(f"{tmp_path}/docs")).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = {(r["query_id"], r["rank"]): r["text"] and r["text"][:3] for r in rows}
+    assert len(rows) == 5 and text == {(1, 1): "150", (1, 2): "78f", (2, 1): "150", (2, 2): None, (2, 3): None}
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {x for job in sc.statusTracker().getJobIdsForGroup(str(tmp_path)) for x in sc.statusTracker().getJobInfo(job).stageIds}
+    shuffled = sum(sc._jsc.sc().statusStore().lastStageAttempt(x).shuffleWriteRecords() for x in stages)
+    assert stages and shuffled < 100, shuffled
+
+
 def test_dense_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "BLOCK_VALUES", 30)
     monkeypatch.setattr(R, "BATCH_ROWS", 7)

@@ -1,9 +1,10 @@
 """Exact BM25 top-k by block-max WAND over sharded inverted indexes.
 
-Index: every task turns the documents that it reads into shards of at most
-``SHARD_DOCS`` documents. A shard's documents are dealt into ``CLUSTERS``
-segments of similar ones (k-means on their most frequent words) and lie in a
-segment from the longest to the shortest, so that neighbours have alike bounds.
+Index: every task deals the documents that it reads into ``CLUSTERS`` groups of
+similar ones (k-means on the most frequent words of its first documents) and
+closes a group as a segment at ``SHARD_DOCS`` documents or ``SHARD_POSTINGS``
+postings, so that segments are large and of alike documents. In a segment they
+lie from the longest to the shortest, so that neighbours have alike bounds.
 A segment is one row of a Parquet table: sorted term codes, posting lists
 (document, term frequency) in term order, and document lengths. Texts are not
 shuffled, and every document is indexed.
@@ -15,19 +16,22 @@ bounded size, each block against every segment.
 Search of a segment, for many queries at once:
 
 * a query's threshold is the k-th best score that it has found so far; it rises
-  with every block, is carried over the segments of a task, and begins at a
-  value that all shards share: the k-th best over the longest documents of a few
-  shards (``LEAD_SHARDS``, ``LEAD_DOCS``), which a first pass scores;
+  with every segment, is carried over the segments of a task, and begins at a
+  value that all shards share: the k-th best over the longest documents of some
+  segments (one in ``LEAD_SHARE``, ``LEAD_DOCS`` of each), which a first pass scores;
 * a segment is skipped where the sum of the terms' largest impacts does not
   reach the threshold;
-* postings of words with short lists are read whole, those of the others (the
-  segment's ``DENSE_TERMS`` most frequent words) stand in a matrix with one row
-  for each document. A block of ``BLOCK_DOCS`` documents is bounded by the sum
-  of its frequent words' block maxima and the largest sum of the others; blocks
-  are visited in order, and one that does not reach the threshold is skipped.
-  So the pivot moves from block to block, for all queries together;
-* what is left is scored exactly, and scores that reach the threshold enter the
-  k best.
+* postings of words with short lists are read whole, from tables of lists of
+  about one length; those of the others (words that are frequent in the segment
+  and among the ``DENSE_TERMS`` most frequent ones of the queries) stand in a
+  matrix with one row for each document. A block of ``BLOCK_DOCS`` documents is
+  bounded by the sum of its frequent words' block maxima and the largest sum of
+  the others; blocks are visited in order, and one that does not reach the
+  threshold is skipped. So the pivot moves from block to block, for all queries
+  together;
+* the matrix is multiplied in 32-bit floats, whose error is bounded (``NEAR``);
+  pairs that can reach the threshold are scored again in 64 bits, and scores that
+  reach it enter the k best.
 
 Only rows that reach the shared threshold leave a task; they are merged by
 score and id. Scores are rounded to six places, and equal scores are ordered by
@@ -46,31 +50,35 @@ words; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Words, blocks, buffers, need_integers, stored
+from .common import Words, blocks, buffers, need_integers, spread, stored
 
 K1, B = 1.2, 0.75
+TEXT_BYTES = 1 << 18  # of texts that are counted at once
 SHARD_DOCS = 4096
-SHARD_POSTINGS = 1_000_000
-CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS = 8, 256, 6
-BLOCK_DOCS = 64
-DENSE_TERMS, DENSE_SHARE = 1024, 32  # at most so many words, each in 1/32 of a segment's documents at least
-QUERY_TERMS, QUERY_BLOCK = 1_000_000, 16_384  # of a block of queries on average
-CHUNK, BATCH = 1024, 256  # queries that are bounded at once, and whose scores lie side by side
-LEAD_SHARDS, LEAD_DOCS = 16, 64
+SHARD_POSTINGS = 500_000
+CLUSTERS, CLUSTER_TERMS, CLUSTER_ROUNDS, CLUSTER_POSTINGS = 6, 256, 6, 400_000
+BLOCK_DOCS = 128
+DENSE_TERMS, DENSE_SHARE = 1024, 16  # at most so many words, each in 1/16 of a segment's documents at least
+QUERY_TERMS, QUERY_BLOCK = 1_500_000, 4096  # of a block of queries on average
+CHUNK, CELLS, PAIRS = 512, 1 << 18, 1024  # queries that are bounded at once, scores that lie side by side, pairs that are scored anew at once
+LEAD_SHARDS, LEAD_SHARE, LEAD_DOCS = 96, 8, 64
 NO_ID = np.iinfo(np.int64).max
 SLACK = 2e-6  # rounding to six places
+NEAR = 1 + 2e-4  # a sum of DENSE_TERMS products of 32-bit floats is off by DENSE_TERMS / 2**24 of itself at the most
+WIDTHS = np.array([*range(1, 8), *(w << e for e in range(14) for w in (8, 10, 12, 14))])  # of tables of posting lists
 _SEGMENT = "shard long, ids binary, lengths binary, terms binary, sizes binary, docs binary, tfs binary"
 
 
 def term_counts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, document lengths, row, term, tf) of blocks of texts."""
     raw, offsets = buffers(texts)
-    for i, j in blocks(offsets):
+    for i, j in blocks(offsets, TEXT_BYTES):
         words = Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         order = np.lexsort((words.hash, words.doc))
         doc, term = words.doc[order], words.hash[order]
@@ -87,51 +95,105 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(many.sum()) + np.repeat(lo - np.cumsum(many) + many, many), owner
 
 
-def clusters(n: int, row: np.ndarray, kind: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A cluster of each document by its frequent words. It decides which
-    documents lie together, and so how much can be skipped, not what is found."""
-    if n <= CLUSTERS:
-        return np.zeros(n, np.int64)
-    often = np.full(len(size), -1)
-    top = np.argsort(-size, kind="stable")[:CLUSTER_TERMS]
-    often[top] = np.arange(len(top))
-    use = often[kind] >= 0
-    x = np.zeros((n, len(top)), np.float32)
-    x[row[use], often[kind[use]]] = 1
-    x /= np.maximum(1e-6, np.sqrt(x.sum(1, keepdims=True)))
-    rng = np.random.default_rng(5)
-    centers = x[:1]
-    for _ in range(CLUSTERS - 1):
-        far = np.maximum(0, 1 - (x @ centers.T).max(1)).astype(float) ** 2
-        if far.sum() <= 0:
-            break
-        centers = np.vstack((centers, x[rng.choice(n, p=far / far.sum())]))
-    own = np.zeros(n, np.int64)
-    for _ in range(CLUSTER_ROUNDS):
-        own = (x @ centers.T).argmax(1)
-        sums = np.zeros_like(centers)
-        for c in range(len(centers)):
-            sums[c] = x[own == c].sum(0)
-        centers = sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))
-    return own
-
-
-def _segments(shard: int, ids: np.ndarray, length: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of one shard."""
-    kinds, kind, size = np.unique(term, return_inverse=True, return_counts=True)
-    own = clusters(len(ids), row, kind, size)
-    order = np.lexsort((-length, own))
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
-    edge = np.searchsorted(own[order], np.arange(own.max() + 2))
-    sort = np.lexsort((place[row], kind, own[row]))
-    cut = np.searchsorted(own[row][sort], np.arange(own.max() + 2))
-    for c in range(len(edge) - 1):
-        docs, part = order[edge[c] : edge[c + 1]], sort[cut[c] : cut[c + 1]]
-        if len(docs):
-            here, size = np.unique(kind[part], return_counts=True)
-            columns = (ids[docs].astype("<i8"), length[docs].astype("<i4"), kinds[here].astype("<u8"), size.astype("<i4"), (place[row[part]] - edge[c]).astype("<u2"), tf[part].astype("<i4"))
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+class Clusters:
+    """Centers of documents by their frequent words. They decide which documents
+    lie together, and so how much can be skipped, not what is found."""
+
+    def __init__(self, n: int, row: np.ndarray, term: np.ndarray) -> None:
+        kinds, size = np.unique(term, return_counts=True)
+        self.terms = np.sort(kinds[np.argsort(-size, kind="stable")[:CLUSTER_TERMS]])
+        x = self._vectors(n, row, term)
+        rng = np.random.default_rng(5)
+        self.centers = x[:1]
+        for _ in range(CLUSTERS - 1):
+            far = np.maximum(0, 1 - (x @ self.centers.T).max(1)).astype(float) ** 2
+            if far.sum() <= 0:
+                break
+            self.centers = np.vstack((self.centers, x[rng.choice(n, p=far / far.sum())]))
+        for _ in range(CLUSTER_ROUNDS):
+            own = (x @ self.centers.T).argmax(1)
+            sums = np.array([x[own == c].sum(0) for c in range(len(self.centers))])
+            self.centers = sums / np.maximum(1e-6, np.linalg.norm(sums, axis=1, keepdims=True))
+
+    def _vectors(self, n: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        x = np.zeros((n, len(self.terms)), np.float32)
+        if len(self.terms):
+            at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+            use = self.terms[at] == term
+            x[row[use], at[use]] = 1
+        return x / np.maximum(1e-6, np.sqrt(x.sum(1, keepdims=True)))
+
+    def of(self, n: int, row: np.ndarray, term: np.ndarray) -> np.ndarray:
+        return (self._vectors(n, row, term) @ self.centers.T).argmax(1)
+
+
+class Group:
+    """Documents that will be one segment."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.docs = self.postings = 0
+
+    def add(self, ids: np.ndarray, length: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray) -> None:
+        self.parts.append((ids, length, (row + self.docs).astype(np.uint16), term, tf.astype(np.int32)))
+        self.docs += len(ids)
+        self.postings += len(term)
+
+    def segment(self, shard: int) -> pa.RecordBatch:
+        ids, length, row, term, tf = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts.clear()
+        docs = np.argsort(-length, kind="stable")
+        place = np.empty(len(ids), np.uint16)
+        place[docs] = np.arange(len(ids))
+        order = np.lexsort((place[row], term))
+        term = term[order]
+        first = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+        kinds, size = term[first], np.diff(np.append(first, len(term)))
+        columns = (ids[docs].astype("<i8"), length[docs].astype("<i4"), kinds.astype("<u8"), size.astype("<i4"), place[row[order]].astype("<u2"), tf[order].astype("<i4"))
+        return pa.RecordBatch.from_arrays([pa.array([shard]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=[x.split()[0] for x in _SEGMENT.split(", ")])
+
+
+def segments(batches: Iterator[pa.RecordBatch], shard: int, shard_docs: int) -> Iterator[pa.RecordBatch]:
+    """The segments of a task's (id, text) rows, numbered from ``shard`` on. The
+    clusters are those of its first documents."""
+
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for i, count, doc, term, tf in term_counts(batch.column(1)):
+                yield batch.column(0).slice(i, len(count)).to_numpy(), count, doc, term, tf
+
+    parts = parts()
+    first = Group()
+    while first.postings < CLUSTER_POSTINGS and first.docs < shard_docs and (part := next(parts, None)):
+        first.add(*part)
+    if not first.parts:
+        return
+    whole = tuple(np.concatenate(x) for x in zip(*first.parts, strict=True))
+    clusters = Clusters(first.docs, *whole[2:4])
+    groups = [Group() for _ in clusters.centers]
+    del first
+    for ids, length, row, term, tf in chain([whole], parts):
+        own = clusters.of(len(ids), row, term).astype(np.uint8)
+        docs = np.argsort(own, kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[docs] = np.arange(len(ids))
+        order = np.argsort(own[row], kind="stable")
+        row, term, tf = place[row[order]], term[order], tf[order]
+        edge = np.searchsorted(own[docs], np.arange(len(groups) + 1))
+        cut = np.searchsorted(row, edge)
+        for c, group in enumerate(groups):
+            new, entries = docs[edge[c] : edge[c + 1]], slice(cut[c], cut[c + 1])
+            if not len(new):
+                continue
+            if group.docs and (group.docs + len(new) > shard_docs or group.postings + cut[c + 1] - cut[c] > SHARD_POSTINGS):
+                yield group.segment(shard)
+                shard += 1
+                group = groups[c] = Group()
+            group.add(ids[new], length[new], row[entries] - edge[c], term[entries], tf[entries])
+    for group in groups:
+        if group.docs:
+            yield group.segment(shard)
+            shard += 1
 
 
 class Segment:
@@ -139,72 +201,124 @@ class Segment:
     first documents."""
 
     def __init__(self, row: dict, average: float, block_docs: int = BLOCK_DOCS, head: int | None = None) -> None:
-        self.block_docs = block_docs
         part = lambda name, kind: np.frombuffer(row[name], kind)
         self.ids, length = part("ids", "<i8")[:head], part("lengths", "<i4")[:head]
         self.terms, size = part("terms", "<u8"), part("sizes", "<i4").astype(np.int64)
-        docs, tf = part("docs", "<u2").astype(np.int64), part("tfs", "<i4")
-        term = np.repeat(np.arange(len(size)), size)
+        docs, tf = part("docs", "<u2"), part("tfs", "<i4")
         if head is not None:
             use = docs < head
-            docs, tf, term = docs[use], tf[use], term[use]
-            size = np.bincount(term, minlength=len(size))
+            size = spread(use, np.concatenate(([0], np.cumsum(size))))
+            docs, tf = docs[use], tf[use]
         norm = K1 * (1 - B + B * length / max(average, 1e-9))
-        impact = tf * (K1 + 1) / (tf + norm[docs])
-        n = self.n = len(self.ids)
-        self.most = np.zeros(len(size))  # a term's largest impact
-        full = np.flatnonzero(size)
-        if len(full):
-            self.most[full] = np.maximum.reduceat(impact, (np.cumsum(size) - size)[full])
-        frequent = np.flatnonzero(size * DENSE_SHARE >= n)
-        frequent = frequent[np.argsort(-size[frequent], kind="stable")[:DENSE_TERMS]]
-        self.column = np.full(len(size), -1)
-        self.column[frequent] = np.arange(len(frequent))
-        dense = self.column[term] >= 0
-        self.matrix = np.zeros((n, len(frequent)))
-        self.matrix[docs[dense], self.column[term[dense]]] = impact[dense]
-        self.starts = np.arange(0, n, block_docs)
-        self.block_most = np.maximum.reduceat(self.matrix, self.starts, axis=0)
-        self.docs, self.impact = docs[~dense], impact[~dense]
-        self.first = np.concatenate(([0], np.cumsum(np.where(self.column >= 0, 0, size))))
+        self.n, self.size = len(self.ids), size
+        self.docs, self.impact = docs.astype(np.int64), tf * (K1 + 1) / (tf + norm[docs])
+        self.first = np.concatenate(([0], np.cumsum(size)))
+        self.most = spread(self.impact, self.first, np.maximum)  # a term's largest impact
+        self.edges = np.append(np.arange(0, self.n, block_docs), self.n)
 
     def search(self, queries: Queries, best: Best) -> None:
         """Offer ``best`` all documents that can be among the k best."""
-        if not len(self.terms):
+        if not len(self.docs) or not len(queries.terms):
             return
-        at = np.minimum(np.searchsorted(self.terms, queries.terms), len(self.terms) - 1)
-        at = np.where(self.terms[at] == queries.terms, at, -1)
+        here = self._meet(queries)
+        most = np.zeros(queries.matrix.shape[1])
+        most[self.columns] = self.block_most.max(axis=0)
+        found, batch = [], max(CELLS // self.n, 32)
         for q in range(0, len(queries.ids), CHUNK):
-            part = slice(queries.first[q], queries.first[min(q + CHUNK, len(queries.ids))])
-            term = at[queries.term[part]]
+            many = min(CHUNK, len(queries.ids) - q)
+            part = slice(queries.first[q], queries.first[q + many])
+            term = here[queries.term[part]]
             have = np.flatnonzero(term >= 0)
-            term, owner, weight = term[have], queries.owner[part][have], queries.weight[part][have]
-            bound = np.bincount(owner - q, weight * self.most[term], min(CHUNK, len(queries.ids) - q))
-            alive = q + np.flatnonzero((bound > 0) & (bound >= best.least[q : q + CHUNK] - SLACK))
-            for i in range(0, len(alive), BATCH):
-                some = alive[i : i + BATCH]
-                entry, who = _ranges(np.searchsorted(owner, some), np.searchsorted(owner, some + 1))
-                self._batch(some, who, term[entry], weight[entry], best)
-
-    def _batch(self, some: np.ndarray, who: np.ndarray, term: np.ndarray, weight: np.ndarray, best: Best) -> None:
-        dense = self.column[term] >= 0
-        w = np.zeros((len(some), self.matrix.shape[1]))
-        w[who[dense], self.column[term[dense]]] = weight[dense]
-        who, term, weight = who[~dense], term[~dense], weight[~dense]
-        place, entry = _ranges(self.first[term], self.first[term + 1])
-        rest = np.bincount(who[entry] * self.n + self.docs[place], weight[entry] * self.impact[place], len(some) * self.n).reshape(len(some), self.n)
-        bound = w @ self.block_most.T + np.maximum.reduceat(rest, self.starts, axis=1)
-        for b, lo in enumerate(self.starts.tolist()):
-            live = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= best.least[some] - SLACK))
+            term, owner, weight = term[have], queries.owner[part][have] - q, queries.weight[part][have]
+            bound = np.bincount(owner, weight * self.most[term], many) + queries.matrix[q : q + many] @ most
+            alive = np.flatnonzero((bound > 0) & (bound * NEAR >= best.least[q : q + many] - SLACK))
+            begin = np.searchsorted(owner, np.arange(many + 1))
+            for i in range(0, len(alive), batch):
+                some = alive[i : i + batch]
+                entry, who = _ranges(begin[some], begin[some + 1])
+                found.append(self._batch(queries, q + some, self._rest(len(some), who, term[entry], weight[entry]), best.least[q + some] - SLACK, best.k))
+        if found:
+            best.offer(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _meet(self, queries: Queries) -> np.ndarray:
+        """Make columns of the words that are frequent here and in the queries.
+        The place of each other word of the queries among the segment's words, or -1."""
+        at = np.minimum(np.searchsorted(queries.terms, self.terms), len(queries.terms) - 1)
+        have = np.flatnonzero((queries.terms[at] == self.terms) & (self.size > 0))
+        here = np.full(len(queries.terms), -1, np.int32)
+        here[queries.number[at[have]]] = have
+        term = here[: queries.matrix.shape[1]]
+        self.columns = np.flatnonzero((term >= 0) & (self.size[term] * DENSE_SHARE >= self.n))
+        term = term[self.columns]
+        here[self.columns] = -1
+        place, column = _ranges(self.first[term], self.first[term + 1])
+        self.matrix = np.zeros((self.n, len(term)))
+        self.matrix[self.docs[place], column] = self.impact[place]
+        self.single = self.matrix.astype(np.float32)
+        self.block_most = np.maximum.reduceat(self.single, self.edges[:-1], axis=0)
+        self._lists(here[here >= 0])
+        return here
+
+    def _lists(self, term: np.ndarray) -> None:
+        """Lay the posting lists of ``term`` out as tables of lists of about one length."""
+        width = np.searchsorted(WIDTHS, self.size[term])
+        self.kind, self.row, self.tables = np.zeros(len(self.size), np.int8), np.zeros(len(self.size), np.int64), {}
+        for k in np.unique(width).tolist():
+            own = term[width == k]
+            self.kind[own], self.row[own] = k, np.arange(len(own))
+            docs, impact = np.zeros((len(own), WIDTHS[k]), np.int64), np.zeros((len(own), WIDTHS[k]))
+            place, row = _ranges(self.first[own], self.first[own + 1])
+            column = place - self.first[own][row]
+            docs[row, column], impact[row, column] = self.docs[place], self.impact[place]
+            self.tables[k] = docs, impact
+
+    def _rest(self, many: int, who: np.ndarray, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Scores of all documents from the words that are no columns."""
+        kind = self.kind[term]
+        order = np.argsort(kind, kind="stable")
+        row, base, weight = self.row[term[order]], who[order] * self.n, weight[order]
+        edge = np.searchsorted(kind[order], np.arange(len(WIDTHS) + 1))
+        end = np.concatenate(([0], np.cumsum(np.diff(edge) * WIDTHS)))
+        cell, value = np.empty(end[-1], np.int64), np.empty(end[-1])
+        for k, (docs, impact) in self.tables.items():
+            part, to = slice(edge[k], edge[k + 1]), slice(end[k], end[k + 1])
+            if end[k] < end[k + 1]:
+                own = cell[to].reshape(-1, WIDTHS[k])
+                docs.take(row[part], axis=0, out=own, mode="clip")
+                own += base[part, None]
+                own = value[to].reshape(-1, WIDTHS[k])
+                impact.take(row[part], axis=0, out=own, mode="clip")
+                own *= weight[part, None]
+        return np.bincount(cell, value, many * self.n).astype(float, copy=False).reshape(many, self.n)
+
+    def _batch(self, queries: Queries, some: np.ndarray, rest: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, document's id, score) of the pairs that can reach a query's threshold."""
+        w = queries.matrix[np.ix_(some, self.columns)]
+        single = w.astype(np.float32)
+        bound = single @ self.block_most.T + np.maximum.reduceat(rest, self.edges[:-1], axis=1)
+        bound = np.where(bound > 0, bound * NEAR, -np.inf)
+        pairs = [(np.zeros(0, np.int64),) * 2]
+        for b, (lo, hi) in enumerate(pairwise(self.edges.tolist())):
+            live = np.flatnonzero(bound[:, b] >= least)
             if len(live):
-                hi = min(self.n, lo + self.block_docs)
-                score = w[live] @ self.matrix[lo:hi].T + rest[live, lo:hi]
-                best.offer(some[live], score, self.ids[lo:hi])
+                score = (single[live] @ self.single[lo:hi].T + rest[live, lo:hi]) * NEAR
+                row = np.flatnonzero(score.max(axis=1) >= least[live])
+                score = score[row]
+                if 0 < k < hi - lo:  # that many documents have a score of at least this
+                    least[live[row]] = np.maximum(least[live[row]], np.partition(score, -k, axis=1)[:, -k] / NEAR**2 - SLACK)
+                q, d = np.nonzero((score > 0) & (score >= least[live[row], None]))
+                pairs.append((live[row[q]], d + lo))
+        q, d = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        score = rest[q, d]
+        for i in range(0, len(q), PAIRS):
+            part = slice(i, i + PAIRS)
+            score[part] += np.einsum("ij,ij->i", w[q[part]], self.matrix[d[part]])
+        return some[q], self.ids[d], score
 
 
 class Queries:
     """A block of queries: distinct terms, and (query, term, weight) in the
-    order of the queries."""
+    order of the queries; terms are numbered from the most frequent one on."""
 
     def __init__(self, table: pa.Table) -> None:
         table = table.combine_chunks()
@@ -214,10 +328,20 @@ class Queries:
         flat = lists.flatten()
         self.first = np.concatenate(([0], np.cumsum(many)))
         self.owner = np.repeat(np.arange(len(self.ids), dtype=np.int32), many)
-        self.terms, term = np.unique(flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True)
-        self.term = term.astype(np.int32)
+        self.terms, term, size = np.unique(flat.field("term").to_numpy(zero_copy_only=False).view(np.uint64), return_inverse=True, return_counts=True)
+        self.number = np.empty(len(size), np.int32)
+        self.number[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        self.term = self.number[term]
         self.weight = flat.field("weight").to_numpy(zero_copy_only=False)
 
+    def open(self) -> Queries:
+        """With a matrix of the weights of the most frequent terms, which each worker makes itself."""
+        if not hasattr(self, "matrix"):
+            use = np.flatnonzero(self.term < DENSE_TERMS)
+            self.matrix = np.zeros((len(self.ids), min(DENSE_TERMS, len(self.terms))))
+            self.matrix[self.owner[use], self.term[use]] = self.weight[use]
+        return self
+
 
 class Best:
     """The k best scores of each query and the documents that reach them."""
@@ -227,17 +351,23 @@ class Best:
         self.top = np.zeros((len(least), k))
         self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def offer(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+    def offer(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         score = np.round(score, 6)
-        q, d = np.nonzero((score > 0) & (score >= self.least[queries, None] - SLACK))
-        if not len(q):
+        use = np.flatnonzero((score > 0) & (score >= self.least[query] - SLACK))
+        if not len(use):
             return
-        self.found.append((queries[q], ids[d], score[q, d]))
-        rows = np.unique(q)
-        both = np.concatenate((self.top[queries[rows]], score[rows]), axis=1)
-        both.partition(both.shape[1] - self.k, axis=1)
-        self.top[queries[rows]] = both[:, -self.k :]
-        self.least[queries[rows]] = np.maximum(self.least[queries[rows]], both[:, -self.k])
+        query, ids, score = query[use], ids[use], score[use]
+        self.found.append((query, ids, score))
+        order = np.lexsort((-score, query))
+        rows, first, row = np.unique(query[order], return_index=True, return_inverse=True)
+        rank = np.arange(len(row)) - first[row]
+        use = np.flatnonzero(rank < self.k)
+        both = np.zeros((len(rows), 2 * self.k))
+        both[:, : self.k] = self.top[rows]
+        both[row[use], self.k + rank[use]] = score[order[use]]
+        both.partition(self.k, axis=1)
+        self.top[rows] = both[:, self.k :]
+        self.least[rows] = np.maximum(self.least[rows], both[:, self.k])
         if sum(len(x[0]) for x in self.found[-64:]) > 1 << 20:
             self.found = [self.result()]
 
@@ -262,34 +392,14 @@ class Index:
         def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
-            shard = TaskContext.get().partitionId() << 32
-            ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
-
-            def whole() -> Iterator[np.ndarray]:
-                for x in (ids, lengths, rows, terms, tfs):
-                    yield np.concatenate(x)
-                    x.clear()
-
-            for batch in batches:
-                for i, count, doc, term, tf in term_counts(batch.column(1)):
-                    if held and (held + len(count) > shard_docs or postings + len(term) > SHARD_POSTINGS):
-                        yield from _segments(shard, *whole())
-                        shard += 1
-                        ids, lengths, rows, terms, tfs, held, postings = [], [], [], [], [], 0, 0
-                    ids.append(batch.column(0).slice(i, len(count)).to_numpy())
-                    lengths.append(count)
-                    rows.append((doc + held).astype(np.int32))
-                    terms.append(term)
-                    tfs.append(tf.astype(np.int32))
-                    held, postings = held + len(count), postings + len(term)
-            if held:
-                yield from _segments(shard, *whole())
+            return segments(batches, TaskContext.get().partitionId() << 32, shard_docs)
 
         self.table = stored(base.mapInArrow(build, _SEGMENT), "index")
         total = self.table.select(F.expr("length(ids) div 8").alias("n"), F.col("lengths")).mapInArrow(_sizes, "n long, words long").agg(F.sum("n"), F.sum("words")).first()
         self.n, self.words = (x or 0 for x in total)
-        shards = [r[0] for r in self.table.select("shard").distinct().orderBy(F.xxhash64("shard")).limit(LEAD_SHARDS).collect()]
-        self.lead = self.table.where(F.col("shard").isin(shards))
+        order, lead = F.xxhash64("shard"), max(LEAD_SHARDS, self.table.count() // LEAD_SHARE)
+        last = self.table.select(order.alias("o")).orderBy("o").limit(lead).agg(F.max("o")).first()[0]
+        self.lead = self.table.where(order <= F.lit(last))
 
     def frequencies(self) -> DataFrame:
         """(term, n): in how many documents each term occurs."""
@@ -314,14 +424,17 @@ class Index:
         place = np.argsort(queries.ids)
         start[place[np.searchsorted(queries.ids[place], lead["query_id"].to_numpy())]] = lead["least"].to_numpy()
         held.destroy()
-        return self._search(self.table, spark.sparkContext.broadcast((queries, start)), k)
+        held = spark.sparkContext.broadcast((queries, start))
+        found = stored(self._search(self.table, held, k), "top")
+        held.destroy()
+        return found
 
     def _search(self, table: DataFrame, held, k: int, head: int | None = None) -> DataFrame:
         average, block_docs = self.words / max(1, self.n), self.block_docs
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries, start = held.value
-            best = Best(start, k)
+            queries, best = queries.open(), Best(start, k)
             for batch in batches:
                 for r in range(batch.num_rows):
                     row = {name: batch.column(name)[r].as_buffer() for name in batch.schema.names if name != "shard"}
@@ -362,6 +475,6 @@ def search_all(docs: DataFrame, is_query: Column, k: int = 10, id_col: str = "do
     block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
     found = docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     for b in range(n_blocks):
-        found = found.unionByName(stored(index.top(queries.where(block == b), k), "top"))
+        found = found.unionByName(index.top(queries.where(block == b), k))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")

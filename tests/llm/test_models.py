@@ -225,6 +225,42 @@ def test_search_equals_exhaustive(docs, odd_docs, no_docs, shard, block):
     assert {x[2] for x in got if x[0] == 3} == {3, 4, 5}
 
 
+def test_search_segments_hold_alike_documents(spark):
+    """A segment is opened once for each block of queries, so few large ones are wanted."""
+    texts = spark.range(0, 20_000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 8), i -> concat(if(id % 2 = 0, 'a', 'b'), (id * i) % 40))) AS text")
+    index = B.Index(texts)
+    rows = index.table.select("ids").collect()
+    kept = [np.frombuffer(r["ids"], "<i8") for r in rows]
+    assert sorted(np.concatenate(kept).tolist()) == list(range(20_000))
+    assert len(kept) <= 16 and all(len(set(x % 2)) == 1 for x in kept)
+
+
+def test_search_tells_near_scores_apart(spark):
+    """Scores that 32-bit floats don't tell apart keep their order."""
+    words = " ".join(f"w{i}" for i in range(600))
+    texts = [(0, words)] + [(d, f"{words} " + " ".join(["pad"] * (2000 + (d * 37) % 101))) for d in range(1, 102)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((r["rank"], r["doc_id"], r["score"]) for r in B.search_all(df, F.col("doc_id") == 0).collect())
+    order = sorted(range(1, 102), key=lambda d: (d * 37) % 101)
+    assert [x[1] for x in got] == [0, *order[:9]] and len({x[2] for x in got}) == 10
+
+
+def test_search_scores_few_pairs_anew(spark, monkeypatch):
+    """Most pairs are dropped by the sums of 32-bit floats."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{int(x)}" for x in np.minimum(rng.zipf(1.3, int(rng.integers(20, 200))), 3000))) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    index = B.Index(df)
+    block = B.Queries(index.queries(df.where("doc_id % 5 = 0").selectExpr("doc_id AS id", "text")).toArrow()).open()
+    offered = []
+    monkeypatch.setattr(B.Best, "offer", lambda self, query, ids, score, offer=B.Best.offer: offered.append(len(query)) or offer(self, query, ids, score))
+    best = B.Best(np.zeros(len(block.ids)), 10)
+    for row in index.table.collect():
+        B.Segment(row.asDict(), index.words / index.n).search(block, best)
+    assert len(best.result()[0]) == 10 * len(block.ids) and sum(offered) < 0.2 * len(block.ids) * index.n
+
+
+
 def test_long_texts_are_cut_at_white_space():
     text = ("word " * 10 + "x" * 50 + "\n") * 200
     raw, offsets = buffers(pa.array([text, None, "a b"]))

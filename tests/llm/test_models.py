@@ -10,7 +10,7 @@ from conftest import words_of
 from pyspark.sql import functions as F
 
 from lakewright.llm import language_id as L, lm_scoring as M, quality as Q, search as B
-from lakewright.llm.common import Words, buffers, held_out, table
+from lakewright.llm.common import Words, buffers, held_out, prepare, table
 
 
 # ---------------------------------------------------------------- language id
@@ -227,6 +227,7 @@ def test_search_equals_exhaustive(docs, odd_docs, no_docs, shard, block):
 
 def test_search_segments_hold_alike_documents(spark):
     """A segment is opened once for each block of queries, so few large ones are wanted."""
+    prepare(spark)
     texts = spark.range(0, 20_000, 1, 1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 8), i -> concat(if(id % 2 = 0, 'a', 'b'), (id * i) % 40))) AS text")
     index = B.Index(texts)
     rows = index.table.select("ids").collect()
